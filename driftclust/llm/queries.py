@@ -5,9 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from driftclust.llm.chat import format_conversations, read_back
 from driftclust.llm.common import table
+from driftclust.llm.decontam import contaminations
+from driftclust.llm.fertility import fertility_verdicts
+from driftclust.llm.html_text import extract_text
+from driftclust.llm.importance import importance_resample
 from driftclust.llm.jaccard import jaccard_components
+from driftclust.llm.lines import dedup_lines
+from driftclust.llm.mixing import mix_sources
+from driftclust.llm.ring import shard_documents
+from driftclust.llm.tokens import token_counts
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without blocks of lines that an earlier document has."""
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot of each document in a mix of sources by the roots of their bytes."""
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +35,44 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_ngram_jaccard": op3_ngram_jaccard,
-}
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards with equal counts of rows."""
+    return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16).drop("text")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents and which are drawn."""
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of one full of control strings, read back from their formatted windows."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(extra)
+    return read_back(format_conversations(rows))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents."""
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary="word_bpe_49k.json", limit=2048)
+
+
+def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokeniser measures of all documents and which are kept."""
+    return fertility_verdicts(table(spark, sf_dir, "documents"), vocabulary="piece_bpe_32k.model")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_ngram_jaccard, op4_html_text, op5_sharding, op6_quality, op7_decontamination, op8_chat, op9_token_counts, op10_fertility)}
 
 ORACLES: dict[str, str] = {}
