@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass holds at once; its temporaries take about 40 times as much.
 SLICE_BYTES = 1 << 20
+#: Bytes of rows in an Arrow batch; a single row may have more.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +41,17 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch to BATCH_BYTES, where it is higher: rows may be long, and a batch stands in
+    the executor's memory several times over, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "67108864b").rstrip("b") or 0) > BATCH_BYTES or spark.conf.get(key, "").startswith("-"):
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, absent ones as null strings: other columns may have any name."""
+    bound_batches(df.sparkSession)
     have = set(df.columns)
     return df.select(*(F.col(f"`{n}`") if n in have else F.lit(None).cast("string").alias(n) for n in names))
 
