@@ -27,10 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage ends there and lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it again: the lineage ends there and lost executors cost no recomputation. The shuffle
+    files that led to it, which nothing reads any more, are deleted."""
+    spark, path, key = df.sparkSession, f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cut(df: DataFrame) -> None:

@@ -236,12 +236,16 @@ class _Join:
     def run(self) -> DataFrame:
         all_sets = cut(self.docs.mapInArrow(_describe(self.k, self.lower, self.num, self.den), "doc_id long, n long, fp_a long, fp_b long, blocks array<long>, point array<int>"), "shingle-sets")
         same = ["fp_a", "fp_b", "n"]
-        nodes = all_sets.where("doc_id is not null and n > 0").groupBy(*same).agg(F.min("doc_id").alias("doc_id"))
+        nodes = cut(all_sets.where("doc_id is not null and n > 0").groupBy(*same).agg(F.min("doc_id").alias("doc_id")), "nodes")
         first = cut(all_sets.join(nodes, [*same, "doc_id"]).dropDuplicates([*same, "doc_id"]).select(F.col("doc_id").alias("node"), "n", "blocks", "point"), "shingle-nodes")
+        slim = cut(all_sets.select("doc_id", *same), "set-names")
+        drop_cut(all_sets)
         self.points = first.select("node", "n", "point")
         rows = first.select("node", F.explode("blocks").alias("block"))
-        shared = rows.groupBy("block").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("block", "least")
-        members = cut(rows.join(shared, "block"), "block-members")
+        shared = rows.groupBy("block").agg(F.count("*").alias("nodes")).where("nodes > 1").select("block")  # most blocks have one node
+        rows = cut(rows.join(shared, "block"), "shared-blocks")
+        members = cut(rows.join(rows.groupBy("block").agg(F.min("node").alias("least")), "block"), "block-members")
+        drop_cut(rows)
         involved = members.select("node").distinct()
         self.sets = cut(self.docs.join(involved.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(self.k, self.lower), "node long, members binary"), "member-sets")
 
@@ -258,7 +262,7 @@ class _Join:
         labels = components(links)
         named = nodes.select(*same, F.col("doc_id").alias("node")).join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component"))
         drop_cut(members), drop_cut(self.sets), drop_cut(first)
-        every = all_sets.select("doc_id", *same).join(named, same, "left")
+        every = slim.join(named, same, "left")
         return every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
