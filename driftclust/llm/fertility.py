@@ -141,8 +141,8 @@ def fertility_verdicts(documents: DataFrame, vocabulary: str = "piece_bpe_32k.mo
     found = found.select(
         "*",
         failed.alias("base_failed"),
-        (F.col("word_chars") / F.col("n_tokens")).alias("chars_per_token"),
-        F.coalesce(F.col("n_byte_tokens") / F.col("n_tokens"), F.lit(0.0)).alias("byte_share"),
+        F.try_divide("word_chars", "n_tokens").alias("chars_per_token"),
+        F.coalesce(F.try_divide("n_byte_tokens", "n_tokens"), F.lit(0.0)).alias("byte_share"),
         F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int").alias("length_class"),
     )
     measures = ("chars_per_token", "byte_share", "token_entropy")

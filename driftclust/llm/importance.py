@@ -69,7 +69,7 @@ class Model:
         raw, target = (x.reshape(KINDS, BUCKETS).astype(float) for x in (raw, target))
         share = lambda x: (x + 1) / (x.sum(axis=1, keepdims=True) + BUCKETS)
         ratio = np.clip(np.log(share(target)) - np.log(share(raw)), -10, 10)
-        expected = share(raw) * target.sum(axis=1, keepdims=True)
+        expected = raw / np.maximum(raw.sum(axis=1, keepdims=True), 1) * target.sum(axis=1, keepdims=True)
         sure = (np.abs(ratio) >= margin) & (np.abs(expected - target) >= doubt * np.sqrt(expected + 1))
         self.ratio = np.where(sure, ratio, 0.0).ravel()
 

@@ -9,7 +9,8 @@ the points are first dealt into blocks in such a way that linked sets always mee
 most d = floor(n (1 - t) / t) members, n the smaller size. The members are dealt by hash to groups, and of their first
 d + 1 groups that aren't empty, in group order, one at least holds the same members in both. (Were it otherwise, each of the
 d + 1 groups of the set whose list ends first would need a difference of its own.) The hash of a group's members names a block.
-Each block is searched through an R-tree.
+Each block is searched through an R-tree over 128 coordinates; what its bound allows is bounded again over 65,536 finer ones, by which nearly
+all pairs just under the similarity fall away before any set is fetched.
 
 Hot groups: copies of a set are one node from the start. A block isn't searched for pairs that are linked already: first
 each node is verified against the block's least node that it shares most blocks with, then against the best partner by
@@ -29,12 +30,14 @@ from driftclust.llm.common import cut, drop_cut, mix, own_columns, shingles, utf
 from driftclust.llm.components import components
 from driftclust.llm.rtree import CountTree
 
-#: Coordinates of a point.
+#: Groups of a point's fine coordinates, of which most are 0: it is kept as the sorted group numbers of the members.
+FINE = 1 << 16
+#: Coordinates by which the tree is searched: neighbouring fine groups together.
 GROUPS = 128
 #: Sets below this size use one partition of the members for each number of differences, or single members.
 SMALL = 64
 #: Nodes of one side of a block that one task searches at once.
-CHUNK = 4096
+CHUNK = 2048
 
 
 def _as_int64(x: np.ndarray) -> np.ndarray:
@@ -58,6 +61,8 @@ def block_hashes(members: np.ndarray, num: int, den: int) -> np.ndarray:
     to hold has a probability below 1e-10, as hash collisions have.
     """
     n, spare = len(members), den - num
+    if not n:
+        return np.zeros(0, np.uint64)
     least = -(-n * num // den)  # of any set similar to this one
     found = []
     if least < SMALL:
@@ -98,7 +103,7 @@ def _describe(k: int, lower: bool, num: int, den: int):
                 fp_a.append(mix(members, 3).sum(dtype=np.uint64))
                 fp_b.append(np.bitwise_xor.reduce(mix(members, 5)) if len(members) else np.uint64(0))
                 blocks.append(_as_int64(block_hashes(members, num, den)))
-                points.append(np.minimum(np.bincount((mix(members, 7) >> np.uint64(57)).astype(np.int64), minlength=GROUPS), 2**31 - 1).astype(np.int32))
+                points.append(np.sort((mix(members, 7) >> np.uint64(48)).astype(np.uint16)).tobytes())
             ends = np.concatenate(([0], np.cumsum([len(x) for x in blocks]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -107,7 +112,7 @@ def _describe(k: int, lower: bool, num: int, den: int):
                     pa.array(_as_int64(np.array(fp_a, np.uint64))),
                     pa.array(_as_int64(np.array(fp_b, np.uint64))),
                     pa.ListArray.from_arrays(ends, np.concatenate(blocks) if blocks else np.zeros(0, np.int64)),
-                    pa.ListArray.from_arrays(np.arange(len(points) + 1, dtype=np.int32) * GROUPS, np.concatenate(points) if points else np.zeros(0, np.int32)),
+                    pa.array(points, pa.binary()),
                 ],
                 ["doc_id", "n", "fp_a", "fp_b", "blocks", "point"],
             )
@@ -130,6 +135,28 @@ def _sets(k: int, lower: bool):
     return run
 
 
+def _fine(point: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """The fine coordinates that aren't 0: groups and counts."""
+    groups = np.frombuffer(point.as_buffer(), np.uint16)
+    first = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
+    return groups[first], np.diff(np.concatenate((first, [len(groups)])))
+
+
+def _allowed(num: int, den: int):
+    """Pairs whose sum of fine coordinate minima reaches the overlap that the similarity needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b, n in zip(batch.column("p_low"), batch.column("p_high"), batch.column("n").to_pylist(), strict=True):
+                (ga, ca), (gb, cb) = _fine(a), _fine(b)
+                _, i, j = np.intersect1d(ga, gb, assume_unique=True, return_indices=True)
+                keep.append(int(np.minimum(ca[i], cb[j]).sum()) * (num + den) >= num * n)
+            yield batch.select(["low", "high"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,12 +175,19 @@ def _search(num: int, den: int, best_only: bool):
 
     def one(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node, part, side, size = (group.column(c).to_numpy() for c in ("node", "component", "side", "n"))
-        points = group.column("point").combine_chunks().values.to_numpy().reshape(-1, GROUPS)
-        tree = CountTree(points, size)
+        fine = [_fine(p) for p in group.column("point")]
+        points = np.stack([np.bincount(g // (FINE // GROUPS), weights=c, minlength=GROUPS) for g, c in fine]).astype(np.int32)
+        tree, mine = CountTree(points, size), np.zeros(FINE, np.int64)
         low, high = [], []
         for q in np.flatnonzero(side > 0):
-            hits, bound = tree.search(points[q], int(size[q]), num, den)
-            fits = (part[hits] != part[q]) & ((side[hits] == 0) if side[q] == 1 else True)
+            hits, _ = tree.search(points[q], int(size[q]), num, den)
+            hits = hits[(part[hits] != part[q]) & ((side[hits] == 0) if side[q] == 1 else True)]
+            if not len(hits):
+                continue
+            mine[fine[q][0]] = fine[q][1]
+            bound = np.array([np.minimum(mine[fine[h][0]], fine[h][1]).sum() for h in hits])
+            mine[fine[q][0]] = 0
+            fits = bound * (num + den) >= num * (size[hits] + size[q])
             hits, bound = hits[fits], bound[fits]
             if best_only and len(hits):
                 hits = hits[[np.argmax(2 * bound / (size[hits] + size[q]))]]
@@ -195,8 +229,7 @@ class _Join:
         """Pairs (low, high) whose points allow a link: the sum of the minima against the overlap that the similarity needs."""
         p = self.points
         two = pairs.join(p.select(F.col("node").alias("low"), F.col("n").alias("n_low"), F.col("point").alias("p_low")), "low").join(p.select(F.col("node").alias("high"), F.col("n").alias("n_high"), F.col("point").alias("p_high")), "high")
-        minima = F.aggregate(F.zip_with("p_low", "p_high", lambda x, y: F.least(x, y)), F.lit(0).cast("int"), lambda s, x: s + x)
-        return two.where(minima.cast("long") * (self.num + self.den) >= F.lit(self.num) * (F.col("n_low") + F.col("n_high"))).select("low", "high")
+        return two.select("low", "high", (F.col("n_low") + F.col("n_high")).alias("n"), "p_low", "p_high").mapInArrow(_allowed(self.num, self.den), "low long, high long")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs those whose sets reach the similarity."""
@@ -234,7 +267,7 @@ class _Join:
         return rows.mapInArrow(_search(self.num, self.den, best_only), "low long, high long").distinct()
 
     def run(self) -> DataFrame:
-        all_sets = cut(self.docs.mapInArrow(_describe(self.k, self.lower, self.num, self.den), "doc_id long, n long, fp_a long, fp_b long, blocks array<long>, point array<int>"), "shingle-sets")
+        all_sets = cut(self.docs.mapInArrow(_describe(self.k, self.lower, self.num, self.den), "doc_id long, n long, fp_a long, fp_b long, blocks array<long>, point binary"), "shingle-sets")
         same = ["fp_a", "fp_b", "n"]
         nodes = cut(all_sets.where("doc_id is not null and n > 0").groupBy(*same).agg(F.min("doc_id").alias("doc_id")), "nodes")
         first = cut(all_sets.join(nodes, [*same, "doc_id"]).dropDuplicates([*same, "doc_id"]).select(F.col("doc_id").alias("node"), "n", "blocks", "point"), "shingle-nodes")
