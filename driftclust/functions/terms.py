@@ -13,13 +13,17 @@ STOP_WORDS = tuple(
 
 
 def grams(text: Column, longest: int = 2) -> Column:
-    """Terms of 1 to ``longest`` words of two or more word characters, lower case, stop words left out before words are joined."""
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b(\w\w+)\b")), lambda w: ~F.array_contains(stop, w))
-    found = [words]
+    """Terms of 1 to ``longest`` words of two or more word characters, lower case, stop words left out before words are joined.
+
+    Words are found once for each length of term; neighbours are joined by zipping the words with themselves, shifted.
+    """
+    words = F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\b(?!(?:{'|'.join(STOP_WORDS)})\b)(\w\w+)\b"))
+    found, runs = [words], words
     for n in range(2, longest + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        found.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
+        shifted = F.slice(words, n, F.greatest(F.size(words), F.lit(1)))
+        # the shorter side is filled up with nulls, which the filter takes out
+        runs = F.filter(F.zip_with(runs, shifted, lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
+        found.append(runs)
     return F.concat(*found)
 
 
@@ -53,10 +57,17 @@ def distinctive(scores: DataFrame, group: str = "cluster_id", n: int = 5, pool:
 
 
 def labels(texts: DataFrame, group: str = "cluster_id", n: int = 5, targets: DataFrame | None = None) -> DataFrame:
-    """(group, label) from rows (group, pos, text): texts of a group are joined in order, so that terms run across them. ``targets`` names the
-    groups that want a label; the others serve as contrast."""
-    joined = texts.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x.text), " ").alias("text"))
-    scores = term_scores(joined.select(group, F.explode(grams(F.col("text"))).alias("term")), group)
+    """(group, label) from rows (group, pos, text): terms of one word and of two, which also run from a text to the next one in order of
+    pos. ``targets`` names the groups that want a label; the others serve as contrast.
+
+    Pairs within a text are made where the text is; only the first and last words of texts are put in order.
+    """
+    found = texts.select(group, "pos", grams(F.col("text"), 1).alias("words")).where(F.size("words") > 0)
+    inside = found.select(group, F.explode(F.concat("words", F.filter(F.zip_with("words", F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull()))).alias("term"))
+    edges = found.select(group, "pos", F.col("words")[0].alias("first"), F.element_at("words", -1).alias("last"))
+    before = F.lag("last").over(W.partitionBy(group).orderBy("pos"))
+    across = edges.select(group, F.concat(before, F.lit(" "), "first").alias("term")).where("term is not null")
+    scores = term_scores(inside.unionAll(across), group)
     if targets is not None:
         scores = scores.join(targets.select(group), group, "left_semi")
     return distinctive(scores, group, n).select(group, F.array_join("terms", " · ").alias("label"))
