@@ -9,8 +9,7 @@ the points are first dealt into blocks in such a way that linked sets always mee
 most d = floor(n (1 - t) / t) members, n the smaller size. The members are dealt by hash to groups, and of their first
 d + 1 groups that aren't empty, in group order, one at least holds the same members in both. (Were it otherwise, each of the
 d + 1 groups of the set whose list ends first would need a difference of its own.) The hash of a group's members names a block.
-Each block is searched through an R-tree over 128 coordinates; what its bound allows is bounded again over 65,536 finer ones, by which nearly
-all pairs just under the similarity fall away before any set is fetched.
+Each block is searched through an R-tree.
 
 Hot groups: copies of a set are one node from the start. A block isn't searched for pairs that are linked already: first
 each node is verified against the block's least node that it shares most blocks with, then against the best partner by
@@ -30,10 +29,8 @@ from driftclust.llm.common import cut, drop_cut, mix, own_columns, shingles, utf
 from driftclust.llm.components import components
 from driftclust.llm.rtree import CountTree
 
-#: Groups of a point's fine coordinates, of which most are 0: it is kept as the sorted group numbers of the members.
-FINE = 1 << 16
-#: Coordinates by which the tree is searched: neighbouring fine groups together.
-GROUPS = 128
+#: Coordinates of a point. The more, the closer the sum of minima comes to the overlap; a byte each where counts allow it.
+GROUPS = 512
 #: Sets below this size use one partition of the members for each number of differences, or single members.
 SMALL = 64
 #: Nodes of one side of a block that one task searches at once.
@@ -103,7 +100,8 @@ def _describe(k: int, lower: bool, num: int, den: int):
                 fp_a.append(mix(members, 3).sum(dtype=np.uint64))
                 fp_b.append(np.bitwise_xor.reduce(mix(members, 5)) if len(members) else np.uint64(0))
                 blocks.append(_as_int64(block_hashes(members, num, den)))
-                points.append(np.sort((mix(members, 7) >> np.uint64(48)).astype(np.uint16)).tobytes())
+                counts = np.bincount((mix(members, 7) >> np.uint64(55)).astype(np.int64), minlength=GROUPS)
+                points.append(counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes())
             ends = np.concatenate(([0], np.cumsum([len(x) for x in blocks]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -135,23 +133,20 @@ def _sets(k: int, lower: bool):
     return run
 
 
-def _fine(point: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    """The fine coordinates that aren't 0: groups and counts."""
-    groups = np.frombuffer(point.as_buffer(), np.uint16)
-    first = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
-    return groups[first], np.diff(np.concatenate((first, [len(groups)])))
+def _point(value: pa.Scalar) -> np.ndarray:
+    """Counts by group."""
+    raw = value.as_buffer()
+    return np.frombuffer(raw, np.uint8 if len(raw) == GROUPS else np.uint32)
 
 
 def _allowed(num: int, den: int):
-    """Pairs whose sum of fine coordinate minima reaches the overlap that the similarity needs."""
+    """Pairs whose sum of coordinate minima reaches the overlap that the similarity needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b, n in zip(batch.column("p_low"), batch.column("p_high"), batch.column("n").to_pylist(), strict=True):
-                (ga, ca), (gb, cb) = _fine(a), _fine(b)
-                _, i, j = np.intersect1d(ga, gb, assume_unique=True, return_indices=True)
-                keep.append(int(np.minimum(ca[i], cb[j]).sum()) * (num + den) >= num * n)
+                keep.append(int(np.minimum(_point(a), _point(b)).sum(dtype=np.int64)) * (num + den) >= num * n)
             yield batch.select(["low", "high"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -175,19 +170,12 @@ def _search(num: int, den: int, best_only: bool):
 
     def one(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node, part, side, size = (group.column(c).to_numpy() for c in ("node", "component", "side", "n"))
-        fine = [_fine(p) for p in group.column("point")]
-        points = np.stack([np.bincount(g // (FINE // GROUPS), weights=c, minlength=GROUPS) for g, c in fine]).astype(np.int32)
-        tree, mine = CountTree(points, size), np.zeros(FINE, np.int64)
+        points = np.stack([_point(p) for p in group.column("point")])
+        tree = CountTree(points, size)
         low, high = [], []
         for q in np.flatnonzero(side > 0):
-            hits, _ = tree.search(points[q], int(size[q]), num, den)
-            hits = hits[(part[hits] != part[q]) & ((side[hits] == 0) if side[q] == 1 else True)]
-            if not len(hits):
-                continue
-            mine[fine[q][0]] = fine[q][1]
-            bound = np.array([np.minimum(mine[fine[h][0]], fine[h][1]).sum() for h in hits])
-            mine[fine[q][0]] = 0
-            fits = bound * (num + den) >= num * (size[hits] + size[q])
+            hits, bound = tree.search(points[q], int(size[q]), num, den)
+            fits = (part[hits] != part[q]) & ((side[hits] == 0) if side[q] == 1 else True)
             hits, bound = hits[fits], bound[fits]
             if best_only and len(hits):
                 hits = hits[[np.argmax(2 * bound / (size[hits] + size[q]))]]

@@ -19,7 +19,7 @@ class CountTree:
         for at in range(0, n, tile):
             part = order[at : at + tile]
             order[at : at + tile] = part[np.argsort(points[part, np.argmax(points[part].var(axis=0))], kind="stable")] if len(part) > fanout else part
-        self.order, self.points, self.sizes, self.fanout = order, points[order].astype(np.int32), sizes[order].astype(np.int64), fanout
+        self.order, self.points, self.sizes, self.fanout = order, points[order], sizes[order].astype(np.int64), fanout
         self.levels = []  # from the leaves up: upper corners, least and greatest set size
         high, low_n, high_n = self.points, self.sizes, self.sizes
         while len(high) > fanout:
@@ -33,7 +33,7 @@ class CountTree:
         for high, low_n, high_n in [*reversed(self.levels), (self.points, self.sizes, self.sizes)]:
             if at is None:
                 at = np.arange(len(high))
-            bound = np.minimum(high[at], point).sum(axis=1)
+            bound = np.minimum(high[at], point).sum(axis=1, dtype=np.int64)
             # the smallest set below decides how much overlap is needed at least; sizes bound the rest
             fits = (bound * (num + den) >= num * (size + low_n[at])) & (high_n[at] * den >= size * num) & (low_n[at] * num <= size * den)
             at, bound = at[fits], bound[fits]

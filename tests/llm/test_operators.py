@@ -561,7 +561,7 @@ def test_fertility_measures_and_bands(spark):
     m = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     r = random.Random(5)
     data = [(i, " ".join(r.choice(WORDS[:9] + [f"river{j}" for j in range(30)]) for _ in range(100)), "en", None, None) for i in range(150)]
-    data += [(900, " ".join("ᛖᚴ" + str(j) for j in range(33)), "en", None, None), (901, " ".join(["aaa", "bbb", "ccc"][r.randrange(3)] for _ in range(130)), "en", None, None)]
+    data += [(900, " ".join("ᛖᚴ" + str(j) for j in range(26)), "en", None, None), (901, " ".join(["aaa", "bbb", "ccc"][r.randrange(3)] for _ in range(130)), "en", None, None)]
     got = {x.doc_id: x for x in fertility.fertility_verdicts(frame(spark, data), support=20).collect()}
     for i, t, *_ in data[::30]:
         ids = [k for w in t.split() for k in m.encode(w)]
