@@ -99,10 +99,11 @@ def _blocks(index: DataFrame) -> Iterator[Block]:
     place = 0
     for low, high in zip(edges, [*edges[1:], None], strict=True):
         part = index
+        at = lambda row: F.struct(*(F.lit(v).alias(k) for k, v in row.place.asDict().items()))
         if low is not None:
-            part = part.where(F.col("place") > F.lit(low.place))
+            part = part.where(F.col("place") > at(low))
         if high is not None:
-            part = part.where(F.col("place") <= F.lit(high.place))
+            part = part.where(F.col("place") <= at(high))
         rows = sorted(part.collect(), key=lambda r: tuple(r.place))
         if rows:
             yield Block.of([_Placed(r.cluster_id, r.threshold, r.vectors, place + i) for i, r in enumerate(rows)])

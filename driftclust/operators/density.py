@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: In a single cluster, how far out in medians a point is noise.
+STRAY = 1.4
+
 
 def reduce(vectors: np.ndarray, components: int) -> np.ndarray:
     """Principal components at length 1, three times ``components`` of them; small samples and few components stay as they are.
@@ -74,7 +77,8 @@ def density_labels(vectors: np.ndarray, min_cluster_size: int, min_samples: int)
 
     A cluster is a branch of the merge tree that keeps ``min_cluster_size`` points; its stability is the sum over its points of
     how far in 1 / distance they stay in it, and of nested clusters the most stable ones are taken. The whole as a single cluster is
-    taken only where nothing else is found. Fewer rows than ``min_cluster_size`` are noise.
+    taken only where nothing else is found, without the points that leave it at over STRAY times the median distance. Fewer rows than
+    ``min_cluster_size`` are noise.
     """
     n = len(vectors)
     if n < max(2, min_cluster_size):
@@ -94,7 +98,8 @@ def density_labels(vectors: np.ndarray, min_cluster_size: int, min_samples: int)
         return out
 
     weight = lambda a: 1 if a < n else merges[a - n][3]
-    parent, birth, stability, fallen = [-1], [0.0], [0.0], [[]]  # by cluster; fallen: (point, 1 / distance)
+    parent, birth, stability, fallen = [-1], [0.0], [0.0], [[]]  # by cluster; fallen: points
+    left_at = np.zeros(n)  # the distance at which a point falls out of its cluster
     stack = [(2 * n - 2, 0)]
     while stack:
         node, cluster = stack.pop()
@@ -115,6 +120,7 @@ def density_labels(vectors: np.ndarray, min_cluster_size: int, min_samples: int)
                 gone = points(a)
                 stability[cluster] += (at - birth[cluster]) * len(gone)
                 fallen[cluster] += gone
+                left_at[gone] = distance
     taken = [False] * len(parent)
     below = [0.0] * len(parent)
     has = [False] * len(parent)
@@ -134,4 +140,6 @@ def density_labels(vectors: np.ndarray, min_cluster_size: int, min_samples: int)
             number += 1
         if owner[c] >= 0:
             labels[fallen[c]] = owner[c]
+    if len(parent) == 1:
+        labels[left_at > STRAY * np.median(left_at)] = -1
     return labels

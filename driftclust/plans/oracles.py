@@ -168,7 +168,7 @@ i AS (SELECT *, coalesce(sum(is_end) OVER (PARTITION BY cluster_id ORDER BY seq
 q AS (SELECT cluster_id, island, min(ts) FILTER (is_end = 0) AS "start", max(ts) FILTER (is_end = 1) AS "end" FROM i GROUP BY ALL)
 SELECT cluster_id, "start", coalesce("end", (SELECT max(ts) FROM lg)) AS "end", "end" IS NULL AS open_at_end FROM q WHERE "start" IS NOT NULL""",
         "q38_resolve_chain": """WITH RECURSIVE r AS (SELECT c_custkey AS id, c_custkey AS to_id, 0::BIGINT AS hops FROM customer UNION ALL SELECT id, to_id // 2, hops + 1 FROM r WHERE to_id > 1)
-SELECT id, to_id::BIGINT AS final, hops FROM r WHERE to_id = 1""",
+SELECT id, to_id::BIGINT AS final, hops FROM r WHERE to_id <= 1""",
         "q39_majority": f"WITH {_MAJOR} SELECT * FROM mj",
         "q40_mixed_clusters": f"WITH {_COUNTS}, {_MIXED} SELECT cluster_id, round(second_share, 6) AS second_share, mixed FROM mx",
         "q41_quality": f"""WITH {_MAJOR}, {_MIXED} SELECT (SELECT round(sum(n) / sum(total), 4) FROM mj) AS precision, (SELECT count(*) FROM mj) AS clusters,
