@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,10 @@ from driftclust.llm.tokens import text_chunks, vocabulary_path
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 WINDOW = 8
+#: Random odd factors: a window's hash is the sum of its word numbers times these.
+_FACTORS = mix(np.arange(WINDOW, dtype=np.uint64), 91) | np.uint64(1)
 #: Words a worker remembers with their tokens.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 
 
 class WordTokens:
@@ -32,7 +35,7 @@ class WordTokens:
 
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.starts, self.flat, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.starts, self.flat = np.zeros(1 << 14, np.int64), np.zeros(1 << 16, np.int32)  # both grow by doubling
 
     def learn(self, words: list[bytes]) -> None:
         new = [w for w in set(words) if w not in self.number]
@@ -40,12 +43,16 @@ class WordTokens:
             return
         coded = self.model.encode([w.decode("utf-8") for w in new], num_threads=1)
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
-        while self.starts[-1] > len(self.flat):
+        old = len(self.number)
+        self.number.update(zip(new, range(old, old + len(new)), strict=True))
+        while old + len(new) >= len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+        at = int(self.starts[old])
+        self.starts[old + 1 : old + 1 + len(new)] = at + np.cumsum(sizes)
+        end = at + int(sizes.sum())
+        while end > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[self.used : self.starts[-1]] = np.concatenate([np.asarray(c, np.int32) for c in coded])
-        self.used = int(self.starts[-1])
+        self.flat[at:end] = np.fromiter(chain.from_iterable(coded), np.int32, end - at)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         self.learn(words)
@@ -63,10 +70,10 @@ def repeated_words(numbers: np.ndarray, window: int = WINDOW) -> int:
     n = len(numbers) - window + 1
     if n < 2:
         return 0
-    with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        for i in range(window):
-            h = mix(h + numbers[i : n + i].astype(np.uint64) * np.uint64(2 * i + 3), i)
+    words = numbers.view(np.uint64)
+    h = words[:n] * _FACTORS[0]
+    for i in range(1, window):
+        h += words[i : n + i] * _FACTORS[i]
     order = np.argsort(h, kind="stable")
     same = h[order[1:]] == h[order[:-1]]
     if not same.any():
