@@ -26,3 +26,11 @@ def session(app: str = "driftclust", cores: int | str = "*", partitions: int | N
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers of this session find this package where it lies, whatever folder the driver was started in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, environment.get("PYTHONPATH", "")]))
