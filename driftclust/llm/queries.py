@@ -75,4 +75,19 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_ngram_jaccard, op4_html_text, op5_sharding, op6_quality, op7_decontamination, op8_chat, op9_token_counts, op10_fertility)}
 
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL. The other operators have none: SQL can't express them, or not over whole tables; the tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op2_mixing": """
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place FROM documents),
+b AS (SELECT source, sum(n_bytes)::DOUBLE AS b FROM d GROUP BY source),
+w AS (SELECT source, ceil(100 * sqrt(b) / sqrt(max(b) OVER ()))::BIGINT AS weight, row_number() OVER (ORDER BY source IS NOT NULL, source) AS i FROM b),
+p AS (SELECT sum(weight)::BIGINT AS q, list(weight ORDER BY i) AS w FROM w),
+f AS (SELECT 0::BIGINT AS t, list_transform(w, lambda x: 0::BIGINT) AS k, 0::BIGINT AS pick FROM p
+  UNION ALL
+  SELECT t + 1, list_transform(k, lambda x, i: CASE WHEN i = best THEN x + 1 ELSE x END), best
+  FROM (SELECT f.t, f.k, list_min(list_transform(f.k, lambda x, i: CASE WHEN x * p.q // p.w[i] <= f.t THEN ((x + 1) * p.q + p.w[i] - 1) // p.w[i] * 100000 + i END)) % 100000 AS best FROM f, p WHERE f.t < p.q)),
+s AS (SELECT w.source, w.weight, f.t - 1 AS slot, row_number() OVER (PARTITION BY w.i ORDER BY f.t) - 1 AS j FROM f JOIN w ON f.pick = w.i),
+o AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d)
+SELECT o.doc_id, o.source, o.n_bytes, start // 65536 AS block, start % 65536 AS block_offset, (start // 65536 // s.weight) * (SELECT q FROM p) + s.slot AS slot
+FROM o JOIN s ON o.source IS NOT DISTINCT FROM s.source AND s.j = (start // 65536) % s.weight""",
+}
