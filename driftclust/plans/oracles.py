@@ -127,7 +127,7 @@ a AS (SELECT item_id, cluster_id, list_sum(sims) / least(5, have) AS score FROM
         "q10_merge_candidates": f"""WITH {_SIMILAR}, cm AS (SELECT cluster_id, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS v FROM x), c1 AS (SELECT cluster_id, i, avg(v) AS v FROM cm GROUP BY ALL),
 c2 AS (SELECT *, greatest(sqrt(sum(v * v) OVER (PARTITION BY cluster_id)), 1e-12) AS n FROM c1), c AS (SELECT cluster_id, list(v / n ORDER BY i) AS centroid FROM c2 GROUP BY ALL)
 SELECT a, b, round(similarity, 6) AS similarity FROM sim JOIN c ca ON ca.cluster_id = a JOIN c cb ON cb.cluster_id = b
-WHERE list_dot_product(ca.centroid, cb.centroid) >= 0.14 - 0.15 AND b::INT - a::INT <> 1 AND similarity >= 0.14""",
+WHERE list_dot_product(ca.centroid, cb.centroid) >= 0.08 - 0.15 AND b::INT - a::INT <> 1 AND similarity >= 0.08""",
         "q11_survivors": """WITH z AS (SELECT label::VARCHAR AS id, count(*) AS size, min(vec_id) AS opened_at FROM embeddings GROUP BY ALL)
 SELECT a.id AS a, b.id AS b, CASE WHEN (-a.size, a.opened_at, a.id) < (-b.size, b.opened_at, b.id) THEN a.id ELSE b.id END AS survivor,
 CASE WHEN (-a.size, a.opened_at, a.id) < (-b.size, b.opened_at, b.id) THEN b.id ELSE a.id END AS absorbed FROM z a JOIN z b ON a.id < b.id""",
@@ -147,7 +147,7 @@ SELECT cluster_id, item_id, row_number() OVER (PARTITION BY cluster_id ORDER BY
         "q20_unknown_items": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "q21_number_items": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) + (SELECT count(DISTINCT doc_id) FROM labels) AS seq FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "q22_normalize": r"WITH n AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, md5(t) AS text_md5, length(t) AS n_chars, md5(left(t, 400)) AS short_md5 FROM n",
-        "q23_redact": f"WITH z AS (SELECT doc_id, {red} AS r FROM documents) SELECT doc_id, {', '.join(map(count, ('EMAIL', 'CARD', 'SSN', 'IP', 'PHONE', 'URL')))}, md5(r) AS text_md5 FROM z",
+        "q23_redact": f"WITH z AS (SELECT doc_id, {red} AS r FROM documents) SELECT doc_id, {', '.join(map(count, ('EMAIL', 'CARD', 'SSN', 'IP', 'PHONE', 'URL')))}, md5(regexp_replace(r, '\\s+', '', 'g')) AS text_md5 FROM z",
         "q24_features": f"WITH {_FEATURES} SELECT feature, count(*) AS n FROM f0 GROUP BY ALL",
         "q25_embed_md5": f"WITH {_FEATURES}, {_hashed(256)} SELECT * FROM z256",
         "q27_ctfidf_terms": f"WITH {words}, g5 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, term) AS rank FROM g4 WHERE score > 0) SELECT source, term, round(score, 6) AS score, rank FROM g5 WHERE rank <= 5",
