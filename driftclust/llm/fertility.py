@@ -129,15 +129,15 @@ def _measure(vocabulary: str):
     return run
 
 
-def fertility_verdicts(documents: DataFrame, vocabulary: str = "piece_bpe_32k.model", fences: float = 4.0, least_tokens: int = 64, support: int = 100) -> DataFrame:
+def fertility_verdicts(documents: DataFrame, vocabulary: str = "piece_bpe_32k.model", fences: tuple[float, float, float] = (4.0, 3.0, 8.0), least_tokens: int = 64, support: int = 100) -> DataFrame:
     """Measures of every whole text and whether it is kept; a row for each row.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. base_failed: fewer than 20 words, or over 30 % of the words in repeated 8-word windows.
     Beyond that a text is rejected when its characters per token or its token entropy lie outside, or its share of byte-fallback
     tokens lies above, the band of its language and length class (the power of two of its number of tokens): the quartiles of all
-    texts of that class that didn't fail, widened by ``fences`` times their distance. Texts of fewer than ``least_tokens`` tokens
-    and classes of fewer than ``support`` texts have no bands. The quartiles are estimated over all rows, with a relative rank error of
-    1e-4, and are the same however the rows are dealt out.
+    texts of that class that didn't fail, widened by a multiple of their distance. ``fences`` has the multiples: below for characters per
+    token, below for entropy, and above for all, where texts of names and numbers lie and much room is left. Texts of fewer than ``least_tokens`` tokens
+    and classes of fewer than ``support`` texts have no bands. The quartiles are estimated over all rows, with a relative rank error of 1e-4.
 
     A null or empty text has no words and fails. A null language is a language of its own. Null and repeated ids return as they
     are; other columns are ignored.
@@ -155,15 +155,15 @@ def fertility_verdicts(documents: DataFrame, vocabulary: str = "piece_bpe_32k.mo
     measures = ("chars_per_token", "byte_share", "token_entropy")
     fit = found.where(~F.col("base_failed") & (F.col("n_tokens") >= least_tokens))
     bands = fit.groupBy("lang", "length_class").agg(F.count("*").alias("texts"), *(F.percentile_approx(m, [0.25, 0.75], 10000).alias(m) for m in measures)).where(F.col("texts") >= support)
-    edge = lambda m: fences * F.greatest(F.col(m)[1] - F.col(m)[0], F.abs(F.col(m)[1]) * 0.02)
+    edge = lambda m, fence: fence * F.greatest(F.col(m)[1] - F.col(m)[0], F.abs(F.col(m)[1]) * 0.02)
     bands = bands.select(
         F.col("lang").alias("b_lang"),
         F.col("length_class").alias("b_class"),
-        (F.col("chars_per_token")[0] - edge("chars_per_token")).alias("cpt_low"),
-        (F.col("chars_per_token")[1] + edge("chars_per_token")).alias("cpt_high"),
-        (F.col("byte_share")[1] + F.greatest(edge("byte_share"), F.lit(0.02))).alias("byte_high"),
-        (F.col("token_entropy")[0] - edge("token_entropy")).alias("entropy_low"),
-        (F.col("token_entropy")[1] + edge("token_entropy")).alias("entropy_high"),
+        (F.col("chars_per_token")[0] - edge("chars_per_token", fences[0])).alias("cpt_low"),
+        (F.col("chars_per_token")[1] + edge("chars_per_token", fences[2])).alias("cpt_high"),
+        (F.col("byte_share")[1] + F.greatest(edge("byte_share", fences[2]), F.lit(0.02))).alias("byte_high"),
+        (F.col("token_entropy")[0] - edge("token_entropy", fences[1])).alias("entropy_low"),
+        (F.col("token_entropy")[1] + edge("token_entropy", fences[2])).alias("entropy_high"),
     )
     judged = found.join(bands, F.col("lang").eqNullSafe(F.col("b_lang")) & (F.col("length_class") == F.col("b_class")), "left")
     inside = F.col("chars_per_token").between(F.col("cpt_low"), F.col("cpt_high")) & (F.col("byte_share") <= F.col("byte_high")) & F.col("token_entropy").between(F.col("entropy_low"), F.col("entropy_high"))
