@@ -347,7 +347,7 @@ class ClusteringEngine:
 
     def _texts(self, snapshot: Snapshot, statuses: tuple[str, ...]) -> DataFrame:
         live = snapshot.table("clusters").where(F.col("status").isin(*statuses)).select(F.col("id").alias("cluster_id"))
-        members = snapshot.table("items").join(snapshot.places().where("cluster_id is not null").select("id", "cluster_id"), "id").join(F.broadcast(live), "cluster_id")
+        members = snapshot.table("items").join(snapshot.places().where("cluster_id is not null").select("id", "cluster_id"), "id").join(live, "cluster_id")
         return sampling.recent(members, LABEL_TEXTS).select("cluster_id", F.col("rank").alias("pos"), "text")
 
     def _label(self, txn: Transaction, ids: list[str]) -> int:
@@ -417,7 +417,6 @@ class ClusteringEngine:
         """Absorbed clusters give members, exemplars and counts to their survivors and point to them."""
         cfg, clusters = self.config, self._stage(txn.table("clusters"), "clusters")
         pairs = self.spark.createDataFrame([(a, s, x, i) for i, (a, s, x) in enumerate(merges)], "absorbed string, survivor string, similarity double, nth int")
-        pairs = F.broadcast(pairs)
         places = txn.places().where("cluster_id is not null")
         moved = self._stage(places.join(pairs, places["cluster_id"] == F.col("absorbed")).select("id", "status", F.col("survivor").alias("cluster_id"), "locked", "score", "absorbed"), "moved")
         counts = moved.groupBy("absorbed").agg(F.count("*").alias("moved"))

@@ -36,7 +36,7 @@ def term_scores(terms: DataFrame, group: str = "cluster_id") -> DataFrame:
     totals = counts.groupBy(group).agg(F.sum("n").alias("group_n"))
     overall = counts.groupBy("term").agg(F.sum("n").alias("term_n"))
     mean = totals.agg((F.sum("group_n") / F.count("*")).alias("mean_n"))
-    scored = counts.join(overall, "term").join(F.broadcast(totals), group).crossJoin(F.broadcast(mean))
+    scored = counts.join(overall, "term").join(totals, group).crossJoin(F.broadcast(mean))  # one row on the right
     return scored.select(group, "term", (F.col("n") / F.col("group_n") * F.log(1 + F.col("mean_n") / F.col("term_n"))).alias("score")).where("score > 0")
 
 

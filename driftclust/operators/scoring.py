@@ -67,13 +67,25 @@ def centroids(vectors: DataFrame, group: str = "cluster_id") -> DataFrame:
     return mean.select(group, F.transform("mean", lambda x: x / length).alias("centroid"))
 
 
+#: Bytes of exemplars that are broadcast at once.
+BROADCAST_BYTES = 64 << 20
+
+
 def nearest_exemplars(items: DataFrame, exemplars: DataFrame, n: int, k: int) -> DataFrame:
     """(item_id, cluster_id, score) as a store's nearest-neighbour index gives them: of the n exemplars nearest to an item those of a
-    cluster are summed, k best at most, and divided by the smaller of k and the cluster's number of exemplars; what isn't near counts 0."""
+    cluster are summed, k best at most, and divided by the smaller of k and the cluster's number of exemplars; what isn't near counts 0.
+
+    The exemplars are measured and broadcast in parts of at most about BROADCAST_BYTES; the n nearest of each part are merged.
+    """
     sizes = exemplars.groupBy("cluster_id").agg(F.count("*").alias("have"))
-    near = W.partitionBy("item_id").orderBy(F.desc("sim"), "cluster_id", "pos")
-    sims = items.select("item_id", "embedding").crossJoin(F.broadcast(exemplars.select("cluster_id", "pos", F.col("embedding").alias("e"))))
-    sims = sims.select("item_id", "cluster_id", "pos", dot("embedding", "e").alias("sim"))
-    near = sims.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= n)
-    best = near.groupBy("item_id", "cluster_id").agg(F.slice(F.sort_array(F.collect_list("sim"), asc=False), 1, k).alias("sims")).join(F.broadcast(sizes), "cluster_id")
+    order = W.partitionBy("item_id").orderBy(F.desc("sim"), "cluster_id", "pos")
+    top = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("rank")
+    size = exemplars.agg(F.sum(F.size("embedding") * 4)).first()[0] or 0
+    parts, near = max(1, -(-int(size) // BROADCAST_BYTES)), None
+    for part in range(parts):
+        some = exemplars.where(F.pmod(F.xxhash64("cluster_id", "pos"), F.lit(parts)) == part) if parts > 1 else exemplars
+        sims = items.select("item_id", "embedding").crossJoin(F.broadcast(some.select("cluster_id", "pos", F.col("embedding").alias("e"))))
+        found = top(sims.select("item_id", "cluster_id", "pos", dot("embedding", "e").alias("sim")))
+        near = found if near is None else top(near.unionAll(found))
+    best = near.groupBy("item_id", "cluster_id").agg(F.slice(F.sort_array(F.collect_list("sim"), asc=False), 1, k).alias("sims")).join(sizes, "cluster_id")
     return best.select("item_id", "cluster_id", (F.aggregate("sims", F.lit(0.0), lambda s, x: s + x) / F.least(F.lit(k), F.col("have"))).alias("score"))

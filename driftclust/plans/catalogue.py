@@ -78,7 +78,7 @@ def ntz(c: str):
 def q01_centroid_cosine(spark, d):
     """Cosine of every vector with the centroid of its cluster."""
     m = members(spark, d)
-    return m.join(F.broadcast(scoring.centroids(m)), "cluster_id").select("vec_id", F.round(vector.dot("embedding", "centroid"), 6).alias("cosine"), F.round(vector.norm("embedding"), 6).alias("norm"))
+    return m.join(scoring.centroids(m), "cluster_id").select("vec_id", F.round(vector.dot("embedding", "centroid"), 6).alias("cosine"), F.round(vector.norm("embedding"), 6).alias("norm"))
 
 
 @query

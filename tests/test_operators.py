@@ -154,3 +154,13 @@ def test_webhooks():
 def test_generator_is_seeded():
     assert generate(per_topic=5) == generate(per_topic=5) and len(generate(per_topic=5)) == 110
     assert random.Random(1).random() == random.Random(1).random()
+
+
+def test_nearest_exemplars_in_parts(spark, monkeypatch):
+    vs = unit(40, seed=5)
+    ex = spark.createDataFrame([(f"c{i % 4}", i // 4, str(i), v.tolist()) for i, v in enumerate(vs)], "cluster_id string, pos int, item_id string, embedding array<float>")
+    df = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(unit(20, seed=6))], "item_id string, embedding array<float>")
+    rows = lambda: sorted((r.item_id, r.cluster_id, round(r.score, 9)) for r in scoring.nearest_exemplars(df, ex, 7, 3).collect())
+    whole = rows()
+    monkeypatch.setattr(scoring, "BROADCAST_BYTES", 900)
+    assert rows() == whole and len(whole) >= 20
