@@ -10,6 +10,7 @@ from datetime import timedelta
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,9 +90,11 @@ def measure(spark: SparkSession, clusters: int = 1000, exemplars: int = 32, dim:
     r = np.random.default_rng(seed)
     unit = lambda n: (lambda v: (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32))(r.normal(size=(n, dim)))
     vectors = unit(clusters * exemplars)
-    ex = spark.createDataFrame([(f"c{i // exemplars}", i % exemplars, str(i), v.tolist()) for i, v in enumerate(vectors)], "cluster_id string, pos int, item_id string, embedding array<float>").cache()
+    column = lambda v: pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * dim, v.ravel())
+    n = np.arange(len(vectors))
+    ex = spark.createDataFrame(pa.table({"cluster_id": [f"c{i}" for i in n // exemplars], "pos": (n % exemplars).astype(np.int32), "item_id": [str(i) for i in n], "embedding": column(vectors)})).cache()
     live = spark.createDataFrame([(f"c{i}", 0.3) for i in range(clusters)], "id string, threshold double")
-    items = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(unit(batch))], "item_id string, embedding array<float>").repartition(spark.sparkContext.defaultParallelism).cache()
+    items = spark.createDataFrame(pa.table({"item_id": [str(i) for i in range(batch)], "embedding": column(unit(batch))})).repartition(spark.sparkContext.defaultParallelism).cache()
     ex.count(), items.count()
     t = time.perf_counter()
     assign(items, ex, live, 5).write.format("noop").mode("overwrite").save()

@@ -39,13 +39,20 @@ class Block:
             tensor[i, : counts[i]] = np.asarray(r.vectors, np.float32)
         return cls([r.cluster_id for r in rows], np.array([r.threshold for r in rows], float), np.array([r.place for r in rows], np.int64), tensor, counts)
 
-    def scores(self, vectors: np.ndarray, k: int) -> np.ndarray:
+    def wide(self) -> np.ndarray:
+        """All exemplars as columns in double precision, made once for a task."""
+        return np.ascontiguousarray(self.tensor.reshape(-1, self.tensor.shape[2]).T, np.float64)
+
+    def scores(self, vectors: np.ndarray, k: int, wide: np.ndarray) -> np.ndarray:
         """Items by clusters: the mean of the k best similarities, of as many as the cluster has."""
-        clusters, width, dim = self.tensor.shape
-        sims = (vectors.astype(np.float64) @ self.tensor.reshape(-1, dim).T.astype(np.float64)).reshape(len(vectors), clusters, width)
-        sims[:, np.arange(width)[None, :] >= self.counts[:, None]] = -np.inf
+        clusters, width, _ = self.tensor.shape
+        sims = (vectors.astype(np.float64) @ wide).reshape(len(vectors), clusters, width)
+        if (self.counts < width).any():
+            sims[:, np.arange(width)[None, :] >= self.counts[:, None]] = -np.inf
         top = min(k, width)
-        best = -np.sort(-sims, axis=2)[:, :, :top] if width <= 64 else -np.sort(-np.partition(sims, width - top, axis=2)[:, :, width - top :], axis=2)
+        if top < width:
+            sims.partition(width - top, axis=2)
+        best = np.sort(sims[:, :, width - top :], axis=2)[:, :, ::-1]  # summed from the best down, as everywhere
         return np.where(np.isfinite(best), best, 0).sum(axis=2) / np.minimum(k, self.counts)
 
 
@@ -53,6 +60,7 @@ def _best(block: Block, k: int):
     """The two best clusters of each item in a block; equal scores in the clusters' order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = block.wide()
         for batch in batches:
             ids = batch.column("item_id")
             vectors = batch.column("embedding")
@@ -63,7 +71,7 @@ def _best(block: Block, k: int):
             matrix = flat.reshape(len(vectors), dim)
             parts = []
             for at in range(0, len(matrix), ROWS):
-                scores = block.scores(matrix[at : at + ROWS], k)
+                scores = block.scores(matrix[at : at + ROWS], k, wide)
                 order = np.argsort(-scores, axis=1, kind="stable")[:, :2]
                 parts.append((order, np.take_along_axis(scores, order, axis=1)))
             order = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, 1), int)
