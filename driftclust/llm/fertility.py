@@ -129,15 +129,43 @@ def _measure(vocabulary: str):
     return run
 
 
-def fertility_verdicts(documents: DataFrame, vocabulary: str = "piece_bpe_32k.model", fences: tuple[float, float, float] = (4.0, 3.0, 8.0), least_tokens: int = 64, support: int = 100) -> DataFrame:
+def _pools(cells: DataFrame, support: int) -> DataFrame:
+    """(lang_key, length_class, pool, radius, slope, middle) for each cell: the texts that its band is made of.
+
+    A pool is a language, or the whole corpus (``*``) where the language has fewer than ``support`` texts, within ``radius`` length classes of
+    the cell: the least radius that reaches ``support``, or all. slope is how entropy rises with the logarithm of the number of tokens
+    there, between 0 and 1, and middle the mean of the logarithm; a pool of one class has the slope 0.
+    """
+    sums = ["texts", "x", "y", "xx", "xy"]
+    listed = F.collect_list(F.struct("length_class", *sums)).alias("cells")
+    by_lang = cells.groupBy("lang_key").agg(F.sum("texts").alias("total"), listed)
+    corpus = cells.groupBy("length_class").agg(*(F.sum(c).alias(c) for c in sums)).agg(listed)
+    mine = cells.select("lang_key", "length_class").join(by_lang, "lang_key")
+    own = mine.where(F.col("total") >= support).select("lang_key", "length_class", F.col("lang_key").alias("pool"), "cells")
+    rare = mine.where(F.col("total") < support).select("lang_key", "length_class", F.lit("*").alias("pool")).crossJoin(corpus)  # one row on the right
+    near = "filter(cells, c -> abs(c.length_class - length_class) <= {})"
+    found = own.unionByName(rare).withColumn("radius", F.expr(f"coalesce(array_min(filter(sequence(0, 63), r -> aggregate({near.format('r')}, 0L, (s, c) -> s + c.texts) >= {support})), 63)"))
+    found = found.withColumn("near", F.expr(near.format("radius")))
+    for c in sums:
+        found = found.withColumn(c, F.expr(f"aggregate(near, 0D, (s, c) -> s + c.{c})"))
+    slope = F.expr("least(1D, greatest(0D, try_divide(texts * xy - x * y, texts * xx - x * x)))")
+    return found.select("lang_key", "length_class", "pool", "radius", F.when(F.col("radius") == 0, 0.0).otherwise(F.coalesce(F.round(slope, 6), F.lit(0.0))).alias("slope"), F.round(F.col("x") / F.col("texts"), 6).alias("middle"))
+
+
+def fertility_verdicts(documents: DataFrame, vocabulary: str = "piece_bpe_32k.model", fences: tuple[float, float, float] = (4.0, 3.0, 8.0), support: int = 100) -> DataFrame:
     """Measures of every whole text and whether it is kept; a row for each row.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. base_failed: fewer than 20 words, or over 30 % of the words in repeated 8-word windows.
     Beyond that a text is rejected when its characters per token or its token entropy lie outside, or its share of byte-fallback
     tokens lies above, the band of its language and length class (the power of two of its number of tokens): the quartiles of all
     texts of that class that didn't fail, widened by a multiple of their distance. ``fences`` has the multiples: below for characters per
-    token, below for entropy, and above for all, where texts of names and numbers lie and much room is left. Texts of fewer than ``least_tokens`` tokens
-    and classes of fewer than ``support`` texts have no bands. The quartiles are estimated over all rows, with a relative rank error of 1e-4.
+    token, below for entropy, and above for all, where texts of names and numbers lie and much room is left. The quartiles are
+    estimated over all rows, with a relative rank error of 1e-4.
+
+    Every text that didn't fail is judged. A class of fewer than ``support`` texts has the band of the nearest classes on both sides that
+    make up ``support`` together, with their entropies moved along their common trend to one length; a language of fewer than ``support``
+    texts in all has that of the whole corpus, taken in the same way. A corpus below ``support`` is judged as a whole. A text
+    without any token isn't kept.
 
     A null or empty text has no words and fails. A null language is a language of its own. Null and repeated ids return as they
     are; other columns are ignored.
@@ -150,22 +178,31 @@ def fertility_verdicts(documents: DataFrame, vocabulary: str = "piece_bpe_32k.mo
         failed.alias("base_failed"),
         F.try_divide("word_chars", "n_tokens").alias("chars_per_token"),
         F.coalesce(F.try_divide("n_byte_tokens", "n_tokens"), F.lit(0.0)).alias("byte_share"),
-        F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int").alias("length_class"),
-    )
-    measures = ("chars_per_token", "byte_share", "token_entropy")
-    fit = found.where(~F.col("base_failed") & (F.col("n_tokens") >= least_tokens))
-    bands = fit.groupBy("lang", "length_class").agg(F.count("*").alias("texts"), *(F.percentile_approx(m, [0.25, 0.75], 10000).alias(m) for m in measures)).where(F.col("texts") >= support)
+        F.log2(F.greatest("n_tokens", F.lit(1))).alias("length"),
+        F.when(F.col("lang").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "lang")).alias("lang_key"),
+    ).withColumn("length_class", F.floor("length").cast("int"))
+    measures = ("chars_per_token", "byte_share", "level")
+    level = F.col("token_entropy") + F.col("slope") * (F.col("middle") - F.col("length"))
+    fit = found.where(~F.col("base_failed")).select("lang_key", "length_class", "length", "chars_per_token", "byte_share", "token_entropy")
+    x, y = F.col("length"), F.col("token_entropy")
+    cells = fit.groupBy("lang_key", "length_class").agg(F.count("*").alias("texts"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"))
+    pools = cut(_pools(cut(cells, "cells"), support), "pools")
+    bands = pools.select("pool", F.col("length_class").alias("middle_class"), "radius", "slope", "middle").distinct()
+    near = bands.select("*", F.explode(F.expr("sequence(middle_class - radius, middle_class + radius)")).alias("length_class"))
+    near = near.groupBy("pool", "length_class").agg(F.collect_list(F.struct("middle_class", "slope", "middle")).alias("bands"))
+    drawn = fit.select("*", F.explode(F.array("lang_key", F.lit("*"))).alias("pool")).join(near, ["pool", "length_class"]).select("*", F.explode("bands").alias("b")).select("*", "b.*")
+    quartiles = drawn.withColumn("level", level).groupBy("pool", "middle_class").agg(*(F.percentile_approx(m, [0.25, 0.75], 10000).alias(m) for m in measures))
     edge = lambda m, fence: fence * F.greatest(F.col(m)[1] - F.col(m)[0], F.abs(F.col(m)[1]) * 0.02)
-    bands = bands.select(
-        F.col("lang").alias("b_lang"),
-        F.col("length_class").alias("b_class"),
+    bands = quartiles.select(
+        "pool",
+        F.col("middle_class").alias("length_class"),
         (F.col("chars_per_token")[0] - edge("chars_per_token", fences[0])).alias("cpt_low"),
         (F.col("chars_per_token")[1] + edge("chars_per_token", fences[2])).alias("cpt_high"),
         (F.col("byte_share")[1] + F.greatest(edge("byte_share", fences[2]), F.lit(0.02))).alias("byte_high"),
-        (F.col("token_entropy")[0] - edge("token_entropy", fences[1])).alias("entropy_low"),
-        (F.col("token_entropy")[1] + edge("token_entropy", fences[2])).alias("entropy_high"),
+        (F.col("level")[0] - edge("level", fences[1])).alias("entropy_low"),
+        (F.col("level")[1] + edge("level", fences[2])).alias("entropy_high"),
     )
-    judged = found.join(bands, F.col("lang").eqNullSafe(F.col("b_lang")) & (F.col("length_class") == F.col("b_class")), "left")
-    inside = F.col("chars_per_token").between(F.col("cpt_low"), F.col("cpt_high")) & (F.col("byte_share") <= F.col("byte_high")) & F.col("token_entropy").between(F.col("entropy_low"), F.col("entropy_high"))
-    kept = ~F.col("base_failed") & ((F.col("n_tokens") < least_tokens) | F.coalesce(inside, F.lit(True)))
+    judged = found.join(pools.join(bands, ["pool", "length_class"]), ["lang_key", "length_class"], "left")
+    inside = F.col("chars_per_token").between(F.col("cpt_low"), F.col("cpt_high")) & (F.col("byte_share") <= F.col("byte_high")) & level.between(F.col("entropy_low"), F.col("entropy_high"))
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_tokens", "chars_per_token", "byte_share", "token_entropy")

@@ -571,6 +571,20 @@ def test_fertility_measures_and_bands(spark):
     assert all(got[i].kept for i in range(150)) and not got[900].kept
 
 
+def test_fertility_judges_thin_groups(spark):
+    r = random.Random(6)
+    prose = lambda n: " ".join(r.choice(WORDS[:9] + [f"river{j}" for j in range(30)]) for _ in range(n))
+    runes = lambda n: " ".join("ᛖᚴ" + str(j) for j in range(n))
+    data = [(i, prose(r.randint(40, 120)), "en", None, None) for i in range(400)]
+    data += [(1000 + i, prose(n), lang, None, None) for i, (n, lang) in enumerate([(22, "en"), (6000, "en"), (25, None), (100, None), (80, "sw"), (3000, "sw")])]
+    data += [(2000 + i, runes(n), lang, None, None) for i, (n, lang) in enumerate([(3000, "en"), (100, None), (90, "sw"), (2500, "sw")])]
+    data += [(2010, " ".join(f"ᛖ{j}" for j in range(20, 40)), "en", None, None)]
+    got = {x.doc_id: x for x in fertility.fertility_verdicts(frame(spark, data)).collect()}
+    assert len(got) == len(data) and not any(x.base_failed for x in got.values())
+    assert all(got[i].kept for i in got if i < 2000)
+    assert not any(got[i].kept for i in got if i >= 2000)
+
+
 # --- op4 ----------------------------------------------------------------------------------------------------------
 
 BODY = "<h1>Title &amp; more</h1><p>First paragraph, with some   words &ndash; and\nmore of them, here.</p><p>Second <b>para</b>graph<br>continues, quite long enough to count as text.</p>"
