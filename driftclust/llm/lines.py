@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftclust.llm.common import SPACE, cut, own_columns, runs, span_hashes, utf8
+from driftclust.llm.common import SPACE, _powers, cut, mix, own_columns, runs, span_hashes, utf8
 
 
 def _trimmed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,14 +113,34 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def _lines(anchor_words: int):
+def run_hashes(hashes: np.ndarray, words: np.ndarray, least_words: int) -> np.ndarray:
+    """Hashes of the runs of two or more adjacent lines of a text that just reach ``least_words``, onward from each line and back from each line.
+
+    Each line of a block of ``least_words`` words or more lies in such a run, or in a single line of that many words, inside the block.
+    """
+    total = np.concatenate(([0], np.cumsum(words)))
+    n = len(hashes)
+    if n < 2 or total[-1] < least_words:
+        return np.zeros(0, np.uint64)
+    onward = np.searchsorted(total, total[:-1] + least_words, "left")
+    back = np.searchsorted(total, total[1:] - least_words, "right") - 1
+    starts = np.concatenate((np.flatnonzero(onward <= n), back[back >= 0]))
+    ends = np.concatenate((onward[onward <= n], np.flatnonzero(back >= 0) + 1))
+    several = ends - starts > 1
+    starts, ends = starts[several], ends[several]
+    power, inverse = _powers(n + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes, 5) * power[:n], dtype=np.uint64)))
+    return mix((sums[ends] - sums[starts]) * inverse[starts], 6)
+
+
+def _lines(anchor_words: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines, anchors = [], []
             for _, hashes, words in line_hashes(*utf8(batch.column("text"))):
                 for h, w in zip(hashes, words, strict=True):
                     lines.append(h.tobytes())
-                    anchors.append(_signed(np.unique(h[w >= anchor_words])))
+                    anchors.append(_signed(np.unique(np.concatenate((h[w >= min(anchor_words, least_words)], run_hashes(h, w, least_words))))))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in anchors]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lines, pa.binary()), pa.ListArray.from_arrays(ends, np.concatenate(anchors) if anchors else np.zeros(0, np.int64))], ["doc_id", "lines", "anchors"])
 
@@ -152,17 +172,19 @@ def dedup_lines(documents: DataFrame, anchor_words: int = 5, least_words: int =
     """Texts without the blocks of lines that an earlier document has: doc_id, text, n_lines (before), n_removed; a row for each row.
 
     Lines are what ``\\n`` parts, compared without white space around them. A line of ``anchor_words`` words or more leads from each
-    document that holds it to the first one, that with the smallest doc_id; each such pair of documents is aligned by patience diff over
-    all lines, and blocks, aligned runs of lines without a gap in either text, of ``least_words`` words or more go from the later
-    document. A rare line is a strong lead and a frequent one a weak lead, but none is dropped: a line held by k documents gives k - 1
-    pairs, not k squared, so that no line is too frequent.
+    document that holds it to the first one, that with the smallest doc_id, and so does each run of adjacent lines that just reaches
+    ``least_words``: so every part of a block has a lead of its own to an earlier document that holds it in one piece, whoever holds its
+    lines singly. Each such pair of documents is aligned by patience diff over all lines, and blocks, aligned runs of lines without
+    a gap in either text, of ``least_words`` words or more go from the later document. None of the leads is dropped: a line or run held by
+    k documents gives k - 1 pairs, not k squared, so that none is too frequent. A run that the alignment with its first holder leaves out,
+    because its lines are repeated there or stand in another order, isn't tried with later holders.
 
     A null text stays null, with 0 lines; an empty text is one empty line. Rows with a null doc_id return unchanged and are nobody's
     earlier document. Rows that share a doc_id aren't compared with each other; each is aligned with the same earlier documents.
     Other columns are ignored.
     """
     docs = own_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lines = cut(docs.where("doc_id is not null and text is not null").mapInArrow(_lines(anchor_words), "doc_id long, lines binary, anchors array<long>"), "lines")
+    lines = cut(docs.where("doc_id is not null and text is not null").mapInArrow(_lines(anchor_words, least_words), "doc_id long, lines binary, anchors array<long>"), "lines")
     held = lines.select("doc_id", F.explode("anchors").alias("line"))
     first = held.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("line", "first")
     pairs = held.join(first, "line").where("doc_id > first").select("first", "doc_id").distinct()

@@ -216,6 +216,34 @@ def test_line_dedup_against_brute_force(spark):
     assert got == sorted((i if i is not None else -1, t or "") for i, t in brute_lines(data))
 
 
+def brute_earlier(data, least=20):
+    """Each text aligned with all earlier ones."""
+    out = {}
+    for i, t in data:
+        mine, gone = t.split("\n"), set()
+        words = np.array([len(x.split()) for x in mine])
+        for j, o in data:
+            if j < i:
+                code = {}
+                number = lambda xs: np.array([code.setdefault(x, len(code)) for x in xs])  # noqa: B023, E731
+                gone |= set(np.flatnonzero(lines.common_blocks(number(o.split("\n")), number(mine), words, least)).tolist())
+        out[i] = "\n".join(x for at, x in enumerate(mine) if at not in gone)
+    return out
+
+
+def test_line_dedup_against_all_earlier_documents(spark):
+    r = random.Random(8)
+    pool = [" ".join(f"{r.choice(WORDS)}{n}" for _ in range(r.choice([0, 2, 4, 6, 8, 12, 25]))) for n in range(120)]
+    data = [(i, "\n".join(pool[i::30])) for i in range(30)]  # each line is held singly first
+    for i in range(30, 90):  # lines keep the pool's order, so that an alignment finds all that two texts share
+        at = r.randrange(110)
+        data.append((i, "\n".join(x for n, y in enumerate(pool[at : at + r.randint(2, 12)]) for x in ([f"own line {i} {n}"] if r.random() < 0.2 else []) + [y])))
+    want = brute_earlier(data)
+    assert sum(want[i] != t for i, t in data) > 20
+    got = {x.doc_id: x.text for x in lines.dedup_lines(frame(spark, [(i, t, None, None, None) for i, t in data])).collect()}
+    assert got == want
+
+
 @given(st.lists(st.integers(0, 12), max_size=40), st.lists(st.integers(0, 12), max_size=40))
 @settings(max_examples=100, deadline=None)
 def test_patience_matches_rise_and_are_equal(a, b):
