@@ -9,6 +9,8 @@ from driftclust.llm.order import BITS, point, sum_before
 
 #: Leading bits of a document's place that name its cell.
 CELL_BITS = 12
+#: Where rows without a slot stand: after all slots.
+UNSLOTTED = 1 << 50
 
 
 def root_weights(documents: DataFrame, most: int = 100) -> DataFrame:
@@ -75,3 +77,11 @@ def mixed_order(documents: DataFrame, weights: DataFrame | None = None, block_by
     packed = documents.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in names if c not in ("doc_id", "text", "source"))).alias("__rest"))
     mixed = mix_sources(packed, weights, block_bytes).orderBy(F.asc_nulls_last("slot"), "block_offset", "doc_id")
     return mixed.select(*(F.col(c) if c in ("doc_id", "text", "source") else F.col("__rest")[c].alias(c) for c in names))
+
+
+def mix_number(rows: DataFrame, group: str, slot: str, offset: str, out: str) -> DataFrame:
+    """``rows`` with their number, from 0, in their group in the order of the mix: ``slot``, nulls last, ``offset`` and doc_id. Rows are
+    put in order within 64 slots, or within 16 bytes of offset where there is no slot, and only those cells over a whole group."""
+    cell = F.when(F.col(slot).isNull(), F.lit(UNSLOTTED) + F.shiftright(offset, 4)).otherwise(F.shiftright(slot, 6))
+    rows = rows.withColumn("__mixed", F.coalesce(slot, F.lit(UNSLOTTED))).withColumn("__cell", cell).withColumn("__one", F.lit(1).cast("long"))
+    return sum_before(rows, [group], "__cell", ["__mixed", offset, "doc_id"], "__one", out).drop("__mixed", "__cell", "__one")

@@ -6,7 +6,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from driftclust.llm import decontam
+from driftclust.llm import decontam, mixing, ring
 
 WORDS = [a + b for a in "ka lo mi ru te sa ne vo".split() for b in "ron lim dat pel sor vin gum tas bek".split()]
 
@@ -78,3 +78,28 @@ def test_stages_with_nulls_and_extra_columns(spark, corpus):
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, d).collect()
         assert len(out) == len(rows) or i == 1
+
+
+def test_mix_reaches_the_result(spark, corpus):
+    d, _, _ = corpus
+    weights = lambda a, b: spark.createDataFrame([("a", a), ("b", b), (None, 1)], "source string, weight int")
+    found = {w: {r.doc_id: r for r in corpus_pipeline.run(spark, d, weights(*w)).collect()} for w in [(9, 1), (1, 9)]}
+    one, other = found.values()
+    assert {i: r.shard for i, r in one.items()} == {i: r.shard for i, r in other.items()}
+    assert {i: r.slot for i, r in one.items()} != {i: r.slot for i, r in other.items()}
+
+
+def test_shards_are_numbered_in_mix_order(spark, corpus):
+    d, _, _ = corpus
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(WORDS) for _ in range(4000)), "en", r.choice(["a", "a", "b", None, "z"]), 1) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    weights = spark.createDataFrame([("a", 3), ("b", 1), (None, 2)], "source string, weight int")
+    got = corpus_pipeline.sharding(spark, docs, d, weights).collect()
+    plain = {x.doc_id: x.shard for x in ring.shard_documents(docs, shards=16).collect()}
+    at = {x.doc_id: (x.slot is None, x.slot, x.block_offset, x.doc_id) for x in mixing.mix_sources(docs, weights).collect()}
+    assert {x.doc_id: x.shard for x in got} == plain and len({x[1] for x in at.values()}) > 5
+    for shard in range(16):
+        mine = sorted((x for x in got if x.shard == shard), key=lambda x: x.slot)
+        assert [x.slot for x in mine] == list(range(len(mine)))
+        assert [x.doc_id for x in mine] == sorted((x.doc_id for x in mine), key=lambda i: [v if v is not None else 0 for v in at[i]])
