@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftclust.functions.keys import cluster_id, draw_order
+from driftclust.operators.assign import assign
 from driftclust.operators.density import density_labels, reduce
 from driftclust.operators.scoring import draw_exemplars, member_scores, symmetric_similarity, thresholds
 
@@ -45,6 +46,20 @@ def candidates(members: DataFrame, k: int, exemplars: int, percentile: float, bo
     return clusters, named, drawn
 
 
+def match_rest(items: DataFrame, labels: DataFrame, k: int, exemplars: int, percentile: float, bounds: tuple[float, float], seed: int | None) -> DataFrame:
+    """(id, label) of all items (id, seq, embedding), a row for each: the labels (id, label) of those that were fitted, and for the rest the group whose
+    exemplars they match at its threshold, or -1. ``labels`` is read several times."""
+    known = items.join(labels.groupBy("id").agg(F.min("label").alias("label")), "id", "left")
+    members = known.where("label >= 0").withColumn("ts", F.lit(None).cast("timestamp"))
+    clusters, _, drawn = candidates(members, k, exemplars, percentile, bounds, seed)
+    rest = known.where("label is null").select(F.col("id").alias("item_id"), "embedding")
+    decided = assign(rest, drawn, clusters.select("id", "threshold"), k)
+    named = clusters.select(F.col("id").alias("cluster_id"), "label")
+    found = decided.join(named, "cluster_id", "left").select("item_id", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
+    matched = rest.select("item_id").join(found, rest.item_id.eqNullSafe(found.item_id)).select(rest.item_id.alias("id"), "label")
+    return known.where("label is not null").select("id", "label").unionByName(matched)
+
+
 def best_overlaps(found: DataFrame, found_exemplars: DataFrame, live: DataFrame, live_exemplars: DataFrame, k: int, threshold: float) -> DataFrame:
     """(id, target, similarity): for each candidate the open cluster it is most similar to, where that reaches the threshold. Candidates and open
     clusters, not items, are paired."""

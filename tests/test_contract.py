@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from driftclust.cli import main
 from driftclust.config import Config
 from driftclust.evaluation import runner
+from driftclust.operators import discover as D
 from driftclust.plans.catalogue import QUERIES
 from driftclust.plans.oracles import ORACLES
 from driftclust.service import RateLimiter, Service
@@ -40,6 +41,19 @@ def test_queries_match_sql(spark, name):
     assert sorted(got.columns) == cols and canon(got) == canon(want)
 
 
+def test_density_groups_count_vectors_beyond_the_fit(spark, monkeypatch):
+    from driftclust.plans import catalogue
+
+    whole = {r.label: r.n for r in QUERIES["q51_discover_groups"](spark, DATA).collect()}
+    monkeypatch.setattr(catalogue, "FIT", 300)
+    found = {r.label: r.n for r in QUERIES["q51_discover_groups"](spark, DATA).collect()}
+    assert sum(found.values()) == sum(whole.values()) == spark.read.parquet(f"{DATA}/embeddings.parquet").count() > 300
+    fitted = D.groups(D.fit_sample(spark.read.parquet(f"{DATA}/embeddings.parquet").selectExpr("cast(vec_id as string) id", "vec_id seq", "embedding"), 300, catalogue.SEED), 5, 3, 5)
+    fitted = {r.label: r["count"] for r in fitted.groupBy("label").count().collect()}
+    assert set(found) <= {*fitted, -1} and all(found[k] >= n for k, n in fitted.items())
+    assert sum(found[k] for k in found if k >= 0) > sum(n for k, n in fitted.items() if k >= 0)
+
+
 def test_the_rest_stands_without_the_text_operators(tmp_path):
     import os
     import shutil
