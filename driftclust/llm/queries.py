@@ -22,7 +22,7 @@ from driftclust.llm.tokens import token_counts
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without blocks of lines that an earlier document has."""
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    return dedup_lines(table(spark, sf_dir, "documents")).drop("blocks")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 #: DuckDB SQL. The other operators have none: SQL can't express them, or not over whole tables; the tests hold them against brute force.
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS l FROM documents),
+w AS (SELECT *, list_transform(l, lambda x: len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> ''))) AS n FROM d),
+t AS (SELECT *, list_transform(range(len(l) + 1), lambda i: coalesce(list_sum(n[1:i]), 0)) AS before FROM w),
+s AS (SELECT r, doc_id, l, before, unnest(range(1, len(l) + 1)) AS i FROM t WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+e AS (SELECT r, doc_id, l, i AS a, list_position(list_transform(before[2:], lambda x: x >= before[i] + 20), true) AS b FROM s
+  UNION SELECT r, doc_id, l, len(list_filter(before[:i], lambda x: x <= before[i + 1] - 20)), i FROM s),
+runs AS (SELECT r, doc_id, a, b, array_to_string(l[a:b], chr(10)) AS run FROM e WHERE a > 0 AND b > 0),
+first AS (SELECT run, min(doc_id) AS first FROM runs GROUP BY run),
+gone AS (SELECT DISTINCT r, unnest(range(a, b + 1)) AS i FROM runs JOIN first USING (run) WHERE doc_id > first),
+g AS (SELECT r, list(i) AS gone FROM gone GROUP BY r)
+SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed
+FROM d LEFT JOIN g USING (r)""",
     "op2_mixing": """
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place FROM documents),
 b AS (SELECT source, sum(n_bytes)::DOUBLE AS b FROM d GROUP BY source),

@@ -178,70 +178,104 @@ def test_line_dedup(spark):
     assert got[8].text == "" and got[8].n_removed == 4, "white space around lines doesn't count"
 
 
-def brute_lines(data, anchor=5, least=20):
-    out, known = [], defaultdict(list)
-    docs = sorted((i, t) for i, t, *_ in data if i is not None and t is not None)
-    trimmed = lambda t: [x.strip(" \t\n\x0b\x0c\r") for x in t.split("\n")]
-    words = lambda x: len(x.encode().split())
-    for i, t in docs:
-        for x in trimmed(t):
-            if words(x) >= anchor:
-                known[x].append(i)
-    first = {x: min(v) for x, v in known.items()}
-    by_id = defaultdict(list)
-    for i, t in docs:
-        by_id[i].append(t)
-    for i, t, *_ in data:
-        if i is None or t is None:
-            out.append((i, t))
-            continue
-        mine = trimmed(t)
-        partners = {first[x] for x in mine if x in first and first[x] < i}
+def brute_lines(data, least=20):
+    """Texts without lines that lie in a run of adjacent lines, of ``least`` words or more, that any earlier document has too: all pairs, diagonal by diagonal."""
+    trimmed = [[x.strip(" \t\n\x0b\x0c\r") for x in t.split("\n")] if t is not None else None for _, t, *_ in data]
+    out = []
+    for (i, t, *_), mine in zip(data, trimmed, strict=True):
         gone = set()
-        for p in partners:
-            for other in by_id[p]:
-                code = {}
-                number = lambda xs: np.array([code.setdefault(x, len(code)) for x in xs])  # noqa: B023, E731
-                gone |= set(np.flatnonzero(lines.common_blocks(number(trimmed(other)), number(mine), np.array([words(x) for x in mine]), least)).tolist())
-        out.append((i, "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone) if gone else t))
+        for (j, *_), other in zip(data, trimmed, strict=True):
+            if i is None or j is None or j >= i or mine is None or other is None:
+                continue
+            for a in range(len(other)):
+                for b in range(len(mine)):
+                    if other[a] == mine[b] and not (a and b and other[a - 1] == mine[b - 1]):
+                        n = 0
+                        while a + n < len(other) and b + n < len(mine) and other[a + n] == mine[b + n]:
+                            n += 1
+                        if sum(len(x.encode().split()) for x in mine[b : b + n]) >= least:
+                            gone |= set(range(b, b + n))
+        out.append((i, "\n".join(x for at, x in enumerate(t.split("\n")) if at not in gone) if gone else t))
     return out
 
 
-def test_line_dedup_against_brute_force(spark):
+def _by_id(rows):
+    return sorted((i if i is not None else -1, t or "") for i, t in rows)
+
+
+def check_lines(spark, data):
+    got = lines.dedup_lines(frame(spark, data)).collect()
+    assert _by_id((r.doc_id, r.text) for r in got) == _by_id(brute_lines(data))
+    texts = {i: t for i, t, *_ in data if t is not None}
+    for r in got:  # blocks are equal lines here and there, of 20 words, and cover what went
+        covered = set()
+        for b in r.blocks:
+            here, there = texts[r.doc_id].split("\n"), texts[b.earlier].split("\n")
+            same = [x.strip(" \t\n\x0b\x0c\r") for x in here[b.line : b.line + b.lines]]
+            assert b.earlier < r.doc_id and same == [x.strip(" \t\n\x0b\x0c\r") for x in there[b.earlier_line : b.earlier_line + b.lines]]
+            assert sum(len(x.split()) for x in same) >= 20
+            covered |= set(range(b.line, b.line + b.lines))
+        assert len(covered) == r.n_removed
+    return {r.doc_id: r for r in got}
+
+
+def test_line_dedup_against_all_pairs(spark):
     r = random.Random(4)
     pool = [" ".join(r.choice(WORDS) for _ in range(r.randint(0, 12))) for _ in range(40)]
     data = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 30))), None, None, None) for i in range(60)]
-    data += rows(3, 40)[4:9] + [data[7]]
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in lines.dedup_lines(frame(spark, data)).collect())
-    assert got == sorted((i if i is not None else -1, t or "") for i, t in brute_lines(data))
-
-
-def brute_earlier(data, least=20):
-    """Each text aligned with all earlier ones."""
-    out = {}
-    for i, t in data:
-        mine, gone = t.split("\n"), set()
-        words = np.array([len(x.split()) for x in mine])
-        for j, o in data:
-            if j < i:
-                code = {}
-                number = lambda xs: np.array([code.setdefault(x, len(code)) for x in xs])  # noqa: B023, E731
-                gone |= set(np.flatnonzero(lines.common_blocks(number(o.split("\n")), number(mine), words, least)).tolist())
-        out[i] = "\n".join(x for at, x in enumerate(mine) if at not in gone)
-    return out
-
-
-def test_line_dedup_against_all_earlier_documents(spark):
-    r = random.Random(8)
-    pool = [" ".join(f"{r.choice(WORDS)}{n}" for _ in range(r.choice([0, 2, 4, 6, 8, 12, 25]))) for n in range(120)]
-    data = [(i, "\n".join(pool[i::30])) for i in range(30)]  # each line is held singly first
-    for i in range(30, 90):  # lines keep the pool's order, so that an alignment finds all that two texts share
+    data += [x for x in rows(3, 40)[4:9] if x[0] not in range(60)] + [(None, data[7][1], None, None, None), (99, None, None, None, None), (98, "", None, None, None)]
+    check_lines(spark, data)
+    pool = [" ".join(f"{r.choice(WORDS)}{n}" for _ in range(r.choice([0, 1, 2, 4, 6, 8, 12, 25]))) for n in range(120)]
+    data = [(i, "\n".join(pool[i::30]), None, None, None) for i in range(30)]  # each line is held singly first
+    for i in range(30, 110):
         at = r.randrange(110)
-        data.append((i, "\n".join(x for n, y in enumerate(pool[at : at + r.randint(2, 12)]) for x in ([f"own line {i} {n}"] if r.random() < 0.2 else []) + [y])))
-    want = brute_earlier(data)
-    assert sum(want[i] != t for i, t in data) > 20
-    got = {x.doc_id: x.text for x in lines.dedup_lines(frame(spark, [(i, t, None, None, None) for i, t in data])).collect()}
-    assert got == want
+        mine = [x for n, y in enumerate(pool[at : at + r.randint(2, 12)]) for x in ([f"own line {i} {n}"] if r.random() < 0.2 else []) + [y]]
+        if r.random() < 0.3:  # moved and repeated parts
+            cut = r.randrange(len(mine))
+            mine = mine[cut:] + mine[:cut] + mine[: r.randint(0, 4)]
+        data.append((i, "\n".join(mine), None, None, None))
+    got = check_lines(spark, data)
+    assert sum(x.n_removed > 0 for x in got.values()) > 20
+    assert lines.dedup_lines(frame(spark, [])).count() == 0
+
+
+def test_line_dedup_finds_overlaps_behind_other_holders(spark):
+    eight = [f"line {n} has eight words and no more" for n in range(3)]
+    four = [f"short line number {n}" for n in range(12)]
+    data = [(i + 1, x, None, None, None) for i, x in enumerate(eight)] + [(5, text_with(*eight), None, None, None), (9, text_with("own words", *eight), None, None, None)]
+    data += [(20, text_with(*four), None, None, None), (21, text_with("something else", *four, "its end"), None, None, None)]
+    passage = [f"passage {n} " + "word " * 20 for n in "ab"]
+    data += [(30, text_with(*passage), None, None, None), (31, text_with(passage[1], "between", passage[0]), None, None, None), (32, text_with(passage[0], "x", passage[0], "y", passage[0]), None, None, None)]
+    got = check_lines(spark, data)
+    assert got[9].text == "own words" and got[21].text == text_with("something else", "its end")
+    assert got[31].text == "between" and got[32].text == text_with("x", "y")
+    assert [b.earlier for b in got[9].blocks] == [5] and [b.earlier for b in got[21].blocks] == [20]
+
+
+def test_rows_that_repeat_are_alike(spark):
+    long = "\n".join(f"a line of some ten words, the number of which is {i}" for i in range(6))
+    data = [(1, long, None, None, None), (2, long + "\nend", None, None, None), (2, long + "\nend", None, None, None), (2, "start\n" + long, None, None, None)]
+    got = lines.dedup_lines(frame(spark, data)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, long), (2, "end"), (2, "end"), (2, "start")]
+
+
+def test_hot_runs_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT_HOLDERS", 3)
+    passage = "a passage that many documents share " * 5
+    check_lines(spark, [(i, text_with(f"beginning {i}", passage, f"end {i}"), None, None, None) for i in range(30)])
+
+
+def test_long_texts_are_read_in_slices(monkeypatch):
+    line = "word " * 700 + "end"
+    text = text_with("first", line, *(f"line {i} of many" for i in range(300)), "  " + line + "\t", "", "x" * 9000, "last", "")
+    whole = next(lines.line_hashes(*common.utf8(pa.array([text]))))
+    monkeypatch.setattr(lines, "SLICE_BYTES", 1024)
+    monkeypatch.setattr(common, "SLICE_BYTES", 1024)
+    _, hashes, words = next(lines.line_hashes(*common.utf8(pa.array([text]))))
+    assert words[0].tolist() == [len(x.split()) for x in text.split("\n")] == whole[2][0].tolist()
+    short = np.array([len(x.strip()) <= 1024 for x in text.split("\n")])
+    assert (hashes[0][short] == whole[1][0][short]).all()
+    assert hashes[0][1] == hashes[0][302] and len(set(hashes[0].tolist())) == len(set(x.strip() for x in text.split("\n")))
 
 
 @given(st.lists(st.integers(0, 12), max_size=40), st.lists(st.integers(0, 12), max_size=40))
