@@ -423,19 +423,89 @@ def test_importance_edge_cases(spark):
     assert len(got) == len(data)
     assert {r.log_weight for r in got if r.doc_id in (5, 6, 7)} == {0.0}
     assert importance.importance_resample(docs.where("false"), odd).count() == 0
-    r = importance.Resampler(docs, odd, 100, 1.0, 4.0, 7)
+    r = importance.Resampler(docs, odd, 100)
     assert r.keep(docs).columns == docs.columns
     kept = sum(x.kept for x in importance.importance_resample(docs, odd, 100).collect())
     assert r.keep(docs).count() == kept
 
 
+def grams_of(text):
+    words = [w for w in re.split("[\\x20\\x09-\\x0D]+", text.translate({c: c + 32 for c in range(65, 91)})) if w]
+    return [(0, w.encode()) for w in words] + [(1, a.encode(), b.encode()) for a, b in zip(words, words[1:], strict=False)] + [(2, w.encode()[:5]) for w in words]
+
+
+def bucket_of(gram):
+    one = lambda x: common.span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))
+    with np.errstate(over="ignore"):
+        h = [common.mix(one(gram[1]), 43), common.mix(one(gram[1]) * np.uint64(3) + one(gram[-1]), 41), common.mix(one(gram[1]), 47)][gram[0]]
+    return int(h[0] & np.uint64(importance.BUCKETS - 1)) + gram[0] * importance.BUCKETS
+
+
+def brute_scores(data, fit, margin, doubt):
+    """Log ratios by dictionaries of n-grams, a target text against the target without it."""
+    memo = {}
+    texts = [[memo.setdefault(g, None) or memo.__setitem__(g, bucket_of(g)) or memo[g] for g in grams_of(t or "")] for _, t in data]
+    raw = Counter(b for x in texts for b in x)
+    target = Counter(b for (i, _), x in zip(data, texts, strict=True) if i in fit for b in x)
+    kind = lambda c, k: sum(n for b, n in c.items() if b // importance.BUCKETS == k)
+    all_raw, all_target = [kind(raw, k) for k in range(3)], [kind(target, k) for k in range(3)]
+    out = []
+    for (i, _), x in zip(data, texts, strict=True):
+        mine, total = Counter(x), 0.0
+        for b, n in mine.items():
+            k = b // importance.BUCKETS
+            without = n if i in fit else 0
+            t, ts = target[b] - without, all_target[k] - (kind(mine, k) if i in fit else 0)
+            ratio = np.log((t + 1) / (ts + importance.BUCKETS)) - np.log((raw[b] + 1) / (all_raw[k] + importance.BUCKETS))
+            expected = raw[b] / all_raw[k] * ts
+            total += n * ratio if abs(ratio) >= margin and abs(t - expected) >= doubt * np.sqrt(expected + 1) else 0.0
+        out.append(round(total, 6))
+    return out
+
+
+def test_weights_against_brute_force(spark):
+    r = random.Random(9)
+    words = WORDS + [f"w{i}" for i in range(60)]
+    data = [(i, " ".join(r.choice(words[: 20 if i % 3 else None]) for _ in range(r.randint(0, 90)))) for i in range(50)] + [(90, None), (91, ""), (92, "One  two\tÄ\n ONE")]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.log_weight for x in importance.importance_resample(frame(spark, [(i, t, None, None, None) for i, t in data]), labels, margin=0.2, doubt=1.0).collect()}
+    want = dict(zip((i for i, _ in data), brute_scores(data, {i for i in range(40) if i % 3}, 0.2, 1.0), strict=True))
+    assert got == pytest.approx(want, abs=2e-6) and len(set(want.values())) > 40
+
+
+def test_weights_of_long_texts_are_those_of_one_piece():
+    r = random.Random(10)
+    words = [f"word{i}" for i in range(500)] + ["x" * 5000, "é" * 3000]
+    long = [r.choice(words) for _ in range(120_000)]
+    long[1000:1001] = ["y" * 3_000_000]  # a word longer than a slice
+    texts = [" ".join(long), "short one", "\n".join(long[:50])]
+    counts = np.arange(importance.KINDS * importance.BUCKETS)
+    for fit in ([], [7, 9]):
+        models = importance.Models(counts % 89 * 2000, counts % 97 * 1000, np.array(fit, np.int64), 0.0, 0.0)
+        got, length = models.scores(pa.array(texts), np.array([7, 8, 9]))
+        for i, t in enumerate(texts):
+            of = Counter(map({g: bucket_of(g) for g in set(grams_of(t))}.__getitem__, grams_of(t)))
+            b, n = np.array(list(of)), np.array(list(of.values()))
+            own = n if fit and i != 1 else 0 * n
+            sums = models.sums[1] - np.bincount(b // importance.BUCKETS, weights=own, minlength=3)
+            assert got[i] == pytest.approx((models.log_ratio(b, models.target[b] - own, sums[b // importance.BUCKETS]) * n).sum(), rel=1e-9, abs=1e-6)
+            assert length[i] == int(np.log2(len(t.split()) + 1))
+
+
 def test_kth_largest(spark):
     r = random.Random(3)
-    values = [r.gauss(0, 1) for _ in range(3000)] + [0.5] * 500
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    ordered = sorted(values, reverse=True)
-    for k in (1, 2, 900, 1200, 3500):
-        assert importance.kth_largest(df, "v", k, few=20) == ordered[k - 1]
+    values = {0: [r.gauss(0, 1) for _ in range(500)], 1: [float(r.randint(0, 3)) for _ in range(300)], 2: [5.0], 3: [r.random() ** 9 for _ in range(900)]}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g_ int, v double").repartition(3)
+    for part in (0.01, 0.4, 1.0):
+        ks = {g: max(1, int(len(v) * part)) for g, v in values.items()} | {8: 3}
+        assert importance.kth_largest(df, "g_", "v", ks, few=20) == {g: sorted(v, reverse=True)[ks[g] - 1] for g, v in values.items()}
+    assert importance.kth_largest(df, "g_", "v", {0: 0}) == {}
+
+
+def test_strata_cover_all_lengths():
+    s = importance.strata(np.array([3] * 30 + [4] * 30 + [9] * 5), np.array([3] * 25 + [5] * 25 + [9] * 3), 20)
+    assert s[:4].tolist() == [0, 0, 0, 0] and (s[4:] == 1).all()
+    assert (importance.strata(np.array([2]), np.array([5]), 20) == 0).all()
 
 
 # --- op7 ----------------------------------------------------------------------------------------------------------
