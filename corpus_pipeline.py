@@ -17,7 +17,9 @@ from driftclust.llm.ring import shard_documents
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier draws. Nulls, ties and empty tables: see ``importance_resample``."""
-    return Resampler(docs, table(spark, sf_dir, "labels"), sample=20_000, margin=1.0, doubt=4.0, seed=7).keep(docs)
+    classifier = Resampler(docs, table(spark, sf_dir, "labels"))
+    classifier.close()
+    return classifier.keep(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
