@@ -5,9 +5,11 @@ from __future__ import annotations
 import logging
 import threading
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
+from functools import wraps
 from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from driftclust import schema as S
 from driftclust.clock import Clock, SystemClock, as_utc
 from driftclust.config import Config
-from driftclust.events import Event, EventBus
+from driftclust.events import Event, EventRoutes
 from driftclust.evaluation.metrics import status_counts
 from driftclust.functions.embed import Embedder, embed_column, make_embedder
 from driftclust.functions.keys import cluster_id_of
@@ -85,16 +87,27 @@ def _event(kind: str, rows: DataFrame, *order: Column, cluster: Column | None =
     )
 
 
+def _job(method: Callable) -> Callable:
+    """A method that runs as a job, with a scratch folder."""
+
+    @wraps(method)
+    def run(self, *args, **kwargs):
+        with self.scratch():
+            return method(self, *args, **kwargs)
+
+    return run
+
+
 class ClusteringEngine:
     """Clusters a stream of texts. All times come from the clock, all state from the store; each job reads one version and makes the next."""
 
-    def __init__(self, spark: SparkSession, config: Config | None = None, *, store: StateStore | None = None, embedder: Embedder | None = None, labeler: Callable[[DataFrame, DataFrame], DataFrame] | None = None, clock: Clock | None = None, bus: EventBus | None = None, hook: Callable[[Column], Column] | None = None):
+    def __init__(self, spark: SparkSession, config: Config | None = None, *, store: StateStore | None = None, embedder: Embedder | None = None, labeler: Callable[[DataFrame, DataFrame], DataFrame] | None = None, clock: Clock | None = None, bus: EventRoutes | None = None, hook: Callable[[Column], Column] | None = None):
         self.spark, self.config = spark, config or Config()
         self.store = store or StateStore.open(spark, self.config.store)
         self.embedder = embedder or make_embedder(self.config.embedder, self.config.model_dir)
-        self.clock, self.bus, self.hook = clock or SystemClock(), bus or EventBus(), hook
+        self.clock, self.bus, self.hook = clock or SystemClock(), EventRoutes() if bus is None else bus, hook
         self.labeler = labeler or self._ctfidf
-        self._discovering = threading.Lock()
+        self._discovering, self._job = threading.Lock(), threading.local()
         self._check_model(self.store.snapshot())
 
     # --- shared ------------------------------------------------------------------------------------------------
@@ -104,9 +117,22 @@ class ClusteringEngine:
         if stored and stored != self.embedder.model_id:
             raise ModelMismatch(f"the state holds vectors of {stored}, not of {self.embedder.model_id}; re-embed it first")
 
-    def _stage(self, df: DataFrame, what: str) -> DataFrame:
+    @contextmanager
+    def scratch(self) -> Iterator[None]:
+        """A folder of this job's own for intermediate results, deleted by it alone when it ends; jobs inside a job share it."""
+        if getattr(self._job, "folder", None):
+            yield
+            return
+        self._job.folder = f"_stage/{uuid.uuid4().hex}"
+        try:
+            yield
+        finally:
+            self.store.files.delete(self._job.folder)
+            self._job.folder = None
+
+    def stage(self, df: DataFrame, what: str) -> DataFrame:
         """Write an intermediate result next to the state and read it again: it is computed once and outlives executors."""
-        path = f"{self.store.path}/_stage/{what}-{uuid.uuid4().hex}"
+        path = f"{self.store.path}/{self._job.folder}/{what}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -114,9 +140,8 @@ class ClusteringEngine:
         before = self.store.manifest(txn.number - 1)["max_event_seq"]
         txn.compact()
         txn.commit()
-        self.store.files.delete("_stage")
-        if self.bus.sinks:
-            self.bus.publish(map(Event.of, self.store.snapshot().events(before).toLocalIterator()))
+        if self.bus:
+            self.bus.deliver(map(Event.of, self.store.snapshot().events(before).toLocalIterator()))
 
     def _retry(self, job: Callable[[], Any], times: int = 3) -> Any:
         for attempt in range(times):
@@ -156,6 +181,7 @@ class ClusteringEngine:
             made.append((item.id, item.text, as_utc(item.timestamp), {k: str(v) for k, v in item.metadata.items()}, i))
         return self.spark.createDataFrame(made, "id string, text string, ts timestamp, metadata map<string,string>, pos long")
 
+    @_job
     def ingest(self, items: DataFrame | Iterable[Item], batch: str | None = None) -> DataFrame:
         """Place a batch of items (id, text, ts, metadata): each new one joins the cluster it fits, or waits in the buffer.
 
@@ -169,13 +195,13 @@ class ClusteringEngine:
     def _ingest(self, rows: DataFrame, batch: str | None) -> DataFrame:
         cfg, now, txn = self.config, self.clock.now(), self.store.transaction()
         self._check_model(txn)
-        rows = self._stage(rows, "input")
+        rows = self.stage(rows, "input")
         if batch is None or batch not in txn.manifest["batches"]:
             first = rows.join(first_of_each(rows, "id", "pos"), ["id", "pos"])
             fresh = unknown(first, txn.table("items"), "id")
             fresh = numbered(preprocess(fresh, cfg.preprocess, self.hook), "pos", txn.manifest["max_seq"])
             embedder = self.embedder
-            fresh = self._stage(fresh.withColumn("embedding", embed_column(F.col("text"), lambda: embedder, cfg.embed_batch_size)), "fresh")
+            fresh = self.stage(fresh.withColumn("embedding", embed_column(F.col("text"), lambda: embedder, cfg.embed_batch_size)), "fresh")
             top = fresh.agg(F.max("seq")).first()[0]
             if top is not None:
                 self._place(txn, fresh, now)
@@ -201,7 +227,7 @@ class ClusteringEngine:
         clusters, exemplars = txn.table("clusters"), txn.table("exemplars")
         live = L.matchable(clusters, now, cfg.grace)
         decided = self._assign(fresh.select(F.col("id").alias("item_id"), "embedding"), exemplars, live)
-        self._decisions = decided = self._stage(decided, "decisions")
+        self._decisions = decided = self.stage(decided, "decisions")
         placed = fresh.join(decided.withColumnRenamed("item_id", "id"), "id")
         hit = F.col("cluster_id").isNotNull()
         txn.set_places(placed.select("id", F.when(hit, S.ASSIGNED).otherwise(S.BUFFERED).alias("status"), "cluster_id", F.lit(False).alias("locked"), F.when(hit, F.col("score")).alias("score")))
@@ -237,6 +263,7 @@ class ClusteringEngine:
 
     # --- discovery ---------------------------------------------------------------------------------------------
 
+    @_job
     def discover(self) -> DiscoveryReport:
         """Cluster the buffer: dense groups open clusters, fold into open ones they overlap, or are rejected as too loose; items that came
         meanwhile, or weren't in the sample, are matched to what was found."""
@@ -259,26 +286,26 @@ class ClusteringEngine:
 
     def _discover(self) -> DiscoveryReport:
         cfg, before = self.config, self.store.snapshot()
-        waiting = self._stage(self._buffered(before), "buffer")
+        waiting = self.stage(self._buffered(before), "buffer")
         size = waiting.count()
         if size < cfg.min_cluster_size:
             return DiscoveryReport(size, noise=size, skipped_reason="buffer too small")
         sample = D.fit_sample(waiting, cfg.discovery_sample_size, cfg.random_seed) if size > cfg.discovery_sample_size else waiting
-        labels = self._stage(D.groups(sample, cfg.min_cluster_size, cfg.min_samples, cfg.umap_components), "labels")
+        labels = self.stage(D.groups(sample, cfg.min_cluster_size, cfg.min_samples, cfg.umap_components), "labels")
         noise = labels.where("label < 0").count()
         return self._retry(lambda: self._open(labels, size, noise))
 
     def _open(self, labels: DataFrame, size: int, noise: int) -> DiscoveryReport:
         cfg, now, txn = self.config, self.clock.now(), self.store.transaction()
-        waiting = self._stage(self._buffered(txn), "buffer")
+        waiting = self.stage(self._buffered(txn), "buffer")
         members = waiting.join(labels.where("label >= 0"), "id")
         large = members.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= cfg.min_cluster_size)
-        members = self._stage(members.join(large.select("label"), "label"), "members")
+        members = self.stage(members.join(large.select("label"), "label"), "members")
         found, named, drawn = D.candidates(members, cfg.match_top_k, cfg.exemplars_per_cluster, cfg.threshold_percentile, cfg.threshold_bounds, cfg.random_seed)
-        found, named, drawn = self._stage(found, "found"), self._stage(named, "named"), self._stage(drawn, "drawn")
+        found, named, drawn = self.stage(found, "found"), self.stage(named, "named"), self.stage(drawn, "drawn")
         clusters, exemplars = txn.table("clusters"), txn.table("exemplars")
         live = clusters.where(F.col("status") == S.OPEN)
-        folds = self._stage(D.best_overlaps(found, drawn, live, exemplars, cfg.match_top_k, cfg.merge_threshold), "folds")
+        folds = self.stage(D.best_overlaps(found, drawn, live, exemplars, cfg.match_top_k, cfg.merge_threshold), "folds")
         fold_of = {r.id: r.target for r in folds.collect()}  # candidates, not items
         rows = found.orderBy("min_seq").collect()
         rejected = [r.id for r in rows if r.id not in fold_of and r.cohesion < cfg.threshold_bounds[0]]
@@ -333,7 +360,7 @@ class ClusteringEngine:
     def _reassign(self, txn: Transaction, left: DataFrame, now: datetime) -> int:
         live = L.matchable(txn.table("clusters"), now, self.config.grace)
         decided = self._assign(left.select(F.col("id").alias("item_id"), "embedding"), txn.table("exemplars"), live).where("cluster_id is not null")
-        hits = self._stage(left.drop("score").join(decided.select(F.col("item_id").alias("id"), "cluster_id", "score"), "id"), "reassigned")
+        hits = self.stage(left.drop("score").join(decided.select(F.col("item_id").alias("id"), "cluster_id", "score"), "id"), "reassigned")
         n = hits.count()
         if n:
             txn.set_places(hits.select("id", F.lit(S.ASSIGNED).alias("status"), "cluster_id", F.lit(False).alias("locked"), "score"))
@@ -354,7 +381,7 @@ class ClusteringEngine:
         """New labels for clusters, in contrast to all live ones. A labeler that fails leaves the labels as they are."""
         targets = self.spark.createDataFrame([(i,) for i in ids], "cluster_id string")
         try:
-            fresh = self._stage(self.labeler(self._texts(txn, (S.OPEN, S.CLOSED)), targets), "labels")
+            fresh = self.stage(self.labeler(self._texts(txn, (S.OPEN, S.CLOSED)), targets), "labels")
         except Exception:
             log.exception("the labeler failed")
             return 0
@@ -364,6 +391,7 @@ class ClusteringEngine:
 
     # --- sweep -------------------------------------------------------------------------------------------------
 
+    @_job
     def sweep(self) -> SweepReport:
         """Close quiet clusters, archive expired ones, merge alike ones, orphan stale items, relabel grown clusters; in this order, one commit."""
         return self._retry(self._sweep)
@@ -375,17 +403,17 @@ class ClusteringEngine:
         times = None
         if cfg.keep_open_min_items > 1:
             times = txn.places().where("cluster_id is not null").select("id", "cluster_id").join(txn.table("items").select("id", "ts"), "id")
-        quiet = self._stage(L.quiet(clusters, times, now, cfg.close_after, cfg.keep_open_min_items), "quiet")
+        quiet = self.stage(L.quiet(clusters, times, now, cfg.close_after, cfg.keep_open_min_items), "quiet")
         closed = tuple(r.id for r in quiet.orderBy(*order).select("id").collect())
         events = [_event("cluster.closed", quiet, F.lit(0), *order, cluster=F.col("id"), ts=now, size=F.col("size"), label=F.col("label"), last_seen=F.date_format("last_seen", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))]
         clusters = L.close(clusters, quiet, now)
-        over = self._stage(L.expired(clusters, now, cfg.grace), "expired")
+        over = self.stage(L.expired(clusters, now, cfg.grace), "expired")
         archived = tuple(r.id for r in over.orderBy(*order).select("id").collect())
         events.append(_event("cluster.archived", over, F.lit(1), *order, cluster=F.col("id"), ts=now, size=F.col("size"), label=F.col("label")))
         if closed or archived:
             clusters = txn.replace("clusters", L.archive(clusters, over))
         merged = self._merge_alike(txn, now, events)
-        stale = self._stage(L.stale(txn.table("items").select("id", "seq", "ts").join(txn.places(), "id"), now, cfg.buffer_max_age), "stale")
+        stale = self.stage(L.stale(txn.table("items").select("id", "seq", "ts").join(txn.places(), "id"), now, cfg.buffer_max_age), "stale")
         orphaned = stale.count()
         if orphaned:
             txn.set_places(stale.select("id", F.lit(S.ORPHANED).alias("status"), "cluster_id", "locked", "score"))
@@ -415,10 +443,10 @@ class ClusteringEngine:
 
     def _merge(self, txn: Transaction, merges: list[tuple[str, str, float | None]], now: datetime, events: list[DataFrame] | None, manual: bool) -> None:
         """Absorbed clusters give members, exemplars and counts to their survivors and point to them."""
-        cfg, clusters = self.config, self._stage(txn.table("clusters"), "clusters")
+        cfg, clusters = self.config, self.stage(txn.table("clusters"), "clusters")
         pairs = self.spark.createDataFrame([(a, s, x, i) for i, (a, s, x) in enumerate(merges)], "absorbed string, survivor string, similarity double, nth int")
         places = txn.places().where("cluster_id is not null")
-        moved = self._stage(places.join(pairs, places["cluster_id"] == F.col("absorbed")).select("id", "status", F.col("survivor").alias("cluster_id"), "locked", "score", "absorbed"), "moved")
+        moved = self.stage(places.join(pairs, places["cluster_id"] == F.col("absorbed")).select("id", "status", F.col("survivor").alias("cluster_id"), "locked", "score", "absorbed"), "moved")
         counts = moved.groupBy("absorbed").agg(F.count("*").alias("moved"))
         txn.set_places(moved.drop("absorbed"))
         gone = clusters.join(pairs, clusters["id"] == F.col("absorbed")).select(F.col("survivor").alias("id"), *(F.col(c).alias(f"g_{c}") for c in ("size", "seen_count", "threshold", "first_seen", "last_seen")))
@@ -453,7 +481,7 @@ class ClusteringEngine:
             return ()
         old = self.spark.createDataFrame([(r.id, r.label) for r in due], "id string, previous string")
         self._label(txn, [r.id for r in due])
-        changed = self._stage(txn.table("clusters").join(old, "id").where(~F.col("label").eqNullSafe(F.col("previous"))), "relabeled")
+        changed = self.stage(txn.table("clusters").join(old, "id").where(~F.col("label").eqNullSafe(F.col("previous"))), "relabeled")
         events.append(_event("cluster.relabeled", changed, F.lit(4), F.col("opened_at"), F.col("id"), cluster=F.col("id"), ts=now, label=F.col("label"), previous=F.col("previous")))
         return tuple(r.id for r in changed.orderBy("opened_at", "id").select("id").collect())
 
@@ -476,8 +504,8 @@ class ClusteringEngine:
         """Exemplars, threshold, size and times anew from the members; the threshold stays where there is one exemplar at most."""
         cfg = self.config
         places = txn.places().where(F.col("cluster_id").isin(*cluster_ids)).select("id", "cluster_id")
-        members = self._stage(txn.table("items").select("id", "ts").join(places, "id").join(txn.vectors(), "id").withColumnRenamed("id", "item_id"), "refresh")
-        drawn = self._stage(draw_exemplars(members, cfg.exemplars_per_cluster, cfg.random_seed), "drawn")
+        members = self.stage(txn.table("items").select("id", "ts").join(places, "id").join(txn.vectors(), "id").withColumnRenamed("id", "item_id"), "refresh")
+        drawn = self.stage(draw_exemplars(members, cfg.exemplars_per_cluster, cfg.random_seed), "drawn")
         limits = thresholds(member_scores(members, drawn, cfg.match_top_k), cfg.threshold_percentile, *cfg.threshold_bounds)
         many = drawn.groupBy("cluster_id").agg(F.count("*").alias("__drawn"))
         stats = members.groupBy("cluster_id").agg(F.count("*").alias("__n"), F.min("ts").alias("__first"), F.max("ts").alias("__last")).join(limits, "cluster_id").join(many, "cluster_id").select(F.col("cluster_id").alias("id"), "__n", "__first", "__last", "__drawn", F.round("threshold", 6).alias("__threshold"))
@@ -492,6 +520,7 @@ class ClusteringEngine:
         txn.replace("clusters", clusters.join(stats, "id", "left").select(*(values.get(c, F.col(c)).alias(c) for c in S.CLUSTERS.names)))
         txn.replace("exemplars", txn.table("exemplars").where(~F.col("cluster_id").isin(*cluster_ids)).unionByName(drawn))
 
+    @_job
     def move_item(self, item_id: str, cluster_id: str) -> None:
         """Put an item into a cluster for good: it is locked there. An item that is there already is locked only."""
         now, txn = self.clock.now(), self.store.transaction()
@@ -510,6 +539,7 @@ class ClusteringEngine:
             txn.number_events(_event("item.moved", one, F.lit(0), cluster=F.lit(cluster_id), item=F.col("id"), ts=now, previous=F.col("previous"), manual=True), ["o0"])
         self._commit(txn)
 
+    @_job
     def merge_clusters(self, a: str, b: str, survivor: str | None = None) -> str:
         """Merge two clusters by hand; returns the survivor. An open cluster absorbed by a closed one opens it."""
         if a == b:
@@ -526,6 +556,7 @@ class ClusteringEngine:
         self._commit(txn)
         return best.id
 
+    @_job
     def split_cluster(self, cluster_id: str, item_ids: Iterable[str]) -> str:
         """Make a new cluster of some members, locked there; the two never merge on their own again. Returns its name."""
         ids = list(dict.fromkeys(item_ids))
@@ -557,6 +588,7 @@ class ClusteringEngine:
         self._commit(txn)
         return name
 
+    @_job
     def _set_status(self, cluster_id: str, status: str, allowed: tuple[str, ...], kind: str) -> None:
         now, txn = self.clock.now(), self.store.transaction()
         was = self._cluster(txn, cluster_id, *allowed)
@@ -575,6 +607,7 @@ class ClusteringEngine:
         """Reopen by hand, archived ones too; sweeps neither close nor merge it."""
         self._set_status(cluster_id, S.OPEN, (S.OPEN, S.CLOSED, S.ARCHIVED), "cluster.reopened")
 
+    @_job
     def unlock_cluster(self, cluster_id: str) -> None:
         txn = self.store.transaction()
         self._cluster(txn, cluster_id)
@@ -583,6 +616,7 @@ class ClusteringEngine:
 
     # --- migration ---------------------------------------------------------------------------------------------
 
+    @_job
     def reembed(self, embedder: Embedder) -> int:
         """All items under another model: new vectors, exemplars and thresholds in one commit. Returns the number of items."""
         cfg, txn = self.config, self.store.transaction()

@@ -37,16 +37,6 @@ def final_closes(events: DataFrame) -> DataFrame:
     return last.where(F.col("e.type") == "cluster.closed").select("cluster_id", F.col("e.ts").alias("closed_at"))
 
 
-def greedy_batches(moments: list, window: timedelta, most: int) -> list[tuple[int, int]]:
-    """Ranges of ordered moments: a new batch when it would span ``window`` or more, or hold more than ``most``."""
-    out, start = [], 0
-    for i in range(1, len(moments) + 1):
-        if i == len(moments) or moments[i] - moments[start] >= window or i - start >= most:
-            out.append((start, i))
-            start = i
-    return out
-
-
 def batch_numbers(events: DataFrame, window: timedelta, most: int, key: str | None = None, time: str = "ts", item: str = "event_id") -> DataFrame:
     """``events`` with ``batch``: the number of its greedy batch in the order of time and item, within each key.
 

@@ -18,23 +18,29 @@ from driftclust.engine import Item
 MAX_ITEMS, MAX_ID, MAX_TEXT, MAX_BODY = 1000, 256, 20_000, 32 << 20
 
 
-class RateLimiter:
-    """A bucket of tokens for each client; at most ``clients`` are remembered, the longest unseen are forgotten first."""
+class Throttle:
+    """Each request books the next free step of its client's time, a minute divided by ``per_minute``; none is booked more than a minute ahead.
+    So a client may send ``per_minute`` requests at once and one a step from then on. Of more than ``clients`` clients those are
+    forgotten whose bookings end first."""
 
-    def __init__(self, per_minute: int = 600, clients: int = 10_000, clock: Callable[[], float] = time.monotonic):
-        self.rate, self.size, self.clients, self.clock = per_minute / 60, per_minute, clients, clock
-        self._buckets: dict[str, tuple[float, float]] = {}
-        self._lock = threading.Lock()
+    AHEAD = 60.0
 
-    def allow(self, client: str) -> bool:
-        with self._lock:
-            now = self.clock()
-            tokens, seen = self._buckets.pop(client, (float(self.size), now))
-            tokens = min(self.size, tokens + (now - seen) * self.rate)
-            while len(self._buckets) >= self.clients:
-                self._buckets.pop(next(iter(self._buckets)))
-            self._buckets[client] = (max(0.0, tokens - 1), now) if tokens >= 1 else (tokens, now)
-            return tokens >= 1
+    def __init__(self, per_minute: int = 600, clients: int = 10_000, clock: Callable[[], float] = time.monotonic):
+        self._step, self._most, self._clock = self.AHEAD / per_minute, clients, clock
+        self._booked_until: dict[str, float] = {}
+        self._guard = threading.Lock()
+
+    def admit(self, client: str) -> bool:
+        with self._guard:
+            now = self._clock()
+            end = max(now, self._booked_until.get(client, now)) + self._step
+            if end > now + self.AHEAD + 1e-6:
+                return False
+            self._booked_until[client] = end
+            if len(self._booked_until) > self._most:
+                keep = sorted(self._booked_until.items(), key=lambda c: c[1])[-max(1, self._most // 2) :]
+                self._booked_until = {**dict(keep), client: end}
+            return True
 
 
 def plain(value: Any) -> Any:
@@ -63,14 +69,14 @@ class Service:
     """Routes requests to an engine. ``handle`` is the whole of it, apart from sockets."""
 
     def __init__(self, engine, api_key: str | None = None, per_minute: int = 600):
-        self.engine, self.api_key, self.limiter = engine, api_key, RateLimiter(per_minute)
+        self.engine, self.api_key, self.limiter = engine, api_key, Throttle(per_minute)
 
     def handle(self, method: str, url: str, body: bytes = b"", headers: dict[str, str] | None = None, client: str = "") -> tuple[int, dict[str, Any]]:
         parts = urlsplit(url)
         path, query = parts.path.rstrip("/") or "/", parse_qs(parts.query)
         if (method, path) == ("GET", "/health"):
             return 200, {"ok": True, "data": {"status": "up"}}
-        if not self.limiter.allow(client):
+        if not self.limiter.admit(client):
             return self._error(429, "too many requests")
         if self.api_key and not hmac.compare_digest((headers or {}).get("x-api-key", ""), self.api_key):
             return self._error(401, "a valid API key is needed")

@@ -34,3 +34,12 @@ def importable(spark: SparkSession) -> None:
     environment = spark.sparkContext.environment
     if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, environment.get("PYTHONPATH", "")]))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share: what ``spark.checkpoint.dir`` names. Where it names none, a
+    folder of this machine serves a local session; a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or "file:///tmp/checkpoints/driftclust").rstrip("/")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import time
+import uuid
+
 from pyspark.sql import SparkSession
 
 
 class Files:
     def __init__(self, spark: SparkSession, root: str):
-        self._jvm, self._conf, self.root = spark._jvm, spark._jsc.hadoopConfiguration(), root.rstrip("/")
+        self._jvm, self._conf, self.root, self._gateway = spark._jvm, spark._jsc.hadoopConfiguration(), root.rstrip("/"), spark.sparkContext._gateway
         self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(self._conf)
 
@@ -35,9 +39,45 @@ class Files:
             stream.close()
         return True
 
-    def rename_new(self, old: str, new: str) -> bool:
-        """Give a file a name that isn't taken; False if it is."""
-        return not self._fs.exists(self._at(new)) and bool(self._fs.rename(self._at(old), self._at(new)))
+    def publish(self, name: str, text: str) -> bool:
+        """Make a file whole and at once, unless the name is taken: False then, and nothing has changed.
+
+        The text is written under another name first. On a local file system that file is linked to the name, elsewhere renamed without
+        overwriting; both are single steps that fail if the name is there, on local disks and HDFS. On a store without such a step
+        (plain object stores) two writers must not share a folder.
+        """
+        folder, _, last = name.rpartition("/")
+        draft = f"_new/{last}-{uuid.uuid4().hex}"
+        self.create(draft, text)
+        try:
+            self.make(folder)
+            if self._fs.getUri().getScheme() == "file":
+                os.link(self._local(draft), self._local(name))
+            else:
+                self._rename_new(draft, name)
+            return True
+        except FileExistsError:
+            return False
+        except Exception as e:
+            if "AlreadyExists" in str(e) or "already exists" in str(e):
+                return False
+            raise
+        finally:
+            self.delete(draft)
+
+    def _rename_new(self, old: str, new: str) -> None:
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        context.rename(self._at(old), self._at(new), self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+
+    def _local(self, name: str) -> str:
+        return self._at(name).toUri().getPath()
+
+    def older(self, folder: str, seconds: float) -> list[str]:
+        """Entries of a folder that nothing has been put into for so long."""
+        if not self._fs.exists(self._at(folder)):
+            return []
+        limit = (time.time() - seconds) * 1000
+        return [s.getPath().getName() for s in self._fs.listStatus(self._at(folder)) if s.getModificationTime() < limit]
 
     def names(self, folder: str) -> list[str]:
         if not self._fs.exists(self._at(folder)):

@@ -1,7 +1,8 @@
 """State tables as Parquet segments under a versioned manifest.
 
 A manifest names the segments of every table. A commit writes its segments first and then the next manifest, which only one
-writer can create; readers see the last manifest, so a job that fails or is overtaken leaves nothing behind. Items, vectors, places
+writer can create; readers see the last manifest. A job that fails or is overtaken leaves segments that no manifest names, which
+``vacuum`` deletes. Items, vectors, places
 and events only grow by segments (the latest place of an item counts); clusters, exemplars and barred pairs, which are small next to the items,
 are replaced.
 """
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftclust.schema import TABLES
+from driftclust.session import shared_folder
 from driftclust.state.files import Files
 
 #: Segments of a table from which a commit puts them together.
@@ -34,8 +36,7 @@ class StateStore:
     def open(cls, spark: SparkSession, url: str) -> StateStore:
         """``memory://`` (a folder of its own, for tests and evaluation), or a path or URL of a folder that driver and executors share."""
         if url == "memory://":
-            base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-            return cls(spark, f"{base.rstrip('/')}/driftclust-state-{uuid.uuid4().hex}")
+            return cls(spark, f"{shared_folder(spark)}/driftclust-state-{uuid.uuid4().hex}")
         scheme = url.split("://", 1)[0] if "://" in url else ""
         if scheme in ("sqlite", "postgres", "postgresql", "memory"):
             raise ValueError(f"no store for {url!r}: state is kept in folders; give a path or a URL that Spark can write")
@@ -61,25 +62,48 @@ class StateStore:
 
     # --- locks --------------------------------------------------------------------------------------------------
 
+    def _lock_state(self, name: str) -> tuple[int, dict]:
+        """A lock's last turn and who has it. Turns are files that are made once and never changed."""
+        turns = self.files.names(f"_locks/{name}")
+        return (int(turns[-1].removesuffix(".json")), json.loads(self.files.read(f"_locks/{name}/{turns[-1]}"))) if turns else (0, {"owner": None, "expires": 0.0})
+
+    def _next_turn(self, name: str, turn: int, owner: str | None, expires: float) -> bool:
+        if not self.files.publish(f"_locks/{name}/{turn + 1:012d}.json", json.dumps({"owner": owner, "expires": expires})):
+            return False
+        for old in self.files.names(f"_locks/{name}"):
+            if int(old.removesuffix(".json")) < turn:
+                self.files.delete(f"_locks/{name}/{old}")
+        return True
+
     def acquire_lock(self, name: str, owner: str, now: datetime, ttl: timedelta) -> bool:
-        """A lock for its owner, who may take it again; free for others once its time is over."""
-        entry = json.dumps({"owner": owner, "expires": (now + ttl).timestamp()})
-        file = f"_locks/{name}.json"
-        if self.files.create(file, entry):
-            return True
-        held = json.loads(self.files.read(file))
-        if held["owner"] != owner and held["expires"] > now.timestamp():
+        """A lock for its owner, who may take it again; free for others once its time is over. Whoever makes the next turn has it, and
+        only one can."""
+        turn, held = self._lock_state(name)
+        if held["owner"] not in (None, owner) and held["expires"] > now.timestamp():
             return False
-        self.files.delete(file)
-        return self.files.create(file, entry)
+        return self._next_turn(name, turn, owner, (now + ttl).timestamp())
 
     def release_lock(self, name: str, owner: str) -> None:
-        file = f"_locks/{name}.json"
-        if f"{name}.json" in self.files.names("_locks") and json.loads(self.files.read(file))["owner"] == owner:
-            self.files.delete(file)
+        turn, held = self._lock_state(name)
+        if held["owner"] == owner:
+            self._next_turn(name, turn, None, 0.0)
+
+    def vacuum(self, older_than: timedelta = timedelta(days=1)) -> int:
+        """Delete what no version of the last day or so can need: segments that the last manifest doesn't name, old manifests, results,
+        drafts and scratch folders, where nothing was written for ``older_than``. The number of entries deleted. Readers of a version
+        hold it for less than that time."""
+        named = {p for paths in self.manifest()["tables"].values() for p in paths}
+        seconds, gone = older_than.total_seconds(), 0
+        last = self.version()
+        for folder in (*TABLES, "_results", "_stage", "_new", "_manifest"):
+            for entry in self.files.older(folder, seconds):
+                if f"{folder}/{entry}" not in named and not (folder == "_manifest" and int(entry.removesuffix(".json")) >= last):
+                    self.files.delete(f"{folder}/{entry}")
+                    gone += 1
+        return gone
 
     def truncate(self) -> None:
-        for name in (*TABLES, "_manifest", "_locks", "_new"):
+        for name in (*TABLES, "_manifest", "_locks", "_new", "_results", "_stage"):
             self.files.delete(name)
 
 
@@ -165,11 +189,7 @@ class Transaction(Snapshot):
     def commit(self) -> int:
         """Make the changes visible; Conflict if another writer was faster, and then nothing has changed."""
         self.manifest["version"] = self.number
-        if not self.store.files.names("_manifest"):
-            self.store.files.make("_manifest")
-        temporary = f"_new/{self.number:012d}-{uuid.uuid4().hex}.json"
-        self.store.files.create(temporary, json.dumps(self.manifest, sort_keys=True))
-        if self.store.version() >= self.number or not self.store.files.rename_new(temporary, f"_manifest/{self.number:012d}.json"):
-            self.store.files.delete(temporary)
+        name = f"_manifest/{self.number:012d}.json"
+        if self.store.version() >= self.number or not self.store.files.publish(name, json.dumps(self.manifest, sort_keys=True)):
             raise Conflict(f"version {self.number} was committed by another writer")
         return self.number

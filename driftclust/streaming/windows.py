@@ -8,6 +8,8 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftclust.session import shared_folder
+
 #: How long late events are waited for.
 LATENESS = "3650 days"
 
@@ -37,8 +39,7 @@ def streamed_sessions(stream: DataFrame, key: str, gap: timedelta, lateness: str
 def run_available(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there and return the result. For tests and batch use of streaming plans; the result is written to the
     shared folder by ``foreachBatch``, each batch to a folder of its own, so a repeated batch replaces itself."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/driftclust"
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
         folder = f"{out}/result" if mode == "complete" else f"{out}/result/batch={number}"

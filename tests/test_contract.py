@@ -14,7 +14,7 @@ from driftclust.evaluation import runner
 from driftclust.operators import discover as D
 from driftclust.plans.catalogue import QUERIES
 from driftclust.plans.oracles import ORACLES
-from driftclust.service import RateLimiter, Service
+from driftclust.service import Throttle, Service
 from driftclust.sources.synthetic import stream
 from driftclust.streaming.ingest import ingest_stream
 from tests.test_engine import BASE, engine, items
@@ -111,10 +111,10 @@ def test_service(spark):
     assert s.handle("GET", "/clusters/none", b"", key)[0] == 404 and s.handle("GET", "/events?limit=0", b"", key)[0] == 400
     assert s.handle("POST", "/items", b"[]", key)[0] == 400 and s.handle("GET", "/nowhere", b"", key)[0] == 404
     now = [0.0]
-    r = RateLimiter(2, clock=lambda: now[0])
-    assert [r.allow("a"), r.allow("a"), r.allow("a"), r.allow("b")] == [True, True, False, True]
+    r = Throttle(2, clock=lambda: now[0])
+    assert [r.admit("a"), r.admit("a"), r.admit("a"), r.admit("b")] == [True, True, False, True]
     now[0] = 31
-    assert r.allow("a")
+    assert r.admit("a")
 
 
 def test_command_line(spark, tmp_path, capsys):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftclust.clock import SimulatedClock
 from driftclust.config import Config
 from driftclust.engine import ClusteringEngine, Item, ModelMismatch
-from driftclust.events import EventBus
+from driftclust.events import EventRoutes
 from driftclust.functions.embed import HashingEmbedder
 from driftclust.state.store import Conflict
 
@@ -83,7 +83,7 @@ def test_other_models_are_refused(spark, two_topics):
 def test_lifecycle(spark):
     told = []
     e = engine(spark, reopen_grace="1d")
-    e.bus.on(lambda event: told.append(event.type), "cluster.closed", "cluster.reopened", "cluster.archived", "item.orphaned")
+    e.bus.route(lambda event: told.append(event.type), "cluster.closed", "cluster.reopened", "cluster.archived", "item.orphaned")
     e.ingest([*items("sea", 12), Item("odd", "zz qq unlike anything", T0)])
     (cid,) = e.discover().opened
     assert e.sweep() == ((), (), (), 0, ())
@@ -207,8 +207,8 @@ def test_locks(spark):
 
 
 def test_failing_sinks_and_labelers_stop_nothing(spark):
-    bus = EventBus()
-    bus.on(lambda event: 1 / 0)
+    bus = EventRoutes()
+    bus.route(lambda event: 1 / 0)
 
     def broken(texts, targets):
         raise RuntimeError("no labels today")

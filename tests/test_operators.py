@@ -91,7 +91,7 @@ def test_embedder():
         make_embedder("nothing:x")
 
 
-@pytest.mark.parametrize("text,seconds", [("7d", 604800), ("1h30m", 5400), ("2w", 1209600), ("90s", 90), ("P1DT2H", 93600), (45, 45), ("45", 45)])
+@pytest.mark.parametrize("text,seconds", [("7d", 604800), ("1h30m", 5400), ("2w", 1209600), ("90s", 90), ("P1DT2H", 93600), (45, 45), ("45", 45), ("pt1.5h", 5400), ("1w 2d", 777600)])
 def test_durations(text, seconds):
     assert parse_duration(text) == timedelta(seconds=seconds)
 
@@ -108,13 +108,19 @@ def test_config(tmp_path, monkeypatch):
         load_config(str(f))
     with pytest.raises(ValueError):
         Config(threshold_bounds=(0.9, 0.5))
-    with pytest.raises(ValueError):
-        parse_duration("soon")
+    for text in ("soon", "", "P", "1h P", "P1H", "PT1D", "1h30", "5y", True):
+        with pytest.raises(ValueError):
+            parse_duration(text)
+    for bad in ({"min_cluster_size": 1}, {"merge_threshold": 0}, {"relabel_growth": 1.0}, {"umap_neighbors": 1}, {"label_terms": 0}, {"match_top_k": 2.5}, {"close_after": "0s"}, {"preprocess": {"max_chars": 0}}, {"exemplar_index": "x"}):
+        with pytest.raises(ValueError):
+            Config(**bad)
 
 
 def test_greedy_batches(spark):
+    from driftclust.streaming.replay import cut_batches
+
     times = [T0 + timedelta(minutes=m) for m in (0, 1, 4, 5, 6, 20, 21, 22, 23)]
-    assert timeline.greedy_batches(times, timedelta(minutes=5), 3) == [(0, 3), (3, 5), (5, 8), (8, 9)]
+    assert [(b.first, b.last) for b in cut_batches(enumerate(times), timedelta(minutes=5), 3)] == [(0, 2), (3, 4), (5, 7), (8, 8)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "event_id long, ts timestamp").repartition(3)
     rows = timeline.batch_numbers(df, timedelta(minutes=5), 3).orderBy("event_id").collect()
     assert [r.batch for r in rows] == [0, 0, 0, 1, 1, 2, 2, 2, 3]
