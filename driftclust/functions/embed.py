@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftclust.functions.text import features
+from driftclust.functions.text import pairs_of, trigrams_of, words_of
+from driftclust.session import spread
 
 
 class Embedder(Protocol):
@@ -31,42 +33,60 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0).astype(np.float32)
 
 
-_WORD = re.compile("[a-z0-9]+")
+class SignedPlaces:
+    """Features hashed to a signed coordinate: bit 0 of a feature's number is the sign, the rest modulo the dimension the place. Words are
+    remembered with their trigrams, up to REMEMBERED features."""
+
+    REMEMBERED = 1 << 20
+
+    def __init__(self, dim: int, number: Callable[[str], int]):
+        self.dim, self._number = dim, number
+        self._words: dict[str, tuple[int, ...]] = {}
+        self._pairs: dict[str, int] = {}
+
+    def _code(self, feature: str) -> int:
+        value = self._number(feature)
+        return (value >> 1) % self.dim * 2 + (value & 1)
+
+    def vector(self, text: str | None) -> np.ndarray:
+        """The sum of the features of a text: a coordinate gains 1 or loses 1 with each."""
+        words = words_of(text)
+        if len(self._words) + len(self._pairs) > self.REMEMBERED:
+            self._words.clear(), self._pairs.clear()
+        known, pairs = self._words, self._pairs
+        for word in [w for w in set(words) if w not in known]:
+            known[word] = (self._code(word), *map(self._code, trigrams_of(word)))
+        joined = list(pairs_of(words))
+        for pair in [x for x in set(joined) if x not in pairs]:
+            pairs[pair] = self._code(pair)
+        codes = np.fromiter(chain(chain.from_iterable(map(known.__getitem__, words)), map(pairs.__getitem__, joined)), np.int64)
+        return np.bincount(codes, minlength=2 * self.dim).reshape(self.dim, 2) @ np.array([-1, 1])
+
+
+def _by_blake2b(feature: str) -> int:
+    return int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
+
+
+def _by_md5(feature: str) -> int:
+    return int(hashlib.md5(feature.encode(), usedforsecurity=False).hexdigest()[:15], 16)
 
 
 class HashingEmbedder:
-    """Each feature adds 1 or -1 to one coordinate: bit 0 of its 64-bit BLAKE2b digest, read little-endian, is the sign, the rest
-    modulo the dimension the place."""
+    """Signed feature hashing by 64-bit BLAKE2b digests, read little-endian, at length 1."""
 
     def __init__(self, dim: int = 256):
         if dim < 1:
             raise ValueError("the dimension must be positive")
-        self.dim = dim
-        self._places: dict[str, tuple[int, float]] = {}
+        self.dim, self._places = dim, SignedPlaces(dim, _by_blake2b)
 
     @property
     def model_id(self) -> str:
         return f"hashing:{self.dim}"
 
-    def _place(self, feature: str) -> tuple[int, float]:
-        if (found := self._places.get(feature)) is None:
-            if len(self._places) > 1 << 18:
-                self._places.clear()
-            value = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
-            found = self._places[feature] = ((value >> 1) % self.dim, 1.0 if value & 1 else -1.0)
-        return found
-
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for row, text in enumerate(texts):
-            words = _WORD.findall((text or "").lower())
-            found = [self._place(w) for w in words]
-            found += [self._place(f"{a}_{b}") for a, b in zip(words, words[1:], strict=False)]
-            found += [self._place(w[i : i + 3]) for w in words if len(w) > 3 for i in range(len(w) - 2)]
-            if found:
-                places, signs = zip(*found, strict=True)
-                np.add.at(out[row], list(places), signs)
-        return unit_rows(out) if len(texts) else out.astype(np.float32)
+        if not texts:
+            return np.zeros((0, self.dim), np.float32)
+        return unit_rows(np.stack([self._places.vector(text) for text in texts]))
 
 
 def _hashing(model: str, _: str | None) -> Embedder:
@@ -147,16 +167,17 @@ def embed_column(text: Column, make: Callable[[], Embedder], batch: int = 64) ->
     return run(text)
 
 
-def embed_distinct(items: DataFrame, make: Callable[[], Embedder], batch: int = 64) -> DataFrame:
-    """``items`` with an ``embedding``; each distinct text is embedded once. Worth its shuffle when the model is slow and texts repeat."""
-    vectors = items.select("text").distinct().withColumn("embedding", embed_column(F.col("text"), make, batch))
-    return items.join(vectors, F.equal_null(items["text"], vectors["text"]), "left").drop(vectors["text"])
-
-
 def hashed_features(docs: DataFrame, id_column: str = "doc_id", dim: int = 256) -> DataFrame:
-    """(id, slot, value): signed feature hashing by md5, all in the JVM, as sparse rows that aren't zero."""
-    place = docs.select(id_column, F.explode(features(F.col("text"))).alias("feature")).groupBy(id_column, "feature").agg(F.count("*").alias("n"))
-    value = F.conv(F.substring(F.md5(F.col("feature").cast("binary")), 1, 15), 16, 10).cast("long")
-    signed = F.when(F.col("v") % 2 == 1, F.col("n")).otherwise(-F.col("n"))
-    rows = place.select(id_column, "n", value.alias("v")).select(id_column, (F.shiftright("v", 1) % dim).alias("slot"), signed.alias("value"))
-    return rows.groupBy(id_column, "slot").agg(F.sum("value").alias("value")).where("value <> 0")
+    """(id, slot, value): signed feature hashing by md5 as sparse rows that aren't zero, a text's sums made where the text is."""
+    kind = docs.schema[id_column].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = SignedPlaces(dim, _by_md5)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sums = np.stack([places.vector(text.as_py()) for text in batch.column(1)])
+            row, slot = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(slot.astype(np.int64)), pa.array(sums[row, slot].astype(np.int64))], [id_column, "slot", "value"])
+
+    return spread(docs.select(id_column, "text")).mapInArrow(run, f"`{id_column}` {kind}, slot long, value long")

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from driftclust.session import spread
 
 # English words that say little about a topic.
 STOP_WORDS = tuple(
@@ -12,27 +20,62 @@ STOP_WORDS = tuple(
 )
 
 
-def grams(text: Column, longest: int = 2) -> Column:
-    """Terms of 1 to ``longest`` words of two or more word characters, lower case, stop words left out before words are joined.
+_WORD = re.compile(r"\b\w\w+\b")
+_STOP = frozenset(STOP_WORDS)
+#: Distinct terms that a task holds before it gives their counts away.
+HELD = 1 << 20
 
-    Words are found once for each length of term; neighbours are joined by zipping the words with themselves, shifted.
-    """
-    words = F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\b(?!(?:{'|'.join(STOP_WORDS)})\b)(\w\w+)\b"))
-    found, runs = [words], words
-    for n in range(2, longest + 1):
-        shifted = F.slice(words, n, F.greatest(F.size(words), F.lit(1)))
-        # the shorter side is filled up with nulls, which the filter takes out
-        runs = F.filter(F.zip_with(runs, shifted, lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
-        found.append(runs)
-    return F.concat(*found)
 
+def words_of(text: str | None) -> list[str]:
+    """Words of two or more word characters, lower case, without stop words."""
+    return [w for w in _WORD.findall(text.lower()) if w not in _STOP] if text else []
 
-def term_scores(terms: DataFrame, group: str = "cluster_id") -> DataFrame:
-    """(group, term, score) from rows (group, term): the term's share of its group times ln(1 + mean terms of a group / count overall).
 
-    Counts are made by (group, term) on the map side; no window over all terms of a group is needed.
-    """
-    counts = terms.groupBy(group, "term").agg(F.count("*").alias("n"))
+def term_counts(texts: DataFrame, group: str = "cluster_id", longest: int = 2) -> DataFrame:
+    """(group, term, n): terms of 1 to ``longest`` words of a text, stop words left out before words are joined. Counted in Arrow batches, at
+    most about HELD terms at once in a task, so that counts, not occurrences, are shuffled."""
+    kind = texts.schema[group].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def flush() -> pa.RecordBatch:
+            groups = pa.array([g for g, counts in held.items() for _ in counts], batch.schema.field(0).type)
+            found = pa.RecordBatch.from_arrays([groups, pa.array([t for c in held.values() for t in c], pa.string()), pa.array([n for c in held.values() for n in c.values()], pa.int64())], [group, "term", "n"])
+            held.clear()
+            return found
+
+        batch = None
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words_of(text.as_py())
+                counts = held.setdefault(name, Counter())
+                for n in range(longest):
+                    counts.update(words if not n else map(" ".join, zip(*(words[i:] for i in range(n + 1)), strict=False)))
+                if sum(map(len, held.values())) > HELD:
+                    yield flush()
+        if batch is not None:
+            yield flush()
+
+    return spread(texts.select(group, "text")).mapInArrow(run, f"`{group}` {kind}, term string, n long").groupBy(group, "term").agg(F.sum("n").alias("n"))
+
+
+def _ends(texts: DataFrame, group: str) -> DataFrame:
+    """(group, pos, first, last): the first and the last word of each text that has any."""
+    schema = texts.select(group, "pos").schema.add("first", "string").add("last", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(x.as_py()) for x in batch.column(2)]
+            some = pa.array([bool(w) for w in words], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), batch.column(1).filter(some), pa.array([w[0] for w in words if w], pa.string()), pa.array([w[-1] for w in words if w], pa.string())], schema.names)
+
+    return spread(texts.select(group, "pos", "text")).mapInArrow(run, schema)
+
+
+def term_scores(counts: DataFrame, group: str = "cluster_id") -> DataFrame:
+    """(group, term, score) from rows (group, term, n), one for each term of a group: the term's share of its group times
+    ln(1 + mean terms of a group / count overall)."""
     totals = counts.groupBy(group).agg(F.sum("n").alias("group_n"))
     overall = counts.groupBy("term").agg(F.sum("n").alias("term_n"))
     mean = totals.agg((F.sum("group_n") / F.count("*")).alias("mean_n"))
@@ -40,20 +83,42 @@ def term_scores(terms: DataFrame, group: str = "cluster_id") -> DataFrame:
     return scored.select(group, "term", (F.col("n") / F.col("group_n") * F.log(1 + F.col("mean_n") / F.col("term_n"))).alias("score")).where("score > 0")
 
 
-def distinctive(scores: DataFrame, group: str = "cluster_id", n: int = 5, pool: int = 200) -> DataFrame:
-    """(group, terms): the n best of a group's ``pool`` best terms, best first, leaving out one that contains or is contained in a better one."""
-    order = W.partitionBy(group).orderBy(F.desc("score"), F.asc("term"))
-    fold = F.aggregate(
-        "found",
-        F.array().cast("array<string>"),
-        lambda kept, t: F.when((F.size(kept) >= n) | F.exists(kept, lambda k: k.contains(t.term) | t.term.contains(k)), kept).otherwise(F.concat(kept, F.array(t.term))),
-    )
+def _fold(group: str, n: int):
+    """Over rows sorted by (group, score downward, term): the n first terms of each group, none containing another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, kind = None, None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([kept], pa.list_(pa.string()))], [group, "terms"])
 
-    def chosen(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "term"))).alias("found")).select(group, fold.alias("terms"))
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for name, term in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if kept is None or name != now:
+                    if kept is not None:
+                        yield out()
+                    now, kept = name, []
+                if len(kept) < n and not any(term in k or k in term for k in kept):
+                    kept.append(term)
+        if kept is not None:
+            yield out()
 
-    ranked = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool)
-    return chosen(ranked)
+    return run
+
+
+def distinctive(scores: DataFrame, group: str = "cluster_id", n: int = 5, pool: int = 200) -> DataFrame:
+    """(group, terms): the n best terms of each group, best first, leaving out one that contains or is contained in a better one.
+
+    The ``pool`` best terms, taken on the map side, nearly always hold them. Groups that they don't fill are folded over all of
+    their terms, in order.
+    """
+    schema = scores.select(group).schema.add("terms", T.ArrayType(T.StringType()))
+    order = W.partitionBy(group).orderBy(F.desc("score"), F.asc("term"))
+    fold = lambda rows: rows.select(group, "term", "score").repartition(group).sortWithinPartitions(group, F.desc("score"), "term").select(group, "term").mapInArrow(_fold(group, n), schema)
+    found = fold(scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool))
+    short = found.where(F.size("terms") < n).join(scores.groupBy(group).agg(F.count("*").alias("all")).where(F.col("all") > pool), group, "left_semi").select(group)
+    return found.join(short, group, "left_anti").unionByName(fold(scores.join(short, group, "left_semi")))
 
 
 def labels(texts: DataFrame, group: str = "cluster_id", n: int = 5, targets: DataFrame | None = None) -> DataFrame:
@@ -62,12 +127,11 @@ def labels(texts: DataFrame, group: str = "cluster_id", n: int = 5, targets: Dat
 
     Pairs within a text are made where the text is; only the first and last words of texts are put in order.
     """
-    found = texts.select(group, "pos", grams(F.col("text"), 1).alias("words")).where(F.size("words") > 0)
-    inside = found.select(group, F.explode(F.concat("words", F.filter(F.zip_with("words", F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull()))).alias("term"))
-    edges = found.select(group, "pos", F.col("words")[0].alias("first"), F.element_at("words", -1).alias("last"))
+    edges = _ends(texts, group)
     before = F.lag("last").over(W.partitionBy(group).orderBy("pos"))
-    across = edges.select(group, F.concat(before, F.lit(" "), "first").alias("term")).where("term is not null")
-    scores = term_scores(inside.unionAll(across), group)
+    across = edges.select(group, F.concat(before, F.lit(" "), "first").alias("term")).where("term is not null").withColumn("n", F.lit(1).cast("long"))
+    counts = term_counts(texts, group, 2).unionByName(across).groupBy(group, "term").agg(F.sum("n").alias("n"))
+    scores = term_scores(counts, group)
     if targets is not None:
         scores = scores.join(targets.select(group), group, "left_semi")
     return distinctive(scores, group, n).select(group, F.array_join("terms", " · ").alias("label"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftclust.config import Preprocess
+from driftclust.session import spread
 
 # What counts as personal data and its token, in the order of replacement.
 PII_PATTERNS = (
@@ -62,9 +66,51 @@ def preprocess(items: DataFrame, how: Preprocess, hook: Callable[[Column], Colum
     return items.withColumn("text", text)
 
 
-def features(text: Column) -> Column:
-    """Words ``[a-z0-9]+`` of the lower-cased text, pairs of neighbours joined by ``_``, and the trigrams of words over 3 characters."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit("_"), b))
-    trigrams = F.flatten(F.transform(F.filter(words, lambda w: F.length(w) > 3), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))))
-    return F.concat(words, pairs, trigrams)
+_WORD = re.compile("[a-z0-9]+")
+#: Distinct features that a task holds before it gives their counts away.
+HELD = 1 << 20
+
+
+def words_of(text: str | None) -> list[str]:
+    """Words ``[a-z0-9]+`` of the lower-cased text."""
+    return _WORD.findall(text.lower()) if text else []
+
+
+def pairs_of(words: list[str]) -> Iterator[str]:
+    """Neighbours joined by ``_``."""
+    return map("_".join, zip(words, words[1:], strict=False))
+
+
+def trigrams_of(word: str) -> list[str]:
+    """The trigrams of a word of over 3 characters."""
+    return [word[i : i + 3] for i in range(len(word) - 2)] if len(word) > 3 else []
+
+
+def feature_counts(docs: DataFrame, column: str = "text") -> DataFrame:
+    """(feature, n): words, pairs of neighbours and trigrams of all texts. Counted in Arrow batches, at most about HELD features at once in a
+    task, so that counts, not occurrences, are shuffled; trigrams are counted by distinct word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter[str] = Counter()
+        pairs: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            found = Counter(words)
+            for word, n in words.items():
+                for trigram in trigrams_of(word):
+                    found[trigram] += n
+            for pair, n in pairs.items():
+                found[pair] += n
+            words.clear(), pairs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["feature", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                found = words_of(text.as_py())
+                words.update(found)
+                pairs.update(pairs_of(found))
+                if len(pairs) > HELD:
+                    yield flush()
+        yield flush()
+
+    return spread(docs.select(column)).mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftclust.operators.scoring import nearest_exemplars
+from driftclust.operators.scoring import ROWS, matrix, nearest_exemplars
 
 #: Bytes of exemplars that are sent to the workers at once. A larger index is scored block by block.
 INDEX_BYTES = 128 << 20
-#: Items scored in one matrix product.
-ROWS = 256
 
 DECISIONS = "item_id string, cluster_id string, score double, runner_up_cluster_id string, runner_up_score double"
 
@@ -31,13 +30,17 @@ class Block:
     counts: np.ndarray
 
     @classmethod
-    def of(cls, rows: list) -> Block:
-        counts = np.array([len(r.vectors) for r in rows])
-        dim = max((len(v) for r in rows for v in r.vectors), default=0)
-        tensor = np.zeros((len(rows), int(counts.max(initial=0)), dim), np.float32)
-        for i, r in enumerate(rows):
-            tensor[i, : counts[i]] = np.asarray(r.vectors, np.float32)
-        return cls([r.cluster_id for r in rows], np.array([r.threshold for r in rows], float), np.array([r.place for r in rows], np.int64), tensor, counts)
+    def of(cls, table: pa.Table, first: int) -> Block:
+        """From rows (place, cluster_id, threshold, vectors), numbered from ``first`` in the order of their places."""
+        places = [tuple(p.values()) for p in table.column("place").to_pylist()]
+        table = table.take(pa.array(sorted(range(len(places)), key=places.__getitem__), pa.int64())).combine_chunks()
+        lists = table.column("vectors").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        counts = np.diff(np.asarray(lists.offsets))
+        flat = np.asarray(lists.flatten().flatten(), np.float32).reshape(int(counts.sum()), -1)
+        tensor = np.zeros((len(counts), int(counts.max(initial=0)), flat.shape[1]), np.float32)
+        tensor[np.repeat(np.arange(len(counts)), counts), np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)] = flat
+        return cls(table.column("cluster_id").to_pylist(), np.asarray(table.column("threshold"), float), np.arange(first, first + len(counts)), tensor, counts)
 
     def wide(self) -> np.ndarray:
         """All exemplars as columns in double precision, made once for a task."""
@@ -63,21 +66,16 @@ def _best(block: Block, k: int):
         wide = block.wide()
         for batch in batches:
             ids = batch.column("item_id")
-            vectors = batch.column("embedding")
-            dim = block.tensor.shape[2]
-            flat = np.asarray(vectors.flatten(), np.float32)
-            if len(flat) != len(vectors) * dim:
-                raise ValueError(f"items have vectors of another dimension than the {dim} of the exemplars")
-            matrix = flat.reshape(len(vectors), dim)
+            vectors = matrix(batch.column("embedding"), block.tensor.shape[2])
             parts = []
-            for at in range(0, len(matrix), ROWS):
-                scores = block.scores(matrix[at : at + ROWS], k, wide)
+            for at in range(0, len(vectors), ROWS):
+                scores = block.scores(vectors[at : at + ROWS], k, wide)
                 order = np.argsort(-scores, axis=1, kind="stable")[:, :2]
                 parts.append((order, np.take_along_axis(scores, order, axis=1)))
             order = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, 1), int)
             score = np.concatenate([p[1] for p in parts]) if parts else np.zeros((0, 1))
             width = order.shape[1]
-            rows = np.repeat(np.arange(len(matrix)), width)
+            rows = np.repeat(np.arange(len(vectors)), width)
             which = order.ravel()
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(rows)), pa.array([block.names[i] for i in which], pa.string()), pa.array(score.ravel(), pa.float64()), pa.array(block.thresholds[which], pa.float64()), pa.array(block.places[which], pa.int64())],
@@ -112,30 +110,65 @@ def _blocks(index: DataFrame) -> Iterator[Block]:
             part = part.where(F.col("place") > at(low))
         if high is not None:
             part = part.where(F.col("place") <= at(high))
-        rows = sorted(part.collect(), key=lambda r: tuple(r.place))
-        if rows:
-            yield Block.of([_Placed(r.cluster_id, r.threshold, r.vectors, place + i) for i, r in enumerate(rows)])
-            place += len(rows)
+        found = part.toArrow()
+        if found.num_rows:
+            yield Block.of(found, place)
+            place += found.num_rows
 
 
 @dataclass
-class _Placed:
-    cluster_id: str
-    threshold: float
-    vectors: list
-    place: int
+class Index:
+    """All exemplars of live clusters on the driver, where they fit into one block; ``until`` is the last moment at which the same clusters are live."""
 
+    key: tuple
+    blocks: list[Block]
+    until: Any
 
-def assign(items: DataFrame, exemplars: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
+    def serves(self, key: tuple, now: Any) -> bool:
+        return self.key == key and (self.until is None or now <= self.until)
+
+
+def make_index(exemplars: DataFrame, clusters: DataFrame, key: tuple, until: Any) -> Index | None:
+    """The index of clusters for later batches; None if it is larger than one block."""
+    rows = index_rows(exemplars, clusters)
+    if (rows.select(F.sum(F.size("vectors") * F.size(F.col("vectors")[0]) * 4)).first()[0] or 0) > INDEX_BYTES:
+        return None
+    return Index(key, list(_blocks(rows)), until)
+
+
+def all_scores(items: DataFrame, exemplars: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
+    """(item_id, cluster_id, score) of all items (item_id, embedding) against all clusters that have exemplars."""
+
+    def score(block: Block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wide, names = block.wide(), pa.array(block.names, pa.string())
+            for batch in batches:
+                vectors = matrix(batch.column("embedding"), block.tensor.shape[2])
+                for at in range(0, len(vectors), ROWS):
+                    scores = block.scores(vectors[at : at + ROWS], k, wide)
+                    row, col = np.indices(scores.shape).reshape(2, -1)
+                    yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(row + at)), names.take(pa.array(col)), pa.array(scores.ravel())], ["item_id", "cluster_id", "score"])
+
+        return run
+
+    found = None
+    for block in _blocks(index_rows(exemplars, clusters)):
+        part = items.select("item_id", "embedding").mapInArrow(score(block), "item_id string, cluster_id string, score double")
+        found = part if found is None else found.unionAll(part)
+    return items.sparkSession.createDataFrame([], "item_id string, cluster_id string, score double") if found is None else found
+
+
+def assign(items: DataFrame, exemplars: DataFrame, clusters: DataFrame, k: int, index: Index | None = None) -> DataFrame:
     """Decisions for items (item_id, embedding): cluster_id and score of the best cluster, null cluster where the score is under that
     cluster's threshold (then the item is buffered), and the runner-up. Scores are rounded to 6 digits after the decision.
 
     Each item is scored against all clusters by the mean of its k best similarities to the cluster's exemplars. The best cluster
     alone decides; ties go to the one opened first, then by id. Without clusters all results are null. Items don't see each other.
+    An ``index`` made before stands for exemplars and clusters.
     """
     items = items.select("item_id", "embedding")
     found = None
-    for block in _blocks(index_rows(exemplars, clusters)):
+    for block in _blocks(index_rows(exemplars, clusters)) if index is None else index.blocks:
         part = items.mapInArrow(_best(block, k), "item_id string, cluster_id string, score double, threshold double, place long")
         found = part if found is None else found.unionAll(part)
     if found is None:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +31,31 @@ def packed(exemplars: DataFrame) -> DataFrame:
     return rows.select("cluster_id", F.transform("x", lambda e: e.item_id).alias("item_ids"), F.transform("x", lambda e: e.embedding).alias("vectors"))
 
 
+#: Bytes of exemplars that are sent to the workers at once. What is larger takes more passes.
+BLOCK_BYTES = 64 << 20
+#: Items scored in one matrix product.
+ROWS = 256
+
+
+def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    """A column of vectors as rows in double precision."""
+    flat = np.asarray(vectors.flatten(), np.float64)
+    if len(flat) != len(vectors) * dim:
+        raise ValueError(f"vectors of another dimension than the {dim} of the exemplars")
+    return flat.reshape(len(vectors), dim)
+
+
+def exemplar_parts(exemplars: DataFrame, key: str) -> Iterator[tuple[Column, pa.Table]]:
+    """Exemplars in tables of at most about BLOCK_BYTES, dealt by the hash of a column and sorted by cluster and pos, each with the condition
+    on that column that its rows meet. One is on the driver at a time."""
+    size = exemplars.agg(F.sum(F.size("embedding") * 4)).first()[0] or 0
+    parts = max(1, -(-int(size) // BLOCK_BYTES))
+    for part in range(parts):
+        mine = F.pmod(F.xxhash64(key), F.lit(parts)) == part if parts > 1 else F.lit(True)
+        found = exemplars.where(mine).toArrow()
+        yield mine, found.sort_by([("cluster_id", "ascending"), ("pos", "ascending")]).combine_chunks()
+
+
 def similarities(vector: Column | str, vectors: Column | str) -> Column:
     return F.transform(vectors, lambda e: dot(vector, e))
 
@@ -37,13 +66,48 @@ def member_scores(members: DataFrame, exemplars: DataFrame, k: int) -> DataFrame
     The mean of the k best similarities to the exemplars other than the member. k is lowered, for a whole cluster, to the least
     number of exemplars that any of its members has left, but not below 1. A member without any has score 0.
     """
-    rows = members.join(packed(exemplars), "cluster_id")
-    others = F.filter(F.arrays_zip(F.col("item_ids").alias("i"), F.col("vectors").alias("v")), lambda e: e.i != F.col("item_id"))
-    rows = rows.select("cluster_id", "item_id", similarities("embedding", F.transform(others, lambda e: e.v)).alias("sims"))
-    least = rows.groupBy("cluster_id").agg(F.min(F.size("sims")).alias("least"))
-    rows = rows.join(least, "cluster_id")
-    best = F.slice(F.sort_array("sims", asc=False), F.lit(1), F.greatest(F.lit(1), F.least(F.lit(k), F.col("least"))))
-    return rows.select("cluster_id", "item_id", F.when(F.size("sims") > 0, F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(best)).otherwise(F.lit(0.0)).alias("score"))
+    members = members.select("cluster_id", "item_id", "embedding")
+    own = exemplars.groupBy("cluster_id", "item_id").agg(F.count("*").alias("own")).join(members.select("cluster_id", "item_id"), ["cluster_id", "item_id"], "left_semi")
+    most = own.groupBy("cluster_id").agg(F.max("own").alias("own"))
+    least = exemplars.groupBy("cluster_id").agg(F.count("*").alias("have")).join(most, "cluster_id", "left").select("cluster_id", (F.col("have") - F.coalesce("own", F.lit(0))).alias("least"))
+    tops = {r.cluster_id: max(1, min(k, r.least)) for r in least.collect()}  # clusters
+    found = None
+    for mine, table in exemplar_parts(exemplars, "cluster_id"):
+        part = members.where(mine).mapInArrow(_member_scores(table, tops), "cluster_id string, item_id string, score double")
+        found = part if found is None else found.unionAll(part)
+    return found
+
+
+def _member_scores(table: pa.Table, tops: dict[str, int]):
+    names = table.column("cluster_id").to_pylist()
+    ids = table.column("item_id").to_pylist()
+    flat = np.asarray(table.column("embedding").combine_chunks().flatten(), np.float32) if names else np.zeros(0, np.float32)
+    vectors = flat.reshape(len(names), -1) if names else flat.reshape(0, 0)
+    edges = [i for i in range(len(names) + 1) if i in (0, len(names)) or names[i] != names[i - 1]]
+    spans = {names[a]: (a, b, {x: [j for j in range(b - a) if ids[a + j] == x] for x in ids[a:b]}, tops[names[a]]) for a, b in zip(edges, edges[1:], strict=False)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clusters, items = batch.column("cluster_id").to_pylist(), batch.column("item_id").to_pylist()
+            scores = np.zeros(len(items))
+            known = np.array([c in spans for c in clusters], bool)
+            groups: dict[str, list[int]] = {}
+            for row in np.flatnonzero(known).tolist():
+                groups.setdefault(clusters[row], []).append(row)
+            for name, rows in groups.items():
+                a, b, own, top = spans[name]
+                sims = matrix(batch.column("embedding").take(pa.array(rows)), vectors.shape[1]) @ vectors[a:b].astype(np.float64).T
+                left = np.full(len(rows), b - a)
+                for i, row in enumerate(rows):
+                    mine = own.get(items[row], ())
+                    sims[i, list(mine)] = -np.inf
+                    left[i] -= len(mine)
+                best = -np.sort(-sims, axis=1)[:, :top]
+                use = np.arange(best.shape[1]) < left[:, None]
+                scores[rows] = np.where(use, best, 0).sum(axis=1) / np.maximum(use.sum(axis=1), 1)
+            yield pa.RecordBatch.from_arrays([batch.column("cluster_id").filter(pa.array(known)), batch.column("item_id").filter(pa.array(known)), pa.array(scores[known])], ["cluster_id", "item_id", "score"])
+
+    return run
 
 
 def thresholds(scores: DataFrame, percentile: float, low: float, high: float) -> DataFrame:
@@ -67,25 +131,45 @@ def centroids(vectors: DataFrame, group: str = "cluster_id") -> DataFrame:
     return mean.select(group, F.transform("mean", lambda x: x / length).alias("centroid"))
 
 
-#: Bytes of exemplars that are broadcast at once.
-BROADCAST_BYTES = 64 << 20
+def _nearest(table: pa.Table, n: int):
+    """The n exemplars of a table that are nearest to each item; equal ones by cluster and pos, in which they are sorted."""
+    names, pos = table.column("cluster_id").combine_chunks(), table.column("pos").combine_chunks()
+    flat = np.asarray(table.column("embedding").combine_chunks().flatten(), np.float32) if len(names) else np.zeros(0, np.float32)
+    vectors = flat.reshape(len(names), -1) if len(names) else flat.reshape(0, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = np.ascontiguousarray(vectors.T, np.float64)
+        for batch in batches:
+            if not len(vectors):
+                continue
+            items = matrix(batch.column("embedding"), vectors.shape[1])
+            for at in range(0, len(items), ROWS):
+                far = -(items[at : at + ROWS] @ wide)
+                limit = np.partition(far, n - 1, axis=1)[:, n - 1 : n] if far.shape[1] > n else np.full((len(far), 1), np.inf)
+                row, col = np.nonzero(far <= limit)
+                order = np.lexsort((col, far[row, col], row))
+                row, col = row[order], col[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[rank < n], col[rank < n]
+                yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(row + at)), names.take(pa.array(col)), pos.take(pa.array(col)), pa.array(-far[row, col])], ["item_id", "cluster_id", "pos", "sim"])
+
+    return run
 
 
 def nearest_exemplars(items: DataFrame, exemplars: DataFrame, n: int, k: int) -> DataFrame:
     """(item_id, cluster_id, score) as a store's nearest-neighbour index gives them: of the n exemplars nearest to an item those of a
     cluster are summed, k best at most, and divided by the smaller of k and the cluster's number of exemplars; what isn't near counts 0.
 
-    The exemplars are measured and broadcast in parts of at most about BROADCAST_BYTES; the n nearest of each part are merged.
+    The exemplars are measured and sent in parts of at most about BLOCK_BYTES; the n nearest of each part are merged.
     """
     sizes = exemplars.groupBy("cluster_id").agg(F.count("*").alias("have"))
     order = W.partitionBy("item_id").orderBy(F.desc("sim"), "cluster_id", "pos")
-    top = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("rank")
-    size = exemplars.agg(F.sum(F.size("embedding") * 4)).first()[0] or 0
-    parts, near = max(1, -(-int(size) // BROADCAST_BYTES)), None
-    for part in range(parts):
-        some = exemplars.where(F.pmod(F.xxhash64("cluster_id", "pos"), F.lit(parts)) == part) if parts > 1 else exemplars
-        sims = items.select("item_id", "embedding").crossJoin(F.broadcast(some.select("cluster_id", "pos", F.col("embedding").alias("e"))))
-        found = top(sims.select("item_id", "cluster_id", "pos", dot("embedding", "e").alias("sim")))
-        near = found if near is None else top(near.unionAll(found))
+    near, parts = None, 0
+    kind = exemplars.schema["pos"].dataType.simpleString()
+    for _, table in exemplar_parts(exemplars.select("cluster_id", "pos", "embedding"), "cluster_id"):
+        found = items.select("item_id", "embedding").mapInArrow(_nearest(table, n), f"item_id string, cluster_id string, pos {kind}, sim double")
+        near, parts = found if near is None else near.unionAll(found), parts + 1
+    if parts > 1:
+        near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     best = near.groupBy("item_id", "cluster_id").agg(F.slice(F.sort_array(F.collect_list("sim"), asc=False), 1, k).alias("sims")).join(sizes, "cluster_id")
     return best.select("item_id", "cluster_id", (F.aggregate("sims", F.lit(0.0), lambda s, x: s + x) / F.least(F.lit(k), F.col("have"))).alias("score"))

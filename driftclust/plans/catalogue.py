@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -15,6 +14,7 @@ from driftclust.functions import embed, keys, terms, text, vector
 from driftclust.operators import assign as A
 from driftclust.operators import dedupe, lifecycle, sampling, scoring, timeline
 from driftclust.operators import discover as D
+from driftclust.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,9 +86,9 @@ def q01_centroid_cosine(spark, d):
 @query
 def q02_topk_mean(spark, d):
     """Score of every item against every cluster."""
-    packed = scoring.packed(exemplars(spark, d)).select("cluster_id", "vectors")
-    items = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return items.crossJoin(F.broadcast(packed)).select("vec_id", "cluster_id", F.round(vector.top_k_mean(scoring.similarities("embedding", "vectors"), K), 6).alias("score"))
+    items = members(spark, d).select("item_id", "embedding")
+    found = A.all_scores(items, exemplars(spark, d), members(spark, d).select(F.col("cluster_id").alias("id"), F.lit(0.0).alias("threshold")).distinct(), K)
+    return found.select(F.col("item_id").cast("long").alias("vec_id"), "cluster_id", (F.round("score", 6) + F.lit(0.0)).alias("score"))  # no negative zero
 
 
 @query
@@ -250,25 +250,24 @@ def q23_redact(spark, d):
 @query
 def q24_features(spark, d):
     """Words, word pairs and trigrams of all documents, counted over the corpus."""
-    return table(spark, d, "documents").select(F.explode(text.features(F.col("text"))).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
+    return text.feature_counts(table(spark, d, "documents"))
 
 
 @query
 def q25_embed_md5(spark, d):
-    """Signed feature hashing of all documents in the JVM, as sparse rows."""
+    """Signed feature hashing of all documents by md5, as sparse rows."""
     return embed.hashed_features(table(spark, d, "documents").select("doc_id", "text"), "doc_id", 256)
 
 
 @query
 def q26_embed_hashing(spark, d):
     """Signed feature hashing by BLAKE2b of all documents: norm and coordinates that aren't zero."""
-    docs = table(spark, d, "documents").select("doc_id", embed.embed_column(F.col("text"), lambda: embed.HashingEmbedder(256)).alias("v"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", embed.embed_column(F.col("text"), lambda: embed.HashingEmbedder(256)).alias("v"))
     return docs.select("doc_id", F.round(vector.norm("v"), 4).alias("norm"), F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("nonzero"))
 
 
 def _terms(spark, d, longest):
-    docs = table(spark, d, "documents").select("source", F.explode(terms.grams(F.col("text"), longest)).alias("term"))
-    return terms.term_scores(docs, "source")
+    return terms.term_scores(terms.term_counts(table(spark, d, "documents"), "source", longest), "source")
 
 
 @query
@@ -344,7 +343,7 @@ def q34_orphan_stale(spark, d):
 
 @query
 def q35_relabel_due(spark, d):
-    """Users that have grown by half since the events before their purchases."""
+    """Users with 1.25 times as many events as those that aren't views, or more."""
     c = events(spark, d).groupBy(F.col("user_id").cast("string").alias("id")).agg(F.count("*").alias("size"), F.count_if(F.col("event_type") != "view").alias("label_size")).withColumn("status", F.lit("open"))
     return lifecycle.grown(c, 1.25).select("id", "size", "label_size")
 
@@ -389,7 +388,7 @@ def q49_event_log(spark, d):
 
 @query
 def q50_make_batches(spark, d):
-    """Replay batches of the events of every user: cut after an hour or 5 events."""
+    """Replay batches of the events of every user: cut before they span 36 hours or hold more than 5 events."""
     rows = timeline.batch_numbers(events(spark, d).select("event_id", "user_id", "ts"), timedelta(hours=36), 5, "user_id")
     return rows.groupBy("user_id", "batch").agg(F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("end"))
 
@@ -534,7 +533,3 @@ def q58_reembed(spark, d):
     wide, narrow = (embed.hashed_features(docs, "doc_id", dim).groupBy("doc_id").agg(F.count("*").alias(f"nonzero_{dim}")) for dim in (256, 128))
     return wide.join(narrow, "doc_id")
 
-
-def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/driftclust"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -151,6 +151,18 @@ SELECT cluster_id, item_id, row_number() OVER (PARTITION BY cluster_id ORDER BY
         "q24_features": f"WITH {_FEATURES} SELECT feature, count(*) AS n FROM f0 GROUP BY ALL",
         "q25_embed_md5": f"WITH {_FEATURES}, {_hashed(256)} SELECT * FROM z256",
         "q27_ctfidf_terms": f"WITH {words}, g5 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, term) AS rank FROM g4 WHERE score > 0) SELECT source, term, round(score, 6) AS score, rank FROM g5 WHERE rank <= 5",
+        "q28_ctfidf_labels": rf"""
+WITH RECURSIVE w AS (SELECT source, doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]{{2,}}'), lambda x: NOT list_contains([{stop}], x)) AS w FROM documents),
+e AS (SELECT source, w, lag(w[-1]) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM w WHERE len(w) > 0),
+g AS (SELECT source, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || CASE WHEN b IS NULL THEN [] ELSE [b || ' ' || w[1]] END) AS term FROM e),
+g1 AS (SELECT source, term, count(*) AS n FROM g GROUP BY ALL),
+g2 AS (SELECT source, sum(n) AS sn FROM g1 GROUP BY ALL),
+g3 AS (SELECT term, sum(n) AS tn FROM g1 GROUP BY ALL),
+g4 AS (SELECT source, term, n / sn * ln(1 + (SELECT sum(sn) / count(*) FROM g2) / tn) AS score FROM g1 JOIN g2 USING (source) JOIN g3 USING (term)),
+l AS (SELECT source, list(term ORDER BY round(score, 12) DESC, term) AS l FROM g4 WHERE score > 0 GROUP BY source),
+f AS (SELECT source, l, CAST([] AS VARCHAR[]) AS kept FROM l
+  UNION ALL SELECT source, list_filter(l[2:], lambda t: NOT (contains(t, l[1]) OR contains(l[1], t))), kept || [l[1]] FROM f WHERE len(l) > 0 AND len(kept) < 5)
+SELECT source, array_to_string(arg_max(kept, len(kept)), ' · ') AS label FROM f GROUP BY source""",
         "q29_cluster_id": "SELECT label::VARCHAR AS label, 'cl_' || substr(sha256(string_agg(vec_id::VARCHAR, chr(10) ORDER BY vec_id::VARCHAR)), 1, 12) AS id FROM embeddings GROUP BY label",
         "q30_attach": """WITH b AS (SELECT user_id::VARCHAR AS id, count(*) AS size, min(ts) AS f, max(ts) AS l FROM events WHERE event_type <> 'purchase' GROUP BY ALL),
 p AS (SELECT user_id::VARCHAR AS id, count(*) AS n, min(ts) AS f, max(ts) AS l FROM events WHERE event_type = 'purchase' GROUP BY ALL)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings of the session, for any size: partitions are coalesced and split at run time.
 SETTINGS = {
@@ -43,3 +43,14 @@ def shared_folder(spark: SparkSession) -> str:
     if not named and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or "file:///tmp/checkpoints/driftclust").rstrip("/")
+
+
+#: Bytes of a table for each core, as Catalyst estimates them, from which it lies in enough splits.
+SPLIT_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table, which may lie in a single row group, dealt to all cores for a costly map stage; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
