@@ -27,7 +27,7 @@ from driftclust.functions.text import preprocess
 from driftclust.operators import discover as D
 from driftclust.operators import lifecycle as L
 from driftclust.operators import sampling
-from driftclust.operators.assign import assign, assign_nearest
+from driftclust.operators.assign import Index, assign, assign_nearest, make_index
 from driftclust.operators.dedupe import first_of_each, numbered, unknown
 from driftclust.operators.scoring import draw_exemplars, member_scores, thresholds
 from driftclust.state.store import Conflict, Snapshot, StateStore, Transaction
@@ -35,8 +35,8 @@ from driftclust.state.store import Conflict, Snapshot, StateStore, Transaction
 log = logging.getLogger("driftclust")
 
 DISCOVERY_LOCK_TTL = timedelta(hours=1)
-#: Newest texts of a cluster that a label is made from.
-LABEL_TEXTS = 100
+#: A label is made from LABEL_TEXTS of a cluster's LABEL_NEWEST newest texts, drawn at random but the same for a seed.
+LABEL_NEWEST, LABEL_TEXTS = 500, 100
 
 
 @dataclass(frozen=True)
@@ -108,6 +108,7 @@ class ClusteringEngine:
         self.clock, self.bus, self.hook = clock or SystemClock(), EventRoutes() if bus is None else bus, hook
         self.labeler = labeler or self._ctfidf
         self._discovering, self._job = threading.Lock(), threading.local()
+        self._index: Index | None = None
         self._check_model(self.store.snapshot())
 
     # --- shared ------------------------------------------------------------------------------------------------
@@ -152,10 +153,27 @@ class ClusteringEngine:
                     raise
                 log.info("another writer committed first; the job runs again")
 
-    def _assign(self, items: DataFrame, exemplars: DataFrame, clusters: DataFrame) -> DataFrame:
-        if self.config.exemplar_index == "nearest":
-            return assign_nearest(items, exemplars, clusters, self.config.exemplar_neighbors, self.config.match_top_k)
-        return assign(items, exemplars, clusters, self.config.match_top_k)
+    def _assign(self, items: DataFrame, txn: Transaction, now: datetime) -> DataFrame:
+        """Decisions against the clusters that can take items now. Their index stays on the driver, if it is small enough, for as long as the
+        tables are the same and no closed cluster's grace ends."""
+        cfg, exemplars = self.config, txn.table("exemplars")
+        live = L.matchable(txn.table("clusters"), now, cfg.grace)
+        if cfg.exemplar_index == "nearest":
+            return assign_nearest(items, exemplars, live, cfg.exemplar_neighbors, cfg.match_top_k)
+        tables = txn.manifest["tables"]
+        key = (tuple(tables.get("clusters", ())), tuple(tables.get("exemplars", ())))
+        if self._index is None or not self._index.serves(key, now):
+            first = live.where(F.col("status") == S.CLOSED).agg(F.min("closed_at")).first()[0]
+            self._index = make_index(exemplars, live, key, as_utc(first) + cfg.grace if first else None)
+        return assign(items, exemplars, live, cfg.match_top_k, self._index)
+
+    def match(self, items: DataFrame | Iterable[Item]) -> DataFrame:
+        """Where items would go: the decisions of ``ingest`` (item_id, cluster_id, score, runner-up), with nothing stored."""
+        txn, now, embedder = self.store.transaction(), self.clock.now(), self.embedder
+        self._check_model(txn)
+        rows = preprocess(self._input(items), self.config.preprocess, self.hook)
+        vectors = rows.select(F.col("id").alias("item_id"), embed_column(F.col("text"), lambda: embedder, self.config.embed_batch_size).alias("embedding"))
+        return self._assign(vectors, txn, now)
 
     # --- ingest ------------------------------------------------------------------------------------------------
 
@@ -224,9 +242,7 @@ class ClusteringEngine:
         cfg = self.config
         txn.append("items", fresh)
         txn.append("vectors", fresh.select("id", "embedding", F.lit(self.embedder.model_id).alias("model_id"), F.lit(txn.number).alias("version")))
-        clusters, exemplars = txn.table("clusters"), txn.table("exemplars")
-        live = L.matchable(clusters, now, cfg.grace)
-        decided = self._assign(fresh.select(F.col("id").alias("item_id"), "embedding"), exemplars, live)
+        decided = self._assign(fresh.select(F.col("id").alias("item_id"), "embedding"), txn, now)
         self._decisions = decided = self.stage(decided, "decisions")
         placed = fresh.join(decided.withColumnRenamed("item_id", "id"), "id")
         hit = F.col("cluster_id").isNotNull()
@@ -358,8 +374,7 @@ class ClusteringEngine:
         log.info("opened %d clusters, labelled %d", len(new), labelled)
 
     def _reassign(self, txn: Transaction, left: DataFrame, now: datetime) -> int:
-        live = L.matchable(txn.table("clusters"), now, self.config.grace)
-        decided = self._assign(left.select(F.col("id").alias("item_id"), "embedding"), txn.table("exemplars"), live).where("cluster_id is not null")
+        decided = self._assign(left.select(F.col("id").alias("item_id"), "embedding"), txn, now).where("cluster_id is not null")
         hits = self.stage(left.drop("score").join(decided.select(F.col("item_id").alias("id"), "cluster_id", "score"), "id"), "reassigned")
         n = hits.count()
         if n:
@@ -375,7 +390,8 @@ class ClusteringEngine:
     def _texts(self, snapshot: Snapshot, statuses: tuple[str, ...]) -> DataFrame:
         live = snapshot.table("clusters").where(F.col("status").isin(*statuses)).select(F.col("id").alias("cluster_id"))
         members = snapshot.table("items").join(snapshot.places().where("cluster_id is not null").select("id", "cluster_id"), "id").join(live, "cluster_id")
-        return sampling.recent(members, LABEL_TEXTS).select("cluster_id", F.col("rank").alias("pos"), "text")
+        newest = sampling.recent(members.withColumnRenamed("id", "item_id"), LABEL_NEWEST).drop("rank")
+        return sampling.random(newest, LABEL_TEXTS, self.config.random_seed).select("cluster_id", F.col("seq").alias("pos"), "text")
 
     def _label(self, txn: Transaction, ids: list[str]) -> int:
         """New labels for clusters, in contrast to all live ones. A labeler that fails leaves the labels as they are."""

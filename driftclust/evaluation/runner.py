@@ -18,6 +18,7 @@ from driftclust.clock import SimulatedClock
 from driftclust.config import Config
 from driftclust.engine import ClusteringEngine, Item
 from driftclust.evaluation.metrics import summary
+from driftclust.schema import CLUSTERS, OPEN
 from driftclust.sources.synthetic import START, texts
 from driftclust.streaming.replay import ReplayStats, replay
 
@@ -39,7 +40,8 @@ def run_eval(spark: SparkSession, items: DataFrame, config: Config, *, drain: ti
     s = engine.store.snapshot()
     judged = s.items().join(items.where("label is not null").select("id", "label"), "id")
     row = summary(judged, s.table("clusters"), s.table("events")).first().asDict()
-    return EvalResult({**row, "items_per_second": round(stats.items_per_second, 1)}, stats, engine)
+    ms = {f"batch_p{p}_ms": None if (x := stats.latency(p)) is None else round(1000 * x, 1) for p in (50, 95)}
+    return EvalResult({**row, "items_per_second": round(stats.items_per_second, 1), **ms}, stats, engine)
 
 
 def default_grid(config: Config) -> dict[str, list]:
@@ -81,34 +83,52 @@ def tune(spark: SparkSession, items: DataFrame, config: Config, grid: dict[str,
     return mark_front(trials)
 
 
-def measure(spark: SparkSession, clusters: int = 1000, exemplars: int = 32, dim: int = 256, batch: int = 20_000, buffer: int = 20_000, singles: int = 5, seed: int = 7) -> dict[str, float]:
-    """Seconds and rates: assignment of a batch to random clusters, of single items, and discovery of a buffer of short texts."""
-    from driftclust.functions.embed import HashingEmbedder
-    from driftclust.operators.assign import assign
-    from driftclust.operators.density import density_labels, reduce
-
+def _seeded(spark: SparkSession, clusters: int, exemplars: int, dim: int, seed: int) -> ClusteringEngine:
+    """An engine with open clusters of random exemplars."""
     r = np.random.default_rng(seed)
-    unit = lambda n: (lambda v: (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32))(r.normal(size=(n, dim)))
-    vectors = unit(clusters * exemplars)
-    column = lambda v: pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * dim, v.ravel())
+    vectors = r.normal(size=(clusters * exemplars, dim)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     n = np.arange(len(vectors))
-    ex = spark.createDataFrame(pa.table({"cluster_id": [f"c{i}" for i in n // exemplars], "pos": (n % exemplars).astype(np.int32), "item_id": [str(i) for i in n], "embedding": column(vectors)})).cache()
-    live = spark.createDataFrame([(f"c{i}", 0.3) for i in range(clusters)], "id string, threshold double")
-    items = spark.createDataFrame(pa.table({"item_id": [str(i) for i in range(batch)], "embedding": column(unit(batch))})).repartition(spark.sparkContext.defaultParallelism).cache()
-    ex.count(), items.count()
-    t = time.perf_counter()
-    assign(items, ex, live, 5).write.format("noop").mode("overwrite").save()
-    bulk = time.perf_counter() - t
-    each = []
-    for i in range(singles):
-        t = time.perf_counter()
-        assign(items.where(F.col("item_id") == str(i)), ex, live, 5).collect()
-        each.append(time.perf_counter() - t)
-    t = time.perf_counter()
-    labels = density_labels(reduce(HashingEmbedder(dim).embed(texts(buffer, seed)), 5), 10, 5)
-    found = time.perf_counter() - t
-    ex.unpersist(), items.unpersist()
-    return {"assign_items_per_second": round(batch / bulk, 1), "assign_seconds": round(bulk, 3), "single_p50_ms": round(float(np.percentile(each, 50)) * 1000, 1), "single_p95_ms": round(float(np.percentile(each, 95)) * 1000, 1), "discovery_seconds": round(found, 2), "discovery_clusters": int(labels.max()) + 1}
+    column = pa.ListArray.from_arrays(np.arange(len(vectors) + 1, dtype=np.int32) * dim, vectors.ravel())
+    engine = ClusteringEngine(spark, Config(embedder=f"hashing:{dim}", threshold_bounds=(0.3, 0.95)), clock=SimulatedClock(START))
+    txn = engine.store.transaction()
+    txn.append("exemplars", spark.createDataFrame(pa.table({"cluster_id": [f"c{i}" for i in n // exemplars], "pos": (n % exemplars).astype(np.int32), "item_id": [f"x{i}" for i in n], "embedding": column})))
+    txn.append("clusters", spark.createDataFrame([(f"c{i}", OPEN, 0.3, exemplars, START, START, START, None, None, None, False, exemplars, exemplars) for i in range(clusters)], CLUSTERS))
+    txn.commit()
+    return engine
+
+
+def _timed(job: Callable[[], Any]) -> tuple[float, Any]:
+    began = time.perf_counter()
+    found = job()
+    return time.perf_counter() - began, found
+
+
+def measure(spark: SparkSession, clusters: int = 1000, exemplars: int = 32, dim: int = 256, batch: int = 20_000, buffer: int = 20_000, singles: int = 5, seed: int = 7) -> dict[str, float]:
+    """Seconds and rates of whole jobs: ``ingest`` of a batch of short texts (embedding, decisions and commit) against clusters, ``match`` and
+    ``ingest`` of single items, and ``discover`` on a buffer."""
+    engine = _seeded(spark, clusters, exemplars, dim, seed)
+    rows = lambda n, s, name: spark.createDataFrame([(f"{name}{i}", t, START + timedelta(seconds=i)) for i, t in enumerate(texts(n, s))], "id string, text string, ts timestamp")
+    bulk, _ = _timed(lambda: engine.ingest(rows(batch, seed, "b")))
+    some = [Item(f"s{i}", t, START) for i, t in enumerate(texts(2 * singles + 1, seed + 1))]
+    engine.match(some[:1]).collect()
+    matched = [_timed(lambda item=item: engine.match([item]).collect())[0] for item in some[1 : singles + 1]]
+    ingested = [_timed(lambda item=item: engine.ingest([item]))[0] for item in some[singles + 1 :]]
+    other = ClusteringEngine(spark, Config(embedder=f"hashing:{dim}", threshold_bounds=(0.3, 0.95)), clock=SimulatedClock(START))
+    other.ingest(rows(buffer, seed, "d"))
+    found, report = _timed(other.discover)
+    engine.store.truncate(), other.store.truncate()
+    ms = lambda values, p: round(float(np.percentile(values, p)) * 1000, 1)
+    return {
+        "ingest_items_per_second": round(batch / bulk, 1),
+        "ingest_seconds": round(bulk, 3),
+        "match_p50_ms": ms(matched, 50),
+        "match_p95_ms": ms(matched, 95),
+        "ingest_one_p50_ms": ms(ingested, 50),
+        "discovery_seconds": round(found, 2),
+        "discovery_clusters": len(report.opened),
+        "discovery_buffer": report.snapshot_size,
+    }
 
 
 __all__ = ["START", "Item", "EvalResult", "Trial", "default_grid", "mark_front", "measure", "run_eval", "tune"]
