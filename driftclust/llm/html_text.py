@@ -17,8 +17,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-DROPPED = frozenset("head script style noscript template iframe textarea title nav footer aside form fieldset button input select option label dialog menu search svg math canvas object embed audio video noembed noframes xmp".split())
+DROPPED = frozenset("head script style noscript template iframe textarea title nav footer aside button input select option label legend dialog menu search svg annotation annotation-xml canvas object embed audio video noembed noframes xmp".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status tooltip".split())
+FORMS = frozenset("form fieldset".split())
 PARAGRAPH = frozenset("p pre blockquote td dd li".split())
 #: An opening tag on the left ends open elements named on the right, up to the nearest element in its third part.
 ENDS = {
@@ -31,20 +32,26 @@ ENDS = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words of class and id names that mark what isn't the article.
-UNLIKELY = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|adbox|adslot|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|cookie\w*|consent|gdpr|notice\w*|newsletter|subscri\w*|sidebar|sidenav|side|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|foot|header|masthead|topbar|comments?|commentlist|comment\w*|disqus\w*|respond|reply|replies|reviews|share|sharing|social|related|recommend\w*|popup|modal|overlay|login|signin|signup|register|pager|pagination|widget\w*|toolbar|toc|copyright|legal|disclaimer|skip|search\w*|outbrain|taboola|alert|tags|byline-share|hidden)(?:$|[-_\s\d])",
-    re.I,
+#: Words of class and id names for what isn't the article, and beginnings of such words.
+ROLES = frozenset("ad ads adbox adslot adunit banner consent gdpr notice notices sidebar sidebars sidenav side nav navbar navigation footer foot header masthead topbar discussion discussions respond reply replies reviews share sharing social related popup modal overlay login signin signup register pager pagination widget widgets toolbar toc copyright legal disclaimer skip search outbrain taboola alert tags hidden menu menus submenu".split())
+ROLE_BEGINS = ("advert", "adsense", "sponsor", "promo", "cookie", "comment", "newsletter", "subscri", "breadcrumb", "disqus", "recommend")
+#: Words that leave such a name what it is: ``related-posts`` names no article, ``related-work`` may.
+NEUTRAL = frozenset(
+    "box block area section list lists item items wrapper wrap container inner outer top bottom left right site page global primary secondary bar link links post posts article articles entry story stories content body panel holder thread threads form button buttons icons icon row col column group unit slot zone space place frame view region module component js the my user users reader readers visitor main fixed sticky floating mini small large big mobile desktop new latest more count title heading head text msg message messages inline embedded in above below after before under strip card cards grid feed control controls policy settings plugin app div wp a b c x and".split()
 )
-LIKELY = re.compile(r"(?:^|[-_\s])(?:article\w*|content|entry|main|body|post|story|text|page)(?:$|[-_\s\d])", re.I)
+ARTICLE = frozenset("article entry post story".split())
+LIKELY = frozenset("article articles content entry main body post story text page".split())
+#: Share of a page's points from which an element isn't what its name says; comments may well be longer than an article.
+MISNAMED, MISNAMED_COMMENTS = 0.95, 0.99
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "score", "chars", "linked", "commas")
+    __slots__ = ("tag", "attributes", "parent", "children", "score", "chars", "linked", "commas", "points")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
@@ -107,35 +114,66 @@ def parse(page: str) -> Node:
     return root
 
 
-def _dropped(node: Node) -> bool:
-    tag, a = node.tag, node.attributes
-    if tag in DROPPED:
-        return True
-    if tag == "header":  # the page's, not the article's own
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is None or not any(isinstance(c, Node) and c.tag in HEADINGS for c in node.children)
-    if not a:
-        return False
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in DROPPED_ROLES or _HIDDEN.search(a.get("style", "")):
+def named_role(node: Node) -> str | None:
+    """The role that a class or id names, where one consists of role words and neutral ones only; None for names of articles and others.
+
+    ``comments-list`` and ``adBox2`` name roles; ``related-work``, ``notice-board`` and ``has-sidebar`` don't, nor does ``entry-header``.
+    """
+    for name in f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".split():
+        words = [w.lower() for w in _NAME.findall(name)]
+        roles = [w for w in words if w in ROLES or w.startswith(ROLE_BEGINS)]
+        if roles and all(w in roles or w in NEUTRAL or w.isdigit() for w in words) and not (set(roles) <= {"header"} and ARTICLE & set(words)):
+            return roles[0]
+    return None
+
+
+def _likely(node: Node) -> bool:
+    names = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}"
+    return any(w.lower() in LIKELY for w in _NAME.findall(names))
+
+
+def _inside(node: Node, *tags: str) -> bool:
+    up = node.parent
+    while up is not None and up.tag not in tags:
+        up = up.parent
+    return up is not None
+
+
+def _outside(node: Node) -> bool:
+    """Whether an element is no part of any article by its kind, role or state."""
+    a = node.attributes
+    if node.tag in DROPPED or node.tag == "header" and not (_inside(node, "article") or _inside(node, "main") and any(isinstance(c, Node) and c.tag in HEADINGS for c in node.children)):
         return True
-    if tag in ("body", "article", "main", "html"):
-        return False
-    names = f"{a.get('class', '')} {a.get('id', '')}"
-    return bool(names.strip()) and bool(UNLIKELY.search(names)) and not (LIKELY.search(names) and tag in ("div", "section") and not re.search(r"comment|sidebar|\bad|footer|menu|nav|promo|sponsor|cookie|related|share|notice|newsletter|header", names, re.I))
+    return bool(a) and ("hidden" in a or a.get("aria-hidden") == "true" or node.tag not in ("body", "article", "main", "html") and a.get("role", "").lower() in DROPPED_ROLES or bool(_HIDDEN.search(a.get("style", ""))))
 
 
 def prune(root: Node) -> None:
+    """Take out what stands outside of articles: by kind, role and state first; then forms, and elements whose name says so, unless they hold nearly
+    all points of the page."""
     stack = [root]
     while stack:
         node = stack.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not _dropped(c)]
+        node.children = [c for c in node.children if isinstance(c, str) or not _outside(c)]
         stack += [c for c in node.children if isinstance(c, Node)]
+    _measure(root)
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or not _misplaced(c, root.points)]
+        stack += [c for c in node.children if isinstance(c, Node)]
+
+
+def _misplaced(node: Node, points: float) -> bool:
+    if node.tag in FORMS:
+        return node.points <= 0.5 * points  # some pages are a single form
+    if node.tag in ("body", "article", "main", "html"):
+        return node.tag == "article" and _inside(node, "article", "main") and (named_role(node) or "").startswith("comment")
+    role = named_role(node)
+    return role is not None and node.points <= points * (MISNAMED_COMMENTS if role.startswith("comment") else MISNAMED)
 
 
 def _measure(root: Node) -> list[Node]:
-    """Characters, commas and linked characters of every subtree; the nodes, each after those below it."""
+    """Characters, commas, linked characters and points of every subtree; the nodes, each after those below it."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -144,13 +182,15 @@ def _measure(root: Node) -> list[Node]:
     order.reverse()
     for node in order:
         chars = commas = linked = 0
+        points = 0.0
         for c in node.children:
             if isinstance(c, str):
                 chars += len(" ".join(c.split()))
                 commas += c.count(",") + c.count("、") + c.count("，") + c.count("،")
             else:
-                chars, commas, linked = chars + c.chars, commas + c.commas, linked + c.linked
+                chars, commas, linked, points = chars + c.chars, commas + c.commas, linked + c.linked, points + c.points
         node.chars, node.commas, node.linked = chars, commas, chars if node.tag == "a" else linked
+        node.points = points + _own_points(node)
     return order
 
 
@@ -158,58 +198,78 @@ def _density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
+_OWN_TEXT = frozenset("div section article main body span td center form".split())
+
+
+def _own_points(node: Node) -> float:
+    """Points of a paragraph: one, one for each comma, one for each 100 characters up to three, a fifth of that if it is short, times the share that
+    isn't links. Containers with text of their own count as paragraphs; 0 for other elements."""
+    own = any(isinstance(c, str) and c.strip() for c in node.children)
+    if not node.chars or not (node.tag in PARAGRAPH or own and node.tag in _OWN_TEXT):
+        return 0.0
+    if not own and any(isinstance(c, Node) and c.tag in PARAGRAPH and c.chars for c in node.children):
+        return 0.0
+    return (1 + node.commas + min(node.chars // 100, 3)) * (1 if node.chars >= 25 else 0.2) * (1 - _density(node))
+
+
 def _start(node: Node) -> float:
-    names = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}"
-    base = {"article": 10, "main": 10, "section": 5, "div": 5, "blockquote": 3, "td": 3, "pre": 3}.get(node.tag, -3 if node.tag in ("ul", "ol", "dl", "li", "address") else 0)
-    return base + (25 if names.strip() and LIKELY.search(names) else 0)
+    base = {"article": 25, "main": 15, "section": 5, "div": 5, "blockquote": 3, "td": 3, "pre": 3}.get(node.tag, -3 if node.tag in ("ul", "ol", "dl", "li", "address") else 0)
+    return base + (25 if _likely(node) else 0)
 
 
 def best_container(root: Node) -> Node:
     """Paragraphs pass points for their length and commas to their ancestors: all to the parent, half to its parent, a third of that
-    half and so on above, and each container's sum is discounted by the share of its text that is links."""
-    order = _measure(root)
+    half and so on above, and each container's sum is discounted by the share of its text that is links. Elements and names of articles
+    start with points of their own."""
     candidates: dict[int, Node] = {}
-    for node in order:
-        own = any(isinstance(c, str) and c.strip() for c in node.children)
-        if not node.chars or not (node.tag in PARAGRAPH or own and node.tag in ("div", "section", "article", "main", "body", "span", "td", "center")):
-            continue
-        if any(isinstance(c, Node) and c.tag in PARAGRAPH and c.chars for c in node.children) and not own:
+    for node in _measure(root):
+        points = _own_points(node)
+        if not points:
             continue
-        points = (1 + node.commas + min(node.chars // 100, 3)) * (1 if node.chars >= 25 else 0.2) * (1 - _density(node))
-        up, level = (node if node.tag not in PARAGRAPH and own else node.parent), 0
+        up, level = (node.parent if node.tag in PARAGRAPH and node.parent is not None else node), 0
         while up is not None:
             if id(up) not in candidates:
                 up.score = _start(up)
                 candidates[id(up)] = up
             up.score += points / (1 if level == 0 else 2 if level == 1 else level * 3)
             up, level = up.parent, level + 1
-    best = max(candidates.values(), key=lambda n: n.score * (1 - _density(n)), default=root)
-    up = best
-    while up is not None:  # a part of an article stands for the article
-        if up.tag == "article" or up.tag == "main" and not any(isinstance(c, Node) and c.tag == "article" for c in up.children):
-            return up
+    return max(candidates.values(), key=lambda n: n.score * (1 - _density(n)), default=root)
+
+
+def _beside(node: Node, best: Node, article: bool) -> bool:
+    """Whether a sibling of the best container, or of an ancestor inside the same article, is a part of the article. Inside an ``article`` or ``main``
+    any text that isn't mostly links is; elsewhere it takes a share of the best score, a heading or a paragraph of running text."""
+    dense = _density(node)
+    if not node.chars:
+        return False
+    if article:
+        return dense < 0.5 or node.tag in HEADINGS or node.tag in PARAGRAPH
+    same = node.attributes.get("class") and node.attributes.get("class") == best.attributes.get("class")
+    return node.score + (best.score * 0.2 if same else 0) >= max(10.0, best.score * 0.2) and dense < 0.5 or node.tag in HEADINGS or node.tag == "p" and (dense < 0.25 if node.chars > 80 else dense == 0)
+
+
+def _kept(best: Node) -> list[Node | str]:
+    """The best container and the parts of the same article beside it, in page order: level by level up to the outermost ``article``, or else ``main``,
+    around it, or beside the container alone."""
+    top, up = None, best
+    while up is not None:
+        if up.tag == "article" or up.tag == "main" and (top is None or top.tag == "main"):
+            top = up
         up = up.parent
-    return best
-
-
-def _kept(best: Node) -> list[Node]:
-    """The best container and those of its siblings that are likely parts of the same article, in page order."""
-    if best.parent is None or best.tag == "body":
-        return [best]
-    least = max(10.0, best.score * 0.2)
-    found = []
-    for node in best.parent.children:
-        if node is best:
-            found.append(node)
-        elif isinstance(node, Node) and node.chars:
-            same = node.attributes.get("class") and node.attributes.get("class") == best.attributes.get("class")
-            dense = _density(node)
-            if node.score + (best.score * 0.2 if same else 0) >= least and dense < 0.5 or node.tag in HEADINGS and best.tag not in ("article", "main") or node.tag == "p" and (dense < 0.25 if node.chars > 80 else dense == 0):
-                found.append(node)
+    found: list[Node | str] = [best]
+    node = best
+    while node.parent is not None and node is not top and node.tag not in ("body", "html"):
+        article = top is not None
+        at = next(i for i, c in enumerate(node.parent.children) if c is node)
+        beside = lambda c: c if isinstance(c, Node) and _beside(c, best, article) or isinstance(c, str) and article else None  # noqa: B023, E731
+        found = [c for c in map(beside, node.parent.children[:at]) if c is not None] + found + [c for c in map(beside, node.parent.children[at + 1 :]) if c is not None]
+        if not article:
+            break
+        node = node.parent
     return found
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def blocks(nodes: list[Node | str]) -> list[str]:
     """Texts of the blocks in page order, white space as single spaces. Inline elements don't part a word; blocks and ``br`` do."""
     out, held = [], []
 
@@ -220,6 +280,11 @@ def blocks(nodes: list[Node]) -> list[str]:
             out.append(text)
 
     for top in nodes:
+        if isinstance(top, str):
+            held.append(top)
+            continue
+        if top.tag in BLOCK:
+            end()
         stack: list = [top]
         while stack:
             node = stack.pop()
@@ -234,7 +299,7 @@ def blocks(nodes: list[Node]) -> list[str]:
                     end()
                     stack.append(None)
                 stack += reversed(node.children)
-        end()
+    end()
     return out
 
 
@@ -257,8 +322,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """Main text of whole pages: page_id, url, text, n_chars (code points); a row for each row.
 
     The article without menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers and
-    markup; character references decoded, white space inside a block as one space, blocks joined by a space in page order. A null
-    or empty page, or one without text, gives an empty text. A page without an article gives what scores best, at least the body.
+    markup; character references decoded, white space (Unicode's, as ``str.split`` has it) inside a block as one space, blocks joined by a
+    space in page order. Only elements outside of articles by kind, role or state go before points are counted; a form, or an element whose class
+    or id names such a thing, stays if it holds nearly all points of the page. A null or empty page, or one without text, gives an empty
+    text. A page without an article gives what scores best, at least the body.
     Null and repeated ids return as they are; other columns are ignored.
     """
     rows = own_columns(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))

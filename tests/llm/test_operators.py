@@ -739,6 +739,76 @@ def test_main_text(page):
     assert main_text(page) == TEXT
 
 
+MORE = "<p>Third paragraph, which is written to be long enough, with commas, so that it counts, as text does, for the article.</p>"
+FULL = TEXT + " Third paragraph, which is written to be long enough, with commas, so that it counts, as text does, for the article."
+HOLDERS = {
+    "article": "{before}<article>{body}{inside}</article>{after}",
+    "main": "{before}<main>{body}{inside}</main>{after}",
+    "main and article": "<main>{before}<article>{body}{inside}</article>{after}</main>",
+    "named div": "{before}<div class='post-body'>{body}{inside}</div>{after}",
+    "classless div": "{before}<div>{body}{inside}</div>{after}",
+    "div in divs": "<div><div>{before}</div><div><div>{body}{inside}</div></div><div>{after}</div></div>",
+    "id": "<div id=page>{before}<div id=main-content>{body}{inside}</div>{after}</div>",
+    "sections": "{before}<article><section>{body}</section><section>{inside}</section></article>{after}",
+    "table": "<table><tr><td>{before}</td><td>{body}{inside}</td><td>{after}</td></tr></table>",
+    "one form": "<form id=aspnetForm>{before}<div class=content>{body}{inside}</div>{after}</form>",
+    "wrapper with a role's name": "<div id='content-sidebar-wrap'>{before}<div class='entry-content'>{body}{inside}</div>{after}</div>",
+    "unclosed": "{before}<article>{body}{inside}</article>{after}<p>",
+}
+JUNK = {
+    "nav": "<nav><ul><li><a href=/>Home, sweet home</a></li><li><a href=/x>Elsewhere</a></li></ul></nav>",
+    "ad": "<div class='ad'>Buy now, cheap, cheap, cheap, buy this today!</div>",
+    "advert": "<section id=adSlot2><p>Buy now, cheap, cheap, cheap, buy this today, it is good!</p></section>",
+    "sponsored": "<div class='sponsored-content'><p>Our sponsor, whom we like, has words, and commas, for you.</p></div>",
+    "sidebar": "<div class='left-sidebar'><p>Lots of text, in a sidebar, that is long, long, long, and has commas.</p></div>",
+    "aside": "<aside><p>Lots of text, in an aside, that is long, long, long, and has commas.</p></aside>",
+    "cookies": "<div id='cookie-banner' role='alert'><p>We use cookies, and you, dear reader, must agree, or not.</p></div>",
+    "notice": "<div class='site-notice'><p>Our offices are closed, on Monday, due to the weather, sorry.</p></div>",
+    "comments": "<div id=comments><h3>3 comments</h3>" + "<div class=comment><p>I think, as a reader, that this, all in all, is great, really, and I say so at length.</p></div>" * 3 + "</div>",
+    "comment articles": "<section class='comment-list'>" + "<article class=comment><p>I think, as a reader, that this, all in all, is great, really.</p></article>" * 2 + "</section>",
+    "menu": "<ul class='menu main-menu'><li>One item, of a menu</li><li>Two</li></ul>",
+    "footer": "<footer><p>All rights, as always, are reserved, by us, for ever.</p></footer>",
+    "footer div": "<div class='page-footer'><p>All rights, as always, are reserved, by us, for ever.</p></div>",
+    "form": "<form><p>Subscribe, now, please, to this letter, it is free.</p><input><button>Go</button></form>",
+    "newsletter": "<div class='newsletter-signup'><p>Subscribe, now, please, to this letter, it is free.</p></div>",
+    "related": "<div class='related-posts'><ul><li><a href=/1>Another post, about things</a></li><li><a href=/2>And one more</a></li></ul></div>",
+    "role": "<div role=complementary><p>Lots of text, in a box, that is long, long, long, and has commas.</p></div>",
+    "hidden": "<div style='display: none'><p>Text that nobody, but nobody, is meant, ever, to see here.</p></div>",
+    "script": "<script>if (a</b) x = '<p>no, no, no</p>';</script><style>p{margin:0}</style><noscript><p>no, no</p></noscript>",
+    "share": "<div class='social share-buttons'><a href=#>Share this</a> <a href=#>Or that</a></div>",
+}
+
+
+@pytest.mark.parametrize("holder", HOLDERS)
+def test_main_text_in_any_page(holder):
+    for name, junk in JUNK.items():
+        for place in ("before", "inside", "after"):
+            page = "<html><body>" + HOLDERS[holder].format(**{"body": BODY + MORE, "before": "", "inside": "", "after": "", place: junk}) + "</body></html>"
+            assert main_text(page) == FULL, (name, place)
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<article>{BODY}<section class='related-work'>{MORE}</section></article>", FULL),
+        (f"<article>{BODY}<div class='related-work'>{MORE}</div></article>", FULL),
+        (f"<article>{BODY}{MORE.replace('<p>', '<p class=notice-board>')}</article>", FULL),
+        (f"<div class='has-sidebar no-comments'>{BODY}{MORE}</div>", FULL),
+        (f"<article><header><h1>Title</h1><p class=byline>By A. Writer</p></header>{MORE}</article>", "Title By A. Writer" + FULL.removeprefix(TEXT)),
+        (f"<article><header><p class=byline>By A. Writer</p></header>{MORE}</article>", "By A. Writer" + FULL.removeprefix(TEXT)),
+        (f"<article><div class='entry-header'><h1>Title</h1></div><div class='entry-content'>{MORE}</div></article>", "Title" + FULL.removeprefix(TEXT)),
+        (f"<article><section>{MORE * 9}</section><section><p>Short end.</p></section></article>", " ".join([FULL.removeprefix(TEXT).strip()] * 9) + " Short end."),
+        (f"<article>{MORE * 3}<article><p>An embedded note, short.</p></article><p>End.</p></article>", " ".join([FULL.removeprefix(TEXT).strip()] * 3) + " An embedded note, short. End."),
+        (f"<div class='modal'>{BODY}{MORE}</div>", FULL),
+        (f"<main><div class=teasers>{''.join(f'<div><a href=/{i}>Another story, {i}</a></div>' for i in range(30))}</div><div class=story>{BODY}{MORE}</div></main>", FULL),
+        ("<article><p>One</p>bare text<ul><li>a</li><li>b</li></ul><table><tr><td>c</td></tr></table><pre>d\n e</pre></article>", "One bare text a b c d e"),
+        (f"<article>{MORE}</article><div id=comments>" + "<div class=comment><p>I think, as a reader, that this, all in all, is great, really.</p></div>" * 30 + "</div>", FULL.removeprefix(TEXT).strip()),
+    ],
+)
+def test_article_text_is_kept_whole(page, text):
+    assert main_text(page) == text
+
+
 def test_main_text_of_odd_pages():
     assert main_text(None) == main_text("") == main_text("<html><body></body></html>") == main_text("<script>x</script>") == ""
     assert main_text("just text &lt;b&gt;") == "just text <b>"
