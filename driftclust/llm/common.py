@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftclust.session import shared_folder, spread
+
 #: Bytes of text that one numpy pass holds at once; its temporaries take about 40 times as much.
 SLICE_BYTES = 1 << 20
 #: Bytes of rows in an Arrow batch; a single row may have more.
@@ -20,16 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A folder of our own only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or "file:///tmp/checkpoints/driftclust").rstrip("/")
-
-
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the lineage ends there and lost executors cost no recomputation. The shuffle
     files that led to it, which nothing reads any more, are deleted."""
-    spark, path, key = df.sparkSession, f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark, path, key = df.sparkSession, f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
@@ -56,10 +52,20 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, absent ones as null strings: other columns may have any name."""
+    """Only the named columns, absent ones as null strings: other columns may have any name. A small table is dealt to all cores."""
     bound_batches(df.sparkSession)
     have = set(df.columns)
-    return df.select(*(F.col(f"`{n}`") if n in have else F.lit(None).cast("string").alias(n) for n in names))
+    return spread(df.select(*(F.col(f"`{n}`") if n in have else F.lit(None).cast("string").alias(n) for n in names)))
+
+
+def packed(df: DataFrame, *keys: str) -> tuple[DataFrame, Callable[[str], Column]]:
+    """``df`` with its ``keys`` as they are and all other columns in one, so that an operator's own columns clash with none; and what gives a
+    column back by its name."""
+    quoted = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    rest = [c for c in df.columns if c not in keys]
+    place = {c: f"c{i}" for i, c in enumerate(rest)}
+    back = lambda c: quoted(c) if c in keys else F.col("__rest").getField(place[c]).alias(c)
+    return df.select(*map(quoted, keys), F.struct(F.lit(0).alias("none"), *(quoted(c).alias(place[c]) for c in rest)).alias("__rest")), back
 
 
 # --- Arrow batches -----------------------------------------------------------------------------------------------
@@ -143,12 +149,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def line_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the lines of one text, split at ``\\n`` only; an empty text is one empty line."""
-    breaks = np.flatnonzero(data == 10)
-    return np.concatenate(([0], breaks + 1)), np.concatenate((breaks, [len(data)]))
-
-
 def word_hashes(column: pa.Array, lower: bool) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, word hashes of each row) for slices of a column. A row longer than a slice is cut at white space and put together again."""
     data, offsets = utf8(column)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftclust.llm.common import LOWER, SLICE_BYTES, SPACE, cut, drop_cut, mix, own_columns, runs, span_hashes, utf8, word_spans
+from driftclust.llm.common import LOWER, SLICE_BYTES, SPACE, cut, drop_cut, mix, own_columns, packed, runs, span_hashes, utf8, word_spans
 
 #: Buckets of each kind of n-gram: single words, pairs of words, the first PREFIX bytes of words.
 BUCKETS = 1 << 16
@@ -251,7 +251,8 @@ class Resampler:
 
     def keep(self, documents: DataFrame) -> DataFrame:
         """The rows of ``documents`` that were drawn, with the columns that they have."""
-        return documents.mapInArrow(_draw(self.models, self.seed, self.least), documents.schema)
+        base, back = packed(documents, "doc_id", "text")
+        return base.mapInArrow(_draw(self.models, self.seed, self.least), base.schema).select(*map(back, documents.columns))
 
     def close(self) -> None:
         """Delete ``scored``."""

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftclust.llm.order import BITS, point, sum_before
+from driftclust.llm.common import packed
+from driftclust.llm.order import BITS, row_point, sum_before
 
 #: Leading bits of a document's place that name its cell.
 CELL_BITS = 12
+#: Slots that are picked before they join the rest: a fold copies what it has gathered at each step.
+PICKED = 256
 #: Where rows without a slot stand: after all slots.
 UNSLOTTED = 1 << 50
 
@@ -31,15 +34,19 @@ def pfair_slots(weights: DataFrame) -> DataFrame:
     listed = weights.agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNotNull().alias("named"), "source", "weight"))).alias("s"))
     listed = listed.select("s", F.expr("transform(s, x -> x.weight)").alias("w"), F.expr("aggregate(s, 0L, (a, x) -> a + x.weight)").alias("period"))
     picks = F.expr(
-        """
+        f"""
         aggregate(
-          if(period = 0, array(), sequence(1L, period)),
+          if(period = 0, array(), sequence(0L, (period - 1) div {PICKED})),
           struct(transform(w, x -> 0L) as k, cast(array() as array<int>) as picks),
-          (state, t) -> transform(
-            array(array_min(transform(state.k, (k, i) ->
-              if(k * period div w[i] <= t - 1, named_struct('due', ((k + 1) * period + w[i] - 1) div w[i], 'i', i), null)))),
-            best -> struct(transform(state.k, (k, i) -> if(i = best.i, k + 1, k)) as k, concat(state.picks, array(best.i)) as picks))[0],
-          state -> state.picks)
+          (all, c) -> aggregate(
+            sequence(c * {PICKED} + 1, least(period, (c + 1) * {PICKED})),
+            struct(all.k as k, cast(array() as array<int>) as part),
+            (state, t) -> transform(
+              array(array_min(transform(state.k, (k, i) ->
+                if(k * period div w[i] <= t - 1, named_struct('due', ((k + 1) * period + w[i] - 1) div w[i], 'i', i), null)))),
+              best -> struct(transform(state.k, (k, i) -> if(i = best.i, k + 1, k)) as k, concat(state.part, array(best.i)) as part))[0],
+            state -> struct(state.k as k, concat(all.picks, state.part) as picks)),
+          all -> all.picks)
         """
     )
     slots = listed.select("s", "period", F.posexplode(picks).alias("slot", "i")).groupBy("i").agg(F.sort_array(F.collect_list("slot")).alias("slots"), F.first("s").alias("s"), F.first("period").alias("period"))
@@ -55,28 +62,27 @@ def mix_sources(documents: DataFrame, weights: DataFrame | None = None, block_by
     source that has ended stay empty; the others go on in their proportion. Every row is placed.
 
     ``weights`` has (source, weight) for each source, whole and positive; without it, the roots of the sources' bytes. Rows of
-    sources without a weight are put after all others, with a null slot. A null source is a source of its own, a null text an empty one,
-    a null doc_id that of the empty string. Repeated rows are placed one after the other. Columns named like the results are replaced.
+    sources without a weight are put after all others, with a null slot. A null source is a source of its own, a null text an empty one;
+    rows without a doc_id are ordered by the md5 of their texts. Repeated rows are placed one after the other. Columns named like the results are
+    replaced, others may have any name.
     """
     made = ["n_bytes", "block", "block_offset", "slot"]
     weights = root_weights(documents) if weights is None else weights
-    keep = [F.col(f"`{c}`") for c in documents.columns if c not in made]
+    base, back = packed(documents, "doc_id", "text", "source")
     plan = pfair_slots(weights).select(F.col("source").alias("__source"), F.col("weight").cast("long").alias("__weight"), F.col("period").alias("__period"), F.col("slots").alias("__slots"))
-    rows = documents.select(*keep, (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1)).cast("long").alias("n_bytes"), point(F.col("doc_id")).alias("__at"))
+    rows = base.select("*", (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1)).cast("long").alias("n_bytes"), row_point(F.col("doc_id"), F.col("text")).alias("__at"), F.xxhash64("text").alias("__tie"))
     rows = rows.withColumn("__group", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source"))).withColumn("__cell", F.shiftright("__at", BITS - CELL_BITS))
-    rows = sum_before(rows, ["__group"], "__cell", ["__at", "doc_id", "n_bytes", "text"], "n_bytes", "__start")
+    rows = sum_before(rows, ["__group"], "__cell", ["__at", "doc_id", "n_bytes", "__tie"], "n_bytes", "__start")
     rows = rows.withColumn("block", F.expr(f"__start div {block_bytes}")).withColumn("block_offset", F.expr(f"__start % {block_bytes}"))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("__source")), "left")
     rows = rows.withColumn("slot", F.expr("(block div __weight) * __period + __slots[cast(block % __weight as int)]"))
-    return rows.select(*keep, *made)
+    return rows.select(*(back(c) for c in documents.columns if c not in made), *made)
 
 
 def mixed_order(documents: DataFrame, weights: DataFrame | None = None, block_bytes: int = 1 << 16) -> DataFrame:
     """``documents`` in their mixed order, columns as before: written as files, part after part reads as the mix."""
-    names = [c for c in documents.columns]
-    packed = documents.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in names if c not in ("doc_id", "text", "source"))).alias("__rest"))
-    mixed = mix_sources(packed, weights, block_bytes).orderBy(F.asc_nulls_last("slot"), "block_offset", "doc_id")
-    return mixed.select(*(F.col(c) if c in ("doc_id", "text", "source") else F.col("__rest")[c].alias(c) for c in names))
+    base, back = packed(documents, "doc_id", "text", "source")
+    return mix_sources(base, weights, block_bytes).orderBy(F.asc_nulls_last("slot"), "block_offset", "doc_id").select(*map(back, documents.columns))
 
 
 def mix_number(rows: DataFrame, group: str, slot: str, offset: str, out: str) -> DataFrame:

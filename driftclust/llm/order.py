@@ -15,6 +15,11 @@ def point(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
+def row_point(doc_id: Column, text: Column) -> Column:
+    """A row's place by its doc_id; rows without one are dealt by their texts."""
+    return point(F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))))
+
+
 def sum_before(rows: DataFrame, group: list[str], cell: str, order: list[str], value: str, out: str) -> DataFrame:
     """``rows`` with the sum of ``value`` over the rows before it in its group, in the order of ``cell`` and then ``order``.
 

@@ -90,8 +90,19 @@ gone AS (SELECT DISTINCT r, unnest(range(a, b + 1)) AS i FROM runs JOIN first US
 g AS (SELECT r, list(i) AS gone FROM gone GROUP BY r)
 SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed
 FROM d LEFT JOIN g USING (r)""",
+    "op3_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN CASE WHEN len(w) = 0 THEN [] ELSE [array_to_string(w, ' ')] END ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS s FROM w),
+k AS (SELECT s, min(doc_id) AS k FROM s WHERE len(s) > 0 GROUP BY s),
+p AS (SELECT k, s, unnest(s[:len(s) - (90 * len(s) + 99) // 100 + 1]) AS x FROM k),
+c AS (SELECT DISTINCT a.k AS a, b.k AS b FROM p a JOIN p b ON a.x = b.x AND a.k < b.k AND 100 * least(len(a.s), len(b.s)) >= 90 * greatest(len(a.s), len(b.s))),
+l AS (SELECT a, b, len(list_intersect(x.s, y.s)) AS i, len(x.s) + len(y.s) AS n FROM c JOIN k x ON x.k = a JOIN k y ON y.k = b),
+e AS (SELECT a, b FROM l WHERE 100 * i >= 90 * (n - i) UNION ALL SELECT b, a FROM l WHERE 100 * i >= 90 * (n - i)),
+r AS (SELECT k AS a, k AS b FROM k UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m, doc_id) AS component_id FROM s LEFT JOIN k USING (s) LEFT JOIN m ON m.a = k.k""",
     "op2_mixing": """
-WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS place FROM documents),
 b AS (SELECT source, sum(n_bytes)::DOUBLE AS b FROM d GROUP BY source),
 w AS (SELECT source, ceil(100 * sqrt(b) / sqrt(max(b) OVER ()))::BIGINT AS weight, row_number() OVER (ORDER BY source IS NOT NULL, source) AS i FROM b),
 p AS (SELECT sum(weight)::BIGINT AS q, list(weight ORDER BY i) AS w FROM w),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftclust.llm.order import BITS, point, sum_before
+from driftclust.llm.common import packed
+from driftclust.llm.order import BITS, point, row_point, sum_before
 
 #: Leading bits of a place on the ring: 4096 sectors, by which a key finds its virtual node.
 SECTOR_BITS = 12
@@ -31,12 +32,13 @@ def shard_documents(documents: DataFrame, shards: int = 16, nodes: int = 64) ->
 
     Counts are gathered by arc and cell, shards * nodes + 2**CELL_BITS rows at most, and the overflow of the arcs is dealt out as a fold over those
     counts; rows themselves are ordered only within a cell. ``size`` is the UTF-8 bytes of the text plus 1; a null text has size 1 and the
-    crc of nothing, 0. A null doc_id has the key of the empty string. Repeated rows are rows of their own. Columns named like the results are replaced.
+    crc of nothing, 0. Rows without a doc_id have
+    their texts for keys. Repeated rows are rows of their own. Columns named like the results are replaced, others may have any name.
     """
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    keep = [F.col(f"`{c}`") for c in documents.columns if c not in made]
+    base, back = packed(documents, "doc_id", "text")
     bytes_ = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = documents.select(*keep, (F.octet_length(bytes_) + 1).cast("long").alias("size"), F.crc32(bytes_).alias("text_crc32"), point(F.col("doc_id")).alias("__at"))
+    rows = base.select("*", (F.octet_length(bytes_) + 1).cast("long").alias("size"), F.crc32(bytes_).alias("text_crc32"), row_point(F.col("doc_id"), F.col("text")).alias("__at"))
 
     arcs = ring(documents, shards, nodes)
     by_sector = arcs.groupBy(F.shiftright("pos", BITS - SECTOR_BITS).cast("int").alias("__sector")).agg(F.sort_array(F.collect_list(F.struct("pos", "arc"))).alias("own"))
@@ -85,7 +87,7 @@ def shard_documents(documents: DataFrame, shards: int = 16, nodes: int = 64) ->
     rows = rows.withColumn("__to", F.expr("get(filter(over, y -> __rank - kept between y.start and y.start + y.n - 1), 0)"))
     at_home = F.col("__rank") < F.col("kept")
     return rows.select(
-        *keep,
+        *(back(c) for c in documents.columns if c not in made),
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),

@@ -13,8 +13,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from driftclust.llm import chat, common, decontam, fertility, importance, jaccard, lines, mixing, ring, rtree, tokens
+from driftclust.llm import chat, common, decontam, fertility, importance, jaccard, lines, mixing, order, ring, rtree, tokens
 from driftclust.llm.html_text import main_text
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -356,10 +357,10 @@ def brute_shards(data, shards, nodes):
     owner = [s for _, s in points]
     arcs = defaultdict(list)
     for i, t, *_ in data:
-        at = place(i)
+        at = place(i if i is not None else "text:" + hashlib.md5((t or "").encode()).hexdigest())
         arc = next((k for k, (p, _) in enumerate(points) if p >= at), 0)
         text = (t or "").encode()
-        arcs[arc].append((at if at <= points[-1][0] else at - 2**60, i is not None, i or 0, len(text) + 1, zlib.crc32(text), t))
+        arcs[arc].append((at if at <= points[-1][0] else at - 2**60, i is not None, i or 0, len(text) + 1, zlib.crc32(text)))
     load = [len(data) // shards + (s < len(data) % shards) for s in range(shards)]
     full = [[] for _ in range(shards)]
     over = []
@@ -394,6 +395,23 @@ def test_shards(spark, shards, nodes):
     assert {r.law for r in got} == {"rows"} and all(r.grown_shard is None for r in got)
 
 
+def test_columns_may_have_any_name(spark):
+    odd = ["__at", "__cell", "__group", "__sector", "__arc", "__one", "__rest", "__tie", "__slots", "none", "c0", "a.b", "x`y", "__dropped", "__key", "__log_weight", "__start", "__weight"]
+    docs = frame(spark, rows()[:40]).select("*", *(F.lit(i).alias(c) for i, c in enumerate(odd)))
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    for got in (mixing.mix_sources(docs), mixing.mixed_order(docs), ring.shard_documents(docs), importance.Resampler(docs, labels).keep(docs), jaccard.first_of_each(docs)):
+        assert got.columns[: len(docs.columns)] == docs.columns
+        back = got.select(*(F.col(f"`{c.replace('`', '``')}`") for c in odd)).distinct().collect()
+        assert [tuple(r) for r in back] == [tuple(range(len(odd)))]
+
+
+def test_rows_without_ids_are_dealt_by_text(spark):
+    docs = frame(spark, [(None, f"text {i % 200}", None, "a", None) for i in range(400)])
+    rows_ = ring.shard_documents(docs, 4, 8).collect()
+    assert sorted(Counter(r.shard for r in rows_).values()) == [100] * 4
+    assert docs.select(order.row_point(F.col("doc_id"), F.col("text"))).distinct().count() == 200
+
+
 def test_shards_of_few_rows(spark):
     assert ring.shard_documents(frame(spark, rows()).where("false")).count() == 0
     assert [r.slot for r in ring.shard_documents(frame(spark, rows()[:1])).collect()] == [0]
