@@ -5,14 +5,14 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from driftclust.llm.common import cut, drop_cut, shared_dir, table
+from driftclust.llm.common import cut, drop_cut, packed, table
 from driftclust.llm.decontam import contaminations
 from driftclust.llm.importance import Resampler
 from driftclust.llm.jaccard import first_of_each
 from driftclust.llm.mixing import mix_number, mix_sources, mixed_order
 from driftclust.llm.ring import shard_documents
+from driftclust.session import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,14 +42,13 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: DataFra
     """All documents with their shard and place: a shard's rows are numbered by slot in the order of the mix. Which shard a row is in rests on
     its doc_id alone, so that the mix holds in each shard."""
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    keys = ["doc_id", "text", "source"]
-    rest = F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in docs.columns if c not in (*keys, *made)))
-    mixed = mix_sources(docs.select(*keys, rest.alias("__rest")), weights)
-    mixed = cut(mixed.select(*keys, "__rest", F.col("slot").alias("__slot"), F.col("block_offset").alias("__offset")), "mixed")
+    base, back = packed(docs, "doc_id", "text", "source")
+    mixed = mix_sources(base, weights).withColumnsRenamed({"slot": "__slot", "block_offset": "__offset"}).drop("n_bytes", "block")
+    mixed = cut(mixed, "mixed")
     placed = cut(shard_documents(mixed, shards=16).drop("slot"), "placed")
     drop_cut(mixed)
     numbered = mix_number(placed, "shard", "__slot", "__offset", "slot")
-    return numbered.select(*(F.col(c) if c in keys else F.col("__rest")[c].alias(c) for c in docs.columns if c not in made), *made)
+    return numbered.select(*(back(c) for c in docs.columns if c not in made), *made)
 
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", leaks), ("mixing sources", mixing), ("sharding", sharding)]
@@ -61,7 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str, weights: DataFrame | None = None) -> DataFrame:
     """The stages over documents, each written as Parquet to the shared folder and read again. ``weights`` are those of the mix, as in ``mix_sources``."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir, weights) if stage in (mixing, sharding) else stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
