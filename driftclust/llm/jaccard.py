@@ -12,8 +12,9 @@ d + 1 groups of the set whose list ends first would need a difference of its own
 Each block is searched through an R-tree.
 
 Hot groups: copies of a set are one node from the start. A block isn't searched for pairs that are linked already: first
-each node is verified against the block's least node that it shares most blocks with, then against the best partner by
-bound in another component, and only what is still apart is searched in full, in chunks of bounded size.
+each node joins the star of the block's least node that it shares most blocks with, a tree over the star's points tells whether the
+bound allows a link with the centre, or else the best partner; then what is still apart is searched for the best partner by
+bound in another component, and only what remains is searched in full, in chunks of bounded size.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ GROUPS = 512
 SMALL = 64
 #: Nodes of one side of a block that one task searches at once.
 CHUNK = 2048
+#: Partners of a node that its set is sent to together.
+STAR = 256
 
 
 def _as_int64(x: np.ndarray) -> np.ndarray:
@@ -139,32 +142,108 @@ def _point(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(raw, np.uint8 if len(raw) == GROUPS else np.uint32)
 
 
-def _allowed(num: int, den: int):
-    """Pairs whose sum of coordinate minima reaches the overlap that the similarity needs."""
+def _grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The groups of rows with equal keys, of rows sorted by them; one is held at a time."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        values = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
+        cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(values)], strict=True):
+            if b > a:
+                if held and now != tuple(values[a]):
+                    yield pa.Table.from_batches(held)
+                    held = []
+                now = tuple(values[a])
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs(low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["low", "high"])
+
+
+def _star_search(num: int, den: int):
+    """Over rows sorted by (low, part), the points of a star and its centre: for each node the centre, if the tree finds it within the bound, or else the
+    best partner by bound that the tree finds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b, n in zip(batch.column("p_low"), batch.column("p_high"), batch.column("n").to_pylist(), strict=True):
-                keep.append(int(np.minimum(_point(a), _point(b)).sum(dtype=np.int64)) * (num + den) >= num * n)
-            yield batch.select(["low", "high"]).filter(pa.array(keep, pa.bool_()))
+        for group in _grouped(batches, "low", "part"):
+            centre = group.column("low")[0].as_py()
+            node, size = group.column("node").to_numpy(), group.column("n").to_numpy()
+            points = np.stack([_point(p) for p in group.column("point")])
+            tree = CountTree(points, size)
+            found = []
+            (at,) = np.flatnonzero(node == centre)
+            near, _ = tree.search(points[at], int(size[at]), num, den)  # the bound is the same from either side
+            linked = np.zeros(len(node), bool)
+            linked[near] = True
+            for q in np.flatnonzero(node != centre):
+                if linked[q]:
+                    found.append((centre, node[q]))
+                    continue
+                hits, bound = tree.search(points[q], int(size[q]), num, den)
+                others = hits != q
+                if others.any():
+                    hits, bound = hits[others], bound[others]
+                    best = node[hits[np.argmax(2 * bound / (size[hits] + size[q]))]]
+                    found.append((min(best, node[q]), max(best, node[q])))
+            both = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+            yield _pairs(both[:, 0], both[:, 1])
 
     return run
 
 
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Common members of two sorted sets."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if not len(small):
+        return 0
+    at = np.searchsorted(large, small)
+    return int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
+
+
+def _set(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
 def _verify(num: int, den: int):
+    """Over rows with the sets of both."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("members_low"), batch.column("members_high"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+                x, y = _set(a), _set(b)
+                both = _overlap(x, y)
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.select(["low", "high"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _verify_stars(num: int, den: int):
+    """Over rows sorted by (low, part, high), of which the first, without a high, has the set of the low."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.zeros(0, np.uint64)
+        for batch in batches:
+            low, high = [], []
+            for c, h, m in zip(batch.column("low"), batch.column("high"), batch.column("members"), strict=True):
+                members = _set(m)
+                if not h.is_valid:
+                    centre = members.copy()
+                    continue
+                both = _overlap(centre, members)
+                if den * both >= num * (len(centre) + len(members) - both):
+                    low.append(c.as_py())
+                    high.append(h.as_py())
+            yield _pairs(np.array(low, np.int64), np.array(high, np.int64))
+
+    return run
+
+
 def _search(num: int, den: int, best_only: bool):
     """Over rows sorted by (block, i, j): pairs of nodes in different components that the bound allows. side: 0 meets 1; 2 meets all."""
 
@@ -184,26 +263,10 @@ def _search(num: int, den: int, best_only: bool):
         return np.concatenate(low or [np.zeros(0, np.int64)]), np.concatenate(high or [np.zeros(0, np.int64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(parts):
-            low, high = one(pa.Table.from_batches(parts))
+        for group in _grouped(batches, "block", "i", "j"):
+            low, high = one(group)
             both = np.unique(np.stack([low, high], axis=1), axis=0) if len(low) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["low", "high"])
-
-        key = None
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("block", "i", "j")], axis=1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-                if b > a:
-                    if held and key != tuple(keys[a]):
-                        yield flush(held)
-                        held = []
-                    key = tuple(keys[a])
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield flush(held)
+            yield _pairs(both[:, 0], both[:, 1])
 
     return run
 
@@ -213,28 +276,47 @@ class _Join:
         self.docs = own_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         self.k, self.num, self.den, self.lower = k, num, den, lower
 
-    def allowed(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (low, high) whose points allow a link: the sum of the minima against the overlap that the similarity needs."""
-        p = self.points
-        two = pairs.join(p.select(F.col("node").alias("low"), F.col("n").alias("n_low"), F.col("point").alias("p_low")), "low").join(p.select(F.col("node").alias("high"), F.col("n").alias("n_high"), F.col("point").alias("p_high")), "high")
-        return two.select("low", "high", (F.col("n_low") + F.col("n_high")).alias("n"), "p_low", "p_high").mapInArrow(_allowed(self.num, self.den), "low long, high long")
+    def parts(self, pairs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+        """Nodes that are the low of more than ``most`` pairs, with the number of parts to deal these into; and the pairs with their part, null
+        for other nodes."""
+        large = cut(pairs.groupBy("low").agg(F.count("*").alias("pairs")).where(F.col("pairs") > most).select("low", F.ceil(F.col("pairs") / F.lit(most)).alias("parts")), "large-stars")
+        return large, pairs.join(large, "low", "left").select("low", "high", F.expr("pmod(xxhash64(high), parts)").alias("part"))
+
+    def stars(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (low, high) that the trees over the points of each star find: a star's nodes come once, its centre once for each CHUNK of them."""
+        _, dealt = self.parts(pairs, CHUNK)
+        dealt = dealt.select("low", F.coalesce("part", F.lit(0)).alias("part"), "high")
+        nodes = dealt.select("low", "part", F.col("high").alias("node")).unionByName(dealt.select("low", "part", F.col("low").alias("node")).distinct())
+        rows = nodes.join(self.points, "node").repartition("low", "part").sortWithinPartitions("low", "part")
+        return rows.mapInArrow(_star_search(self.num, self.den), "low long, high long").distinct()
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs those whose sets reach the similarity."""
+        """Of distinct pairs those whose sets reach the similarity. The set of a node with many partners is sent once for STAR of them."""
         s = self.sets
-        two = pairs.join(s.select(F.col("node").alias("low"), F.col("members").alias("members_low")), "low").join(s.select(F.col("node").alias("high"), F.col("members").alias("members_high")), "high")
-        return two.mapInArrow(_verify(self.num, self.den), "low long, high long").distinct()
+        large, dealt = self.parts(pairs, STAR)
+        of = lambda rows, side: rows.join(s.select(F.col("node").alias(side), F.col("members").alias(f"members_{side}")), side)
+        few = of(of(dealt.where("part is null").select("low", "high"), "low"), "high").mapInArrow(_verify(self.num, self.den), "low long, high long")
+        if large.isEmpty():
+            return few
+        many = dealt.where("part is not null")
+        centres = of(many.select("low", "part").distinct(), "low").select("low", "part", F.lit(None).cast("long").alias("high"), F.col("members_low").alias("members"))
+        rows = centres.unionByName(of(many, "high").select("low", "part", "high", F.col("members_high").alias("members")))
+        rows = rows.repartition("low", "part").sortWithinPartitions("low", "part", F.asc_nulls_first("high"))
+        return few.unionAll(rows.mapInArrow(_verify_stars(self.num, self.den), "low long, high long"))
+
+    def open_blocks(self, members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of the blocks with their components, and the blocks that hold several. Blocks with the same nodes count once."""
+        rows = members.join(labels, "node", "left").select("block", "node", "least", F.coalesce("component", "node").alias("component"))
+        main = F.max(F.when(F.col("node") == F.col("least"), F.col("component")))
+        found = rows.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), main.alias("main"), F.count("*").alias("all"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("lo < hi")
+        return rows, cut(found.groupBy("all", "who").agg(F.min(F.struct("block", "main")).alias("b")).select("b.block", "b.main", "all"), "open-blocks")
 
-    def apart(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Rows of the blocks that hold several components, dealt into chunks. Blocks with the same nodes count once.
+    def apart(self, rows: DataFrame, blocks: DataFrame) -> DataFrame:
+        """Rows of the blocks that hold several components, dealt into chunks.
 
         A side 0 is the component of the block's least node, side 1 the others, which also meet each other.
         """
-        rows = members.join(labels, "node", "left").select("block", "node", "least", F.coalesce("component", "node").alias("component"))
-        main = F.max(F.when(F.col("node") == F.col("least"), F.col("component")))
-        open_ = rows.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), main.alias("main"), F.count("*").alias("all"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("lo < hi")
-        open_ = open_.groupBy("all", "who").agg(F.min(F.struct("block", "main")).alias("b")).select("b.block", "b.main", "all")
-        rows = rows.join(open_, "block").withColumn("home", F.col("component") == F.col("main"))
+        rows = rows.join(blocks, "block").withColumn("home", F.col("component") == F.col("main"))
         count = rows.groupBy("block").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("others"))
         chunks = lambda c: F.ceil(F.col(c) / F.lit(CHUNK)).cast("int")
         rows = rows.join(count, "block").select("block", "node", "component", "home", chunks("homes").alias("nh"), chunks("others").alias("no"))
@@ -250,8 +332,8 @@ class _Join:
         dealt = rows.select("block", "node", "component", F.explode(F.when(F.col("home"), of_home).otherwise(of_other)).alias("t")).select("block", "node", "component", "t.*")
         return dealt.join(self.points, "node").select("block", "i", "j", "side", "node", "component", "n", "point")
 
-    def search(self, members: DataFrame, labels: DataFrame, best_only: bool) -> DataFrame:
-        rows = self.apart(members, labels).repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
+    def search(self, rows: DataFrame, blocks: DataFrame, best_only: bool) -> DataFrame:
+        rows = self.apart(rows, blocks).repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
         return rows.mapInArrow(_search(self.num, self.den, best_only), "low long, high long").distinct()
 
     def run(self) -> DataFrame:
@@ -272,15 +354,18 @@ class _Join:
 
         votes = members.where("node != least").groupBy("node", "least").agg(F.count("*").alias("votes"))
         stars = votes.groupBy("node").agg(F.max(F.struct("votes", (-F.col("least")).alias("least"))).alias("best")).select((-F.col("best.least")).alias("low"), F.col("node").alias("high"))
-        tried = cut(self.allowed(stars), "tried-pairs")
+        tried = cut(self.stars(stars), "tried-pairs")
         links = cut(self.linked(tried), "linked-pairs")
+        labels = components(links)
         for best_only in (True, False):
+            held, blocks = self.open_blocks(members, labels)
+            if blocks.isEmpty():
+                break
+            more = cut(self.search(held, blocks, best_only).join(tried, ["low", "high"], "left_anti"), "tried-pairs")
+            if more.isEmpty():
+                continue
+            tried, links = tried.unionAll(more), cut(links.unionAll(self.linked(more)), "linked-pairs")
             labels = components(links)
-            pairs = self.search(members, labels, best_only).join(tried, ["low", "high"], "left_anti")
-            more = cut(pairs, "tried-pairs")
-            links = cut(links.unionAll(self.linked(more)), "linked-pairs")
-            tried = tried.unionAll(more)
-        labels = components(links)
         named = nodes.select(*same, F.col("doc_id").alias("node")).join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component"))
         drop_cut(members), drop_cut(self.sets), drop_cut(first)
         every = slim.join(named, same, "left")

@@ -29,19 +29,16 @@ class CountTree:
 
     def search(self, point: np.ndarray, size: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the points whose bound lets them reach a Jaccard similarity of num / den with the query, and the bounds."""
-        at = None
-        for high, low_n, high_n in [*reversed(self.levels), (self.points, self.sizes, self.sizes)]:
-            if at is None:
-                at = np.arange(len(high))
+        levels = [(self.points, self.sizes, self.sizes), *self.levels]
+        at = np.arange(len(levels[-1][0]))
+        for depth in range(len(levels) - 1, -1, -1):
+            high, low_n, high_n = levels[depth]
             bound = np.minimum(high[at], point).sum(axis=1, dtype=np.int64)
             # the smallest set below decides how much overlap is needed at least; sizes bound the rest
             fits = (bound * (num + den) >= num * (size + low_n[at])) & (high_n[at] * den >= size * num) & (low_n[at] * num <= size * den)
             at, bound = at[fits], bound[fits]
-            if high is self.points or not len(at):
+            if not depth or not len(at):
                 break
             below = (at[:, None] * self.fanout + np.arange(self.fanout)).ravel()
-            at = below[below < (len(self.points) if high is self.levels[0][0] else len(self.levels[self._level(high) - 1][0]))]
+            at = below[below < len(levels[depth - 1][0])]
         return self.order[at], bound
-
-    def _level(self, high: np.ndarray) -> int:
-        return next(i for i, x in enumerate(self.levels) if x[0] is high)

@@ -147,6 +147,27 @@ def test_tree_finds_what_the_bound_allows(n, seed):
         assert (bounds == bound[got]).all()
 
 
+def test_large_stars_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    monkeypatch.setattr(jaccard, "STAR", 4)
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    data = []
+    for i in range(90):  # near copies of one text, some of them of each other only
+        words = list(base)
+        for _ in range(r.randint(0, 12)):
+            words[r.randrange(200)] = f"x{r.randint(0, 9)}"
+        data.append((i, " ".join(words), None, None, None))
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(frame(spark, data), 3, 90, 100).collect()}
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(198)} for i, t, *_ in data}
+    label = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])]
+    for _ in sets:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert len(links) > 300 and got == label
+
+
 # --- op1 ----------------------------------------------------------------------------------------------------------
 
 
