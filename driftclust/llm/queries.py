@@ -101,6 +101,29 @@ e AS (SELECT a, b FROM l WHERE 100 * i >= 90 * (n - i) UNION ALL SELECT b, a FRO
 r AS (SELECT k AS a, k AS b FROM k UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
 m AS (SELECT a, min(b) AS m FROM r GROUP BY a)
 SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m, doc_id) AS component_id FROM s LEFT JOIN k USING (s) LEFT JOIN m ON m.a = k.k""",
+    "op5_sharding": """
+WITH RECURSIVE tab AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS tab),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS pl,
+  xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT), lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM documents, tab),
+a AS (SELECT s::INT AS shard, ('0x' || substr(md5('node:' || s || ':' || v), 1, 15))::BIGINT AS pos FROM range(16) x(s), range(64) y(v)),
+arcs AS (SELECT *, row_number() OVER (ORDER BY pos, shard) - 1 AS arc FROM a),
+k AS (SELECT d.*, coalesce(arc, 0) AS arc, CASE WHEN arc IS NULL THEN pl - (1::BIGINT << 60) ELSE pl END AS o FROM d ASOF LEFT JOIN arcs ON d.pl <= arcs.pos),
+r AS (SELECT *, row_number() OVER (PARTITION BY arc ORDER BY o, doc_id NULLS FIRST, size, crc) - 1 AS rank FROM k),
+c AS (SELECT arcs.arc, shard, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER () AS total, coalesce(sum(coalesce(n, 0)) OVER (PARTITION BY shard ORDER BY arcs.arc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM arcs LEFT JOIN (SELECT arc, count(*) AS n FROM k GROUP BY arc) USING (arc)),
+l AS (SELECT *, total // 16 + CASE WHEN shard < total % 16 THEN 1 ELSE 0 END AS load FROM c),
+h AS (SELECT *, greatest(0, least(n, load - before))::BIGINT AS kept FROM l),
+room AS (SELECT list(room ORDER BY shard) AS room, list(load ORDER BY shard) AS load FROM (SELECT shard, any_value(load)::BIGINT AS load, (any_value(load) - sum(kept))::BIGINT AS room FROM h GROUP BY shard)),
+ov AS (SELECT h.arc, (h.n - h.kept)::BIGINT AS rest, row_number() OVER (ORDER BY h.arc) AS j FROM h WHERE h.n > h.kept),
+way AS (SELECT arc, list(shard ORDER BY dist) AS o FROM (SELECT ov.arc, arcs.shard, min((arcs.arc - ov.arc + 1023) % 1024) AS dist FROM ov, arcs GROUP BY ALL) GROUP BY arc),
+f AS (SELECT 0::BIGINT AS j, -1::BIGINT AS arc, room, CAST([] AS INT[]) AS o, CAST([] AS BIGINT[]) AS start, CAST([] AS BIGINT[]) AS take, room AS was FROM room
+  UNION ALL
+  SELECT j, arc, list_transform(range(0, 16), lambda s: was[s + 1] - take[list_position(o, s::INT)]), o, start, take, was
+  FROM (SELECT *, list_transform(range(1, 17), lambda i: greatest(0, least(was[o[i] + 1], rest - start[i]))::BIGINT) AS take
+    FROM (SELECT ov.j, ov.arc, ov.rest, way.o, f.room AS was, list_transform(range(1, 17), lambda i: coalesce(list_sum(list_transform(way.o[1:i - 1], lambda s: f.room[s + 1])), 0)::BIGINT) AS start FROM f JOIN ov ON ov.j = f.j + 1 JOIN way ON way.arc = ov.arc))),
+p AS (SELECT arc, unnest(o) AS shard, unnest(start) AS start, unnest(take) AS take, was FROM f WHERE j > 0)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'rows' AS law, CASE WHEN rank < kept THEN h.shard ELSE p.shard END::INT AS shard,
+  (CASE WHEN rank < kept THEN h.before + rank ELSE room.load[p.shard + 1] - was[p.shard + 1] + rank - kept - p.start END)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM r JOIN h USING (arc) CROSS JOIN room LEFT JOIN p ON p.arc = r.arc AND rank >= kept AND rank - kept >= p.start AND rank - kept < p.start + p.take""",
     "op2_mixing": """
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS place FROM documents),
 b AS (SELECT source, sum(n_bytes)::DOUBLE AS b FROM d GROUP BY source),

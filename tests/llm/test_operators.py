@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -742,6 +743,51 @@ def test_fertility_measures_and_bands(spark):
     assert all(got[i].kept for i in range(150)) and not got[900].kept
 
 
+def brute_kept(got, langs, support, below, below_entropy, above):
+    """Verdicts from the measures: for each language and length class the quartiles of its pool, sorted out one text at a time."""
+    length = {r: math.log2(max(r.n_tokens, 1)) for r in got}
+    cell = {r: (langs[r.doc_id], math.floor(length[r])) for r in got}
+    fit = [r for r in got if not r.base_failed]
+    rank = lambda xs, p: sorted(xs)[max(0, math.ceil(p * len(xs)) - 1)]
+    out = {}
+    for lang, size in {cell[r] for r in fit}:
+        own = [r for r in fit if cell[r][0] == lang]
+        pool = own if len(own) >= support else fit
+        radius = next((d for d in range(64) if sum(abs(cell[r][1] - size) <= d for r in pool) >= support), 63)
+        near = [r for r in pool if abs(cell[r][1] - size) <= radius]
+        x, y = np.array([length[r] for r in near]), np.array([r.token_entropy for r in near])
+        spread = ((x - x.mean()) ** 2).sum()
+        slope = 0.0 if not radius or spread < 1e-12 else min(1.0, max(0.0, ((x - x.mean()) * (y - y.mean())).sum() / spread))
+        level = {r: r.token_entropy + round(slope, 6) * (round(x.mean(), 6) - length[r]) for r in got}
+        bands = []
+        for measure, low, high, least in ((lambda r: r.chars_per_token, below, above, 0), (lambda r: r.byte_share, None, above, 0.02), (level.__getitem__, below_entropy, above, 0)):
+            q1, q3 = (rank([measure(r) for r in near], p) for p in (0.25, 0.75))
+            wide = max(q3 - q1, abs(q3) * 0.02)
+            bands.append((measure, -math.inf if low is None else q1 - low * wide, q3 + max(high * wide, least)))
+        for r in got:
+            if cell[r] == (lang, size):
+                out[r.doc_id] = not r.base_failed and bool(r.n_tokens) and all(lo - 1e-9 <= m(r) <= hi + 1e-9 for m, lo, hi in bands)
+    return {r.doc_id: out.get(r.doc_id, False) and not r.base_failed for r in got}
+
+
+def test_fertility_verdicts_against_brute_force(spark):
+    r = random.Random(13)
+    word = lambda: r.choice(WORDS[:9] + [f"river{j}" for j in range(60)])
+    odd = lambda: r.choice(["ᛖᚴ7", "0x9f3a", "###", "aaaaaaaaaaaaaaaaaaaaaaaa", "我们在这里"])
+    data = []
+    for i in range(400):
+        lang = r.choice(["en"] * 6 + ["de", "de", "sw", None])
+        share = r.choice([0, 0, 0, 0.02, 0.1, 0.5, 1])
+        data.append((i, " ".join(odd() if r.random() < share else word() for _ in range(int(2 ** r.uniform(3.5, 9)))), lang, None, None))
+    langs = {i: lang for i, _, lang, *_ in data}
+    for support in (20, 60):
+        for fences in ((4.0, 3.0, 8.0), (1.0, 0.5, 1.5)):
+            got = fertility.fertility_verdicts(frame(spark, data), fences=fences, support=support).collect()
+            want = brute_kept(got, langs, support, *fences)
+            assert {x.doc_id: x.kept for x in got} == want
+            assert 20 < sum(want.values()) < len(data) - 20
+
+
 def test_fertility_judges_thin_groups(spark):
     r = random.Random(6)
     prose = lambda n: " ".join(r.choice(WORDS[:9] + [f"river{j}" for j in range(30)]) for _ in range(n))
