@@ -50,7 +50,7 @@ SPLIT_BYTES = 4 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table, which may lie in a single row group, dealt to all cores for a costly map stage; others as they are."""
+    """A small table in few files, which may lie in a single row group, dealt to all cores for a costly map stage; others as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+    return df.repartition(cores) if size < cores * SPLIT_BYTES and len(df.inputFiles()) < cores else df
