@@ -151,7 +151,7 @@ def _evaluate(a: argparse.Namespace, config: Config, spark) -> Any:
     if a.command == "demo":
         from driftclust.sources.synthetic import stream
 
-        result = runner.run_eval(spark, stream(spark, per_topic=a.per_topic), config.with_values(min_cluster_size=5, min_samples=3, close_after=timedelta(days=2), threshold_bounds=(0.3, 0.95), merge_threshold=0.8, discovery_min_buffer=50, sweep_interval=timedelta(hours=6), discovery_interval=timedelta(hours=6)), window=timedelta(hours=6), most=2000)
+        result = runner.run_eval(spark, stream(spark, per_topic=a.per_topic), config.with_values(min_cluster_size=5, min_samples=3, close_after=timedelta(days=2), threshold_bounds=(0.3, 0.95), merge_threshold=0.8, discovery_min_buffer=50, sweep_interval=timedelta(hours=6), discovery_interval=timedelta(hours=6)), window=timedelta(hours=6), most=2000, speed=a.speed, store=a.store or "memory://")
         if a.report:
             from driftclust.sinks.report import build_report
 

@@ -24,6 +24,7 @@ from driftclust.functions.embed import Embedder, embed_column, make_embedder
 from driftclust.functions.keys import cluster_id_of
 from driftclust.functions.terms import labels as ctfidf_labels
 from driftclust.functions.text import preprocess
+from driftclust.functions.titles import title_labeler
 from driftclust.operators import discover as D
 from driftclust.operators import lifecycle as L
 from driftclust.operators import sampling
@@ -101,12 +102,14 @@ def _job(method: Callable) -> Callable:
 class ClusteringEngine:
     """Clusters a stream of texts. All times come from the clock, all state from the store; each job reads one version and makes the next."""
 
-    def __init__(self, spark: SparkSession, config: Config | None = None, *, store: StateStore | None = None, embedder: Embedder | None = None, labeler: Callable[[DataFrame, DataFrame], DataFrame] | None = None, clock: Clock | None = None, bus: EventRoutes | None = None, hook: Callable[[Column], Column] | None = None):
+    def __init__(self, spark: SparkSession, config: Config | None = None, *, store: StateStore | None = None, embedder: Embedder | None = None, labeler: Callable[[DataFrame, DataFrame], DataFrame] | None = None, clock: Clock | None = None, bus: EventRoutes | None = None, hook: Callable[[Column], Column] | None = None, complete: Callable[[str], str] | None = None):
         self.spark, self.config = spark, config or Config()
         self.store = store or StateStore.open(spark, self.config.store)
         self.embedder = embedder or make_embedder(self.config.embedder, self.config.model_dir)
         self.clock, self.bus, self.hook = clock or SystemClock(), EventRoutes() if bus is None else bus, hook
-        self.labeler = labeler or self._ctfidf
+        if self.config.labeler == "title" and labeler is None and complete is None:
+            raise ValueError("titles need complete, a function from a prompt to an answer")
+        self.labeler = labeler or (title_labeler(complete, terms=self.config.label_terms) if self.config.labeler == "title" else self._ctfidf)
         self._discovering, self._job = threading.Lock(), threading.local()
         self._index: Index | None = None
         self._check_model(self.store.snapshot())
@@ -265,7 +268,7 @@ class ClusteringEngine:
 
     def _results(self, rows: DataFrame, snapshot: Snapshot, fresh: bool = True) -> DataFrame:
         none = lambda t: F.lit(None).cast(t)
-        places = snapshot.places().select(F.col("id"), F.col("cluster_id").alias("known_cluster"))
+        places = snapshot.places(rows).select(F.col("id"), F.col("cluster_id").alias("known_cluster"))
         first = first_of_each(rows, "id", "pos").withColumn("__first", F.lit(True))
         out = rows.select("id", "pos").join(first, ["id", "pos"], "left").join(places, "id", "left")
         if fresh:

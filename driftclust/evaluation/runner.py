@@ -30,13 +30,14 @@ class EvalResult:
     engine: ClusteringEngine
 
 
-def run_eval(spark: SparkSession, items: DataFrame, config: Config, *, drain: timedelta | None = None, window: timedelta = timedelta(minutes=5), most: int = 256) -> EvalResult:
-    """Replay items (id, text, ts, label) into a new engine and measure the result against the labels."""
+def run_eval(spark: SparkSession, items: DataFrame, config: Config, *, drain: timedelta | None = None, window: timedelta = timedelta(minutes=5), most: int = 256, speed: float = 0.0, store: str = "memory://") -> EvalResult:
+    """Replay items (id, text, ts, label) into a new engine and measure the result against the labels. ``speed`` paces the replay, in simulated seconds to a
+    real one."""
     if not items.where("label is not null").limit(1).count():
         raise ValueError("an evaluation needs labelled items")
     first = items.agg(F.min("ts")).first()[0]
-    engine = ClusteringEngine(spark, config.with_values(store="memory://"), clock=SimulatedClock(first))
-    stats = replay(engine, items, drain=config.close_after + 2 * config.sweep_interval if drain is None else drain, window=window, most=most)
+    engine = ClusteringEngine(spark, config.with_values(store=store), clock=SimulatedClock(first))
+    stats = replay(engine, items, drain=config.close_after + 2 * config.sweep_interval if drain is None else drain, window=window, most=most, speed=speed)
     s = engine.store.snapshot()
     judged = s.items().join(items.where("label is not null").select("id", "label"), "id")
     row = summary(judged, s.table("clusters"), s.table("events")).first().asDict()

@@ -13,8 +13,10 @@ def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def unknown(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Rows whose key isn't known yet."""
-    return rows.join(known.select(key).distinct(), key, "left_anti")
+    """Rows whose key isn't known yet. Of the known keys, which may be all there ever were, only those of the rows are compared: where the rows are few,
+    they are sent to the known ones, which then aren't shuffled."""
+    hits = known.select(key).join(rows.select(key).distinct(), key, "left_semi")
+    return rows.join(hits, key, "left_anti")
 
 
 def numbered(rows: DataFrame, order: str, after: int, name: str = "seq", parts: int = 64) -> DataFrame:

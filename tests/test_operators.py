@@ -170,3 +170,37 @@ def test_nearest_exemplars_in_parts(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(scoring, "BROADCAST_BYTES", 900)
     assert rows() == whole and len(whole) >= 20
+
+
+def test_titles(spark):
+    from driftclust.functions.titles import clean, title_labeler
+
+    asked = []
+
+    def complete(text):
+        asked.append(text)
+        if "pirate" in text:
+            raise OSError("no line")
+        return '\n"The Tide Turns."\nmore'
+
+    texts = spark.createDataFrame([("a", i, f"tide harbor reef {i}") for i in range(20)] + [("b", i, f"pirate galleon {i}") for i in range(3)] + [("c", 0, "other words")], "cluster_id string, pos long, text string")
+    targets = spark.createDataFrame([("a",), ("b",)], "cluster_id string")
+    got = {r.cluster_id: r.label for r in title_labeler(complete, sample=4)(texts, targets).collect()}
+    assert got["a"] == "The Tide Turns" and "pirate" in got["b"] and set(got) == {"a", "b"}
+    assert asked[0].count("\n- ") == 4 and clean("") == "" and len(clean("x " * 90)) <= 80
+
+
+def test_terms_beyond_the_pool(spark):
+    from driftclust.functions.terms import distinctive
+
+    scores = spark.createDataFrame([("g", "ab" * (50 - i), float(50 - i)) for i in range(40)] + [("g", "zz", 1.0), ("g", "yy", 0.5), ("h", "one", 2.0), ("h", "two", 1.0)], "source string, term string, score double")
+    got = {r.source: list(r.terms) for r in distinctive(scores, "source", 3, pool=10).collect()}
+    assert got == {"g": ["ab" * 50, "zz", "yy"], "h": ["one", "two"]}
+
+
+def test_package_offers():
+    import driftclust
+
+    assert driftclust.Config is Config and driftclust.ClusteringEngine and "replay" in dir(driftclust)
+    with pytest.raises(AttributeError):
+        driftclust.nothing
