@@ -16,9 +16,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from driftclust.llm import chat, common, decontam, fertility, importance, jaccard, lines, mixing, order, ring, rtree, tokens
+from driftclust.llm import chat, common, decontam, fertility, importance, jaccard, lines, mixing, order, queries, ring, rtree, tokens
 from driftclust.llm.html_text import main_text
 
+DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and ring lane hollow Änderung été 你好 don't x9 river stone".split()
 
@@ -917,3 +918,16 @@ def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", f"<article>{BODY}</article>", "x"), (None, None, None, None), (1, "u", f"<article>{BODY}</article>", "x")], "page_id long, url string, html string, text string")
     got = extract_text(df).collect()
     assert sorted((r.text, r.n_chars) for r in got) == [("", 0), (TEXT, len(TEXT)), (TEXT, len(TEXT))]
+
+
+# --- SQL ----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_match_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    found = duckdb.connect().execute(f"create view documents as select * from '{DATA}/documents.parquet'").execute(queries.ORACLES[name])
+    columns = [x[0] for x in found.description]
+    got = queries.QUERIES[name](spark, DATA)
+    assert sorted(got.columns) == sorted(columns)
+    assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(found.fetchall())
