@@ -31,6 +31,7 @@ from driftclust.operators import sampling
 from driftclust.operators.assign import Index, assign, assign_nearest, make_index
 from driftclust.operators.dedupe import first_of_each, numbered, unknown
 from driftclust.operators.scoring import draw_exemplars, member_scores, thresholds
+from driftclust.session import spread
 from driftclust.state.store import Conflict, Snapshot, StateStore, Transaction
 
 log = logging.getLogger("driftclust")
@@ -220,7 +221,7 @@ class ClusteringEngine:
         if batch is None or batch not in txn.manifest["batches"]:
             first = rows.join(first_of_each(rows, "id", "pos"), ["id", "pos"])
             fresh = unknown(first, txn.table("items"), "id")
-            fresh = numbered(preprocess(fresh, cfg.preprocess, self.hook), "pos", txn.manifest["max_seq"])
+            fresh = spread(self.stage(numbered(preprocess(fresh, cfg.preprocess, self.hook), "pos", txn.manifest["max_seq"]), "numbered"))
             embedder = self.embedder
             fresh = self.stage(fresh.withColumn("embedding", embed_column(F.col("text"), lambda: embedder, cfg.embed_batch_size)), "fresh")
             top = fresh.agg(F.max("seq")).first()[0]

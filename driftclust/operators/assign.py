@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftclust.operators.scoring import ROWS, matrix, nearest_exemplars
+from driftclust.session import spread
 
 #: Bytes of exemplars that are sent to the workers at once. A larger index is scored block by block.
 INDEX_BYTES = 128 << 20
@@ -153,7 +154,7 @@ def all_scores(items: DataFrame, exemplars: DataFrame, clusters: DataFrame, k: i
 
     found = None
     for block in _blocks(index_rows(exemplars, clusters)):
-        part = items.select("item_id", "embedding").mapInArrow(score(block), "item_id string, cluster_id string, score double")
+        part = spread(items.select("item_id", "embedding")).mapInArrow(score(block), "item_id string, cluster_id string, score double")
         found = part if found is None else found.unionAll(part)
     return items.sparkSession.createDataFrame([], "item_id string, cluster_id string, score double") if found is None else found
 
@@ -166,7 +167,7 @@ def assign(items: DataFrame, exemplars: DataFrame, clusters: DataFrame, k: int,
     alone decides; ties go to the one opened first, then by id. Without clusters all results are null. Items don't see each other.
     An ``index`` made before stands for exemplars and clusters.
     """
-    items = items.select("item_id", "embedding")
+    items = spread(items.select("item_id", "embedding"))
     found = None
     for block in _blocks(index_rows(exemplars, clusters)) if index is None else index.blocks:
         part = items.mapInArrow(_best(block, k), "item_id string, cluster_id string, score double, threshold double, place long")
