@@ -217,3 +217,24 @@ def test_failing_sinks_and_labelers_stop_nothing(spark):
     e.ingest(items("sea", 12))
     (a,) = e.discover().opened
     assert e.get_cluster(a)["label"] is None
+
+
+def test_the_index_is_kept_while_it_holds(spark):
+    e = engine(spark)
+    e.ingest(items("sea", 12) + items("code", 12, 5))
+    e.discover()
+    batch = items("sea", 4, 400, 5)
+    found = {r.item_id: (r.cluster_id, r.score) for r in e.match(batch).collect()}
+    index, size = e._index, e.buffer_size()
+    assert e.match(batch).count() == 4 and e._index is index and e.buffer_size() == size
+    placed = {r.item_id: (r.cluster_id, r.score) for r in e.ingest(batch).collect()}
+    assert placed == found and any(c for c, _ in placed.values())
+    e.match(batch).collect()
+    assert e._index is not index, "the batch moved clusters"
+    e.clock.advance_to(T0 + timedelta(days=2))
+    assert len(e.sweep().closed) == 2
+    e.match(batch).collect()
+    index = e._index
+    assert index.until == T0 + timedelta(days=2) + e.config.grace
+    e.clock.advance_to(index.until + timedelta(seconds=1))
+    assert {r.cluster_id for r in e.match(batch).collect()} == {None} and e._index is not index

@@ -168,7 +168,7 @@ def test_nearest_exemplars_in_parts(spark, monkeypatch):
     df = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(unit(20, seed=6))], "item_id string, embedding array<float>")
     rows = lambda: sorted((r.item_id, r.cluster_id, round(r.score, 9)) for r in scoring.nearest_exemplars(df, ex, 7, 3).collect())
     whole = rows()
-    monkeypatch.setattr(scoring, "BROADCAST_BYTES", 900)
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 900)
     assert rows() == whole and len(whole) >= 20
 
 
