@@ -11,6 +11,7 @@ from driftclust.llm.chat import format_conversations, read_back
 from driftclust.llm.common import table
 from driftclust.llm.decontam import contaminations
 from driftclust.llm.fertility import fertility_verdicts
+from driftclust.llm.filter_audit import audit_filters
 from driftclust.llm.html_text import extract_text
 from driftclust.llm.importance import importance_resample
 from driftclust.llm.jaccard import jaccard_components
@@ -73,7 +74,12 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_verdicts(table(spark, sf_dir, "documents"), vocabulary="piece_bpe_32k.model")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_ngram_jaccard, op4_html_text, op5_sharding, op6_quality, op7_decontamination, op8_chat, op9_token_counts, op10_fertility)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents: what each does at each place of each order."""
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_ngram_jaccard, op4_html_text, op5_sharding, op6_quality, op7_decontamination, op8_chat, op9_token_counts, op10_fertility, op13_filter_audit)}
 
 #: DuckDB SQL. The other operators have none: SQL can't express them, or not over whole tables; the tests hold them against brute force.
 ORACLES: dict[str, str] = {
@@ -137,4 +143,24 @@ s AS (SELECT w.source, w.weight, f.t - 1 AS slot, row_number() OVER (PARTITION B
 o AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d)
 SELECT o.doc_id, o.source, o.n_bytes, start // 65536 AS block, start % 65536 AS block_offset, (start // 65536 // s.weight) * (SELECT q FROM p) + s.slot AS slot
 FROM o JOIN s ON o.source IS NOT DISTINCT FROM s.source AND s.j = (start // 65536) % s.weight""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+f AS (SELECT w.doc_id, part, coalesce(good, false) AS good, coalesce(lab.toxic, false) AS toxic,
+  (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+  + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END)
+  + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN w.doc_id > first THEN 16 ELSE 0 END) AS mask FROM w LEFT JOIN lab ON lab.doc_id = w.doc_id),
+g AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM f GROUP BY ALL),
+o AS (SELECT '' AS o, 0 AS used UNION ALL SELECT o || chr(65 + i::INT), used + (1 << i::INT) FROM o, range(5) r(i) WHERE used & (1 << i::INT) = 0),
+steps AS (SELECT o AS filter_order, k::INT AS step, 1 << (ascii(o[k]) - 65) AS bit, list_sum(list_transform(range(1, k), lambda j: 1 << (ascii(o[j]) - 65))) AS before FROM o, range(1, 6) r(k) WHERE len(o) = 5),
+c AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (coalesce(before, 0)::INT | bit) = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0)::INT = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0)::INT > 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0)::INT = 0 THEN n_good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0)::INT = 0 THEN n_toxic ELSE 0 END) AS toxic_lost
+  FROM g, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM c""",
 }
