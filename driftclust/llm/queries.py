@@ -17,6 +17,7 @@ from driftclust.llm.importance import importance_resample
 from driftclust.llm.jaccard import jaccard_components
 from driftclust.llm.lines import dedup_lines
 from driftclust.llm.mixing import mix_sources
+from driftclust.llm.prefix_trie import prefix_trie
 from driftclust.llm.ring import shard_documents
 from driftclust.llm.tokens import token_counts
 
@@ -74,12 +75,17 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_verdicts(table(spark, sf_dir, "documents"), vocabulary="piece_bpe_32k.model")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of the turns that all conversations share."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters over all documents: what each does at each place of each order."""
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_ngram_jaccard, op4_html_text, op5_sharding, op6_quality, op7_decontamination, op8_chat, op9_token_counts, op10_fertility, op13_filter_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_ngram_jaccard, op4_html_text, op5_sharding, op6_quality, op7_decontamination, op8_chat, op9_token_counts, op10_fertility, op11_prefix_trie, op13_filter_audit)}
 
 #: DuckDB SQL. The other operators have none: SQL can't express them, or not over whole tables; the tests hold them against brute force.
 ORACLES: dict[str, str] = {
@@ -143,6 +149,21 @@ s AS (SELECT w.source, w.weight, f.t - 1 AS slot, row_number() OVER (PARTITION B
 o AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d)
 SELECT o.doc_id, o.source, o.n_bytes, start // 65536 AS block, start % 65536 AS block_offset, (start // 65536 // s.weight) * (SELECT q FROM p) + s.slot AS slot
 FROM o JOIN s ON o.source IS NOT DISTINCT FROM s.source AND s.j = (start // 65536) % s.weight""",
+    "op11_prefix_trie": r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS tab),
+t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, key, len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, key) AS i FROM t),
+c AS (SELECT DISTINCT c, c - c % 20 AS base, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(c::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT), lambda a, b: xor(a // 256, tab[xor(a % 256, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 4 AS h FROM t, tab),
+r AS (SELECT c.c, 0 AS own, i, key, words FROM c JOIN o ON o.c = c.base AND i <= h UNION ALL SELECT c.c, 1, i, key, words FROM c JOIN o ON o.c = c.c AND i > h),
+d AS (SELECT c, key, words, row_number() OVER (PARTITION BY c ORDER BY own, i) AS depth FROM r),
+p AS (SELECT c, depth, words, string_agg(key, '') OVER (PARTITION BY c ORDER BY depth) AS prefix FROM d UNION ALL SELECT c, 0, 0, '' FROM c),
+e AS (SELECT c, max(depth) AS len FROM p GROUP BY c),
+n AS (SELECT prefix, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = len), '')) AS ends_sha256 FROM p JOIN e USING (c) GROUP BY ALL),
+k AS (SELECT substr(prefix, 1, 32 * (depth - 1)) AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.prefix = n.prefix),
+s AS (SELECT prefix, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM (SELECT unnest(list_transform(range(0, depth + 1), lambda j: substr(prefix, 1, 32 * j))) AS prefix, n_children, n_convs, words FROM f) GROUP BY prefix)
+SELECT f.conv_id, f.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN s USING (prefix) LEFT JOIN n u ON u.prefix = substr(f.prefix, 1, 32 * (f.depth - 1)) AND u.depth = f.depth - 1""",
     "op13_filter_audit": r"""
 WITH RECURSIVE lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
 d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
