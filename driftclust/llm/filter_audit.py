@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftclust.llm.common import SLICE_BYTES, SPACE, own_columns, runs, utf8
+from driftclust.llm.common import SLICE_BYTES, SPACE, cut, own_columns, runs, utf8
 
 #: Rows whose bitmaps stand in memory at once.
 SLICE_ROWS = 1 << 18
+#: Texts that are sent to all tasks, 50 bytes each, at most.
+FREQUENT = 1000
 
 _SIGNS = np.zeros(256, bool)
 _SIGNS[list(b"#$%&*|")] = True
@@ -65,14 +67,18 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def flagged(documents: DataFrame) -> DataFrame:
-    """(doc_id, part, mask): the filters that each row fails, bit 4 for a text that a smaller doc_id has too. Texts meet by their SHA-256: of
-    each text's rows only their smallest and largest doc_id are shuffled by a task, and only texts of two doc_ids or more are joined back, in a join
-    whose frequent keys Spark splits at run time."""
+    """(doc_id, part, mask): the filters that each row fails, bit 4 for a text that a smaller doc_id has too. Texts meet by their SHA-256. The slim rows
+    are written once; of each text's rows a task shuffles only a count and the smallest and largest doc_id. Texts that hold a share of
+    1 / FREQUENT of all rows, of which there are FREQUENT at most, are sent to all tasks; the rows of all others are joined by text."""
     rows = own_columns(documents, "doc_id", "lang", "text").select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    rows = rows.mapInArrow(_flag, "doc_id long, part string, mask short, key binary").withColumn("part", F.coalesce("part", F.lit("")))
-    copies = rows.groupBy("key").agg(F.min("doc_id").alias("__first"), F.max("doc_id").alias("__last")).where("__first < __last").drop("__last")
+    rows = cut(rows.mapInArrow(_flag, "doc_id long, part string, mask short, key binary").withColumn("part", F.coalesce("part", F.lit(""))), "flags")
+    copies = cut(rows.groupBy("key").agg(F.min("doc_id").alias("__first"), F.max("doc_id").alias("__last"), F.count("*").alias("__n")).where("__first < __last").drop("__last"), "copies")
+    most = rows.count() / FREQUENT
+    frequent, others = (copies.where(c).drop("__n") for c in (F.col("__n") >= most, F.col("__n") < most))
+    marked = rows.join(F.broadcast(frequent), "key", "left")
+    rest = marked.where("__first IS NULL").drop("__first").join(others, "key", "left").select(marked.columns)
     later = F.when(F.col("doc_id") > F.col("__first"), F.lit(16)).otherwise(F.lit(0))
-    return rows.join(copies, "key", "left").select("doc_id", "part", F.col("mask").bitwiseOR(later.cast("short")).alias("mask"))
+    return marked.where("__first IS NOT NULL").unionAll(rest).select("doc_id", "part", F.col("mask").bitwiseOR(later.cast("short")).alias("mask"))
 
 
 # --- bitmaps -------------------------------------------------------------------------------------------------------

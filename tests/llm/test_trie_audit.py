@@ -108,7 +108,9 @@ def brute_audit(docs, labels):
 DOCS, LABELS = "doc_id long, text string, lang string", "doc_id long, quality int, toxic int"
 
 
-def test_audit_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("frequent", [3, 1000])
+def test_audit_equals_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr("driftclust.llm.filter_audit.FREQUENT", frequent)
     monkeypatch.setattr("driftclust.llm.filter_audit.SLICE_ROWS", 40)
     rng = random.Random(5)
     words = ["Über", "maß", "x", "Yes", "a&b", "50%", "na na", "z"] + [f"w{i}" for i in range(300)]
@@ -117,6 +119,7 @@ def test_audit_equals_brute_force(spark, monkeypatch):
         kinds = rng.choice([words, words[:5], words[8:], words[8:]])
         docs.append((i, rng.choice([" ", "\n", " \x0b"]).join(rng.choices(kinds, k=rng.choice([0, 3, 150, 199, 200, 201, 400]))), rng.choice(["en", "de", None, ""])))
     docs += [(rng.randrange(160, 300), *docs[rng.randrange(100)][1:]) for _ in range(60)]
+    docs += [(500 + i, docs[11][1], "de") for i in range(90)]
     docs += [(7, docs[7][1], "fr"), (None, docs[3][1], "en"), (None, None, "en"), (400, None, None), (401, "", "en"), (402, "A" * 3 + "b" * 97, "en"), (403, "A" * 4 + "b" * 97, "en")]
     labels = [(i, rng.choice([0, 1, None]), rng.choice([0, 1, None])) for i in range(0, 300, 2)] + [(4, 1, 0), (4, 0, 1), (None, 1, 1), (999, 1, 1)]
     rng.shuffle(docs)
