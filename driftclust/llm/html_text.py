@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,8 +43,12 @@ NEUTRAL = frozenset(
 )
 ARTICLE = frozenset("article entry post story".split())
 LIKELY = frozenset("article articles content entry main body post story text page".split())
-#: Share of a page's points from which an element isn't what its name says; comments may well be longer than an article.
-MISNAMED, MISNAMED_COMMENTS = 0.95, 0.99
+#: Share of a page's points from which an element isn't what its name says. Comments, which may well be longer than an article, go whatever they hold.
+MISNAMED = 0.95
+#: Elements that end the search for open paragraphs when a block begins; and those whose contents an inline end tag doesn't leave.
+BOUNDS = frozenset("table article section div main body aside blockquote ul ol".split())
+CONTAINERS = frozenset("article section div td body main".split())
+INLINE_ENDS = frozenset("p b i em strong a span".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -51,40 +57,84 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "score", "chars", "linked", "commas", "points")
+    __slots__ = ("tag", "attributes", "parent", "children", "score", "chars", "linked", "commas", "own", "points", "passed")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
-        self.score = 0.0
+        self.score = self.passed = 0.0
+
+
+#: What a tag on the left ends, and up to which open elements besides BOUNDS.
+_ENDED = {t: frozenset(ENDS.get(t, ((), ()))[0]) | ({"p"} if t in BLOCK else set()) | (HEADINGS if t in HEADINGS else set()) for t in BLOCK | set(ENDS)}
+_SCOPE = {t: frozenset(ENDS.get(t, ((), ()))[1]) - BOUNDS for t in _ENDED}
+
+
+class _Open:
+    """The open elements, the root at 0, and the places of each kind among them, so that no tag has to climb to find one."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.bounds, self.containers = [root], {}, [0], [0]
+
+    def push(self, node: Node) -> None:
+        place = len(self.nodes)
+        self.places.setdefault(node.tag, []).append(place)
+        self.nodes.append(node)
+        if node.tag in BOUNDS:
+            self.bounds.append(place)
+        if node.tag in CONTAINERS:
+            self.containers.append(place)
+
+    def close(self, place: int) -> None:
+        """Close the element at a place and all inside of it."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+        for some in (self.bounds, self.containers):
+            while some[-1] >= place:
+                some.pop()
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost element of a kind, 0 if none is open."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def ended_by(self, tag: str) -> int:
+        """The place of the outermost open element that a tag ends, 0 if it ends none."""
+        bound = self.bounds[-1]
+        for t in _SCOPE[tag]:
+            bound = max(bound, self.last(t))
+        outermost = 0
+        for t in _ENDED[tag]:
+            places = self.places.get(t)
+            if places and places[-1] > bound:
+                place = places[bisect_right(places, bound)]
+                outermost = min(outermost or place, place)
+        return outermost
 
 
 def parse(page: str) -> Node:
-    """A tree of elements and strings. Ends that HTML leaves out are put in; end tags without a start are ignored."""
-    root = top = Node("html", {}, None)
+    """A tree of elements and strings. Ends that HTML leaves out are put in; end tags without a start are ignored. The time is that of reading the page,
+    however deep its elements or wrong its tags."""
+    root = Node("html", {}, None)
+    opened = _Open(root)
     at, stop = 0, len(page)
     while at < stop:
         m = _TAG.search(page, at)
         if not m:
-            top.children.append(html.unescape(page[at:]))
+            opened.nodes[-1].children.append(html.unescape(page[at:]))
             break
         if m.start() > at:
-            top.children.append(html.unescape(page[at : m.start()]))
+            opened.nodes[-1].children.append(html.unescape(page[at : m.start()]))
         at = m.end()
         name = m[3]
         if not name:
             if m[1]:
-                top.children.append(m[1])
+                opened.nodes[-1].children.append(m[1])
             continue
         tag = name.lower()
         if m[2]:
-            node = top
-            while node is not root and node.tag != tag:
-                if tag in ("p", "b", "i", "em", "strong", "a", "span") and node.tag in ("article", "section", "div", "td", "body", "main"):
-                    node = root  # an inline end doesn't close a container
-                    break
-                node = node.parent
-            if node is not root:
-                top = node.parent
+            place = opened.last(tag)
+            if place and not (tag in INLINE_ENDS and opened.containers[-1] > place):  # an inline end doesn't close a container
+                opened.close(place)
             continue
         attributes = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[4])} if m[4].strip(" /\t\r\n") else {}
         if tag == "html":
@@ -94,23 +144,12 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|</{re.escape(tag)}>", re.I).search(page, at)
             at = end.end() if end else stop
             continue
-        if tag in ENDS or tag in BLOCK:
-            ended, scope = ENDS.get(tag, ((), ()))
-            node, close = top, None
-            while node is not root:
-                if node.tag in ended or (node.tag == "p" and tag in BLOCK):
-                    close = node
-                elif node.tag in HEADINGS and tag in HEADINGS:
-                    close = node
-                if node.tag in scope or node.tag in ("table", "article", "section", "div", "main", "body", "aside", "blockquote", "ul", "ol") and node.tag not in ended:
-                    break
-                node = node.parent
-            if close is not None:
-                top = close.parent
-        node = Node(tag, attributes, top)
-        top.children.append(node)
+        if tag in _ENDED and (place := opened.ended_by(tag)):
+            opened.close(place)
+        node = Node(tag, attributes, opened.nodes[-1])
+        opened.nodes[-1].children.append(node)
         if tag not in VOID:
-            top = node
+            opened.push(node)
     return root
 
 
@@ -132,44 +171,72 @@ def _likely(node: Node) -> bool:
     return any(w.lower() in LIKELY for w in _NAME.findall(names))
 
 
-def _inside(node: Node, *tags: str) -> bool:
-    up = node.parent
-    while up is not None and up.tag not in tags:
-        up = up.parent
-    return up is not None
-
-
-def _outside(node: Node) -> bool:
-    """Whether an element is no part of any article by its kind, role or state."""
+def _outside(node: Node, inside: frozenset[str]) -> bool:
+    """Whether an element is no part of any article by its kind, role or state; ``inside`` names the articles and mains around it."""
     a = node.attributes
-    if node.tag in DROPPED or node.tag == "header" and not (_inside(node, "article") or _inside(node, "main") and any(isinstance(c, Node) and c.tag in HEADINGS for c in node.children)):
+    if node.tag in DROPPED or node.tag == "header" and not ("article" in inside or "main" in inside and any(isinstance(c, Node) and c.tag in HEADINGS for c in node.children)):
         return True
     return bool(a) and ("hidden" in a or a.get("aria-hidden") == "true" or node.tag not in ("body", "article", "main", "html") and a.get("role", "").lower() in DROPPED_ROLES or bool(_HIDDEN.search(a.get("style", ""))))
 
 
-def prune(root: Node) -> None:
-    """Take out what stands outside of articles: by kind, role and state first; then forms, and elements whose name says so, unless they hold nearly
-    all points of the page."""
-    stack = [root]
+def _drop(root: Node, gone: Callable[[Node, frozenset[str]], bool]) -> bool:
+    """Take out the elements for which ``gone`` holds, given the articles and mains around them; whether there were any."""
+    stack, found = [(root, frozenset())], False
     while stack:
-        node = stack.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not _outside(c)]
-        stack += [c for c in node.children if isinstance(c, Node)]
-    _measure(root)
-    stack = [root]
+        node, inside = stack.pop()
+        if node.tag == "article" or node.tag == "main":
+            inside |= {node.tag}
+        below = [c for c in node.children if isinstance(c, Node)]
+        kept = [c for c in below if not gone(c, inside)]
+        if len(kept) < len(below):
+            out = {id(c) for c in below} - {id(c) for c in kept}
+            node.children = [c for c in node.children if id(c) not in out]
+            found = True
+        stack += [(c, inside) for c in kept]
+    return found
+
+
+def prune(root: Node) -> list[Node]:
+    """Take out what stands outside of articles: by kind, role and state first; then forms, and elements whose name says so, unless they hold nearly
+    all points of the page; last, comments of readers, whatever they hold, if any text stands outside of them. Returns the nodes, measured."""
+    _drop(root, _outside)
+    order = _measure(root)
+    points, comments = root.points, []
+    if _drop(root, lambda node, inside: _misplaced(node, points)):
+        order = _measure(root)
+    stack, elsewhere = [(root, frozenset())], False
     while stack:
-        node = stack.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not _misplaced(c, root.points)]
-        stack += [c for c in node.children if isinstance(c, Node)]
+        node, inside = stack.pop()
+        if node.tag == "article" or node.tag == "main":
+            inside |= {node.tag}
+        elsewhere = elsewhere or any(isinstance(c, str) and c.strip() for c in node.children)
+        for c in node.children:
+            if isinstance(c, Node):
+                if _comments(c, inside):
+                    comments.append(id(c))
+                else:
+                    stack.append((c, inside))
+    if elsewhere and comments:
+        comments = set(comments)
+        _drop(root, lambda node, inside: id(node) in comments)
+        order = _measure(root)
+    return order
 
 
 def _misplaced(node: Node, points: float) -> bool:
     if node.tag in FORMS:
         return node.points <= 0.5 * points  # some pages are a single form
     if node.tag in ("body", "article", "main", "html"):
-        return node.tag == "article" and _inside(node, "article", "main") and (named_role(node) or "").startswith("comment")
+        return False
     role = named_role(node)
-    return role is not None and node.points <= points * (MISNAMED_COMMENTS if role.startswith("comment") else MISNAMED)
+    return role is not None and not role.startswith("comment") and node.points <= points * MISNAMED
+
+
+def _comments(node: Node, inside: frozenset[str]) -> bool:
+    """Whether an element is named as comments; of articles, one inside of another or of a main."""
+    if node.tag in ("body", "main", "html") or node.tag == "article" and not inside:
+        return False
+    return (named_role(node) or "").startswith("comment")
 
 
 def _measure(root: Node) -> list[Node]:
@@ -190,7 +257,8 @@ def _measure(root: Node) -> list[Node]:
             else:
                 chars, commas, linked, points = chars + c.chars, commas + c.commas, linked + c.linked, points + c.points
         node.chars, node.commas, node.linked = chars, commas, chars if node.tag == "a" else linked
-        node.points = points + _own_points(node)
+        node.own = _own_points(node)
+        node.points = points + node.own
     return order
 
 
@@ -204,8 +272,10 @@ _OWN_TEXT = frozenset("div section article main body span td center form".split(
 def _own_points(node: Node) -> float:
     """Points of a paragraph: one, one for each comma, one for each 100 characters up to three, a fifth of that if it is short, times the share that
     isn't links. Containers with text of their own count as paragraphs; 0 for other elements."""
+    if not node.chars or not (node.tag in PARAGRAPH or node.tag in _OWN_TEXT):
+        return 0.0
     own = any(isinstance(c, str) and c.strip() for c in node.children)
-    if not node.chars or not (node.tag in PARAGRAPH or own and node.tag in _OWN_TEXT):
+    if not own and node.tag not in PARAGRAPH:
         return 0.0
     if not own and any(isinstance(c, Node) and c.tag in PARAGRAPH and c.chars for c in node.children):
         return 0.0
@@ -217,23 +287,27 @@ def _start(node: Node) -> float:
     return base + (25 if _likely(node) else 0)
 
 
-def best_container(root: Node) -> Node:
-    """Paragraphs pass points for their length and commas to their ancestors: all to the parent, half to its parent, a third of that
-    half and so on above, and each container's sum is discounted by the share of its text that is links. Elements and names of articles
-    start with points of their own."""
-    candidates: dict[int, Node] = {}
-    for node in _measure(root):
-        points = _own_points(node)
-        if not points:
-            continue
-        up, level = (node.parent if node.tag in PARAGRAPH and node.parent is not None else node), 0
-        while up is not None:
-            if id(up) not in candidates:
-                up.score = _start(up)
-                candidates[id(up)] = up
-            up.score += points / (1 if level == 0 else 2 if level == 1 else level * 3)
-            up, level = up.parent, level + 1
-    return max(candidates.values(), key=lambda n: n.score * (1 - _density(n)), default=root)
+def best_container(order: list[Node]) -> Node:
+    """Paragraphs pass points for their length and commas to their ancestors: all to the parent, half to its parent, and a third of what the one
+    below has got from each further down to each above; each container's sum is discounted by the share of its text that is links. Elements and
+    names of articles start with points of their own. One pass over the measured nodes, from the leaves up."""
+    best, most = order[-1], None
+    for node in order:
+        near, far = 0.0, 0.0  # from paragraphs here, and from those further down
+        for c in node.children:
+            if isinstance(c, Node):
+                if c.tag in PARAGRAPH:
+                    near += c.own
+                far += c.passed
+        if node.tag not in PARAGRAPH or node.parent is None:
+            near += node.own
+        node.passed = near / 2 + far / 3
+        if near or far:
+            node.score = _start(node) + near + far
+            worth = node.score * (1 - _density(node))
+            if most is None or worth > most:
+                best, most = node, worth
+    return best
 
 
 def _beside(node: Node, best: Node, article: bool) -> bool:
@@ -256,17 +330,18 @@ def _kept(best: Node) -> list[Node | str]:
         if up.tag == "article" or up.tag == "main" and (top is None or top.tag == "main"):
             top = up
         up = up.parent
-    found: list[Node | str] = [best]
+    before, after = [], []  # level by level, from the container outwards
     node = best
     while node.parent is not None and node is not top and node.tag not in ("body", "html"):
         article = top is not None
         at = next(i for i, c in enumerate(node.parent.children) if c is node)
-        beside = lambda c: c if isinstance(c, Node) and _beside(c, best, article) or isinstance(c, str) and article else None  # noqa: B023, E731
-        found = [c for c in map(beside, node.parent.children[:at]) if c is not None] + found + [c for c in map(beside, node.parent.children[at + 1 :]) if c is not None]
+        beside = lambda c: isinstance(c, Node) and _beside(c, best, article) or isinstance(c, str) and article  # noqa: B023, E731
+        before.append([c for c in node.parent.children[:at] if beside(c)])
+        after.append([c for c in node.parent.children[at + 1 :] if beside(c)])
         if not article:
             break
         node = node.parent
-    return found
+    return [*chain(*reversed(before)), best, *chain(*after)]
 
 
 def blocks(nodes: list[Node | str]) -> list[str]:
@@ -308,8 +383,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    prune(root)
-    return " ".join(blocks(_kept(best_container(root))))
+    return " ".join(blocks(_kept(best_container(prune(root)))))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +398,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     The article without menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers and
     markup; character references decoded, white space (Unicode's, as ``str.split`` has it) inside a block as one space, blocks joined by a
     space in page order. Only elements outside of articles by kind, role or state go before points are counted; a form, or an element whose class
-    or id names such a thing, stays if it holds nearly all points of the page. A null or empty page, or one without text, gives an empty
+    or id names such a thing, stays if it holds nearly all points of the page. Elements named as comments go whatever they hold, unless no text is left
+    outside of them. Pages of any depth and with any tags take time in proportion to their length. A null or empty page, or one without text, gives an empty
     text. A page without an article gives what scores best, at least the body.
     Null and repeated ids return as they are; other columns are ignored.
     """
