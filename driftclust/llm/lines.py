@@ -98,9 +98,20 @@ def line_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, li
         yield a, np.split(span_hashes(part, left, right), cuts), np.split(_words_within(part, left, right), cuts)
 
 
+def _numbered(a: np.ndarray) -> list[tuple[int, int]]:
+    """Each element with how many equal ones are left of it."""
+    seen: dict[int, int] = {}
+    out = []
+    for x in a.tolist():
+        seen[x] = seen.get(x, -1) + 1
+        out.append((x, seen[x]))
+    return out
+
+
 def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Matched positions of two sequences by patience diff: equal ends are matched; then the elements that are unique in both are matched
-    in their longest increasing order, and the parts between them in the same way."""
+    in their longest increasing order, and the parts between them in the same way. Where no element is unique in both, equal ones are told apart by
+    their count from the left."""
     out: list[tuple[int, int]] = []
     stack = [(0, len(a), 0, len(b))]
     while stack:
@@ -121,6 +132,9 @@ def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         ub, ib, cb = np.unique(b[b0:b1], return_index=True, return_counts=True)
         _, x, y = np.intersect1d(ua[ca == 1], ub[cb == 1], assume_unique=True, return_indices=True)
         pairs = sorted(zip((ia[ca == 1][x] + a0).tolist(), (ib[cb == 1][y] + b0).tolist(), strict=True))
+        if not pairs:
+            theirs = {key: b0 + j for j, key in enumerate(_numbered(b[b0:b1]))}
+            pairs = [(a0 + i, theirs[key]) for i, key in enumerate(_numbered(a[a0:a1])) if key in theirs]
         if not pairs:
             continue
         tails: list[int] = []
@@ -167,9 +181,9 @@ def least_runs(hashes: np.ndarray, words: np.ndarray, least_words: int) -> tuple
 def aligned(hashes: np.ndarray, words: np.ndarray, there: np.ndarray, starts: np.ndarray, ends: np.ndarray, least_words: int) -> list[tuple[int, int, int]]:
     """Blocks (start there, start here, lines) that a text has in common with an earlier one, of ``least_words`` words at least.
 
-    ``there``, ``starts``, ``ends``: shared runs by their start in the earlier text and their span here, which name all lines of the
-    earlier text that can lie in a block. Those lines, in their order there, are aligned with those here by patience diff; what
-    it leaves over, runs that are repeated or stand in another order, are blocks of their own.
+    ``there``, ``starts``, ``ends``: shared runs by their start in the earlier text and their span here, which name all lines of either text that
+    can lie in a block. Those lines, in their order there and here, are aligned by patience diff, and only what is aligned is a block: adjacent
+    lines aligned with adjacent ones. A run that this leaves out, since it is repeated or stands in another order, is aligned by itself.
     """
     shift = there - starts
     order = np.lexsort((starts, shift))
@@ -178,21 +192,23 @@ def aligned(hashes: np.ndarray, words: np.ndarray, there: np.ndarray, starts: np
     opens = np.concatenate(([True], (shift[1:] != shift[:-1]) | (starts[1:] > reach[:-1] % (len(hashes) + 1))))
     at = np.flatnonzero(opens)
     shift, starts, ends = shift[at], starts[at], np.maximum.reduceat(ends, at)
-    if len(at) == 1:
-        return [(int(starts[0] + shift[0]), int(starts[0]), int(ends[0] - starts[0]))]
-    spread = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends, strict=True)])
-    earlier, first = np.unique(spread + np.repeat(shift, ends - starts), return_index=True)
-    here = np.unique(spread)
-    pairs = patience(hashes[spread[first]], hashes[here])
-    found, gone, total = [], np.zeros(len(hashes) + 1, bool), np.concatenate(([0], np.cumsum(words)))
-    for block in _unbroken([(int(earlier[i]), int(here[j])) for i, j in pairs]):
-        if total[block[1] + block[2]] - total[block[1]] >= least_words:
-            found.append(block)
-            gone[block[1] : block[1] + block[2]] = True
-    for s, a, b in zip(shift.tolist(), starts.tolist(), ends.tolist(), strict=True):
-        if not gone[a:b].all():
-            found.append((a + s, a, b - a))
-            gone[a:b] = True
+    total = np.concatenate(([0], np.cumsum(words)))
+
+    def blocks(which: slice) -> list[tuple[int, int, int]]:
+        spread = np.concatenate([np.arange(a, b) for a, b in zip(starts[which], ends[which], strict=True)])
+        earlier, first = np.unique(spread + np.repeat(shift[which], (ends - starts)[which]), return_index=True)
+        here = np.unique(spread)
+        pairs = patience(hashes[spread[first]], hashes[here])
+        return [b for b in _unbroken([(int(earlier[i]), int(here[j])) for i, j in pairs]) if total[b[1] + b[2]] - total[b[1]] >= least_words]
+
+    found, gone = blocks(slice(None)), np.zeros(len(hashes), bool)
+    for _, line, n in found:
+        gone[line : line + n] = True
+    for i in range(len(starts)):
+        if not gone[starts[i] : ends[i]].all():
+            for block in blocks(slice(i, i + 1)):
+                found.append(block)
+                gone[block[1] : block[1] + block[2]] = True
     return found
 
 
@@ -268,7 +284,7 @@ def _leads(found: DataFrame) -> DataFrame:
     First holders are found by partial aggregation. Runs of many holders, of which there are at most HOT_RUNS, are sent to the rows; the others
     meet their rows by the run.
     """
-    first = cut(found.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("start", "doc_id").alias("there"), F.count("*").alias("holders")).where("first < last").drop("last"), "run-holders")
+    first = cut(found.groupBy("run").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("doc_id").alias("last"), F.count("*").alias("holders")).where("f.doc_id < last").select("run", F.col("f.doc_id").alias("first"), F.col("f.start").alias("there"), "holders"), "run-holders")
     hot = first.where(F.col("holders") > max(HOT_HOLDERS, found.count() // HOT_RUNS))
     one = F.struct("first", "there", "holders")
     tagged = found.join(F.broadcast(hot.select("run", one.alias("hot"))), "run", "left")  # HOT_RUNS rows at most
@@ -281,13 +297,13 @@ def dedup_lines(documents: DataFrame, least_words: int = 20) -> DataFrame:
     line, line here, lines; from 0); a row for each row.
 
     Lines are what ``\\n`` parts, compared without white space around them. What goes is each line that lies in a block, a run of adjacent
-    lines with ``least_words`` words or more, which a document with a smaller doc_id has in one piece too.
+    lines with ``least_words`` words or more, which patience diff aligns with a document with a smaller doc_id: every line of such a run
+    that the two share is in an alignment of them, the one of all their shared lines or, in another order or repeated, one of the run itself.
 
     Documents meet through the hashes of the runs of lines that just reach ``least_words``, and of such a run through its first holder. As every
     line of a block lies in such a run inside the block, whoever else holds it, no block of any pair is missed, and k holders give k - 1
     leads, not k squared. The runs name all lines of the earlier document that can lie in a block, and the later one holds them too; so
-    positions alone travel, and the two are aligned by patience diff where the later text is, first with the document behind the
-    rarest run. Runs that the diff leaves over, repeated or in another order there, are blocks of their own.
+    positions alone travel, and the two are aligned where the later text is, first with the document behind the rarest run.
 
     A null text stays null, with 0 lines; an empty text is one empty line. Rows with a null doc_id return unchanged and are nobody's
     earlier document. Rows that share a doc_id aren't compared with each other; each is aligned with the same earlier documents.

@@ -202,6 +202,34 @@ def test_line_dedup(spark):
     assert got[8].text == "" and got[8].n_removed == 4, "white space around lines doesn't count"
 
 
+def plain_patience(a, b, a0=0, b0=0):
+    """Patience diff by its definition: equal ends, then the longest rising chain of elements unique in both, or numbered ones, then the gaps."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(a0, b0)] + plain_patience(a[1:], b[1:], a0 + 1, b0 + 1)
+    if a[-1] == b[-1]:
+        return plain_patience(a[:-1], b[:-1], a0, b0) + [(a0 + len(a) - 1, b0 + len(b) - 1)]
+    pairs = [(i, b.index(x)) for i, x in enumerate(a) if a.count(x) == 1 == b.count(x)]
+    pairs = pairs or [(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x == y and a[:i].count(x) == b[:j].count(x)]
+    if not pairs:
+        return []
+    length = []
+    for k, (_, j) in enumerate(pairs):
+        length.append(1 + max((length[m] for m in range(k) if pairs[m][1] < j), default=0))
+    chain, wanted, k = [], max(length), len(pairs)
+    while wanted:
+        k = max(m for m in range(k) if length[m] == wanted)
+        chain.append(pairs[k])
+        wanted -= 1
+    out, last = [], (-1, -1)
+    for i, j in [*reversed(chain), (len(a), len(b))]:
+        out += plain_patience(a[last[0] + 1 : i], b[last[1] + 1 : j], a0 + last[0] + 1, b0 + last[1] + 1)
+        out += [(a0 + i, b0 + j)] if i < len(a) else []
+        last = (i, j)
+    return out
+
+
 def brute_lines(data, least=20):
     """Texts without lines that lie in a run of adjacent lines, of ``least`` words or more, that any earlier document has too: all pairs, diagonal by diagonal."""
     trimmed = [[x.strip(" \t\n\x0b\x0c\r") for x in t.split("\n")] if t is not None else None for _, t, *_ in data]
@@ -312,6 +340,25 @@ def test_patience_matches_rise_and_are_equal(a, b):
         assert len(pairs) == len(a)
 
 
+@given(st.lists(st.integers(0, 9), max_size=14), st.lists(st.integers(0, 9), max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_patience_is_its_definition(a, b):
+    assert lines.patience(np.array(a, np.int64), np.array(b, np.int64)) == plain_patience(a, b)
+
+
+def test_only_what_is_aligned_goes(spark, monkeypatch):
+    one, two = ([f"passage {p} line {i} has seven words or eight" for i in range(n)] for p, n in (("one", 5), ("two", 4)))
+    data = [(1, text_with("a", *one, "b", *two, "c"), None, None, None), (2, text_with("x", *two, "y", *one, "z"), None, None, None), (3, text_with("p", *one, "q", *one, "r"), None, None, None), (4, text_with("s", *one, "t", *two, "u"), None, None, None)]
+    got = check_lines(spark, data)
+    assert [got[i].text for i in (2, 3, 4)] == ["x\ny\nz", "p\nq\nr", "s\nt\nu"]
+    assert [tuple(b) for b in got[4].blocks] == [(1, 1, 1, 5), (1, 7, 7, 4)]  # one alignment
+    assert [tuple(b) for b in got[2].blocks] == [(1, 1, 6, 5), (1, 7, 1, 4)]  # the longer part, then the other by itself
+    hashes, spans = np.arange(9, dtype=np.uint64), (np.array([0, 4]), np.array([4, 0]), np.array([8, 4]))
+    assert len(lines.aligned(hashes, np.full(9, 10), *spans, 20)) == 2
+    monkeypatch.setattr(lines, "patience", lambda a, b: [])
+    assert lines.aligned(hashes, np.full(9, 10), *spans, 20) == []
+
+
 @given(st.lists(st.text(alphabet=" \tab\n", max_size=20), max_size=6))
 @settings(max_examples=100, deadline=None)
 def test_lines_are_found_and_counted(texts):
