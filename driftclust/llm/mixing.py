@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftclust.llm.common import packed
@@ -10,7 +11,7 @@ from driftclust.llm.order import BITS, row_point, sum_before
 
 #: Leading bits of a document's place that name its cell.
 CELL_BITS = 12
-#: Slots that are picked before they join the rest: a fold copies what it has gathered at each step.
+#: Runs that are made before they join the rest: a fold copies what it has gathered at each step.
 PICKED = 256
 #: Where rows without a slot stand: after all slots.
 UNSLOTTED = 1 << 50
@@ -23,34 +24,58 @@ def root_weights(documents: DataFrame, most: int = 100) -> DataFrame:
     return sizes.crossJoin(top).select("source", F.ceil(F.lit(most) * F.sqrt(F.col("bytes").cast("double")) / F.sqrt(F.col("top").cast("double"))).cast("int").alias("weight"))  # one row on the right
 
 
-def pfair_slots(weights: DataFrame) -> DataFrame:
-    """(source, weight, period, slots): in which slots of a period a source's blocks stand, for whole positive weights.
+def pfair_runs(weights: DataFrame) -> DataFrame:
+    """(weight, sources, period, k, first, start, n): runs of slots for sources of the same weight. Sources of one weight have the same releases and
+    deadlines, so their k-th blocks are one bundle; a run gives slots start to start + n - 1 to the bundle's blocks from number ``first`` on.
 
-    The period is the sum of the weights. Block k (from 0) of a source with weight w is released at floor(k * period / w) and due by
-    ceil((k + 1) * period / w). Each slot goes to the released block with the earliest deadline, ties to the source that comes first by
-    name. Such unit jobs have a schedule that meets all deadlines, and earliest deadline first finds it; so at any time each
-    source has less than a block more or less than its share. The schedule is made over the (source, weight) rows alone, as a fold in one row.
+    The fold steps from run to run: a run ends when its bundle is done or another bundle is released. It holds one row with as many entries
+    as there are different weights, and makes two runs at most for each bundle, whatever the number of sources.
     """
-    listed = weights.agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNotNull().alias("named"), "source", "weight"))).alias("s"))
-    listed = listed.select("s", F.expr("transform(s, x -> x.weight)").alias("w"), F.expr("aggregate(s, 0L, (a, x) -> a + x.weight)").alias("period"))
-    picks = F.expr(
+    groups = weights.groupBy("weight").agg(F.count("*").alias("m")).agg(F.sort_array(F.collect_list(F.struct(F.col("weight").cast("long").alias("w"), "m"))).alias("g"))
+    groups = groups.select(F.expr("transform(g, x -> x.w)").alias("w"), F.expr("transform(g, x -> x.m)").alias("m"), F.expr("aggregate(g, 0L, (a, x) -> a + x.w * x.m)").alias("period"), F.expr("aggregate(g, 0L, (a, x) -> a + 2 * x.w)").alias("most"))
+    run = "struct<i:int,k:bigint,first:bigint,start:bigint,n:bigint>"
+    step = """
+        transform(
+          array(array_min(transform(s.ks, (k, i) -> if(k * period div w[i] <= s.t, named_struct('due', ((k + 1) * period + w[i] - 1) div w[i], 'i', i), null)))),
+          best -> transform(
+            array(least(s.ls[best.i], coalesce(array_min(transform(s.ks, (k, i) -> if(k * period div w[i] > s.t, k * period div w[i], null))), period) - s.t)),
+            n -> named_struct(
+              't', s.t + n,
+              'ks', transform(s.ks, (k, i) -> if(i = best.i and s.ls[i] = n, k + 1, k)),
+              'ls', transform(s.ls, (l, i) -> if(i = best.i, if(l = n, m[i], l - n), l)),
+              'part', concat(s.part, array(named_struct('i', best.i, 'k', s.ks[best.i], 'first', m[best.i] - s.ls[best.i], 'start', s.t, 'n', n)))))[0])[0]
+    """
+    runs = F.expr(
         f"""
         aggregate(
-          if(period = 0, array(), sequence(0L, (period - 1) div {PICKED})),
-          struct(transform(w, x -> 0L) as k, cast(array() as array<int>) as picks),
+          if(period = 0, array(), sequence(0L, most div {PICKED})),
+          named_struct('t', 0L, 'ks', transform(w, x -> 0L), 'ls', m, 'runs', cast(array() as array<{run}>)),
           (all, c) -> aggregate(
-            sequence(c * {PICKED} + 1, least(period, (c + 1) * {PICKED})),
-            struct(all.k as k, cast(array() as array<int>) as part),
-            (state, t) -> transform(
-              array(array_min(transform(state.k, (k, i) ->
-                if(k * period div w[i] <= t - 1, named_struct('due', ((k + 1) * period + w[i] - 1) div w[i], 'i', i), null)))),
-              best -> struct(transform(state.k, (k, i) -> if(i = best.i, k + 1, k)) as k, concat(state.part, array(best.i)) as part))[0],
-            state -> struct(state.k as k, concat(all.picks, state.part) as picks)),
-          all -> all.picks)
+            sequence(1, {PICKED}),
+            named_struct('t', all.t, 'ks', all.ks, 'ls', all.ls, 'part', cast(array() as array<{run}>)),
+            (s, x) -> if(s.t >= period, s, {step}),
+            s -> named_struct('t', s.t, 'ks', s.ks, 'ls', s.ls, 'runs', concat(all.runs, s.part))),
+          all -> all.runs)
         """
     )
-    slots = listed.select("s", "period", F.posexplode(picks).alias("slot", "i")).groupBy("i").agg(F.sort_array(F.collect_list("slot")).alias("slots"), F.first("s").alias("s"), F.first("period").alias("period"))
-    return slots.select(F.expr("s[i].source").alias("source"), F.expr("s[i].weight").alias("weight"), "period", "slots")
+    listed = groups.select("w", "m", "period", F.explode(runs).alias("r"))
+    return listed.select(F.expr("w[r.i]").alias("weight"), F.expr("m[r.i]").alias("sources"), "period", "r.k", "r.first", "r.start", "r.n")
+
+
+def pfair_slots(weights: DataFrame) -> DataFrame:
+    """(source, weight, period, slots): in which slots of a period a source's blocks stand, for whole positive weights.
+
+    The period is the sum of the weights. Block k (from 0) of a source with weight w is released at floor(k * period / w) and due by
+    ceil((k + 1) * period / w). Each slot goes to the released block with the earliest deadline, ties to the smaller weight and then to the source
+    that comes first by name. Such unit jobs have a schedule that meets all deadlines, and earliest deadline first finds it; so at any
+    time each source has less than a block more or less than its share. ``pfair_runs`` makes it for all sources of a weight together, and the
+    sources take their slots in a join. Its time grows with the number of different weights times their sum, and with the period.
+    """
+    order = W.partitionBy("weight").orderBy(F.col("source").isNotNull(), "source")
+    named = weights.select("source", F.col("weight").cast("long").alias("weight")).withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+    slots = pfair_runs(weights).select("weight", "period", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"), "first", "start").select("weight", "period", (F.col("first") + F.col("j")).alias("place"), (F.col("start") + F.col("j")).alias("slot"))
+    taken = named.join(slots, ["weight", "place"]).groupBy("weight", "place", "period").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+    return named.join(taken, ["weight", "place"]).select("source", F.col("weight").cast("int").alias("weight"), "period", "slots")
 
 
 def mix_sources(documents: DataFrame, weights: DataFrame | None = None, block_bytes: int = 1 << 16) -> DataFrame:

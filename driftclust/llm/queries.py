@@ -145,7 +145,7 @@ FROM r JOIN h USING (arc) CROSS JOIN room LEFT JOIN p ON p.arc = r.arc AND rank
     "op2_mixing": """
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS place FROM documents),
 b AS (SELECT source, sum(n_bytes)::DOUBLE AS b FROM d GROUP BY source),
-w AS (SELECT source, ceil(100 * sqrt(b) / sqrt(max(b) OVER ()))::BIGINT AS weight, row_number() OVER (ORDER BY source IS NOT NULL, source) AS i FROM b),
+w AS (SELECT *, row_number() OVER (ORDER BY weight, source IS NOT NULL, source) AS i FROM (SELECT source, ceil(100 * sqrt(b) / sqrt(max(b) OVER ()))::BIGINT AS weight FROM b)),
 p AS (SELECT sum(weight)::BIGINT AS q, list(weight ORDER BY i) AS w FROM w),
 f AS (SELECT 0::BIGINT AS t, list_transform(w, lambda x: 0::BIGINT) AS k, 0::BIGINT AS pick FROM p
   UNION ALL

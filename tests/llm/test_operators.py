@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -389,6 +390,40 @@ def test_pfair_deviation(spark):
             assert all(abs(have[f"s{i}"] - x * (t + 1) / period) < 1 for i, x in enumerate(weights))
 
 
+def plain_pfair(weights):
+    """Earliest deadline first, slot by slot."""
+    period, k, out = sum(weights), [0] * len(weights), []
+    for t in range(period):
+        due = [(-(-(k[i] + 1) * period // w), w, i) for i, w in enumerate(weights) if k[i] * period // w <= t]
+        out.append(min(due)[2])
+        k[out[-1]] += 1
+    return out
+
+
+def test_pfair_schedule_is_earliest_deadline_first(spark):
+    r = random.Random(9)
+    for weights in ([1, 1, 1, 1], [3, 3, 1, 5, 5, 5], [r.randint(1, 9) for _ in range(60)], [97] + [1] * 40, [r.randint(1, 60) for _ in range(12)]):
+        w = spark.createDataFrame([(f"s{i:03}", x) for i, x in enumerate(weights)], "source string, weight int")
+        order = {t: int(x.source[1:]) for x in mixing.pfair_slots(w).collect() for t in x.slots}
+        assert [order[t] for t in range(sum(weights))] == plain_pfair(weights)
+    assert mixing.pfair_slots(spark.createDataFrame([], "source string, weight int")).count() == 0
+
+
+def test_ten_thousand_sources_are_scheduled_in_seconds(spark):
+    r = random.Random(2)
+    weights = [r.randint(1, 100) for _ in range(10_000)]
+    began = time.monotonic()
+    got = mixing.pfair_slots(spark.createDataFrame([(f"s{i:05}", x) for i, x in enumerate(weights)], "source string, weight int")).collect()
+    assert time.monotonic() - began < 60
+    period, slots = sum(weights), np.full(sum(weights), -1)
+    for x in got:
+        slots[x.slots] = int(x.source[1:])
+    assert len(got) == 10_000 and (slots >= 0).all()
+    for i in range(0, 10_000, 97):  # less than a block off at any time
+        have = np.cumsum(slots == i)
+        assert (np.abs(have - weights[i] * np.arange(1, period + 1) / period) < 1).all()
+
+
 def test_mix_places_every_row(spark):
     data = rows(2)
     got = mixing.mix_sources(frame(spark, data), block_bytes=500).collect()
