@@ -5,7 +5,9 @@ from __future__ import annotations
 import logging
 import threading
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
@@ -32,6 +34,7 @@ from driftclust.operators.assign import Index, assign, assign_nearest, make_inde
 from driftclust.operators.dedupe import first_of_each, numbered, unknown
 from driftclust.operators.scoring import draw_exemplars, member_scores, thresholds
 from driftclust.session import spread
+from driftclust.sinks.delivery import Delivery, hook_of
 from driftclust.state.store import Conflict, Snapshot, StateStore, Transaction
 
 log = logging.getLogger("driftclust")
@@ -113,6 +116,9 @@ class ClusteringEngine:
         self.labeler = labeler or (title_labeler(complete, terms=self.config.label_terms) if self.config.labeler == "title" else self._ctfidf)
         self._discovering, self._job = threading.Lock(), threading.local()
         self._index: Index | None = None
+        self.deliveries = [Delivery(spark, hook_of(h), f"{self.store.path}/_deliveries") for h in self.config.webhooks]
+        self._delivering, self._posts = threading.Lock(), deque(maxlen=100)
+        self._posting = ThreadPoolExecutor(1, "deliveries") if self.deliveries else None
         self._check_model(self.store.snapshot())
 
     # --- shared ------------------------------------------------------------------------------------------------
@@ -146,7 +152,17 @@ class ClusteringEngine:
         txn.compact()
         txn.commit()
         if self.bus:
-            self.bus.deliver(map(Event.of, self.store.snapshot().events(before).toLocalIterator()))
+            told, types = self.store.snapshot().events(before), self.bus.types()
+            self.bus.deliver(map(Event.of, (told if types is None else told.where(F.col("type").isin(*types))).toLocalIterator()))
+        if self.deliveries:
+            self._posts.append(self._posting.submit(self.deliver))
+
+    def deliver(self) -> list[dict[str, int]]:
+        """Post all committed events that their webhooks haven't had, by Spark tasks: counts of the outcomes of each hook. Runs by itself, beside the
+        jobs, after each commit; one that fails is made up for by the next."""
+        with self._delivering:
+            events = self.store.snapshot().events()
+            return [d.run(events) for d in self.deliveries]
 
     def _retry(self, job: Callable[[], Any], times: int = 3) -> Any:
         for attempt in range(times):
@@ -162,8 +178,8 @@ class ClusteringEngine:
         tables are the same and no closed cluster's grace ends."""
         cfg, exemplars = self.config, txn.table("exemplars")
         live = L.matchable(txn.table("clusters"), now, cfg.grace)
-        if cfg.exemplar_index == "nearest":
-            return assign_nearest(items, exemplars, live, cfg.exemplar_neighbors, cfg.match_top_k)
+        if cfg.exemplar_index != "exact":
+            return assign_nearest(items, exemplars, live, cfg.exemplar_neighbors, cfg.match_top_k, cfg.exemplar_recall if cfg.exemplar_index == "cells" else None)
         tables = txn.manifest["tables"]
         key = (tuple(tables.get("clusters", ())), tuple(tables.get("exemplars", ())))
         if self._index is None or not self._index.serves(key, now):
@@ -452,12 +468,11 @@ class ClusteringEngine:
         cfg, clusters = self.config, txn.table("clusters")
         able = clusters.where((F.col("status") == S.OPEN) & ~F.col("status_locked"))
         pairs = L.merge_candidates(able, txn.table("exemplars"), txn.table("no_merge"), cfg.merge_threshold, cfg.match_top_k)
-        chosen = L.greedy_pairs([(r.a, r.b, r.similarity) for r in pairs.collect()])  # pairs of clusters over the threshold
-        if not chosen:
+        chosen = L.greedy_pairs(pairs)
+        told = L.survivors(chosen, clusters).join(chosen, ["a", "b"]).orderBy(F.desc("similarity"), "a", "b").select("absorbed", "survivor", "similarity")
+        merges = [tuple(r) for r in told.collect()]  # clusters that are merged in this sweep
+        if not merges:
             return []
-        rows = self.spark.createDataFrame(chosen, "a string, b string, similarity double")
-        survive = {(r.a, r.b): (r.absorbed, r.survivor) for r in L.survivors(rows, clusters).collect()}
-        merges = [(*survive[a, b], s) for a, b, s in chosen]
         self._merge(txn, merges, now, events, manual=False)
         return merges
 
@@ -699,4 +714,10 @@ class ClusteringEngine:
         return {"items": counts(s.places(), S.ITEM_STATUSES), "clusters": counts(s.table("clusters"), S.CLUSTER_STATUSES)}
 
     def close(self) -> None:
+        """Close the sinks and wait for the deliveries that were begun."""
+        if self._posting:
+            self._posting.shutdown(wait=True)
+            for post in self._posts:
+                if post.exception():
+                    log.error("a delivery failed: %s", post.exception())
         self.bus.close()

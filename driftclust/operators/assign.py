@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftclust.operators.cells import CellIndex
 from driftclust.operators.scoring import ROWS, matrix, nearest_exemplars
 from driftclust.session import spread
 
@@ -190,8 +191,15 @@ def decide(scored: DataFrame) -> DataFrame:
     )
 
 
-def assign_nearest(items: DataFrame, exemplars: DataFrame, clusters: DataFrame, n: int, k: int) -> DataFrame:
-    """As ``assign``, with scores from the n exemplars nearest to each item only."""
+def assign_nearest(items: DataFrame, exemplars: DataFrame, clusters: DataFrame, n: int, k: int, recall: float | None = None) -> DataFrame:
+    """As ``assign``, with scores from the n exemplars nearest to each item only: all exemplars are scanned, or, if a ``recall`` is given, the cells of
+    an index that hold that share of them (``cells.CellIndex``). What is in no cell near enough has no score, nor has a zero vector then."""
     order = [F.col("opened_at")] if "opened_at" in clusters.columns else []
     placed = clusters.select(F.col("id").alias("cluster_id"), "threshold", F.struct(*order, F.col("id").alias("id")).alias("place"))
-    return decide(nearest_exemplars(items, exemplars, n, k).join(F.broadcast(placed), "cluster_id"))
+    near = None
+    if recall is not None:
+        index = CellIndex(exemplars, "cluster_id", "pos")
+        found = index.nearest(items, n, "item_id", probes=index.probes_for(items, n, recall, "item_id"))
+        near = found.select("item.item_id", "key.cluster_id", "key.pos", "sim")
+    decided = decide(nearest_exemplars(items, exemplars, n, k, near).join(placed, "cluster_id"))
+    return decided if near is None else items.select("item_id").join(decided, "item_id", "left")

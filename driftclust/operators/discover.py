@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftclust.functions.keys import cluster_id, draw_order
 from driftclust.operators.assign import assign
+from driftclust.operators.cells import CellIndex
 from driftclust.operators.density import density_labels, reduce
 from driftclust.operators.scoring import draw_exemplars, member_scores, symmetric_similarity, thresholds
 
@@ -61,9 +62,17 @@ def match_rest(items: DataFrame, labels: DataFrame, k: int, exemplars: int, perc
 
 
 def best_overlaps(found: DataFrame, found_exemplars: DataFrame, live: DataFrame, live_exemplars: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(id, target, similarity): for each candidate the open cluster it is most similar to, where that reaches the threshold. Candidates and open
-    clusters, not items, are paired."""
-    pairs = found.select(F.col("id").alias("a")).crossJoin(live.select(F.col("id").alias("b")))
+    """(id, target, similarity): for each candidate the open cluster it is most similar to, where that reaches the threshold.
+
+    The similarity is a mean of cosines of exemplars, so a pair that reaches the threshold has two exemplars that do: only clusters that such a pair of
+    exemplars links, which a join by cells finds, are compared in full.
+    """
+    if threshold <= 0:
+        pairs = found.select(F.col("id").alias("a")).crossJoin(live.select(F.col("id").alias("b")))  # all reach it
+    else:
+        own = lambda x, of: x.join(of.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi")
+        met = CellIndex(own(live_exemplars, live), "cluster_id", "pos").alike(own(found_exemplars, found), threshold - 1e-9, "cluster_id", "pos")
+        pairs = met.select(F.col("item.cluster_id").alias("a"), F.col("key.cluster_id").alias("b")).distinct()
     alike = symmetric_similarity(found_exemplars, live_exemplars, pairs, k).where(F.col("similarity") >= threshold)
     best = alike.groupBy("a").agg(F.min(F.struct((-F.col("similarity")).alias("low"), "b")).alias("m"))
     return best.select(F.col("a").alias("id"), F.col("m.b").alias("target"), (-F.col("m.low")).alias("similarity"))

@@ -7,9 +7,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftclust.functions.vector import dot
+from driftclust.operators.cells import similar_pairs
 from driftclust.operators.scoring import centroids, symmetric_similarity
 from driftclust.schema import ARCHIVED, BUFFERED, CLOSED, OPEN
+from driftclust.session import settled
 
 #: How far under the merge threshold the centroids of a pair may be for the pair to be compared in full.
 PREFILTER_MARGIN = 0.15
@@ -55,23 +56,33 @@ def grown(clusters: DataFrame, growth: float) -> DataFrame:
 def merge_candidates(clusters: DataFrame, exemplars: DataFrame, barred: DataFrame, threshold: float, k: int, margin: float = PREFILTER_MARGIN) -> DataFrame:
     """(a, b, similarity) of pairs a < b of ``clusters`` whose exemplars are at least ``threshold`` similar; ``barred`` pairs left out.
 
-    Only pairs whose centroids come within ``margin`` of the threshold are compared in full. Clusters, not items, are paired.
+    Only pairs whose centroids come within ``margin`` of the threshold are compared in full; a join by cells finds them (``cells.similar_pairs``).
     """
     middle = centroids(exemplars.join(clusters.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi"))
-    a = middle.select(F.col("cluster_id").alias("a"), F.col("centroid").alias("ca"))
-    b = middle.select(F.col("cluster_id").alias("b"), F.col("centroid").alias("cb"))
-    near = a.join(b, F.col("a") < F.col("b")).where(dot("ca", "cb") >= threshold - margin).select("a", "b").join(barred.select("a", "b"), ["a", "b"], "left_anti")
+    near = similar_pairs(middle.withColumnRenamed("centroid", "embedding"), threshold - margin, "cluster_id").select("a", "b")
+    near = near.join(barred.select("a", "b"), ["a", "b"], "left_anti")
     return symmetric_similarity(exemplars, exemplars, near, k).where(F.col("similarity") >= threshold)
 
 
-def greedy_pairs(pairs: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
-    """Most similar pairs first, ties by name, each cluster once."""
-    taken: set[str] = set()
-    out = []
-    for a, b, similarity in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
-        if a not in taken and b not in taken:
-            taken |= {a, b}
-            out.append((a, b, similarity))
+def greedy_pairs(pairs: DataFrame) -> DataFrame:
+    """(a, b, similarity): most similar pairs first, ties by name, each cluster once.
+
+    In each round all pairs are taken that come first at both of their clusters, and those that touch them go. Under a total order this takes the very
+    pairs that going through them one by one takes, in as many rounds as pairs in a row depend on each other. Rounds are written to
+    the shared folder; the driver counts. Null names or similarities pair nothing; of a repeated pair the most similar counts.
+    """
+    left = settled(pairs.select("a", "b", "similarity").where("a IS NOT NULL AND b IS NOT NULL AND similarity IS NOT NULL AND a <> b").groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "pairs")
+    taken = []
+    while left.limit(1).count():
+        place = F.struct((-F.col("similarity")).alias("s"), "a", "b")
+        ends = left.select(F.explode(F.array("a", "b")).alias("id"), place.alias("place")).groupBy("id").agg(F.min("place").alias("place"))
+        first = settled(ends.groupBy("place").count().where("count = 2").select("place.a", "place.b", (-F.col("place.s")).alias("similarity")), "pairs-taken")
+        taken.append(first)
+        done = first.select(F.explode(F.array("a", "b")).alias("id"))
+        left = settled(left.join(done.withColumnRenamed("id", "a"), "a", "left_anti").join(done.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b", "similarity"), "pairs")
+    out = left
+    for t in taken:
+        out = out.unionAll(t)
     return out
 
 
@@ -110,15 +121,18 @@ def _mark(clusters: DataFrame, ids: DataFrame, values: dict[str, Column]) -> Dat
     return flagged.select(*((F.when(F.col("__hit"), values[c]).otherwise(F.col(c)) if c in values else F.col(c)).cast(clusters.schema[c].dataType).alias(c) for c in clusters.columns))
 
 
-def resolve(clusters: DataFrame, most: int = 10_000) -> DataFrame:
-    """(id, final, hops): where the merge pointers of each cluster lead. Pointers are doubled, so a chain of n takes log2 n joins;
-    a cycle, which commits never make, ends the search."""
-    at = clusters.select("id", F.coalesce("merged_into", "id").alias("to"), F.when(F.col("merged_into").isNull(), 0).otherwise(1).cast("long").alias("hops"))
-    reach = 1
-    while reach < most:
+def resolve(clusters: DataFrame) -> DataFrame:
+    """(id, final, hops): where the merge pointers of each cluster lead. Pointers are doubled, so a chain of n takes log2 n joins, each round written
+    to the shared folder. A pointer to a cluster that isn't there ends at it. A cycle, which commits never make, is an error: its hops grow beyond the
+    number of clusters."""
+    at = settled(clusters.select("id", F.coalesce("merged_into", "id").alias("to"), F.when(F.col("merged_into").isNull(), 0).otherwise(1).cast("long").alias("hops")), "pointers")
+    rows = at.count()
+    while True:
         nxt = at.select(F.col("id").alias("to"), F.col("to").alias("then"), F.col("hops").alias("more"))
-        stepped = at.join(nxt, "to", "left").select("id", F.coalesce("then", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
-        if not stepped.join(at.select("id", F.col("to").alias("was")), "id").where("to <> was").limit(1).count():
+        stepped = settled(at.join(nxt, "to", "left").select("id", F.coalesce("then", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "pointers")
+        before, after = (x.agg(F.sum("hops"), F.max("hops")).first() for x in (at, stepped))
+        if (after[1] or 0) > rows:
+            raise ValueError("merge pointers go round in a circle")
+        if before[0] == after[0]:
             return stepped.select("id", F.col("to").alias("final"), "hops")
-        at, reach = stepped, reach * 2
-    return at.select("id", F.col("to").alias("final"), "hops")
+        at = stepped

@@ -156,17 +156,18 @@ def _nearest(table: pa.Table, n: int):
     return run
 
 
-def nearest_exemplars(items: DataFrame, exemplars: DataFrame, n: int, k: int) -> DataFrame:
+def nearest_exemplars(items: DataFrame, exemplars: DataFrame, n: int, k: int, near: DataFrame | None = None) -> DataFrame:
     """(item_id, cluster_id, score) as a store's nearest-neighbour index gives them: of the n exemplars nearest to an item those of a
     cluster are summed, k best at most, and divided by the smaller of k and the cluster's number of exemplars; what isn't near counts 0.
 
-    The exemplars are measured and sent in parts of at most about BLOCK_BYTES; the n nearest of each part are merged.
+    The exemplars are measured and sent in parts of at most about BLOCK_BYTES; the n nearest of each part are merged. ``near`` (item_id, cluster_id, pos, sim)
+    stands for them where an index has found them.
     """
     sizes = exemplars.groupBy("cluster_id").agg(F.count("*").alias("have"))
     order = W.partitionBy("item_id").orderBy(F.desc("sim"), "cluster_id", "pos")
-    near, parts = None, 0
+    parts = 0
     kind = exemplars.schema["pos"].dataType.simpleString()
-    for _, table in exemplar_parts(exemplars.select("cluster_id", "pos", "embedding"), "cluster_id"):
+    for _, table in exemplar_parts(exemplars.select("cluster_id", "pos", "embedding"), "cluster_id") if near is None else ():
         found = items.select("item_id", "embedding").mapInArrow(_nearest(table, n), f"item_id string, cluster_id string, pos {kind}, sim double")
         near, parts = found if near is None else near.unionAll(found), parts + 1
     if parts > 1:

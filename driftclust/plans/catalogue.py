@@ -14,6 +14,7 @@ from driftclust.functions import embed, keys, terms, text, vector
 from driftclust.operators import assign as A
 from driftclust.operators import dedupe, lifecycle, sampling, scoring, timeline
 from driftclust.operators import discover as D
+from driftclust.operators.cells import CellIndex, similar_pairs
 from driftclust.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -408,9 +409,35 @@ def q51_discover_groups(spark, d):
 @query
 def q52_merge_greedy(spark, d):
     """Pairs of clusters merged in one sweep, most similar first, each cluster once."""
-    pairs = q09_set_similarity(spark, d)
-    chosen = lifecycle.greedy_pairs([(r.a, r.b, r.similarity) for r in pairs.where("similarity >= 0.1").collect()])  # pairs of clusters
-    return spark.createDataFrame(chosen, "a string, b string, similarity double")
+    return lifecycle.greedy_pairs(q09_set_similarity(spark, d).where("similarity >= 0.1"))
+
+
+def _seekers(spark, d):
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select("vec_id", "embedding")
+
+
+@query
+def q59_nearest_exact(spark, d):
+    """The 10 vectors nearest to every vector whose id is divisible by 50, itself included, from cells, exactly."""
+    found = CellIndex(table(spark, d, "embeddings"), "vec_id").nearest(_seekers(spark, d), 10, "vec_id", probes=None)
+    return found.select(F.col("item.vec_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.col("key.vec_id").alias("nearest"), F.round("sim", 6).alias("sim"))
+
+
+@query
+def q60_nearest_recall(spark, d):
+    """How many of the 10 nearest of those vectors the approximate index finds, with as many probes as a sample of all vectors needs for 95 %."""
+    index = CellIndex(table(spark, d, "embeddings"), "vec_id")
+    probes = index.probes_for(table(spark, d, "embeddings"), 10, 0.95, "vec_id")
+    exact, near = (index.nearest(_seekers(spark, d), 10, "vec_id", probes=p).select("item", "key") for p in (None, probes))
+    hits = exact.join(near.withColumn("hit", F.lit(1)), ["item", "key"], "left")
+    return hits.groupBy(F.col("item.vec_id").alias("vec_id")).agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+
+
+@query
+def q61_similar_vectors(spark, d):
+    """All pairs of vectors with a cosine of 0.3 or more, by a join over cells."""
+    pairs = similar_pairs(table(spark, d, "embeddings"), 0.3, "vec_id")
+    return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 # --- evaluation ------------------------------------------------------------------------------------------------------

@@ -124,6 +124,13 @@ n2 AS (SELECT item_id, cluster_id, (list_reverse_sort(list(sim)))[1:5] AS sims F
 h AS (SELECT cluster_id, count(*) AS have FROM x GROUP BY ALL),
 a AS (SELECT item_id, cluster_id, list_sum(sims) / least(5, have) AS score FROM n2 JOIN h USING (cluster_id)), {_DECIDE} SELECT * FROM d""",
         "q09_set_similarity": f"WITH {_SIMILAR} SELECT a, b, round(similarity, 6) AS similarity FROM sim",
+        "q59_nearest_exact": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v WHERE list_dot_product(e, e) > 0),
+s AS (SELECT a.vec_id, b.vec_id AS nearest, list_dot_product(a.e, b.e) AS sim FROM u a, u b WHERE a.vec_id % 50 = 0)
+SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, nearest) AS rank, nearest, round(sim, 6) AS sim FROM s QUALIFY rank <= 10""",
+        "q61_similar_vectors": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v WHERE list_dot_product(e, e) > 0)
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e), 6) AS cosine FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) >= 0.3""",
         "q10_merge_candidates": f"""WITH {_SIMILAR}, cm AS (SELECT cluster_id, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS v FROM x), c1 AS (SELECT cluster_id, i, avg(v) AS v FROM cm GROUP BY ALL),
 c2 AS (SELECT *, greatest(sqrt(sum(v * v) OVER (PARTITION BY cluster_id)), 1e-12) AS n FROM c1), c AS (SELECT cluster_id, list(v / n ORDER BY i) AS centroid FROM c2 GROUP BY ALL)
 SELECT a, b, round(similarity, 6) AS similarity FROM sim JOIN c ca ON ca.cluster_id = a JOIN c cb ON cb.cluster_id = b

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,11 +41,18 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables that driver and executors share: what ``spark.checkpoint.dir`` names. Where it names none, a
     folder of this machine serves a local session; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or "file:///tmp/checkpoints/driftclust").rstrip("/")
 
 
+def settled(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: its lineage ends there, and a lost executor costs no recomputation of what led to it."""
+    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Bytes of a table for each core, as Catalyst estimates them, from which it lies in enough splits.
 SPLIT_BYTES = 4 << 20
 
