@@ -9,7 +9,8 @@ _PLACES = {
     "driftclust.engine": ("ClusteringEngine", "ClusterDetail", "DiscoveryReport", "Item", "ModelMismatch", "SweepReport"),
     "driftclust.config": ("Config", "load_config", "parse_duration", "format_duration"),
     "driftclust.clock": ("SimulatedClock", "SystemClock"),
-    "driftclust.events": ("Event", "EventRoutes", "TerminalSink", "WebhookSink"),
+    "driftclust.events": ("Event", "EventRoutes", "TerminalSink"),
+    "driftclust.sinks.delivery": ("Delivery", "Hook"),
     "driftclust.functions.embed": ("HashingEmbedder", "make_embedder"),
     "driftclust.functions.titles": ("title_labeler",),
     "driftclust.scheduler": ("JobPlan", "Ticker"),

@@ -11,14 +11,14 @@ from typing import Any
 
 from driftclust.config import Config, load_config, parse_duration
 from driftclust.engine import ClusteringEngine
-from driftclust.events import Event, EventRoutes, TerminalSink, WebhookSink, describe
+from driftclust.events import Event, EventRoutes, TerminalSink, describe
 from driftclust.service import Service, plain, server
 from driftclust.session import session
 
 
 def build_engine(config: Config, spark=None, clock=None, terminal: bool = False) -> ClusteringEngine:
     """An engine with the configured sinks."""
-    bus = EventRoutes(*(WebhookSink.of(h) for h in config.webhooks))
+    bus = EventRoutes()
     if terminal:
         bus.route(TerminalSink())
     return ClusteringEngine(spark or session(), config, bus=bus, clock=clock)
