@@ -51,10 +51,21 @@ def best_match(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def telling(item: str, text: str, start: int) -> bool:
+    """Whether a short item at a place of a text is more than a word or two that any text may hold: the whole text, or three words or more on word
+    borders."""
+    end = start + len(item)
+    if len(item) == len(text):
+        return True
+    borders = (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum())
+    return borders and item.count(" ") >= 2
+
+
 class ItemMatcher:
-    def __init__(self, items: list[tuple[int, str]], per_edit: int):
+    def __init__(self, items: list[tuple[int, str]], per_edit: int, short: int):
         import ahocorasick
 
+        self.short = short
         self.items = [(i, t, len(t) // per_edit) for i, t in ((i, normal(t)) for i, t in items) if t]
         by_piece: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, budget) in enumerate(self.items):
@@ -74,7 +85,10 @@ class ItemMatcher:
         spots: dict[int, list[int]] = {}
         for last, (size, where) in self.automaton.iter(text):
             for k, offset in where:
-                spots.setdefault(k, []).append(last + 1 - size - offset)
+                start = last + 1 - size - offset
+                item = self.items[k][1]
+                if len(item) >= self.short or text.startswith(item, max(start, 0)) and telling(item, text, start):
+                    spots.setdefault(k, []).append(start)
         for k, starts in spots.items():
             item_id, item, budget = self.items[k]
             best = None
@@ -98,13 +112,13 @@ class ItemMatcher:
 _MATCHERS: dict[tuple, ItemMatcher] = {}
 
 
-def _match(items: list[tuple[int, str]], per_edit: int):
-    key = (hash(tuple(items)), len(items), per_edit)
+def _match(items: list[tuple[int, str]], per_edit: int, short: int):
+    key = (hash(tuple(items)), len(items), per_edit, short)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _MATCHERS:
             _MATCHERS.clear()
-            _MATCHERS[key] = ItemMatcher(items, per_edit)
+            _MATCHERS[key] = ItemMatcher(items, per_edit, short)
         matcher = _MATCHERS[key]
         for batch in batches:
             ids, found = batch.column("doc_id"), []
@@ -116,12 +130,13 @@ def _match(items: list[tuple[int, str]], per_edit: int):
     return run
 
 
-def contaminations(documents: DataFrame, benchmark: DataFrame, per_edit: int = 20) -> DataFrame:
+def contaminations(documents: DataFrame, benchmark: DataFrame, per_edit: int = 20, short: int = 20) -> DataFrame:
     """Test items found in documents: doc_id, item_id, distance, end, item_chars; a row for each document row and item found in it.
 
     Texts are compared in lower case with white space runs as one space. An item is found where some part of the document is
     within an edit distance of one edit per ``per_edit`` characters of the item; ``distance`` is the least one and ``end`` where,
-    in the document's normal text, the first such place ends. Whole documents are searched for every item.
+    in the document's normal text, the first such place ends. Whole documents are searched for every item. An item of fewer than ``short``
+    characters says little: it counts without any edit only, as the whole text of a document or, if it has three words or more, on word borders.
 
     Items come in blocks of about ITEM_BLOCK_BYTES; each block is sent to the workers and takes a pass over the documents.
     Null or empty items are never found, null or empty texts hold none. Items that share an id are all sought. Null ids return as
@@ -134,6 +149,6 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, per_edit: int = 2
     found = None
     for b in range(blocks):
         block = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).sort("item_id", "text").collect()]
-        part = docs.mapInArrow(_match(block, per_edit), "doc_id long, item_id long, distance long, end long, item_chars long")
+        part = docs.mapInArrow(_match(block, per_edit, short), "doc_id long, item_id long, distance long, end long, item_chars long")
         found = part if found is None else found.unionAll(part)
     return found

@@ -374,6 +374,14 @@ def test_lines_are_found_and_counted(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_exact_ranks(spark):
+    r = random.Random(4)
+    values = {"a": [r.gauss(0, 1) for _ in range(301)], "b": [0.5] * 40 + [0.50001] * 41, "c": [7.0], "d": [-1.0, 2.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v double").repartition(5)
+    got = {(x.g, x.share): x.v for x in fertility.exact_ranks(df, ["g"], "v", [0.0, 0.25, 0.75, 1.0]).collect()}
+    assert got == {(g, p): sorted(v)[max(0, math.ceil(p * len(v)) - 1)] for g, v in values.items() for p in (0.0, 0.25, 0.75, 1.0)}
+
+
 # --- op2 ----------------------------------------------------------------------------------------------------------
 
 
@@ -603,13 +611,18 @@ def test_weights_of_long_texts_are_those_of_one_piece():
     long[1000:1001] = ["y" * 3_000_000]  # a word longer than a slice
     texts = [" ".join(long), "short one", "\n".join(long[:50])]
     counts = np.arange(importance.KINDS * importance.BUCKETS)
+    held = np.zeros((3, len(counts)), np.int64)  # what each text has of each bucket
+    for i, t in enumerate(texts):
+        np.add.at(held[i], list(map({g: bucket_of(g) for g in set(grams_of(t))}.__getitem__, grams_of(t))), 1)
     for fit in ([], [7, 9]):
-        models = importance.Models(counts % 89 * 2000, counts % 97 * 1000, np.array(fit, np.int64), 0.0, 0.0)
+        target = counts % 97 * 1000 + (held[0] + held[2] if fit else 0)  # the target's counts hold its texts
+        models = importance.Models(counts % 89 * 2000 + held.sum(axis=0), target, np.array(fit, np.int64), 0.0, 0.0)
         got, length = models.scores(pa.array(texts), np.array([7, 8, 9]))
         for i, t in enumerate(texts):
             of = Counter(map({g: bucket_of(g) for g in set(grams_of(t))}.__getitem__, grams_of(t)))
             b, n = np.array(list(of)), np.array(list(of.values()))
             own = n if fit and i != 1 else 0 * n
+            assert np.isfinite(got[i]) and (models.target[b] >= own).all()
             sums = models.sums[1] - np.bincount(b // importance.BUCKETS, weights=own, minlength=3)
             assert got[i] == pytest.approx((models.log_ratio(b, models.target[b] - own, sums[b // importance.BUCKETS]) * n).sum(), rel=1e-9, abs=1e-6)
             assert length[i] == int(np.log2(len(t.split()) + 1))
@@ -669,7 +682,7 @@ def test_contaminations_against_brute_force(spark):
         docs.append((i, t, None, None, None))
     docs += [(None, items[0][1], None, None, None), (90, None, None, None, None), docs[1]]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, distance int")
-    got = Counter((x.doc_id, x.item_id, x.distance, x.end) for x in decontam.contaminations(frame(spark, docs), bench, 10).collect())
+    got = Counter((x.doc_id, x.item_id, x.distance, x.end) for x in decontam.contaminations(frame(spark, docs), bench, 10, short=0).collect())
     want = Counter()
     for i, t, *_ in docs:
         text = decontam.normal(t)
@@ -679,7 +692,14 @@ def test_contaminations_against_brute_force(spark):
                 d, end = edit_distance_in(s, text)
                 if d <= len(s) // 10:
                     want[i, k, d, end] += 1
-    assert {k[:3] for k in got} == {k[:3] for k in want} and sum(got.values()) == sum(want.values())
+    assert got == want
+
+
+def test_short_items_must_be_telling(spark):
+    bench = spark.createDataFrame([(1, "a"), (2, "the"), (3, "Yes or no?"), (4, "forty two"), (5, "exactly twenty chars"), (6, "xx yy zz")], "item_id long, text string")
+    docs = [(1, "a river and the sea", None, None, None), (2, " The\n", None, None, None), (3, "so: yes  or no? who knows", None, None, None), (4, "forty two is forty two", None, None, None), (5, "inexactly twenty chars5", None, None, None), (6, "xx yy zzz, axx yy zz", None, None, None), (7, "Forty two", None, None, None), (8, "axx yy zz xx yy zz", None, None, None)]
+    got = sorted((x.doc_id, x.item_id, x.distance, x.end) for x in decontam.contaminations(frame(spark, docs), bench).collect())
+    assert got == [(2, 2, 0, 3), (3, 3, 0, 14), (5, 5, 0, 22), (7, 4, 0, 9), (8, 6, 0, 18)]
 
 
 def test_contaminations_in_blocks(spark, monkeypatch):
