@@ -58,12 +58,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str, weights: DataFrame | None = None) -> DataFrame:
-    """The stages over documents, each written as Parquet to the shared folder and read again. ``weights`` are those of the mix, as in ``mix_sources``."""
+    """The stages over documents, each written as Parquet to the shared folder and read again; what a stage has read goes when
+    the next has written. ``weights`` are those of the mix, as in ``mix_sources``."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir, weights) if stage in (mixing, sharding) else stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs.write.parquet(f"{base}/{i}")
-            docs = spark.read.parquet(f"{base}/{i}")
+            if i:
+                drop_cut(before)
+            docs = before = spark.read.parquet(f"{base}/{i}")
     return docs
