@@ -22,8 +22,9 @@ from driftclust.clock import Clock, SystemClock, as_utc
 from driftclust.config import Config
 from driftclust.events import Event, EventRoutes
 from driftclust.evaluation.metrics import status_counts
-from driftclust.functions.embed import Embedder, embed_column, make_embedder
+from driftclust.functions.embed import Embedder, make_embedder
 from driftclust.functions.keys import cluster_id_of
+from driftclust.functions.memory import embedded
 from driftclust.functions.terms import labels as ctfidf_labels
 from driftclust.functions.text import preprocess
 from driftclust.functions.titles import title_labeler
@@ -189,11 +190,13 @@ class ClusteringEngine:
 
     def match(self, items: DataFrame | Iterable[Item]) -> DataFrame:
         """Where items would go: the decisions of ``ingest`` (item_id, cluster_id, score, runner-up), with nothing stored."""
-        txn, now, embedder = self.store.transaction(), self.clock.now(), self.embedder
+        txn, now = self.store.transaction(), self.clock.now()
         self._check_model(txn)
         rows = preprocess(self._input(items), self.config.preprocess, self.hook)
-        vectors = rows.select(F.col("id").alias("item_id"), embed_column(F.col("text"), lambda: embedder, self.config.embed_batch_size).alias("embedding"))
-        return self._assign(vectors, txn, now)
+        return self._assign(self._embedded(rows.select(F.col("id").alias("item_id"), "text"), self.embedder).select("item_id", "embedding"), txn, now)
+
+    def _embedded(self, rows: DataFrame, embedder: Embedder) -> DataFrame:
+        return embedded(self.spark, rows, embedder, self.config.embed_batch_size, self.config.vector_memory)
 
     # --- ingest ------------------------------------------------------------------------------------------------
 
@@ -238,8 +241,7 @@ class ClusteringEngine:
             first = rows.join(first_of_each(rows, "id", "pos"), ["id", "pos"])
             fresh = unknown(first, txn.table("items"), "id")
             fresh = spread(self.stage(numbered(preprocess(fresh, cfg.preprocess, self.hook), "pos", txn.manifest["max_seq"]), "numbered"))
-            embedder = self.embedder
-            fresh = self.stage(fresh.withColumn("embedding", embed_column(F.col("text"), lambda: embedder, cfg.embed_batch_size)), "fresh")
+            fresh = self.stage(self._embedded(fresh, self.embedder), "fresh")
             top = fresh.agg(F.max("seq")).first()[0]
             if top is not None:
                 self._place(txn, fresh, now)
@@ -385,7 +387,7 @@ class ClusteringEngine:
         txn.set_places(everyone.select("id", F.lit(S.ASSIGNED).alias("status"), "cluster_id", F.lit(False).alias("locked"), F.lit(None).cast("double").alias("score")))
         mine = drawn.join(F.broadcast(rename), "cluster_id").select(F.col("name").alias("cluster_id"), "pos", "item_id", "embedding")
         txn.append("exemplars", mine)
-        txn.append("clusters", clusters)
+        txn.add_clusters(clusters)
         labelled = self._label(txn, [names[r.id] for r in new])
         rows = txn.table("clusters").join(F.broadcast(rename.select(F.col("name").alias("id"), "nth")), "id")
         events = _event("cluster.opened", rows, F.col("nth"), F.lit(0).cast("long"), cluster=F.col("id"), ts=now, size=F.col("size"), threshold=F.col("threshold"), label=F.col("label"))
@@ -610,7 +612,7 @@ class ClusteringEngine:
             name = cluster_id_of(ids, f"#{salt}")
         low = cfg.threshold_bounds[0]
         times = txn.table("items").join(wanted, "id").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-        txn.append("clusters", self.spark.createDataFrame([(name, S.OPEN, low, len(ids), times.a, times.b, now, None, None, None, False, len(ids), len(ids))], S.CLUSTERS))
+        txn.add_clusters(self.spark.createDataFrame([(name, S.OPEN, low, len(ids), times.a, times.b, now, None, None, None, False, len(ids), len(ids))], S.CLUSTERS))
         txn.set_places(have.join(wanted, "id").select("id", F.lit(S.ASSIGNED).alias("status"), F.lit(name).alias("cluster_id"), F.lit(True).alias("locked"), F.lit(None).cast("double").alias("score")))
         self._refresh(txn, cluster_id, name)
         txn.append("no_merge", self.spark.createDataFrame([tuple(sorted((cluster_id, name)))], S.NO_MERGE))
@@ -655,8 +657,7 @@ class ClusteringEngine:
     def reembed(self, embedder: Embedder) -> int:
         """All items under another model: new vectors, exemplars and thresholds in one commit. Returns the number of items."""
         cfg, txn = self.config, self.store.transaction()
-        make = lambda: embedder
-        fresh = txn.append("vectors", txn.table("items").select("id", embed_column(F.col("text"), make, cfg.embed_batch_size).alias("embedding"), F.lit(embedder.model_id).alias("model_id"), F.lit(txn.number).alias("version")))
+        fresh = txn.append("vectors", self._embedded(txn.table("items").select("id", "text"), embedder).select("id", "embedding", F.lit(embedder.model_id).alias("model_id"), F.lit(txn.number).alias("version")))
         vectors = fresh.select("id", "embedding")
         kept = txn.table("exemplars").drop("embedding").join(vectors.withColumnRenamed("id", "item_id"), "item_id").select("cluster_id", "pos", "item_id", "embedding")
         exemplars = txn.replace("exemplars", kept)

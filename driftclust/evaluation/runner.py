@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import timedelta
@@ -18,7 +19,11 @@ from driftclust.clock import SimulatedClock
 from driftclust.config import Config
 from driftclust.engine import ClusteringEngine, Item
 from driftclust.evaluation.metrics import summary
+from driftclust.functions.embed import make_embedder
+from driftclust.functions.memory import VectorMemory
+from driftclust.functions.text import preprocess
 from driftclust.schema import CLUSTERS, OPEN
+from driftclust.session import shared_folder
 from driftclust.sources.synthetic import START, texts
 from driftclust.streaming.replay import ReplayStats, replay
 
@@ -72,8 +77,13 @@ def mark_front(trials: list[Trial]) -> list[Trial]:
 
 
 def tune(spark: SparkSession, items: DataFrame, config: Config, grid: dict[str, Iterable] | None = None, on_trial: Callable[[Trial], None] | None = None, **how) -> list[Trial]:
-    """An evaluation for each combination of values; the front of the trade-off is marked."""
+    """An evaluation for each combination of values; the front of the trade-off is marked. All texts are embedded once, before the first one."""
     grid = grid or default_grid(config)
+    if config.vector_memory is None:
+        config = config.with_values(vector_memory=f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    if "embedder" not in grid and "preprocess" not in grid:
+        texts = preprocess(items.select("text").distinct(), config.preprocess)
+        VectorMemory(spark, config.vector_memory, make_embedder(config.embedder, config.model_dir)).embed(texts, config.embed_batch_size).count()
     trials = []
     for values in itertools.product(*grid.values()):
         params = dict(zip(grid, values, strict=True))

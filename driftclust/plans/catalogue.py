@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -11,11 +12,12 @@ from pyspark.sql import functions as F
 
 from driftclust.evaluation import metrics as M
 from driftclust.functions import embed, keys, terms, text, vector
+from driftclust.functions.memory import VectorMemory
 from driftclust.operators import assign as A
 from driftclust.operators import dedupe, lifecycle, sampling, scoring, timeline
 from driftclust.operators import discover as D
 from driftclust.operators.cells import CellIndex, similar_pairs
-from driftclust.session import spread
+from driftclust.session import shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -440,6 +442,16 @@ def q61_similar_vectors(spark, d):
     return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+@query
+def q62_vector_memory(spark, d):
+    """All documents embedded through a memory of vectors, twice: texts, distinct ones, those remembered, those that came out with a vector."""
+    memory = VectorMemory(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}", embed.HashingEmbedder(64))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    memory.embed(docs).count()
+    again = memory.embed(docs).agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("text", F.lit(""))).alias("n_distinct"), F.count("embedding").alias("n_vectors"))
+    return again.crossJoin(memory.table().agg(F.count("*").alias("remembered")))  # single rows
+
+
 # --- evaluation ------------------------------------------------------------------------------------------------------
 
 
@@ -542,6 +554,26 @@ def q55_stream_sessions(spark, d):
     return run_available(spark, streamed_sessions(_stream(spark, d), "user_id", GAP), "complete").select("user_id", ntz("start"), ntz("end"), "n")
 
 
+@query
+def q63_stream_closings(spark, d):
+    """When users were closed, a day after an event without another, by timers of Structured Streaming; each type of event is a stream of its own."""
+    from driftclust.streaming.lifecycle import cluster_changes
+    from driftclust.streaming.windows import run_available
+
+    changes = cluster_changes(_stream(spark, d).select(F.col("event_type").alias("stream_key"), F.col("user_id").alias("cluster_id"), "ts"), GAP)
+    return run_available(spark, changes, "append").where("type = 'cluster.closed'").select("stream_key", "cluster_id", ntz("at"), "size")
+
+
+@query
+def q64_stream_orphans(spark, d):
+    """Events other than purchases that waited for over three weeks, by timers of Structured Streaming."""
+    from driftclust.streaming.lifecycle import orphans
+    from driftclust.streaming.windows import run_available
+
+    states = _stream(spark, d).select(F.col("event_type").alias("stream_key"), F.col("event_id").alias("item_id"), "ts", F.when(F.col("event_type") == "purchase", "assigned").otherwise("buffered").alias("status"))
+    return run_available(spark, orphans(states, timedelta(days=21)), "append").select("stream_key", "item_id", ntz("at"))
+
+
 # --- details, migration --------------------------------------------------------------------------------------------------
 
 

@@ -124,6 +124,10 @@ n2 AS (SELECT item_id, cluster_id, (list_reverse_sort(list(sim)))[1:5] AS sims F
 h AS (SELECT cluster_id, count(*) AS have FROM x GROUP BY ALL),
 a AS (SELECT item_id, cluster_id, list_sum(sims) / least(5, have) AS score FROM n2 JOIN h USING (cluster_id)), {_DECIDE} SELECT * FROM d""",
         "q09_set_similarity": f"WITH {_SIMILAR} SELECT a, b, round(similarity, 6) AS similarity FROM sim",
+        "q63_stream_closings": """WITH e AS (SELECT event_type, user_id, ts, lead(ts) OVER w AS nxt, row_number() OVER w AS size FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts))
+SELECT event_type AS stream_key, user_id::VARCHAR AS cluster_id, ts + INTERVAL 1 DAY AS "at", size::BIGINT AS size FROM e WHERE nxt - ts >= INTERVAL 1 DAY OR nxt IS NULL AND ts + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)""",
+        "q64_stream_orphans": """SELECT event_type AS stream_key, event_id::VARCHAR AS item_id, ts AS "at" FROM events WHERE event_type <> 'purchase' AND ts < (SELECT max(ts) FROM events) - INTERVAL 21 DAY""",
+        "q62_vector_memory": "SELECT count(*) AS n, count(DISTINCT coalesce(text, '')) AS n_distinct, count(*) AS n_vectors, count(DISTINCT coalesce(text, '')) AS remembered FROM documents",
         "q59_nearest_exact": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v WHERE list_dot_product(e, e) > 0),
 s AS (SELECT a.vec_id, b.vec_id AS nearest, list_dot_product(a.e, b.e) AS sim FROM u a, u b WHERE a.vec_id % 50 = 0)

@@ -169,6 +169,21 @@ class Transaction(Snapshot):
         self.manifest["tables"][name] = [self._write(name, df)]
         return self.table(name)
 
+    def add_clusters(self, rows: DataFrame) -> DataFrame:
+        """New clusters; ValueError, and nothing is added, where an id is there already or comes twice."""
+        again = rows.groupBy("id").count().where("count > 1").select("id").unionAll(rows.join(self.table("clusters"), "id", "left_semi").select("id")).limit(1).collect()
+        if again:
+            raise ValueError(f"cluster {again[0].id} is there already")
+        return self.append("clusters", rows)
+
+    def update_clusters(self, rows: DataFrame) -> DataFrame:
+        """Clusters anew by their ids; KeyError, and nothing changes, where an id is unknown. ``rows`` may read the table."""
+        known = self.table("clusters")
+        unknown = rows.join(known, "id", "left_anti").select("id").limit(1).collect()
+        if unknown:
+            raise KeyError(unknown[0].id)
+        return self.replace("clusters", known.join(rows, "id", "left_anti").select(*TABLES["clusters"].names).unionByName(rows.select(*TABLES["clusters"].names)))
+
     def set_places(self, rows: DataFrame) -> None:
         """New places of items (id, status, cluster_id, locked, score)."""
         self.append("places", rows.withColumn("version", F.lit(self.number)))

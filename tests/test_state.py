@@ -6,11 +6,13 @@ import threading
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftclust.clock import SimulatedClock
 from driftclust.engine import ClusteringEngine
 from driftclust.operators import discover as D
 from driftclust.operators import lifecycle as L
+from driftclust.schema import CLUSTERS
 from driftclust.state.files import Files
 from driftclust.state.store import Conflict, StateStore
 from tests.test_engine import BASE, T0, engine, items
@@ -98,3 +100,20 @@ def test_what_jobs_leave_is_swept(spark):
 def test_a_commit_needs_a_known_store(spark):
     with pytest.raises(ValueError):
         ClusteringEngine(spark, BASE.with_values(store="sqlite:///x"))
+
+
+def test_clusters_are_added_once_and_updated_if_they_are_there(spark):
+    e = engine(spark)
+    row = lambda name, size: (name, "open", 0.5, size, T0, T0, T0, None, None, None, False, size, size)
+    rows = lambda *some: spark.createDataFrame(list(some), CLUSTERS)
+    txn = e.store.transaction()
+    txn.add_clusters(rows(row("a", 1), row("b", 2)))
+    for bad in (rows(row("b", 3)), rows(row("c", 1), row("c", 1))):
+        with pytest.raises(ValueError):
+            txn.add_clusters(bad)
+    with pytest.raises(KeyError):
+        txn.update_clusters(rows(row("a", 5), row("z", 1)))
+    assert {(r.id, r["size"]) for r in txn.table("clusters").collect()} == {("a", 1), ("b", 2)}
+    txn.update_clusters(txn.table("clusters").where("id = 'b'").withColumn("size", F.lit(9)))
+    txn.commit()
+    assert {(r.id, r["size"]) for r in e.clusters().collect()} == {("a", 1), ("b", 9)}
