@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftclust.llm.common import own_columns
+from driftclust.llm.common import cut, drop_cut, mix, own_columns
 
-#: Bytes of test items that are matched in one pass over the documents; more items make more passes.
-ITEM_BLOCK_BYTES = 8 << 20
+#: Bits of a filter for each entry, and the most that one has (64 MB): it is sent to all tasks. Beyond that it lets more through, but misses nothing.
+BITS_PER_ENTRY, MOST_BITS = 1024, 1 << 29
+#: Bits that an entry sets.
+PROBES = 3
+#: Characters whose windows are hashed at once.
+SLICE_CHARS = 1 << 20
 
 
 def normal(text: str | None) -> str:
@@ -61,75 +66,178 @@ def telling(item: str, text: str, start: int) -> bool:
     return borders and item.count(" ") >= 2
 
 
-class ItemMatcher:
-    def __init__(self, items: list[tuple[int, str]], per_edit: int, short: int):
-        import ahocorasick
-
-        self.short = short
-        self.items = [(i, t, len(t) // per_edit) for i, t in ((i, normal(t)) for i, t in items) if t]
-        by_piece: dict[str, list[tuple[int, int]]] = {}
-        for k, (_, text, budget) in enumerate(self.items):
-            for offset, piece in pieces(text, budget):
-                by_piece.setdefault(piece, []).append((k, offset))
-        self.automaton = ahocorasick.Automaton()
-        for piece, where in by_piece.items():
-            self.automaton.add_word(piece, (len(piece), where))
-        self.automaton.make_automaton()
-        self.any = bool(by_piece)
-
-    def search(self, text: str | None) -> Iterator[tuple[int, int, int, int]]:
-        """(item id, distance, end in the normal text, characters of the item) for each item within its budget; the best place of each."""
-        text = normal(text)
-        if not self.any or not text:
-            return
-        spots: dict[int, list[int]] = {}
-        for last, (size, where) in self.automaton.iter(text):
-            for k, offset in where:
-                start = last + 1 - size - offset
-                item = self.items[k][1]
-                if len(item) >= self.short or text.startswith(item, max(start, 0)) and telling(item, text, start):
-                    spots.setdefault(k, []).append(start)
-        for k, starts in spots.items():
-            item_id, item, budget = self.items[k]
-            best = None
-            starts.sort()
-            at = 0
-            while at < len(starts):  # windows that overlap are searched as one
-                low = high = starts[at]
-                while at < len(starts) and starts[at] <= high + 2 * budget + len(item):
-                    high = starts[at]
-                    at += 1
-                low, high = max(0, low - budget), min(len(text), high + len(item) + budget)
-                if high - low < len(item) - budget:
-                    continue
-                distance, end = best_match(item, text[low:high])
-                if distance <= budget and (best is None or distance < best[0]):
-                    best = (distance, low + end)
-            if best:
-                yield item_id, best[0], best[1], len(item)
-
-
-_MATCHERS: dict[tuple, ItemMatcher] = {}
-
-
-def _match(items: list[tuple[int, str]], per_edit: int, short: int):
-    key = (hash(tuple(items)), len(items), per_edit, short)
+# --- anchors: what the pieces begin with -----------------------------------------------------------------------------
 
+
+def window_hashes(text: str, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first, hashes): a 64-bit hash of each window of ``size`` characters, from the windows that begin at ``first`` on, slice by slice."""
+    for first in range(0, len(text) - size + 1, SLICE_CHARS):
+        codes = np.frombuffer(text[first : first + SLICE_CHARS + size - 1].encode("utf-32-le"), np.uint32).astype(np.uint64)
+        n = len(codes) - size + 1
+        out = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(size):
+                out = out * np.uint64(0xD1342543DE82EF95) + codes[i : i + n] + np.uint64(1)
+        yield first, mix(out, size)
+
+
+def whole_hash(text: str) -> np.ndarray:
+    """The hash of a text that counts as a whole only."""
+    return mix(next(window_hashes(text, len(text)))[1], 99)
+
+
+def whole_only(item: str, short: int) -> bool:
+    return len(item) < short and item.count(" ") < 2
+
+
+def anchors(item: str, per_edit: int, short: int) -> list[tuple[int, int, int]]:
+    """(hash, size, offset) of what leads to an item: of each of its pieces the first characters, half of ``per_edit`` or the whole piece, or, with size 0,
+    the whole of an item that counts as a whole only."""
+    if whole_only(item, short):
+        return [(int(whole_hash(item)[0]), 0, 0)]
+    out = []
+    for offset, piece in pieces(item, len(item) // per_edit):
+        size = min(len(piece), max(1, per_edit // 2))
+        out.append((int(next(window_hashes(piece[:size], size))[1][0]), size, offset))
+    return out
+
+
+class Bits:
+    """A Bloom filter of 64-bit numbers."""
+
+    def __init__(self, entries: int):
+        self.shift = np.uint64(64 - min(MOST_BITS.bit_length() - 1, max(13, (entries * BITS_PER_ENTRY - 1).bit_length())))
+        self.words = np.zeros(1 << (64 - int(self.shift) - 6), np.uint64)
+
+    def places(self, x: np.ndarray, probe: int) -> np.ndarray:
+        return mix(x, 40 + probe) >> self.shift
+
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        """The places in ``x`` that may be in the filter."""
+        at = np.arange(len(x))
+        for probe in range(PROBES):
+            place = self.places(x[at], probe)
+            at = at[(self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        return at
+
+    @classmethod
+    def of(cls, rows: DataFrame, column: str) -> Bits:
+        """Of a column of numbers: tasks set bits in their own words, which are put together by OR."""
+        made = cls(rows.count())
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column(0).to_numpy().view(np.uint64)
+                    place = np.unique(np.concatenate([made.places(x, probe) for probe in range(PROBES)]))
+                    word, first = np.unique(place >> np.uint64(6), return_index=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), first).view(np.int64))], ["word", "bits"])
+
+        found = rows.select(column).mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        made.words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        return made
+
+
+def _items(per_edit: int, short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _MATCHERS:
-            _MATCHERS.clear()
-            _MATCHERS[key] = ItemMatcher(items, per_edit, short)
-        matcher = _MATCHERS[key]
         for batch in batches:
-            ids, found = batch.column("doc_id"), []
+            texts = [normal(t) for t in batch.column("text").to_pylist()]
+            found = [[(int(np.uint64(h).view(np.int64)), size, offset) for h, size, offset in anchors(t, per_edit, short)] if t else [] for t in texts]
+            kind = pa.list_(pa.struct([("hash", pa.int64()), ("size", pa.int32()), ("offset", pa.int32())]))
+            rows = pa.array([[dict(zip(("hash", "size", "offset"), x)) for x in f] for f in found], kind)
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(texts, pa.string()), rows], ["item_id", "item", "anchors"])
+
+    return run
+
+
+def _hits(bits: Bits, sizes: list[int], short: int):
+    """Where a text has what may be an anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, hashes, places = [], [], []
+
+            def add(row: int, found: np.ndarray, first: int, rows=rows, hashes=hashes, places=places) -> None:
+                at = bits.holds(found)
+                rows.append(np.full(len(at), row))
+                hashes.append(found[at])
+                places.append(at + first)
+
             for row, text in enumerate(batch.column("text")):
-                found += [(ids[row].as_py(), *hit) for hit in matcher.search(text.as_py())]
+                text = normal(text.as_py())
+                if text and len(text) < short and 0 in sizes:
+                    add(row, whole_hash(text), 0)
+                for size in sizes:
+                    if size:
+                        for first, found in window_hashes(text, size):
+                            add(row, found, first)
+            if rows:
+                at = np.concatenate(rows).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(places).astype(np.int64))], ["key", "hash", "place"])
+
+    return run
+
+
+# --- verification ----------------------------------------------------------------------------------------------------
+
+
+def telling(item: str, text: str, start: int) -> bool:
+    """Whether a short item at a place of a text is more than a word or two that any text may hold: the whole text, or three words or more on word
+    borders."""
+    end = start + len(item)
+    if len(item) == len(text):
+        return True
+    borders = (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum())
+    return borders and item.count(" ") >= 2
+
+
+def find(item: str, text: str, starts: list[int], budget: int, short: int) -> tuple[int, int] | None:
+    """(distance, end) of the best place of an item in a text, if it is within the budget; ``starts`` are where its pieces say that it begins."""
+    if len(item) < short:
+        starts = [s for s in starts if s >= 0 and text.startswith(item, s) and telling(item, text, s)]
+    starts = sorted(set(starts))
+    best, at = None, 0
+    while at < len(starts):  # windows that overlap are searched as one
+        low = high = starts[at]
+        while at < len(starts) and starts[at] <= high + 2 * budget + len(item):
+            high = starts[at]
+            at += 1
+        low, high = max(0, low - budget), min(len(text), high + len(item) + budget)
+        if high - low < len(item) - budget:
+            continue
+        distance, end = best_match(item, text[low:high])
+        if distance <= budget and (best is None or distance < best[0]):
+            best = (distance, low + end)
+    return best
+
+
+def _verify(per_edit: int, short: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for doc_id, text, items in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("items")):
+                text = normal(text.as_py())
+                for c in items.as_py():
+                    best = find(c["item"], text, c["starts"], len(c["item"]) // per_edit, short)
+                    if best:
+                        found.append((doc_id, c["item_id"], *best, len(c["item"])))
             columns = list(zip(*found, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "distance", "end", "item_chars"])
 
     return run
 
 
+def _maybe(bits: Bits):
+    """The rows whose key may be in a filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.take(pa.array(bits.holds(batch.column("key").to_numpy().view(np.uint64))))
+
+    return run
+
+
 def contaminations(documents: DataFrame, benchmark: DataFrame, per_edit: int = 20, short: int = 20) -> DataFrame:
     """Test items found in documents: doc_id, item_id, distance, end, item_chars; a row for each document row and item found in it.
 
@@ -138,17 +246,24 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, per_edit: int = 2
     in the document's normal text, the first such place ends. Whole documents are searched for every item. An item of fewer than ``short``
     characters says little: it counts without any edit only, as the whole text of a document or, if it has three words or more, on word borders.
 
-    Items come in blocks of about ITEM_BLOCK_BYTES; each block is sent to the workers and takes a pass over the documents.
+    However many items there are, documents are read twice: once for windows whose hash may be that of the beginning of a piece, by a Bloom filter of
+    all pieces with a fixed greatest size, and once for the texts that hold one. In between hits meet pieces in a join by hash; only texts with a piece are
+    shuffled, each with its items, and verified. Hashes lead to candidates only, so that they collide changes nothing.
+
     Null or empty items are never found, null or empty texts hold none. Items that share an id are all sought. Null ids return as
     they are. Other columns are ignored.
     """
     docs = own_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    keyed = docs.where("text IS NOT NULL").withColumn("key", F.xxhash64("doc_id", "text"))
     items = own_columns(benchmark, "item_id", "text").select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // ITEM_BLOCK_BYTES))
-    found = None
-    for b in range(blocks):
-        block = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).sort("item_id", "text").collect()]
-        part = docs.mapInArrow(_match(block, per_edit, short), "doc_id long, item_id long, distance long, end long, item_chars long")
-        found = part if found is None else found.unionAll(part)
-    return found
+    items = cut(items.mapInArrow(_items(per_edit, short), "item_id long, item string, anchors array<struct<hash:long,size:int,offset:int>>").where("item <> ''").withColumn("item_key", F.xxhash64("item_id", "item")).dropDuplicates(["item_id", "item"]), "items")
+    pieces_ = items.select("item_key", F.explode("anchors").alias("a")).select("item_key", "a.*")
+    sizes = sorted(r.size for r in pieces_.select("size").distinct().collect())  # per_edit / 2 at most
+    hits = keyed.select("key", "text").mapInArrow(_hits(Bits.of(pieces_.select("hash").distinct(), "hash"), sizes, short), "key long, hash long, place long")
+    starts = hits.join(pieces_, "hash").groupBy("key", "item_key").agg(F.collect_set((F.col("place") - F.col("offset")).cast("int")).alias("starts"))
+    texts = items.select("item_key", "item_id", "item")
+    candidates = starts.join(texts, "item_key").groupBy("key").agg(F.collect_list(F.struct("item_id", "item", "starts")).alias("items"))
+    candidates = cut(candidates, "item-hits")
+    drop_cut(items)
+    held = keyed.mapInArrow(_maybe(Bits.of(candidates, "key")), keyed.schema)
+    return held.join(candidates, "key").select("doc_id", "text", "items").mapInArrow(_verify(per_edit, short), "doc_id long, item_id long, distance long, end long, item_chars long")

@@ -702,8 +702,10 @@ def test_short_items_must_be_telling(spark):
     assert got == [(2, 2, 0, 3), (3, 3, 0, 14), (5, 5, 0, 22), (7, 4, 0, 9), (8, 6, 0, 18)]
 
 
-def test_contaminations_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "ITEM_BLOCK_BYTES", 40)
+def test_contaminations_behind_a_full_filter(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_BITS", 1 << 13)
+    monkeypatch.setattr(decontam, "BITS_PER_ENTRY", 1)
+    monkeypatch.setattr(decontam, "SLICE_CHARS", 16)
     items = spark.createDataFrame([(i, f"item number {i} has its very own words {i * 37}") for i in range(9)], "item_id long, text string")
     docs = frame(spark, [(i, f"before item number {i} has its very own words {i * 37} after", None, None, None) for i in range(9)])
     assert sorted((r.doc_id, r.item_id) for r in decontam.contaminations(docs, items, 100).collect()) == [(i, i) for i in range(9)]
