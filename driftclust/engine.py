@@ -343,8 +343,8 @@ class ClusteringEngine:
         found, named, drawn = self.stage(found, "found"), self.stage(named, "named"), self.stage(drawn, "drawn")
         clusters, exemplars = txn.table("clusters"), txn.table("exemplars")
         live = clusters.where(F.col("status") == S.OPEN)
-        folds = self.stage(D.best_overlaps(found, drawn, live, exemplars, cfg.match_top_k, cfg.merge_threshold), "folds")
-        fold_of = {r.id: r.target for r in folds.collect()}  # candidates, not items
+        fold_of = D.folds_in_order(found, named, drawn, live, exemplars, cfg.match_top_k, cfg.merge_threshold, cfg.exemplars_per_cluster, cfg.random_seed)
+        folds = self.spark.createDataFrame(list(fold_of.items()), "id string, target string")  # candidates, not items
         rows = found.orderBy("min_seq").collect()
         rejected = [r.id for r in rows if r.id not in fold_of and r.cohesion < cfg.threshold_bounds[0]]
         new = [r for r in rows if r.id not in fold_of and r.id not in rejected]

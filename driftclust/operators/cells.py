@@ -24,6 +24,8 @@ MOST_CELLS = 4096
 PER_CELL = 64
 #: Rows of a block; of a pair of blocks only the products of their rows are made.
 BLOCK = 512
+#: Vectors that one cell serves as well as many.
+FEW = 1024
 #: What rounding may do to an angle.
 SLACK = 1e-5
 
@@ -49,16 +51,16 @@ def _sums(centres: np.ndarray):
 
 
 def learn_centres(vectors: DataFrame, n_cells: int | None = None, seed: int = 42, rounds: int = 6, per_cell: int = PER_CELL) -> np.ndarray:
-    """Centres of cells by spherical k-means over ``vectors`` (embedding): n_cells rows at length 1, twice the root of the rows if not said, MOST_CELLS at
-    most. Learnt from ``per_cell`` vectors a cell, those with the smallest hashes; each round sums by cell and coordinate in tasks, so that the driver
+    """Centres of cells by spherical k-means over ``vectors`` (embedding): n_cells rows at length 1, twice the root of the rows if not said (or one, for
+    FEW rows), MOST_CELLS at most. Learnt from about ``per_cell`` vectors a cell, drawn at random; each round sums by cell and coordinate in tasks, so that the driver
     gets centres only. A cell that no vector is nearest to keeps its centre. Without vectors there are no centres."""
     vectors = vectors.select("embedding").where("embedding IS NOT NULL")
     n = vectors.count()
     if not n:
         return np.zeros((0, 1))
-    cells = min(MOST_CELLS, max(1, n_cells or int(2 * n**0.5)), n)
+    cells = min(MOST_CELLS, max(1, n_cells or (1 if n <= FEW else int(2 * n**0.5))), n)
     order = F.xxhash64(F.lit(seed), "embedding")
-    sample = settled(vectors.orderBy(order).limit(cells * per_cell), "cells-sample") if n > cells * per_cell else vectors
+    sample = settled(vectors.where(F.rand(seed) < cells * per_cell / n), "cells-sample") if n > cells * per_cell else vectors
     first = sample.select("embedding").distinct().orderBy(order, "embedding").limit(cells).toArrow()
     flat = np.asarray(first.column("embedding").combine_chunks().flatten(), np.float64)
     centres = unit(flat.reshape(first.num_rows, -1))

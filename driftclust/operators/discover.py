@@ -12,6 +12,7 @@ from driftclust.operators.assign import assign
 from driftclust.operators.cells import CellIndex
 from driftclust.operators.density import density_labels, reduce
 from driftclust.operators.scoring import draw_exemplars, member_scores, symmetric_similarity, thresholds
+from driftclust.session import settled
 
 
 def fit_sample(items: DataFrame, most: int, seed: int | None) -> DataFrame:
@@ -61,18 +62,74 @@ def match_rest(items: DataFrame, labels: DataFrame, k: int, exemplars: int, perc
     return known.where("label is not null").select("id", "label").unionByName(matched)
 
 
-def best_overlaps(found: DataFrame, found_exemplars: DataFrame, live: DataFrame, live_exemplars: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(id, target, similarity): for each candidate the open cluster it is most similar to, where that reaches the threshold.
-
-    The similarity is a mean of cosines of exemplars, so a pair that reaches the threshold has two exemplars that do: only clusters that such a pair of
-    exemplars links, which a join by cells finds, are compared in full.
-    """
+def linked(found: DataFrame, found_exemplars: DataFrame, live: DataFrame, live_exemplars: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): candidates and open clusters that may be as similar as ``threshold``. The similarity is a mean of cosines of exemplars, so a pair that
+    reaches the threshold has two exemplars that do; a join by cells finds those."""
     if threshold <= 0:
-        pairs = found.select(F.col("id").alias("a")).crossJoin(live.select(F.col("id").alias("b")))  # all reach it
-    else:
-        own = lambda x, of: x.join(of.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi")
-        met = CellIndex(own(live_exemplars, live), "cluster_id", "pos").alike(own(found_exemplars, found), threshold - 1e-9, "cluster_id", "pos")
-        pairs = met.select(F.col("item.cluster_id").alias("a"), F.col("key.cluster_id").alias("b")).distinct()
+        return found.select(F.col("id").alias("a")).crossJoin(live.select(F.col("id").alias("b")))  # all reach it
+    own = lambda x, of: x.join(of.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi")
+    met = CellIndex(own(live_exemplars, live), "cluster_id", "item_id").alike(own(found_exemplars, found), threshold - 1e-9, "cluster_id", "item_id")
+    return met.select(F.col("item.cluster_id").alias("a"), F.col("key.cluster_id").alias("b")).distinct()
+
+
+def best_overlaps(found: DataFrame, found_exemplars: DataFrame, live: DataFrame, live_exemplars: DataFrame, k: int, threshold: float, pairs: DataFrame | None = None) -> DataFrame:
+    """(id, target, similarity): for each candidate the open cluster it is most similar to, where that reaches the threshold. Only ``linked`` pairs, or the
+    ``pairs`` given, are compared in full."""
+    pairs = linked(found, found_exemplars, live, live_exemplars, threshold) if pairs is None else pairs
     alike = symmetric_similarity(found_exemplars, live_exemplars, pairs, k).where(F.col("similarity") >= threshold)
     best = alike.groupBy("a").agg(F.min(F.struct((-F.col("similarity")).alias("low"), "b")).alias("m"))
     return best.select(F.col("a").alias("id"), F.col("m.b").alias("target"), (-F.col("m.low")).alias("similarity"))
+
+
+def _settled(order: list[str], best: dict[str, str], reach: dict[str, set[str]], near: dict[str, set[str]]) -> list[str]:
+    """Of candidates in their order those whose decision no earlier one can change. An earlier one matters to a candidate if it folds, or may yet, into a
+    cluster that the candidate is linked with, or if its members are near the candidate, which they could then link with any cluster."""
+    final, moving, open_ = [], set(), []
+    for i in order:
+        targets = set(reach.get(i, ()))
+        if targets & moving or any(j in near.get(i, ()) for j in open_):
+            moving |= targets  # undecided: it may fold into any of these, or into what it is near to
+            open_.append(i)
+            continue
+        final.append(i)
+        if i in best:
+            moving.add(best[i])
+            open_.append(i)
+    return final
+
+
+def folds_in_order(found: DataFrame, named: DataFrame, drawn: DataFrame, live: DataFrame, live_exemplars: DataFrame, k: int, threshold: float, exemplars: int, seed: int | None) -> dict[str, str]:
+    """The open cluster that each candidate folds into, by name, decided in the order of min_seq: each candidate sees the exemplars as the folds before it
+    have left them.
+
+    Candidates that no earlier fold can matter to are decided in one round; the folds then move the exemplars, and the rest come in later rounds, so that most
+    discoveries take one or two. ``found``, ``named`` (members) and ``drawn`` (exemplars) are the candidates; names and links of candidates, not items, come
+    to the driver.
+    """
+    if not live.limit(1).count():
+        return {}
+    order = [r.id for r in found.select("id").orderBy("min_seq", "id").collect()]
+    now, out = live_exemplars.select("cluster_id", "pos", "item_id", "embedding"), {}
+    while order:
+        left = found.join(found.sparkSession.createDataFrame([(i,) for i in order], "id string"), "id", "left_semi")
+        pairs = settled(linked(left, drawn, live, now, threshold), "fold-links")
+        best = {r.id: r.target for r in best_overlaps(left, drawn, live, now, k, threshold, pairs).collect()}
+        reach: dict[str, set[str]] = {}
+        for r in pairs.collect():
+            reach.setdefault(r.a, set()).add(r.b)
+        near: dict[str, set[str]] = {}
+        if reach and len(order) > 1:
+            own = left.select(F.col("id").alias("cluster_id"))
+            able = named.join(own, "cluster_id", "left_semi").select("cluster_id", F.col("id").alias("item_id"), "embedding")
+            met = CellIndex(able, "cluster_id", "item_id").alike(drawn.join(own, "cluster_id", "left_semi"), threshold - 1e-9, "cluster_id", "item_id")
+            for r in met.select(F.col("item.cluster_id").alias("a"), F.col("key.cluster_id").alias("b")).where("a <> b").distinct().collect():
+                near.setdefault(r.a, set()).add(r.b)
+        final = _settled(order, best, reach, near)
+        folded = [(i, best[i]) for i in final if i in best]
+        out |= dict(folded)
+        order = [i for i in order if i not in set(final)]
+        if order and folded:
+            into = found.sparkSession.createDataFrame(folded, "cluster_id string, target string")
+            joined = named.join(into, "cluster_id").select(F.col("target").alias("cluster_id"), F.col("id").alias("item_id"), "embedding")
+            now = settled(draw_exemplars(now.select("cluster_id", "item_id", "embedding").unionByName(joined), exemplars, seed), "fold-exemplars")
+    return out

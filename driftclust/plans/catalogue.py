@@ -17,7 +17,7 @@ from driftclust.operators import assign as A
 from driftclust.operators import dedupe, lifecycle, sampling, scoring, timeline
 from driftclust.operators import discover as D
 from driftclust.operators.cells import CellIndex, similar_pairs
-from driftclust.session import shared_folder, spread
+from driftclust.session import settled, shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -402,8 +402,7 @@ def q51_discover_groups(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("seq"), "embedding")
     labels = D.groups(D.fit_sample(rows, FIT, SEED), 5, 3, 5)
     if rows.limit(FIT + 1).count() > FIT:
-        labels = labels.persist()
-        labels.count()  # fitted once, before the stages that read it start side by side
+        labels = settled(labels, "labels")  # fitted once
         labels = D.match_rest(rows, labels, K, EXEMPLARS, PERCENTILE, (LOW, HIGH), SEED)
     return labels.groupBy("label").agg(F.count("*").alias("n"))
 

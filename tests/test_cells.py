@@ -117,6 +117,49 @@ def test_folds_are_those_of_all_pairs(spark):
         assert got == {a: b for a, (_, b) in wanted.items()}
 
 
+def in_turn(spark, found, named, drawn, live, exemplars, k, threshold, size):
+    """One candidate after the other."""
+    out = {}
+    for i in [r.id for r in found.orderBy("min_seq").collect()]:
+        one = found.where(found.id == i)
+        got = D.best_overlaps(one, drawn, live, exemplars, k, threshold).collect()
+        if got:
+            out[i] = got[0].target
+            joined = named.where(named.cluster_id == i).selectExpr(f"'{got[0].target}' as cluster_id", "id as item_id", "embedding")
+            exemplars = scoring.draw_exemplars(exemplars.select("cluster_id", "item_id", "embedding").unionByName(joined), size, 42)
+            exemplars = spark.createDataFrame(exemplars.collect(), exemplars.schema)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_folds_see_the_folds_before_them(spark, seed):
+    rng = np.random.default_rng(seed)
+    angle = lambda a: [float(np.cos(a)), float(np.sin(a)), 0.0]
+    members, live_rows, found_rows = [], [], []
+    for c, centre in enumerate([0.0, 2.0, 4.0]):
+        live_rows += [(f"l{c}", p, f"l{c}-{p}", angle(centre + 0.05 * rng.standard_normal())) for p in range(4)]
+    for i, at in enumerate([0.33, 0.66, 0.99, 2.33, 2.0, 5.2, 4.3][: 5 + seed]):  # each links the next to a cluster
+        members += [(f"f{i}", f"f{i}-{m}", angle(at + 0.03 * rng.standard_normal())) for m in range(6)]
+        found_rows.append((f"f{i}", i))
+    named = spark.createDataFrame(members, "cluster_id string, id string, embedding array<float>")
+    drawn = scoring.draw_exemplars(named.selectExpr("cluster_id", "id as item_id", "embedding"), 12, 42)
+    found, live = spark.createDataFrame(found_rows, "id string, min_seq long"), spark.createDataFrame([(f"l{c}",) for c in range(3)], "id string")
+    exemplars = spark.createDataFrame(live_rows, "cluster_id string, pos int, item_id string, embedding array<float>")
+    threshold = 0.85
+    got = D.folds_in_order(found, named, drawn, live, exemplars, 2, threshold, 12, 42)
+    assert got == in_turn(spark, found, named, drawn, live, exemplars, 2, threshold, 12)
+    before = {r.id: r.target for r in D.best_overlaps(found, drawn, live, exemplars, 2, threshold).collect()}
+    assert got != before or seed  # what the folds before have brought
+
+
+def test_what_an_earlier_fold_may_change_is_decided_later():
+    final = lambda *a: D._settled(*a)
+    assert final(["a", "b", "c"], {"a": "x", "b": "y"}, {"a": {"x"}, "b": {"y"}}, {}) == ["a", "b", "c"]
+    assert final(["a", "b", "c"], {"a": "x", "b": "x"}, {"a": {"x"}, "b": {"x", "z"}, "c": {"z"}}, {}) == ["a"]  # b may go to z, and then c
+    assert final(["a", "b"], {"a": "x"}, {"a": {"x"}}, {"b": {"a"}}) == ["a"] and final(["b", "a"], {"a": "x"}, {"a": {"x"}}, {"b": {"a"}}) == ["b", "a"]
+    assert final(["a", "b"], {}, {"a": {"x"}, "b": {"x"}}, {}) == ["a", "b"]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_greedy_pairs_equal_going_through_them_in_order(spark, seed):
     r = random.Random(seed)
