@@ -33,6 +33,7 @@ from driftclust.operators import lifecycle as L
 from driftclust.operators import sampling
 from driftclust.operators.assign import Index, assign, assign_nearest, make_index
 from driftclust.operators.dedupe import first_of_each, numbered, unknown
+from driftclust.operators.layout import layout
 from driftclust.operators.scoring import draw_exemplars, member_scores, thresholds
 from driftclust.session import spread
 from driftclust.sinks.delivery import Delivery, hook_of
@@ -329,7 +330,12 @@ class ClusteringEngine:
         if size < cfg.min_cluster_size:
             return DiscoveryReport(size, noise=size, skipped_reason="buffer too small")
         sample = D.fit_sample(waiting, cfg.discovery_sample_size, cfg.random_seed) if size > cfg.discovery_sample_size else waiting
-        labels = self.stage(D.groups(sample, cfg.min_cluster_size, cfg.min_samples, cfg.umap_components), "labels")
+        if cfg.reducer == "neighbours":
+            placed = layout(sample.select("id", "embedding"), cfg.umap_components, cfg.umap_neighbors, seed=cfg.random_seed or 0)
+            labels = D.groups(sample.drop("embedding").join(placed, "id"), cfg.min_cluster_size, cfg.min_samples, 1)  # as they are
+        else:
+            labels = D.groups(sample, cfg.min_cluster_size, cfg.min_samples, cfg.umap_components)
+        labels = self.stage(labels, "labels")
         noise = labels.where("label < 0").count()
         return self._retry(lambda: self._open(labels, size, noise))
 
