@@ -66,40 +66,44 @@ def telling(item: str, text: str, start: int) -> bool:
     return borders and item.count(" ") >= 2
 
 
-# --- anchors: what the pieces begin with -----------------------------------------------------------------------------
+# --- hashes of pieces ----------------------------------------------------------------------------------------------
 
+_FACTOR = np.uint64(0xD1342543DE82EF95)
 
-def window_hashes(text: str, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(first, hashes): a 64-bit hash of each window of ``size`` characters, from the windows that begin at ``first`` on, slice by slice."""
-    for first in range(0, len(text) - size + 1, SLICE_CHARS):
-        codes = np.frombuffer(text[first : first + SLICE_CHARS + size - 1].encode("utf-32-le"), np.uint32).astype(np.uint64)
-        n = len(codes) - size + 1
-        out = np.zeros(n, np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(size):
-                out = out * np.uint64(0xD1342543DE82EF95) + codes[i : i + n] + np.uint64(1)
-        yield first, mix(out, size)
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+def _rolled(h: np.ndarray, codes: np.ndarray, at: np.ndarray | slice, first: int, last: int) -> np.ndarray:
+    """Polynomials of windows that begin ``at``, which have been taken up to character ``first``, taken on to character ``last``."""
+    with np.errstate(over="ignore"):
+        for i in range(first, last):
+            h = h * _FACTOR + (codes[at.start + i : at.stop + i] if isinstance(at, slice) else codes[at + i])
+    return h
 
-def whole_hash(text: str) -> np.ndarray:
-    """The hash of a text that counts as a whole only."""
-    return mix(next(window_hashes(text, len(text)))[1], 99)
+
+def piece_hash(piece: str) -> int:
+    """A 64-bit hash of a piece."""
+    return int(mix(_rolled(np.zeros(1, np.uint64), _codes(piece), slice(0, 1), 0, len(piece)), len(piece))[0])
 
 
 def whole_only(item: str, short: int) -> bool:
     return len(item) < short and item.count(" ") < 2
 
 
-def anchors(item: str, per_edit: int, short: int) -> list[tuple[int, int, int]]:
-    """(hash, size, offset) of what leads to an item: of each of its pieces the first characters, half of ``per_edit`` or the whole piece, or, with size 0,
-    the whole of an item that counts as a whole only."""
+def whole_hash(text: str) -> int:
+    """The hash of a text that counts as a whole only."""
+    return int(mix(np.array([piece_hash(text)], np.uint64), 99)[0])
+
+
+def anchors(item: str, per_edit: int, short: int) -> list[tuple[int, int, int, int]]:
+    """(hash, size, head, offset) of what leads to an item: of each of its pieces the hash, its size and the hash of its head, up to half of ``per_edit``
+    characters; or, with size 0, the whole of an item that counts as a whole only."""
     if whole_only(item, short):
-        return [(int(whole_hash(item)[0]), 0, 0)]
-    out = []
-    for offset, piece in pieces(item, len(item) // per_edit):
-        size = min(len(piece), max(1, per_edit // 2))
-        out.append((int(next(window_hashes(piece[:size], size))[1][0]), size, offset))
-    return out
+        h = whole_hash(item)
+        return [(h, 0, h, 0)]
+    return [(piece_hash(p), len(p), piece_hash(p[: max(1, per_edit // 2)]), offset) for offset, p in pieces(item, len(item) // per_edit)]
 
 
 class Bits:
@@ -142,35 +146,50 @@ def _items(per_edit: int, short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [normal(t) for t in batch.column("text").to_pylist()]
-            found = [[(int(np.uint64(h).view(np.int64)), size, offset) for h, size, offset in anchors(t, per_edit, short)] if t else [] for t in texts]
-            kind = pa.list_(pa.struct([("hash", pa.int64()), ("size", pa.int32()), ("offset", pa.int32())]))
-            rows = pa.array([[dict(zip(("hash", "size", "offset"), x)) for x in f] for f in found], kind)
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(texts, pa.string()), rows], ["item_id", "item", "anchors"])
+            signed = lambda h: h - (1 << 64) if h >> 63 else h
+            found = [[{"hash": signed(h), "size": size, "head": signed(head), "offset": offset} for h, size, head, offset in anchors(t, per_edit, short)] if t else [] for t in texts]
+            kind = pa.list_(pa.struct([("hash", pa.int64()), ("size", pa.int32()), ("head", pa.int64()), ("offset", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(texts, pa.string()), pa.array(found, kind)], ["item_id", "item", "anchors"])
 
     return run
 
 
-def _hits(bits: Bits, sizes: list[int], short: int):
-    """Where a text has what may be an anchor."""
+def hits_of(text: str, heads: Bits, bits: Bits, sizes: list[int], head: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, places) of the windows of a normal text that may be pieces: those of ``sizes`` characters. Windows of ``head`` characters, or of a whole
+    smaller size, are looked for first, and only where one may begin a piece are the sizes above taken."""
+    for first in range(0, len(text), SLICE_CHARS):
+        codes = _codes(text[first : first + SLICE_CHARS + max(sizes) - 1])
+        for base in sorted({min(size, head) for size in sizes}):
+            n = min(SLICE_CHARS, len(codes) - base + 1)
+            if n < 1:
+                continue
+            rolled = _rolled(np.zeros(n, np.uint64), codes, slice(0, n), 0, base)
+            mixed = mix(rolled, base)
+            at = heads.holds(mixed)
+            for size in sizes if len(at) else ():
+                if min(size, head) == base:
+                    here = at[at + size <= len(codes)]
+                    found = mixed[here] if size == base else mix(_rolled(rolled[here], codes, here, base, size), size)
+                    some = bits.holds(found)
+                    if len(some):
+                        yield found[some], here[some] + first
+
+
+def _hits(heads: Bits, bits: Bits, sizes: list[int], head: int, short: int):
+    """Where a text has what may be a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, hashes, places = [], [], []
-
-            def add(row: int, found: np.ndarray, first: int, rows=rows, hashes=hashes, places=places) -> None:
-                at = bits.holds(found)
-                rows.append(np.full(len(at), row))
-                hashes.append(found[at])
-                places.append(at + first)
-
             for row, text in enumerate(batch.column("text")):
                 text = normal(text.as_py())
+                found = list(hits_of(text, heads, bits, [s for s in sizes if s], head)) if text and max(sizes, default=0) else []
                 if text and len(text) < short and 0 in sizes:
-                    add(row, whole_hash(text), 0)
-                for size in sizes:
-                    if size:
-                        for first, found in window_hashes(text, size):
-                            add(row, found, first)
+                    found.append((np.array([whole_hash(text)], np.uint64), np.zeros(1, np.int64)))
+                for h, at in found:
+                    rows.append(np.full(len(h), row))
+                    hashes.append(h)
+                    places.append(at)
             if rows:
                 at = np.concatenate(rows).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(places).astype(np.int64))], ["key", "hash", "place"])
@@ -246,8 +265,8 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, per_edit: int = 2
     in the document's normal text, the first such place ends. Whole documents are searched for every item. An item of fewer than ``short``
     characters says little: it counts without any edit only, as the whole text of a document or, if it has three words or more, on word borders.
 
-    However many items there are, documents are read twice: once for windows whose hash may be that of the beginning of a piece, by a Bloom filter of
-    all pieces with a fixed greatest size, and once for the texts that hold one. In between hits meet pieces in a join by hash; only texts with a piece are
+    However many items there are, documents are read twice: once for windows whose hash may be that of a piece, by Bloom filters of the heads of
+    all pieces and of the pieces, which have a fixed greatest size, and once for the texts that hold one. In between hits meet pieces in a join by hash; only texts with a piece are
     shuffled, each with its items, and verified. Hashes lead to candidates only, so that they collide changes nothing.
 
     Null or empty items are never found, null or empty texts hold none. Items that share an id are all sought. Null ids return as
@@ -256,10 +275,11 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, per_edit: int = 2
     docs = own_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     keyed = docs.where("text IS NOT NULL").withColumn("key", F.xxhash64("doc_id", "text"))
     items = own_columns(benchmark, "item_id", "text").select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
-    items = cut(items.mapInArrow(_items(per_edit, short), "item_id long, item string, anchors array<struct<hash:long,size:int,offset:int>>").where("item <> ''").withColumn("item_key", F.xxhash64("item_id", "item")).dropDuplicates(["item_id", "item"]), "items")
+    items = cut(items.mapInArrow(_items(per_edit, short), "item_id long, item string, anchors array<struct<hash:long,size:int,head:long,offset:int>>").where("item <> ''").withColumn("item_key", F.xxhash64("item_id", "item")).dropDuplicates(["item_id", "item"]), "items")
     pieces_ = items.select("item_key", F.explode("anchors").alias("a")).select("item_key", "a.*")
-    sizes = sorted(r.size for r in pieces_.select("size").distinct().collect())  # per_edit / 2 at most
-    hits = keyed.select("key", "text").mapInArrow(_hits(Bits.of(pieces_.select("hash").distinct(), "hash"), sizes, short), "key long, hash long, place long")
+    sizes = sorted(r[0] for r in pieces_.select("size").distinct().collect())  # per_edit or short at most
+    heads, bits = (Bits.of(pieces_.select(c).distinct(), c) for c in ("head", "hash"))
+    hits = keyed.select("key", "text").mapInArrow(_hits(heads, bits, sizes, max(1, per_edit // 2), short), "key long, hash long, place long")
     starts = hits.join(pieces_, "hash").groupBy("key", "item_key").agg(F.collect_set((F.col("place") - F.col("offset")).cast("int")).alias("starts"))
     texts = items.select("item_key", "item_id", "item")
     candidates = starts.join(texts, "item_key").groupBy("key").agg(F.collect_list(F.struct("item_id", "item", "starts")).alias("items"))
