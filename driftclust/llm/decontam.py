@@ -75,17 +75,38 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
 
 
-def _rolled(h: np.ndarray, codes: np.ndarray, at: np.ndarray | slice, first: int, last: int) -> np.ndarray:
+def _rolled(h: np.ndarray, codes: np.ndarray, at: np.ndarray, first: int, last: int) -> np.ndarray:
     """Polynomials of windows that begin ``at``, which have been taken up to character ``first``, taken on to character ``last``."""
     with np.errstate(over="ignore"):
         for i in range(first, last):
-            h = h * _FACTOR + (codes[at.start + i : at.stop + i] if isinstance(at, slice) else codes[at + i])
+            h = h * _FACTOR + codes[at + i]
     return h
 
 
+def _windows(codes: np.ndarray, size: int) -> np.ndarray:
+    """Polynomials of all windows of ``size`` characters, put together from windows of 1, 2, 4 ... characters."""
+    now, span, out, length = codes, 1, None, 0
+    with np.errstate(over="ignore"):
+        while True:
+            power = np.uint64(pow(int(_FACTOR), span, 1 << 64))
+            if size & span:
+                n = len(codes) - length - span + 1
+                out = now[:n] if out is None else out[:n] * power + now[length : length + n]
+                length += span
+            if length == size:
+                return out
+            n = len(codes) - 2 * span + 1
+            now, span = now[:n] * power + now[span : span + n], 2 * span
+
+
+def piece_head(piece: str) -> int:
+    """The polynomial of the head of a piece."""
+    return int(_windows(_codes(piece), len(piece))[0])
+
+
 def piece_hash(piece: str) -> int:
     """A 64-bit hash of a piece."""
-    return int(mix(_rolled(np.zeros(1, np.uint64), _codes(piece), slice(0, 1), 0, len(piece)), len(piece))[0])
+    return int(mix(_windows(_codes(piece), len(piece)), len(piece))[0])
 
 
 def whole_only(item: str, short: int) -> bool:
@@ -98,12 +119,12 @@ def whole_hash(text: str) -> int:
 
 
 def anchors(item: str, per_edit: int, short: int) -> list[tuple[int, int, int, int]]:
-    """(hash, size, head, offset) of what leads to an item: of each of its pieces the hash, its size and the hash of its head, up to half of ``per_edit``
+    """(hash, size, head, offset) of what leads to an item: of each of its pieces the hash, its size and the polynomial of its head, up to half of ``per_edit``
     characters; or, with size 0, the whole of an item that counts as a whole only."""
     if whole_only(item, short):
         h = whole_hash(item)
         return [(h, 0, h, 0)]
-    return [(piece_hash(p), len(p), piece_hash(p[: max(1, per_edit // 2)]), offset) for offset, p in pieces(item, len(item) // per_edit)]
+    return [(piece_hash(p), len(p), piece_head(p[: max(1, per_edit // 2)]), offset) for offset, p in pieces(item, len(item) // per_edit)]
 
 
 class Bits:
@@ -118,10 +139,11 @@ class Bits:
 
     def holds(self, x: np.ndarray) -> np.ndarray:
         """The places in ``x`` that may be in the filter."""
-        at = np.arange(len(x))
+        at = None
         for probe in range(PROBES):
-            place = self.places(x[at], probe)
-            at = at[(self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)]
+            place = self.places(x if at is None else x[at], probe)
+            some = np.flatnonzero(self.words[(place >> np.uint64(6)).view(np.int64)] >> (place & np.uint64(63)) & np.uint64(1))
+            at = some if at is None else at[some]
         return at
 
     @classmethod
@@ -163,13 +185,12 @@ def hits_of(text: str, heads: Bits, bits: Bits, sizes: list[int], head: int) ->
             n = min(SLICE_CHARS, len(codes) - base + 1)
             if n < 1:
                 continue
-            rolled = _rolled(np.zeros(n, np.uint64), codes, slice(0, n), 0, base)
-            mixed = mix(rolled, base)
-            at = heads.holds(mixed)
+            rolled = _windows(codes, base)[:n]
+            at = heads.holds(rolled)
             for size in sizes if len(at) else ():
                 if min(size, head) == base:
                     here = at[at + size <= len(codes)]
-                    found = mixed[here] if size == base else mix(_rolled(rolled[here], codes, here, base, size), size)
+                    found = mix(_rolled(rolled[here], codes, here, base, size), size)
                     some = bits.holds(found)
                     if len(some):
                         yield found[some], here[some] + first
