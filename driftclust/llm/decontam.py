@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from driftclust.llm.common import cut, drop_cut, mix, own_columns
 
 #: Bits of a filter for each entry, and the most that one has (64 MB): it is sent to all tasks. Beyond that it lets more through, but misses nothing.
-BITS_PER_ENTRY, MOST_BITS = 1024, 1 << 29
+BITS_PER_ENTRY, MOST_BITS = 64, 1 << 29
 #: Bits that an entry sets.
 PROBES = 3
 #: Characters whose windows are hashed at once.
