@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftclust.operators.timeline import final_closes
 from driftclust.schema import ARCHIVED, ASSIGNED, CLOSED
+from driftclust.session import settled
 
 NOISE = "noise"
 #: Share of a cluster that its second topic may have before the cluster counts as mixed.
@@ -85,7 +86,7 @@ def pareto_front(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
     minimum goes over distinct x in ranges, so no task sees all of them.
     """
     least = rows.groupBy(x).agg(F.min(y).alias(y))
-    parts = least.repartitionByRange(x).withColumn("__part", F.spark_partition_id())
+    parts = settled(least.repartitionByRange(x).withColumn("__part", F.spark_partition_id()), "front-ranges")
     lows = parts.groupBy("__part").agg(F.min(y).alias("__low"), F.min(x).alias("__x"))
     ahead = lows.select("__part", F.min("__low").over(W.orderBy("__x").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
     inside = F.min(y).over(W.partitionBy("__part").orderBy(x).rowsBetween(W.unboundedPreceding, -1))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftclust.session import settled
+
 
 def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     """(key, order) of the first row of each key; ``min`` combines on the map side, so a hot key is no hot task."""
@@ -22,9 +24,10 @@ def unknown(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
 def numbered(rows: DataFrame, order: str, after: int, name: str = "seq", parts: int = 64) -> DataFrame:
     """Rows with dense numbers from ``after`` + 1 in the order of a column with distinct values.
 
-    Ranges of the order are counted first, so no task numbers all rows: each range starts where those before it end.
+    Ranges of the order are counted first, so no task numbers all rows: each range starts where those before it end. The bounds of ranges come from a
+    sample that differs from run to run, so the ranged rows are written once and both counted and numbered from there.
     """
-    ranged = rows.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
+    ranged = settled(rows.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min(order).alias("__low"))
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__low").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.row_number().over(W.partitionBy("__part").orderBy(order))

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftclust.operators import sampling
+from driftclust.operators import dedupe, sampling
 
 
 def test_central_samples_see_members_beyond_the_newest_5000(spark):
     old = F.col("id") < 100
     rows = spark.range(5200).select(F.lit("c").alias("cluster_id"), F.col("id").cast("string").alias("item_id"), F.col("id").alias("seq"), F.timestamp_seconds("id").alias("ts"), F.array(F.when(old, 1.0).otherwise(0.8), F.when(old, 0.0).when(F.col("id") % 2 == 0, 0.6).otherwise(-0.6)).cast("array<float>").alias("embedding"))
     assert [r.item_id for r in sampling.central(rows, 3).orderBy("rank").collect()] == ["99", "98", "97"]
+
+
+def test_numbers_are_dense_where_ranges_come_from_a_sample(spark):
+    rows = spark.range(120_000, numPartitions=3).select((F.col("id") * 7919 % 120_000).alias("pos"), F.md5(F.col("id").cast("string")).alias("data"))
+    found = dedupe.numbered(rows, "pos", 100)
+    assert found.where("seq <> pos + 101 OR length(data) <> 32").count() == 0 and found.count() == 120_000
