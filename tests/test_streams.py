@@ -66,3 +66,10 @@ def test_a_stream_without_keys_has_one_tenant(spark, tmp_path):
     stream = streamed(spark, tmp_path / "in", rows, "cluster_id string, ts timestamp, size int")
     got = run_available(spark, cluster_changes(stream, 3 * HOUR), "append").orderBy("at").select("stream_key", "cluster_id", "type", F.col("size")).collect()
     assert [tuple(x) for x in got] == [("", "c", "cluster.opened", 1), ("", "c", "cluster.closed", 2), ("", "d", "cluster.opened", 1)]
+
+
+def test_keys_that_share_a_slot_keep_their_own_state(spark, tmp_path):
+    rows = [[("a", f"c{n}", T0 + timedelta(minutes=n * (k + 1))) for n in range(300) for k in range(2)], [("a", "c7", T0 + 40 * HOUR), ("b", "c7", T0 + 41 * HOUR)], [("a", "c8", T0 + 43 * HOUR)]]
+    stream = streamed(spark, tmp_path / "in", rows, "stream_key string, cluster_id string, ts timestamp")
+    got = [(x.stream_key, x.cluster_id, x.type, x.at.replace(tzinfo=UTC), x.size) for x in run_available(spark, cluster_changes(stream, 20 * HOUR, slots=1), "append").collect()]
+    assert sorted(got, key=str) == changes([r for b in rows for r in b], 20 * HOUR, T0 + 43 * HOUR) and len(got) > 600
