@@ -26,6 +26,10 @@ PER_CELL = 64
 BLOCK = 512
 #: Vectors that one cell serves as well as many.
 FEW = 1024
+#: Rows that a task holds against all centres at once.
+SEEN = 128
+#: Bytes of the rows that stay in a task while others are held against them, and products made at once.
+STAYING, PRODUCTS = 16 << 20, 1 << 20
 #: What rounding may do to an angle.
 SLACK = 1e-5
 
@@ -76,9 +80,9 @@ def _map(rows: DataFrame, add: list[StructField], f: Callable[[pa.RecordBatch],
     """``rows`` with further columns: ``f`` says which rows of a batch to repeat, and the new values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, values = f(batch)
-            taken = batch.take(pa.array(at, pa.int64()))
+        for part in (batch.slice(at, SEEN) for batch in batches for at in range(0, batch.num_rows, SEEN)):
+            at, values = f(part)
+            taken = part.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(v, t) for v, t in zip(values, kinds))], names)
 
     kinds = [pa.int32() if isinstance(s.dataType, IntegerType) else pa.float64() for s in add]
@@ -147,9 +151,9 @@ def _counted(rows: DataFrame, n_cells: int) -> np.ndarray:
     return counts
 
 
-def _products(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Keys and vectors of one packed list."""
-    return column.field("key"), unit(matrix(column.field("embedding"), len(column.field("embedding")[0])))
+def _products(keys: pa.Array, vectors: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Keys and vectors at length 1."""
+    return keys, unit(matrix(vectors, len(vectors[0])))
 
 
 def _top(n: int):
@@ -158,7 +162,7 @@ def _top(n: int):
             for i in range(batch.num_rows):
                 left, right = batch.column("seekers")[i].values, batch.column("homes")[i].values
                 right = right.take(pa.array(sorted(range(len(right)), key=lambda j, k=right.field("key").to_pylist(): tuple(k[j].values()))))
-                (who, a), (whom, b) = _products(left), _products(right)
+                (who, a), (whom, b) = (_products(x.field("key"), x.field("embedding")) for x in (left, right))
                 far = -(a @ b.T)
                 order = np.argsort(far, axis=1, kind="stable")[:, :n]
                 at, col = np.repeat(np.arange(len(a)), order.shape[1]), order.ravel()
@@ -168,21 +172,52 @@ def _top(n: int):
 
 
 def _over(least: float, one_way: bool):
+    """Over rows (block, seeks, key, embedding) in order of block and seeks: the pairs of those of a block that seek and those that stay. Those that stay are held,
+    the others pass by."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, homes, held = None, [], None
         for batch in batches:
-            for i in range(batch.num_rows):
-                (who, a), (whom, b) = _products(batch.column("seekers")[i].values), _products(batch.column("homes")[i].values)
-                sims = a @ b.T
-                at, col = np.nonzero(sims >= least)
-                sims, who, whom = sims[at, col], who.take(pa.array(at)), whom.take(pa.array(col))
-                if one_way:
-                    keep = np.array([tuple(x.values()) < tuple(y.values()) for x, y in zip(who.to_pylist(), whom.to_pylist())], bool)
-                    who, whom, sims = who.filter(pa.array(keep)), whom.filter(pa.array(keep)), sims[keep]
-                yield pa.RecordBatch.from_arrays([who, whom, pa.array(sims)], ["item", "key", "sim"])
+            block, seeks = batch.column("block").to_numpy(), batch.column("seeks").to_numpy()
+            edges = np.flatnonzero(np.diff(block) | np.diff(seeks)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(block)]):
+                if a == b:
+                    continue
+                if block[a] != now:
+                    now, homes, held = block[a], [], None
+                if not seeks[a]:
+                    homes.append(batch.slice(a, b - a))
+                    continue
+                if held is None:
+                    whole = pa.Table.from_batches(homes).combine_chunks() if homes else None
+                    held = _products(whole.column("key").combine_chunks(), whole.column("embedding").combine_chunks()) if homes else (None, np.zeros((0, 1)))
+                    homes = []
+                whom, y = held
+                step = max(1, PRODUCTS // max(len(y), 1))
+                for at in range(a, b if len(y) else a, step):
+                    part = batch.slice(at, min(step, b - at))
+                    who, x = _products(part.column("key"), part.column("embedding"))
+                    sims = x @ y.T
+                    row, col = np.nonzero(sims >= least)
+                    if one_way and len(row):
+                        keep = _before(who, whom)(row, col)
+                        row, col = row[keep], col[keep]
+                    yield pa.RecordBatch.from_arrays([who.take(pa.array(row)), whom.take(pa.array(col)), pa.array(sims[row, col])], ["item", "key", "sim"])
 
     return run
 
 
+def _before(who: pa.StructArray, whom: pa.StructArray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Which pairs of two arrays of keys are in order."""
+    if who.type.num_fields == 1 and pa.types.is_integer(who.type.field(0).type):
+        left, right = who.field(0).to_numpy(), whom.field(0).to_numpy()
+    else:
+        keys = [[tuple(k.values()) for k in x.to_pylist()] for x in (who, whom)]
+        rank = {k: i for i, k in enumerate(sorted(set(keys[0]) | set(keys[1])))}
+        left, right = (np.array([rank[k] for k in x]) for x in keys)
+    return lambda row, col: left[row] < right[col]
+
+
 def _schema(item, key) -> StructType:
     return StructType([StructField("item", item), StructField("key", key), StructField("sim", DoubleType())])
 
@@ -251,9 +286,43 @@ class CellIndex:
         seekers = _vectors(items, *keys)
         if not len(self.centres):
             return items.sparkSession.createDataFrame([], _schema(seekers.schema["key"].dataType, self.homes.schema["key"].dataType))
-        angle = float(np.arccos(np.clip(least, -1, 1)))
-        visits = visiting(seekers.withColumn("within", F.lit(angle)), self.centres, self.radii, within="within")
-        return self._meet(visits, _over(least, one_way))
+        first, parts, n_blocks = self._packing(seekers.sparkSession.sparkContext.defaultParallelism)
+        centres, radii, reach = self.centres, self.radii, float(np.arccos(np.clip(least, -1, 1))) + SLACK
+        spans = [np.arange(a, a + n) for a, n in zip(first.tolist(), parts.tolist())]
+
+        def visit(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+            seen = np.zeros((batch.num_rows, n_blocks), bool)
+            near = _angles(batch, centres) - radii <= reach
+            for cell in np.flatnonzero(near.any(axis=0) & (radii >= 0)).tolist():
+                seen[np.ix_(near[:, cell], spans[cell])] = True
+            row, block = np.nonzero(seen)
+            return row, [block]
+
+        def stay(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+            cell = batch.column("cell").to_numpy()
+            return np.arange(len(cell)), [first[cell] + batch.column("dealt").to_numpy() % parts[cell]]
+
+        block = [StructField("block", IntegerType())]
+        homes = _map(self.homes.select("key", "embedding", "cell", F.pmod(F.xxhash64("key"), F.lit(1 << 30)).alias("dealt")), block, stay)
+        rows = homes.select("block", F.lit(0).alias("seeks"), "key", "embedding").unionByName(_map(seekers, block, visit).select("block", F.lit(1).alias("seeks"), "key", "embedding"))
+        met = rows.repartition(n_blocks, "block").sortWithinPartitions("block", "seeks")
+        return met.mapInArrow(_over(least, one_way), _schema(seekers.schema["key"].dataType, self.homes.schema["key"].dataType))
+
+    def _packing(self, cores: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """First block and number of blocks of each cell, and all blocks: neighbouring cells share one until it has its rows, which are so many that each core
+        has about two blocks, between BLOCK and STAYING bytes; of a larger cell's blocks, each row is in one by its hash."""
+        most = int(min(max(self.sizes.sum() // (2 * cores), BLOCK), max(STAYING // (8 * self.centres.shape[1]), 1)))
+        first, parts, at, filled = np.zeros(len(self.sizes), np.int64), np.ones(len(self.sizes), np.int64), 0, 0
+        axis = self.centres @ np.linalg.svd(self.centres - self.centres.mean(axis=0), full_matrices=False)[2][0]
+        for cell in np.argsort(axis, kind="stable").tolist():
+            n = int(self.sizes[cell])
+            if filled and filled + n > most:
+                at, filled = at + 1, 0
+            parts[cell] = max(1, -(-n // most))
+            first[cell], filled = at, filled + n
+            if parts[cell] > 1:
+                at, filled = at + int(parts[cell]), 0
+        return first, parts, at + 1
 
 
 def similar_pairs(rows: DataFrame, least: float, key: str, n_cells: int | None = None, seed: int = 42) -> DataFrame:
