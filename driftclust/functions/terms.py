@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftclust.session import spread
+from driftclust.session import dealt, settled, spread
 
 # English words that say little about a topic.
 STOP_WORDS = tuple(
@@ -23,7 +23,7 @@ STOP_WORDS = tuple(
 _WORD = re.compile(r"\b\w\w+\b")
 _STOP = frozenset(STOP_WORDS)
 #: Distinct terms that a task holds before it gives their counts away.
-HELD = 1 << 20
+HELD = 1 << 18
 
 
 def words_of(text: str | None) -> list[str]:
@@ -31,9 +31,8 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in _WORD.findall(text.lower()) if w not in _STOP] if text else []
 
 
-def term_counts(texts: DataFrame, group: str = "cluster_id", longest: int = 2) -> DataFrame:
-    """(group, term, n): terms of 1 to ``longest`` words of a text, stop words left out before words are joined. Counted in Arrow batches, at
-    most about HELD terms at once in a task, so that counts, not occurrences, are shuffled."""
+def _counted(texts: DataFrame, group: str, longest: int) -> DataFrame:
+    """(group, term, n): counts of terms as tasks give them away, at most about HELD terms at once."""
     kind = texts.schema[group].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,19 +44,28 @@ def term_counts(texts: DataFrame, group: str = "cluster_id", longest: int = 2) -
             held.clear()
             return found
 
-        batch = None
+        batch, size = None, 0
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_of(text.as_py())
                 counts = held.setdefault(name, Counter())
+                size -= len(counts)
                 for n in range(longest):
                     counts.update(words if not n else map(" ".join, zip(*(words[i:] for i in range(n + 1)), strict=False)))
-                if sum(map(len, held.values())) > HELD:
+                size += len(counts)
+                if size > HELD:
                     yield flush()
+                    size = 0
         if batch is not None:
             yield flush()
 
-    return spread(texts.select(group, "text")).mapInArrow(run, f"`{group}` {kind}, term string, n long").groupBy(group, "term").agg(F.sum("n").alias("n"))
+    return spread(texts.select(group, "text")).mapInArrow(run, f"`{group}` {kind}, term string, n long")
+
+
+def term_counts(texts: DataFrame, group: str = "cluster_id", longest: int = 2) -> DataFrame:
+    """(group, term, n): terms of 1 to ``longest`` words of a text, stop words left out before words are joined. Counted in Arrow batches, so that
+    counts, not occurrences, are shuffled."""
+    return dealt(_counted(texts, group, longest), texts, "term").groupBy(group, "term").agg(F.sum("n").alias("n"))
 
 
 def _ends(texts: DataFrame, group: str) -> DataFrame:
@@ -75,11 +83,11 @@ def _ends(texts: DataFrame, group: str) -> DataFrame:
 
 def term_scores(counts: DataFrame, group: str = "cluster_id") -> DataFrame:
     """(group, term, score) from rows (group, term, n), one for each term of a group: the term's share of its group times
-    ln(1 + mean terms of a group / count overall)."""
+    ln(1 + mean terms of a group / count overall). The counts are made once and written with those overall, which rest on them."""
+    counts = settled(counts.withColumn("term_n", F.sum("n").over(W.partitionBy("term"))), "terms")  # a row for each group at most
     totals = counts.groupBy(group).agg(F.sum("n").alias("group_n"))
-    overall = counts.groupBy("term").agg(F.sum("n").alias("term_n"))
     mean = totals.agg((F.sum("group_n") / F.count("*")).alias("mean_n"))
-    scored = counts.join(overall, "term").join(totals, group).crossJoin(F.broadcast(mean))  # one row on the right
+    scored = counts.join(totals, group).crossJoin(F.broadcast(mean))  # one row on the right
     return scored.select(group, "term", (F.col("n") / F.col("group_n") * F.log(1 + F.col("mean_n") / F.col("term_n"))).alias("score")).where("score > 0")
 
 
@@ -116,7 +124,9 @@ def distinctive(scores: DataFrame, group: str = "cluster_id", n: int = 5, pool:
     schema = scores.select(group).schema.add("terms", T.ArrayType(T.StringType()))
     order = W.partitionBy(group).orderBy(F.desc("score"), F.asc("term"))
     fold = lambda rows: rows.select(group, "term", "score").repartition(group).sortWithinPartitions(group, F.desc("score"), "term").select(group, "term").mapInArrow(_fold(group, n), schema)
-    found = fold(scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool))
+    found = settled(fold(scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool)), "terms-best")  # a row for each group
+    if found.where(F.size("terms") < n).isEmpty():
+        return found
     short = found.where(F.size("terms") < n).join(scores.groupBy(group).agg(F.count("*").alias("all")).where(F.col("all") > pool), group, "left_semi").select(group)
     return found.join(short, group, "left_anti").unionByName(fold(scores.join(short, group, "left_semi")))
 
@@ -130,7 +140,7 @@ def labels(texts: DataFrame, group: str = "cluster_id", n: int = 5, targets: Dat
     edges = _ends(texts, group)
     before = F.lag("last").over(W.partitionBy(group).orderBy("pos"))
     across = edges.select(group, F.concat(before, F.lit(" "), "first").alias("term")).where("term is not null").withColumn("n", F.lit(1).cast("long"))
-    counts = term_counts(texts, group, 2).unionByName(across).groupBy(group, "term").agg(F.sum("n").alias("n"))
+    counts = dealt(_counted(texts, group, 2).unionByName(across), texts, "term").groupBy(group, "term").agg(F.sum("n").alias("n"))
     scores = term_scores(counts, group)
     if targets is not None:
         scores = scores.join(targets.select(group), group, "left_semi")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftclust.config import Preprocess
-from driftclust.session import spread
+from driftclust.session import dealt, spread
 
 # What counts as personal data and its token, in the order of replacement.
 PII_PATTERNS = (
@@ -68,7 +68,7 @@ def preprocess(items: DataFrame, how: Preprocess, hook: Callable[[Column], Colum
 
 _WORD = re.compile("[a-z0-9]+")
 #: Distinct features that a task holds before it gives their counts away.
-HELD = 1 << 20
+HELD = 1 << 18
 
 
 def words_of(text: str | None) -> list[str]:
@@ -109,8 +109,9 @@ def feature_counts(docs: DataFrame, column: str = "text") -> DataFrame:
                 found = words_of(text.as_py())
                 words.update(found)
                 pairs.update(pairs_of(found))
-                if len(pairs) > HELD:
+                if len(words) + len(pairs) > HELD:
                     yield flush()
         yield flush()
 
-    return spread(docs.select(column)).mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    found = spread(docs.select(column)).mapInArrow(run, "feature string, n long")
+    return dealt(found, docs, "feature").groupBy("feature").agg(F.sum("n").alias("n"))

@@ -62,3 +62,14 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < cores * SPLIT_BYTES and len(df.inputFiles()) < cores else df
+
+
+#: Bytes of a table, as Catalyst estimates them, for each part that what is counted in it is dealt to.
+PART_BYTES = 4 << 20
+
+
+def dealt(found: DataFrame, of: DataFrame, *keys: str) -> DataFrame:
+    """``found`` by keys in parts whose number grows with the table ``of`` that it comes from, so that a task's share doesn't; a small table's are left to the
+    session's settings."""
+    parts = -(-int(of._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // PART_BYTES)
+    return found.repartition(parts, *keys) if parts > int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")) else found
