@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from itertools import chain
 from typing import Protocol
@@ -35,9 +36,9 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 class SignedPlaces:
     """Features hashed to a signed coordinate: bit 0 of a feature's number is the sign, the rest modulo the dimension the place. Words are
-    remembered with their trigrams, up to REMEMBERED features."""
+    remembered with their trigrams, up to REMEMBERED of them, and so are pairs."""
 
-    REMEMBERED = 1 << 20
+    REMEMBERED = 1 << 17
 
     def __init__(self, dim: int, number: Callable[[str], int]):
         self.dim, self._number = dim, number
@@ -51,9 +52,10 @@ class SignedPlaces:
     def vector(self, text: str | None) -> np.ndarray:
         """The sum of the features of a text: a coordinate gains 1 or loses 1 with each."""
         words = words_of(text)
-        if len(self._words) + len(self._pairs) > self.REMEMBERED:
-            self._words.clear(), self._pairs.clear()
         known, pairs = self._words, self._pairs
+        for held in (known, pairs):
+            if len(held) > self.REMEMBERED:
+                held.clear()
         for word in [w for w in set(words) if w not in known]:
             known[word] = (self._code(word), *map(self._code, trigrams_of(word)))
         joined = list(pairs_of(words))
@@ -167,17 +169,41 @@ def embed_column(text: Column, make: Callable[[], Embedder], batch: int = 64) ->
     return run(text)
 
 
+#: Texts whose dense sums a task holds at once.
+SUMMED = 512
+
+
+def _sums(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Of texts in their batches ids and sums of features by md5, some SUMMED at a time."""
+    places = SignedPlaces(dim, _by_md5)
+    for batch in batches:
+        for at in range(0, batch.num_rows, SUMMED):
+            part = batch.slice(at, SUMMED)
+            yield part.column(0), np.stack([places.vector(text.as_py()) for text in part.column(1)])
+
+
 def hashed_features(docs: DataFrame, id_column: str = "doc_id", dim: int = 256) -> DataFrame:
     """(id, slot, value): signed feature hashing by md5 as sparse rows that aren't zero, a text's sums made where the text is."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = SignedPlaces(dim, _by_md5)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sums = np.stack([places.vector(text.as_py()) for text in batch.column(1)])
+        for ids, sums in _sums(batches, dim):
             row, slot = np.nonzero(sums)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(slot.astype(np.int64)), pa.array(sums[row, slot].astype(np.int64))], [id_column, "slot", "value"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(slot.astype(np.int64)), pa.array(sums[row, slot].astype(np.int64))], [id_column, "slot", "value"])
 
     return spread(docs.select(id_column, "text")).mapInArrow(run, f"`{id_column}` {kind}, slot long, value long")
+
+
+def used_coordinates(docs: DataFrame, dims: tuple[int, ...], id_column: str = "doc_id") -> DataFrame:
+    """(id, nonzero_<dim>...): how many coordinates of ``hashed_features`` each dimension uses for a text. Features are hashed once, to the least common
+    multiple of the dimensions, and folded to each. Texts that use none in some dimension are left out."""
+    kind = docs.schema[id_column].dataType.simpleString()
+    names = [f"nonzero_{dim}" for dim in dims]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sums in _sums(batches, math.lcm(*dims)):
+            used = [np.count_nonzero(sums.reshape(len(sums), -1, dim).sum(1), axis=1) for dim in dims]
+            some = pa.array(np.all(used, axis=0))
+            yield pa.RecordBatch.from_arrays([x.filter(some) for x in (ids, *(pa.array(u, pa.int64()) for u in used))], [id_column, *names])
+
+    return spread(docs.select(id_column, "text")).mapInArrow(run, f"`{id_column}` {kind}, " + ", ".join(f"{n} long" for n in names))

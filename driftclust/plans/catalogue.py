@@ -587,7 +587,5 @@ def q57_cluster_detail(spark, d):
 @query
 def q58_reembed(spark, d):
     """All documents under two models: how many coordinates each uses."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    wide, narrow = (embed.hashed_features(docs, "doc_id", dim).groupBy("doc_id").agg(F.count("*").alias(f"nonzero_{dim}")) for dim in (256, 128))
-    return wide.join(narrow, "doc_id")
+    return embed.used_coordinates(table(spark, d, "documents").select("doc_id", "text"), (256, 128))
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField
 
+from driftclust.functions import embed
 from driftclust.operators import cells, dedupe, sampling
 
 
@@ -36,3 +37,11 @@ def test_pairs_by_two_keys_are_those_of_brute_force(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = sorted((*keys[i], *keys[j]) for i, j in zip(*np.nonzero(u @ u.T >= 0.99)) if keys[i] < keys[j])
     assert sorted(tuple(r) for r in got.select("item.a", "item.b", F.col("key.a").alias("c"), F.col("key.b").alias("d")).collect()) == want
+
+
+def test_places_remember_pairs_and_words_apart_and_few():
+    places = embed.SignedPlaces(8, embed._by_md5)
+    places.REMEMBERED = 50
+    first = places.vector("alpha beta gamma")
+    places.vector(" ".join(f"w{i} v{i % 7}" for i in range(300)))
+    assert (places.vector("alpha beta gamma") == first).all() and len(places._pairs) <= 52 and embed.SignedPlaces.REMEMBERED <= 1 << 17
