@@ -15,6 +15,9 @@ Hot groups: copies of a set are one node from the start. A block isn't searched
 each node joins the star of the block's least node that it shares most blocks with, a tree over the star's points tells whether the
 bound allows a link with the centre, or else the best partner; then what is still apart is searched for the best partner by
 bound in another component, and only what remains is searched in full, in chunks of bounded size.
+
+Texts, points and sets are wide beside the keys that pick them. Each is picked by a Bloom filter of those keys where it lies, so
+that only what may be needed is shuffled, whatever the size of the tables is.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 
 from driftclust.llm.common import cut, drop_cut, mix, own_columns, shingles, utf8, word_hashes  # noqa: F401
 from driftclust.llm.components import components
+from driftclust.llm.decontam import Bits
 from driftclust.llm.rtree import CountTree
 
 #: Coordinates of a point. The more, the closer the sum of minima comes to the overlap; a byte each where counts allow it.
@@ -121,9 +125,33 @@ def _describe(k: int, lower: bool, num: int, den: int):
     return run
 
 
-def _sets(k: int, lower: bool):
+def _among(bits: Bits, column: str):
+    """The rows whose ``column`` may be in a filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(bits.holds(batch.column(column).to_numpy().view(np.uint64)), pa.int64()))
+
+    return run
+
+
+def _blocks_among(bits: Bits):
+    """(node, block) of the blocks that may be in a filter, over rows with the blocks of each node."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch.column("blocks")
+            block = lists.flatten()
+            at = bits.holds(block.to_numpy().view(np.uint64))
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[at]
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(row, pa.int64())), block.take(pa.array(at, pa.int64()))], ["node", "block"])
+
+    return run
+
+
+def _sets(k: int, lower: bool, among: Bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _among(among, "doc_id")(batches):
             ids, sets = [], []
             for row, members in _member_sets(batch, k, lower):
                 ids.append(row)
@@ -292,7 +320,8 @@ class _Join:
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs those whose sets reach the similarity. The set of a node with many partners is sent once for STAR of them."""
-        s = self.sets
+        nodes = pairs.select(F.explode(F.array("low", "high")).alias("node")).distinct()
+        s = self.sets.mapInArrow(_among(Bits.of(nodes, "node"), "node"), self.sets.schema)
         large, dealt = self.parts(pairs, STAR)
         of = lambda rows, side: rows.join(s.select(F.col("node").alias(side), F.col("members").alias(f"members_{side}")), side)
         few = of(of(dealt.where("part is null").select("low", "high"), "low"), "high").mapInArrow(_verify(self.num, self.den), "low long, high long")
@@ -343,14 +372,17 @@ class _Join:
         first = cut(all_sets.join(nodes, [*same, "doc_id"]).dropDuplicates([*same, "doc_id"]).select(F.col("doc_id").alias("node"), "n", "blocks", "point"), "shingle-nodes")
         slim = cut(all_sets.select("doc_id", *same), "set-names")
         drop_cut(all_sets)
-        self.points = first.select("node", "n", "point")
         rows = first.select("node", F.explode("blocks").alias("block"))
-        shared = rows.groupBy("block").agg(F.count("*").alias("nodes")).where("nodes > 1").select("block")  # most blocks have one node
+        shared = cut(rows.groupBy("block").agg(F.count("*").alias("nodes")).where("nodes > 1").select("block"), "shared-names")  # most blocks have one node
+        rows = first.select("node", "blocks").mapInArrow(_blocks_among(Bits.of(shared, "block")), "node long, block long")
         rows = cut(rows.join(shared, "block"), "shared-blocks")
+        drop_cut(shared)
         members = cut(rows.join(rows.groupBy("block").agg(F.min("node").alias("least")), "block"), "block-members")
         drop_cut(rows)
-        involved = members.select("node").distinct()
-        self.sets = cut(self.docs.join(involved.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(self.k, self.lower), "node long, members binary"), "member-sets")
+        involved = Bits.of(members.select("node").distinct(), "node")
+        self.points = cut(first.select("node", "n", "point").mapInArrow(_among(involved, "node"), "node long, n long, point binary"), "points")
+        drop_cut(first)
+        self.sets = cut(self.docs.where("doc_id is not null").mapInArrow(_sets(self.k, self.lower, involved), "node long, members binary"), "member-sets")
 
         votes = members.where("node != least").groupBy("node", "least").agg(F.count("*").alias("votes"))
         stars = votes.groupBy("node").agg(F.max(F.struct("votes", (-F.col("least")).alias("least"))).alias("best")).select((-F.col("best.least")).alias("low"), F.col("node").alias("high"))
@@ -367,7 +399,7 @@ class _Join:
             tried, links = tried.unionAll(more), cut(links.unionAll(self.linked(more)), "linked-pairs")
             labels = components(links)
         named = nodes.select(*same, F.col("doc_id").alias("node")).join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component"))
-        drop_cut(members), drop_cut(self.sets), drop_cut(first)
+        drop_cut(members), drop_cut(self.sets), drop_cut(self.points)
         every = slim.join(named, same, "left")
         return every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 

@@ -113,6 +113,20 @@ def test_jaccard_of_no_rows(spark):
     assert jaccard.jaccard_components(frame(spark, rows()).where("false"), 3, 90, 100).count() == 0
 
 
+def test_jaccard_shuffles_no_texts_or_points_to_pick_them(spark, monkeypatch):
+    plans, cut = {}, jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df, what: plans.__setitem__(what, df._jdf.queryExecution().executedPlan().toString()) or cut(df, what))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of any size
+    try:
+        data = rows()
+        got = jaccard.jaccard_components(frame(spark, data), 3, 90, 100).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == brute_classes(data, 3, 90, 100)
+    assert not any("hashpartitioning" in plans[what] for what in ("member-sets", "points"))
+
+
 def test_first_of_each_keeps_columns(spark):
     data = rows()
     kept = jaccard.first_of_each(frame(spark, data), 3, 90, 100)
