@@ -104,6 +104,19 @@ def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
     assert {r.score for r in T.toxicity(spark.createDataFrame(docs[:5], DOCS), spark.createDataFrame([], LABELS)).collect()} == {0.5}
 
 
+def test_learns_from_all_rows_of_any_length_in_parts(spark, monkeypatch):
+    docs, labels = corpus(9000)
+    docs = [(i, t if i >= 40 or i % 4 else "ba ke " * 12_000 + "longtox " + "lo mi " * 20, lang, s) for i, t, lang, s in docs]  # over 64 KB
+    monkeypatch.setattr(T, "PART_BYTES", 1 << 20)
+    monkeypatch.setattr(T, "TOKENS", 4096)
+    df = spark.createDataFrame(docs, DOCS)
+    model = T.ToxicityModel(df, spark.createDataFrame(labels, LABELS))
+    held = {i for i, *_ in docs if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert model.learnt + model.checked == len(docs) - len(held)
+    got = {r.doc_id: r.predicted for r in model.score(df).collect()}
+    assert np.mean([got[i] == y for i, _, y in labels if i in held and i >= 40]) > 0.97
+
+
 def test_thresholds_are_those_of_the_language(spark):
     assert T.best_threshold(np.array([0.9, 0.8, 0.4, 0.3, 0.1]), np.array([1, 1, 1, 0, 0])) == pytest.approx(0.35)
     docs, labels = corpus(400)
