@@ -360,7 +360,7 @@ def train(rows: DataFrame, parts: int, toxic: int, others: int, seed: int = 0, s
     """Fit a network to all rows (doc_id, toxic, text) in ``parts``. The rarer label weighs up to five times as much. Rows of the table that fewer than
     ``shown`` texts hold stay zero: they tell texts apart, not labels. Every round each part learns from the network of the round before; a row of the
     table becomes the mean of those that the parts have made of it, by the number of their texts that hold it, in the order of the parts."""
-    dealt = rows.select("doc_id", "toxic", "text", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts)).alias("part")).repartition(parts, "part").sortWithinPartitions("part", "doc_id")
+    dealt = rows.select("doc_id", "toxic", "text", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts)).cast("int").alias("part")).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id")
     found = dealt.mapInArrow(_count, "bucket long, texts long").groupBy("bucket").agg(F.sum("texts").alias("texts")).toArrow()  # BUCKETS rows at most
     held = np.zeros(BUCKETS + 1, np.int64)
     held[found.column("bucket").to_numpy()] = found.column("texts").to_numpy()
