@@ -79,7 +79,10 @@ class Network:
             here = out[:, k * self.n : (k + 1) * self.n]
             for j in range(width):
                 block = np.ascontiguousarray(projected[:, col : col + self.n])
-                here[:] = block[at[0]] if j == 0 else here + block[at[j]]
+                if j == 0:
+                    here[:] = block.take(at[0], 0)
+                else:
+                    here += block.take(at[j], 0)
                 col += self.n
         return out
 
@@ -150,32 +153,45 @@ class Corpus:
         self.known: dict[int, int] = {}
         self.found: list[np.ndarray] = []
 
-    def add(self, text: bytes, label: int) -> None:
-        data, at, tokens = np.frombuffer(text, np.uint8), 0, [np.zeros(0, np.int32)]
-        while at < len(data):
-            to = min(at + SLICE_BYTES, len(data))
-            while to < len(data) and _FOLDED[data[to]] != 32:
-                to += 1
-            distinct, rows, tok, _, _ = words_of(data[at:to], np.array([0, to - at]))
-            number = np.empty(len(distinct), np.int32)
-            for i, h in enumerate(distinct.tolist()):
-                if h not in self.known:
-                    self.known[h] = len(self.known)
-                    self.found.append(rows[i])
-                number[i] = self.known[h]
-            tokens.append(number[tok])
-            at = to
-        self.tokens.append(np.concatenate(tokens))
-        self.labels.append(label)
+    def add(self, data: np.ndarray, offsets: np.ndarray, labels: list[int]) -> None:
+        """Add texts in one array, about SLICE_BYTES of them at a time; a longer one in pieces, cut at white space."""
+        for a, b in runs(offsets):
+            at, stop, tokens = int(offsets[a]), int(offsets[b]), []
+            if b - a > 1 or stop - at <= SLICE_BYTES:
+                tok, counts = self._numbered(data[at:stop], offsets[a : b + 1] - at)
+                self.tokens += [t.copy() for t in np.split(tok, np.cumsum(counts)[:-1])]
+                continue
+            while at < stop:
+                to = min(at + SLICE_BYTES, stop)
+                while to < stop and _FOLDED[data[to]] != 32:
+                    to += 1
+                tokens.append(self._numbered(data[at:to], np.array([0, to - at]))[0])
+                at = to
+            self.tokens.append(np.concatenate(tokens))
+        self.labels += labels
+
+    def _numbered(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of texts as numbers, and how many each text has. New words are numbered text by text, and by hash within a text."""
+        distinct, rows, tok, counts, _ = words_of(data, offsets)
+        text = np.empty(len(distinct), np.int64)  # the first that has the word: of repeated places the last value stays
+        text[tok[::-1]] = np.repeat(np.arange(len(counts)), counts)[::-1]
+        order = np.argsort(text, kind="stable")  # distinct words are in the order of their hashes
+        number, before = np.empty(len(distinct), np.int32), len(self.known)
+        number[order] = [self.known.setdefault(h, len(self.known)) for h in distinct[order].tolist()]
+        self.found.append(rows[order[number[order] >= before]])
+        return number[tok], counts
 
     def rows(self) -> np.ndarray:
-        return np.array(self.found, np.int32).reshape(-1, FEATURES)
+        return np.concatenate([np.zeros((0, FEATURES), np.int32), *self.found])
 
     def held(self) -> np.ndarray:
         """How many texts have each row of the table."""
-        rows, out = self.rows(), np.zeros(BUCKETS + 1, np.int64)
+        rows, out, last = self.rows(), np.zeros(BUCKETS + 1, np.int64), np.empty(BUCKETS + 1, np.int64)
         for tok in self.tokens:
-            out[np.unique(rows[np.unique(tok)])] += 1
+            own = rows.take(tok, 0).ravel()
+            place = np.arange(len(own))
+            last[own] = place
+            out[own[last[own] == place]] += 1  # each row once
         return out
 
 
@@ -301,12 +317,17 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Corpus]]:
     """The parts of rows sorted by part; one is held at a time."""
     now, corpus = None, Corpus()
     for batch in batches:
-        for part, label, text in zip(batch.column("part").to_pylist(), batch.column("toxic").to_pylist(), batch.column("text").cast(pa.large_string()).cast(pa.large_binary()), strict=True):
-            if part != now and now is not None:
+        part, labels = batch.column("part").to_numpy(), batch.column("toxic").to_pylist()
+        data, offsets = utf8(batch.column("text"))
+        edges = np.flatnonzero(np.diff(part)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(part)], strict=True):
+            if a == b:
+                continue
+            if part[a] != now and now is not None:
                 yield now, corpus
                 corpus = Corpus()
-            now = part
-            corpus.add(text.as_py(), label)
+            now = int(part[a])
+            corpus.add(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], labels[a:b])
     if now is not None:
         yield now, corpus
 

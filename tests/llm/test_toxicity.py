@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftclust.llm import toxicity as T
@@ -124,3 +125,30 @@ def test_thresholds_are_those_of_the_language(spark):
     assert set(model.thresholds) == {"en", "de"}
     got = {r.doc_id: r.threshold for r in model.score(spark.createDataFrame(docs[:9] + [(1000, "x", "zz", None), (1001, "x", None, None)], DOCS)).collect()}
     assert got[0] == model.thresholds["de"] and got[1] == model.thresholds["en"] and got[1000] == got[1001] == model.threshold
+
+
+def test_words_are_numbered_a_slice_of_texts_at_a_time(monkeypatch):
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(90)}" for _ in range(rnd.randrange(30))) for _ in range(900)]
+    texts[3], texts[500] = "", " ,; " + "long " * 900 + "end"
+    part, toxic = [i // 400 for i in range(900)], [i % 2 for i in range(900)]
+    batches = [pa.RecordBatch.from_pydict({"part": pa.array(part[a : a + 300], pa.int32()), "toxic": pa.array(toxic[a : a + 300], pa.int32()), "text": texts[a : a + 300]}) for a in (0, 300, 600)]
+    monkeypatch.setattr(T, "SLICE_BYTES", 4096)
+    monkeypatch.setattr(T, "runs", lambda offsets, limit=4096, f=T.runs: f(offsets, limit))
+    calls, plain = [], T.words_of
+    monkeypatch.setattr(T, "words_of", lambda *a: calls.append(1) or plain(*a))
+    found = list(T._parts(iter(batches)))
+    assert len(calls) < 60  # one for each text before
+    assert [p for p, _ in found] == [0, 1, 2]
+    for p, corpus in found:
+        own = [t for t, q in zip(texts, part, strict=True) if q == p]
+        words = [t.replace(",", " ").replace(";", " ").split() for t in own]
+        names, rows = {}, corpus.rows()
+        assert corpus.labels == [y for y, q in zip(toxic, part, strict=True) if q == p]
+        for want, tok in zip(words, corpus.tokens, strict=True):
+            assert len(want) == len(tok) and all(names.setdefault(w, t) == t for w, t in zip(want, tok.tolist(), strict=True))
+        assert sorted(names.values()) == list(range(len(rows)))
+        held = np.zeros(T.BUCKETS + 1, np.int64)
+        for tok in corpus.tokens:
+            held[np.unique(rows[np.unique(tok)])] += 1
+        assert np.array_equal(held, corpus.held())
