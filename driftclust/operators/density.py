@@ -25,13 +25,20 @@ def reduce(vectors: np.ndarray, components: int) -> np.ndarray:
     return np.divide(y, length, out=np.zeros_like(y), where=length > 0).astype(np.float32)
 
 
-def core_distances(x: np.ndarray, k: int, block: int = 512) -> np.ndarray:
-    """Distance of each point to its k-th nearest, itself counted."""
+def neighbours(n: int, min_cluster_size: int, min_samples: int) -> int:
+    """Which nearest of ``n`` points, itself counted, gives a point's core distance."""
+    return max(1, min(min_samples, min_cluster_size, n))
+
+
+def core_distances(x: np.ndarray, k: int, block: int = 512, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Distance of each point, of those from ``first`` to before ``last``, to its k-th nearest, itself counted."""
     square = (x * x).sum(axis=1)
-    out = np.empty(len(x))
-    for at in range(0, len(x), block):
-        d = square[at : at + block, None] + square[None, :] - 2 * x[at : at + block] @ x.T
-        out[at : at + block] = np.sqrt(np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1], 0))
+    last = len(x) if last is None else min(last, len(x))
+    out = np.empty(max(last - first, 0))
+    for at in range(first, last, block):
+        to = min(at + block, last)
+        d = square[at:to, None] + square[None, :] - 2 * x[at:to] @ x.T
+        out[at - first : to - first] = np.sqrt(np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1], 0))
     return out
 
 
@@ -39,15 +46,23 @@ def spanning_tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:
     """Edges (a, b, weight) of a minimum spanning tree under max(core a, core b, distance), grown from point 0 in linear memory."""
     n = len(x)
     square = (x * x).sum(axis=1)
-    best, via, outside = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool)
+    best, via = np.full(n, np.inf), np.zeros(n, np.int64)
+    dot, d, closer = np.empty(n), np.empty(n), np.empty(n, bool)
     edges, now = np.empty((max(n - 1, 0), 3)), 0
     for i in range(n - 1):
-        outside[now] = False
-        d = np.sqrt(np.maximum(square + square[now] - 2 * (x @ x[now]), 0))
-        d = np.maximum(np.maximum(d, core), core[now])
-        closer = outside & (d < best)
-        best[closer], via[closer] = d[closer], now
-        nxt = int(np.argmin(np.where(outside, best, np.inf)))
+        own, square[now], best[now] = square[now], np.inf, np.inf  # what is in the tree is infinitely far from now on
+        np.dot(x, x[now], out=dot)
+        dot *= 2
+        np.add(square, own, out=d)
+        d -= dot
+        np.maximum(d, 0, out=d)
+        np.sqrt(d, out=d)
+        np.maximum(d, core, out=d)
+        np.maximum(d, core[now], out=d)
+        np.less(d, best, out=closer)
+        np.copyto(best, d, where=closer)
+        np.copyto(via, now, where=closer)
+        nxt = int(np.argmin(best))
         edges[i] = via[nxt], nxt, best[nxt]
         now = nxt
     return edges
@@ -72,20 +87,20 @@ def merge_tree(edges: np.ndarray, n: int) -> list[tuple[int, int, float, int]]:
     return out
 
 
-def density_labels(vectors: np.ndarray, min_cluster_size: int, min_samples: int) -> np.ndarray:
+def density_labels(vectors: np.ndarray, min_cluster_size: int, min_samples: int, core: np.ndarray | None = None) -> np.ndarray:
     """A label for each row, -1 for noise.
 
     A cluster is a branch of the merge tree that keeps ``min_cluster_size`` points; its stability is the sum over its points of
     how far in 1 / distance they stay in it, and of nested clusters the most stable ones are taken. The whole as a single cluster is
     taken only where nothing else is found, without the points that leave it at over STRAY times the median distance. Fewer rows than
-    ``min_cluster_size`` are noise.
+    ``min_cluster_size`` are noise. ``core``: the points' core distances, where they are known.
     """
     n = len(vectors)
     if n < max(2, min_cluster_size):
         return np.full(n, -1)
     x = np.ascontiguousarray(vectors, np.float64)
-    k = max(1, min(min_samples, min_cluster_size, n))
-    merges = merge_tree(spanning_tree(x, core_distances(x, k)), n)
+    core = core_distances(x, neighbours(n, min_cluster_size, min_samples)) if core is None else core
+    merges = merge_tree(spanning_tree(x, core), n)
 
     def points(node: int) -> list[int]:
         out, stack = [], [node]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,10 +12,15 @@ from pyspark.sql import functions as F
 from driftclust.functions.keys import cluster_id, draw_order
 from driftclust.operators.assign import assign
 from driftclust.operators.cells import CellIndex
-from driftclust.operators.density import density_labels, reduce
+from driftclust.operators.density import core_distances, density_labels, neighbours, reduce
 from driftclust.operators.scoring import draw_exemplars, member_scores, symmetric_similarity, thresholds
 from driftclust.session import settled
 
+#: Points whose core distances one task makes: a multiple of the rows that meet all others at once.
+CORE_ROWS = 4096
+
+_PACKED = pa.schema([("stream_key", pa.string()), ("part", pa.int32()), ("n", pa.int64()), ("ids", pa.list_(pa.string())), ("x", pa.binary())])
+
 
 def fit_sample(items: DataFrame, most: int, seed: int | None) -> DataFrame:
     """``most`` items at random, the same for a seed. What isn't in the sample is matched to the clusters found afterwards."""
@@ -21,18 +28,39 @@ def fit_sample(items: DataFrame, most: int, seed: int | None) -> DataFrame:
 
 
 def groups(items: DataFrame, min_cluster_size: int, min_samples: int, components: int) -> DataFrame:
-    """(id, label) of items (id, seq, embedding); -1 is noise. One task fits the whole input, which ``fit_sample`` bounds; with a
-    ``stream_key`` column each stream is fitted by itself, in parallel."""
+    """(id, label) of items (id, seq, embedding); -1 is noise. The whole input, which ``fit_sample`` bounds, is fitted together; with a
+    ``stream_key`` column each stream is fitted by itself, in parallel. Core distances are made in tasks, CORE_ROWS points each, and only the tree in one."""
     key = "stream_key" if "stream_key" in items.columns else None
 
-    def fit(table: pa.Table) -> pa.Table:
+    def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by("seq")
-        vectors = np.stack(table.column("embedding").to_numpy()) if len(table) else np.zeros((0, 1), np.float32)
-        labels = density_labels(reduce(vectors, components), min_cluster_size, min_samples)
-        return pa.table({"id": table.column("id"), "label": pa.array(labels, pa.int64()), "stream_key": table.column("stream_key")})
+        x = np.ascontiguousarray(reduce(np.stack(table.column("embedding").to_numpy()), components), np.float64)
+        parts = range(-(-len(x) // CORE_ROWS))
+        names = [table.column("id").to_pylist() if i == 0 else None for i in parts]
+        return pa.table({"stream_key": [table.column("stream_key")[0].as_py()] * len(parts), "part": pa.array(parts, pa.int32()), "n": pa.array([len(x)] * len(parts), pa.int64()), "ids": pa.array(names, pa.list_(pa.string())), "x": pa.array([x.tobytes()] * len(parts), pa.binary())}, schema=_PACKED)
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                part, n = row.column("part")[0].as_py(), row.column("n")[0].as_py()
+                x = np.frombuffer(row.column("x")[0].as_buffer(), np.float64).reshape(n, -1)
+                core = core_distances(x, neighbours(n, min_cluster_size, min_samples), first=part * CORE_ROWS, last=(part + 1) * CORE_ROWS)
+                kept = row.column("x") if part == 0 else pa.array([None], pa.binary())
+                yield pa.RecordBatch.from_arrays([*row.select(["stream_key", "part", "n", "ids"]).columns, kept, pa.array([core.tobytes()], pa.binary())], ["stream_key", "part", "n", "ids", "x", "core"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        n, ids = table.column("n")[0].as_py(), table.column("ids")[0].as_py()
+        x = np.frombuffer(table.column("x")[0].as_buffer(), np.float64).reshape(n, -1)
+        core = np.concatenate([np.frombuffer(c.as_buffer(), np.float64) for c in table.column("core")])
+        labels = density_labels(x, min_cluster_size, min_samples, core)
+        return pa.table({"id": pa.array(ids, pa.string()), "label": pa.array(labels, pa.int64()), "stream_key": pa.array([table.column("stream_key")[0].as_py()] * n, pa.string())})
 
     keyed = items.select("id", "seq", "embedding", (F.col(key) if key else F.lit("")).cast("string").alias("stream_key"))
-    found = keyed.groupBy("stream_key").applyInArrow(fit, "id string, label long, stream_key string")
+    packed = keyed.groupBy("stream_key").applyInArrow(pack, "stream_key string, part int, n long, ids array<string>, x binary").repartition(items.sparkSession.sparkContext.defaultParallelism)
+    found = packed.mapInArrow(cores, "stream_key string, part int, n long, ids array<string>, x binary, core binary")
+    found = found.groupBy("stream_key").applyInArrow(fit, "id string, label long, stream_key string")
     return found if key else found.drop("stream_key")
 
 

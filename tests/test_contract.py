@@ -9,6 +9,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -151,3 +152,18 @@ def test_command_line(spark, tmp_path, capsys):
     cid = json.loads(out.out)[0]["id"]
     assert run("show", cid)[0] == 0 and run("close", "cl_x")[0] == 1
     assert run("report", str(tmp_path / "r.html"))[0] == 0 and "<svg" in (tmp_path / "r.html").read_text()
+
+
+def test_core_distances_of_a_fit_are_made_in_several_tasks(spark, monkeypatch):
+    from driftclust.operators.density import core_distances, density_labels, reduce
+
+    monkeypatch.setattr(D, "CORE_ROWS", 512)
+    items = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("cast(vec_id as string) id", "vec_id seq", "embedding")
+    rows = items.orderBy("seq").collect()
+    x = reduce(np.array([r.embedding for r in rows], np.float32), 5)
+    assert len(x) > 512
+    whole = core_distances(x.astype(np.float64), 3)
+    assert np.array_equal(np.concatenate([core_distances(x.astype(np.float64), 3, first=a, last=a + 512) for a in range(0, len(x), 512)]), whole)
+    found = D.groups(items, 5, 3, 5)
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    assert {r.id: r.label for r in found.collect()} == {r.id: n for r, n in zip(rows, density_labels(x, 5, 3).tolist(), strict=True)}
