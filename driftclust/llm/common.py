@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -71,6 +72,23 @@ def packed(df: DataFrame, *keys: str) -> tuple[DataFrame, Callable[[str], Column
 # --- Arrow batches -----------------------------------------------------------------------------------------------
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over Arrow batches, giving what Arrow's pool has free back to the system after each result and at the end: an executor keeps more
+    workers than it has cores, and those that wait would hold as much as they ever took."""
+
+    @functools.wraps(run)
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for made in run(batches):
+                yield made
+                del made
+                pa.default_memory_pool().release_unused()
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return held
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets into them; a null is an empty text."""
     column = column.cast(pa.large_string())

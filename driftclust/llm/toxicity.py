@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftclust.llm.common import LOWER, SLICE_BYTES, cut, drop_cut, mix, own_columns, runs, span_hashes, utf8, word_spans
+from driftclust.llm.common import LOWER, SLICE_BYTES, cut, drop_cut, frugal, mix, own_columns, runs, span_hashes, utf8, word_spans
 
 #: Widths of the filters, in words.
 WIDTHS = (1, 2, 3)
@@ -332,6 +332,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Corpus]]:
         yield now, corpus
 
 
+@frugal
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, corpus in _parts(batches):
         held = corpus.held()
@@ -342,6 +343,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _learn(learner: Learner, used: np.ndarray, heavy: float, epochs: int, seed: int, turn: int):
     """Of each part, what the learner becomes by it, in blocks, with how many texts each row rests on."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, corpus in _parts(batches):
             own = copy.deepcopy(learner)
@@ -355,6 +357,7 @@ def _learn(learner: Learner, used: np.ndarray, heavy: float, epochs: int, seed:
     return run
 
 
+@frugal
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Means of blocks by weight, over rows sorted by (block, part)."""
     now, weights, total = None, None, None
@@ -452,6 +455,7 @@ class ToxicityModel:
         texts = own_columns(documents, "doc_id", "lang", "text").select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
         texts = texts.where((F.octet_length("text") > 0) & ~held_out(F.col("doc_id"))).join(marks, "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min_by(F.struct("lang", "text"), "text").alias("t"))
 
+        @frugal
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.append_column("checked", pa.array(mix(batch.column("doc_id").to_numpy(), seed) % np.uint64(5) == 0))
@@ -472,18 +476,17 @@ class ToxicityModel:
         """Set the scale and the thresholds from rows that weren't trained on."""
         network = self.network
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 z = network.logits(network.pool(*utf8(batch.column("text")))).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("toxic"), pa.array(z)], ["lang", "toxic", "z"])
 
+        named = sorted(r.lang for r in rows.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.sum("toxic").alias("y"), F.sum(1 - F.col("toxic")).alias("x")).where(F.least("x", "y") >= enough).collect())
         found = rows.select("lang", "toxic", "text").mapInArrow(run, "lang string, toxic int, z double").withColumn("lang", F.coalesce("lang", F.lit("")))
         step = F.round(F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.col("z"))) * STEPS).cast("long")
-        counts = cut(found.groupBy("lang", "toxic", step.alias("step")).agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high")), "toxicity-logits")
-        named = sorted(r.lang for r in counts.groupBy("lang").agg(F.sum(F.col("toxic") * F.col("n")).alias("y"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("x")).where(F.least("x", "y") >= enough).collect())
         own = F.when(F.col("lang").isin(named), F.col("lang")) if named else F.lit(None).cast("string")
-        rest = counts.groupBy(own.alias("lang"), "toxic", "step").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("step", "toxic", "lang").collect()
-        drop_cut(counts)
+        rest = found.groupBy(own.alias("lang"), "toxic", step.alias("step")).agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high")).orderBy("step", "toxic", "lang").collect()
         z, y, n = np.array([(r.low + r.high) / 2 for r in rest]), np.array([r.toxic for r in rest]), np.array([r.n for r in rest])
         if len(set(y)) == 2:
             calibrate(network, z, y, n)
@@ -497,6 +500,7 @@ class ToxicityModel:
         """doc_id, held_out, score, predicted, threshold, flagged: see ``toxicity``."""
         broadcast = documents.sparkSession.sparkContext.broadcast(self.network)
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             net = broadcast.value
             for batch in batches:
