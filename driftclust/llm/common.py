@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from driftclust.session import shared_folder, spread
 
 #: Bytes of text that one numpy pass holds at once; its temporaries take about 40 times as much.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Bytes of rows in an Arrow batch; a single row may have more.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

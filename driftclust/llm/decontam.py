@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftclust.llm.common import cut, drop_cut, mix, own_columns
+from driftclust.llm.common import cut, drop_cut, frugal, mix, own_columns
 
 #: Bits of a filter for each entry, and the most that one has (64 MB): it is sent to all tasks. Beyond that it lets more through, but misses nothing.
 BITS_PER_ENTRY, MOST_BITS = 64, 1 << 29
@@ -151,6 +151,7 @@ class Bits:
         """Of a column of numbers: tasks set bits in their own words, which are put together by OR."""
         made = cls(rows.count())
 
+        @frugal
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
@@ -165,6 +166,7 @@ class Bits:
 
 
 def _items(per_edit: int, short: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [normal(t) for t in batch.column("text").to_pylist()]
@@ -199,6 +201,7 @@ def hits_of(text: str, heads: Bits, bits: Bits, sizes: list[int], head: int) ->
 def _hits(heads: Bits, bits: Bits, sizes: list[int], head: int, short: int):
     """Where a text has what may be a piece."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, hashes, places = [], [], []
@@ -252,6 +255,7 @@ def find(item: str, text: str, starts: list[int], budget: int, short: int) -> tu
 
 
 def _verify(per_edit: int, short: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -270,6 +274,7 @@ def _verify(per_edit: int, short: int):
 def _maybe(bits: Bits):
     """The rows whose key may be in a filter."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:

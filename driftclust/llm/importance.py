@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftclust.llm.common import LOWER, SLICE_BYTES, SPACE, cut, drop_cut, mix, own_columns, packed, runs, span_hashes, utf8, word_spans
+from driftclust.llm.common import LOWER, SLICE_BYTES, SPACE, cut, drop_cut, frugal, mix, own_columns, packed, runs, span_hashes, utf8, word_spans
 
 #: Buckets of each kind of n-gram: single words, pairs of words, the first PREFIX bytes of words.
 BUCKETS = 1 << 16
@@ -60,6 +60,7 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _count(fit: np.ndarray):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(KINDS * BUCKETS, np.int64), np.zeros(KINDS * BUCKETS, np.int64)
         for batch in batches:
@@ -130,6 +131,7 @@ def _gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _score(models: Models, seed: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = _ids(batch)
@@ -140,6 +142,7 @@ def _score(models: Models, seed: int):
 
 
 def _draw(models: Models, seed: int, least: np.ndarray):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = _ids(batch)

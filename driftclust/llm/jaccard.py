@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftclust.llm.common import cut, drop_cut, mix, own_columns, shingles, utf8, word_hashes  # noqa: F401
+from driftclust.llm.common import cut, drop_cut, frugal, mix, own_columns, shingles, utf8, word_hashes  # noqa: F401
 from driftclust.llm.components import components
 from driftclust.llm.decontam import Bits
 from driftclust.llm.rtree import CountTree
@@ -99,6 +99,7 @@ def _member_sets(batch: pa.RecordBatch, k: int, lower: bool) -> Iterator[tuple[i
 
 
 def _describe(k: int, lower: bool, num: int, den: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, fp_a, fp_b, blocks, points = [], [], [], [], []
@@ -128,6 +129,7 @@ def _describe(k: int, lower: bool, num: int, den: int):
 def _among(bits: Bits, column: str):
     """The rows whose ``column`` may be in a filter."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.take(pa.array(bits.holds(batch.column(column).to_numpy().view(np.uint64)), pa.int64()))
@@ -138,6 +140,7 @@ def _among(bits: Bits, column: str):
 def _blocks_among(bits: Bits):
     """(node, block) of the blocks that may be in a filter, over rows with the blocks of each node."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("blocks")
@@ -150,6 +153,7 @@ def _blocks_among(bits: Bits):
 
 
 def _sets(k: int, lower: bool, among: Bits):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _among(among, "doc_id")(batches):
             ids, sets = [], []
@@ -196,6 +200,7 @@ def _star_search(num: int, den: int):
     """Over rows sorted by (low, part), the points of a star and its centre: for each node the centre, if the tree finds it within the bound, or else the
     best partner by bound that the tree finds."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, "low", "part"):
             centre = group.column("low")[0].as_py()
@@ -239,6 +244,7 @@ def _set(value: pa.Scalar) -> np.ndarray:
 def _verify(num: int, den: int):
     """Over rows with the sets of both."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -254,6 +260,7 @@ def _verify(num: int, den: int):
 def _verify_stars(num: int, den: int):
     """Over rows sorted by (low, part, high), of which the first, without a high, has the set of the low."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = np.zeros(0, np.uint64)
         for batch in batches:
@@ -290,6 +297,7 @@ def _search(num: int, den: int, best_only: bool):
             high.append(np.maximum(node[hits], node[q]))
         return np.concatenate(low or [np.zeros(0, np.int64)]), np.concatenate(high or [np.zeros(0, np.int64)])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, "block", "i", "j"):
             low, high = one(group)
