@@ -1,9 +1,11 @@
-"""Density clustering of a bounded sample: a hierarchy over mutual reachability distances and its most persistent clusters."""
+"""Density clustering of points in memory: a hierarchy over mutual reachability distances and its most persistent clusters."""
 
 from __future__ import annotations
 
 import numpy as np
 
+from driftclust.operators.forest import AGAIN, Forest, exact, nearest, search
+
 #: In a single cluster, how far out in medians a point is noise.
 STRAY = 1.4
 
@@ -19,8 +21,18 @@ def reduce(vectors: np.ndarray, components: int) -> np.ndarray:
         return vectors
     x = vectors.astype(np.float64)
     x -= x.mean(axis=0)
-    _, axes = np.linalg.eigh(x.T @ x)
-    y = vectors.astype(np.float64) @ axes[:, ::-1][:, :wanted]
+    return projected(vectors, principal_axes(x.T @ x, components))
+
+
+def principal_axes(squares: np.ndarray, components: int) -> np.ndarray:
+    """The first axes, three times ``components``, of sums of squares and products around the mean."""
+    _, axes = np.linalg.eigh(squares)
+    return axes[:, ::-1][:, : 3 * components]
+
+
+def projected(vectors: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Vectors on axes, at length 1."""
+    y = vectors.astype(np.float64) @ axes
     length = np.linalg.norm(y, axis=1, keepdims=True)
     return np.divide(y, length, out=np.zeros_like(y), where=length > 0).astype(np.float32)
 
@@ -42,30 +54,15 @@ def core_distances(x: np.ndarray, k: int, block: int = 512, first: int = 0, last
     return out
 
 
-def spanning_tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """Edges (a, b, weight) of a minimum spanning tree under max(core a, core b, distance), grown from point 0 in linear memory."""
-    n = len(x)
-    square = (x * x).sum(axis=1)
-    best, via = np.full(n, np.inf), np.zeros(n, np.int64)
-    dot, d, closer = np.empty(n), np.empty(n), np.empty(n, bool)
-    edges, now = np.empty((max(n - 1, 0), 3)), 0
-    for i in range(n - 1):
-        own, square[now], best[now] = square[now], np.inf, np.inf  # what is in the tree is infinitely far from now on
-        np.dot(x, x[now], out=dot)
-        dot *= 2
-        np.add(square, own, out=d)
-        d -= dot
-        np.maximum(d, 0, out=d)
-        np.sqrt(d, out=d)
-        np.maximum(d, core, out=d)
-        np.maximum(d, core[now], out=d)
-        np.less(d, best, out=closer)
-        np.copyto(best, d, where=closer)
-        np.copyto(via, now, where=closer)
-        nxt = int(np.argmin(best))
-        edges[i] = via[nxt], nxt, best[nxt]
-        now = nxt
-    return edges
+def spanning_tree(x: np.ndarray, k: int, near: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Edges (a, b, weight), by rising weight, of the minimum spanning tree under max(core a, core b, distance); equal weights go by distance, then by rows.
+    ``x`` is ``exact``; ``near`` is what ``nearest`` finds, where it is known."""
+    forest = Forest.first(*(nearest(x, k) if near is None else near), k)
+    while True:
+        pos, limit = forest.grow()
+        if not len(pos):
+            return forest.rooted()
+        forest.listed(pos, *search(x, pos, limit, forest.core, forest.comp, AGAIN), limit)
 
 
 def merge_tree(edges: np.ndarray, n: int) -> list[tuple[int, int, float, int]]:
@@ -87,20 +84,23 @@ def merge_tree(edges: np.ndarray, n: int) -> list[tuple[int, int, float, int]]:
     return out
 
 
-def density_labels(vectors: np.ndarray, min_cluster_size: int, min_samples: int, core: np.ndarray | None = None) -> np.ndarray:
+def density_labels(vectors: np.ndarray, min_cluster_size: int, min_samples: int, near: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """A label for each row, -1 for noise.
 
     A cluster is a branch of the merge tree that keeps ``min_cluster_size`` points; its stability is the sum over its points of
     how far in 1 / distance they stay in it, and of nested clusters the most stable ones are taken. The whole as a single cluster is
     taken only where nothing else is found, without the points that leave it at over STRAY times the median distance. Fewer rows than
-    ``min_cluster_size`` are noise. ``core``: the points' core distances, where they are known.
+    ``min_cluster_size`` are noise. ``near``: what ``nearest`` finds, where it is known; the vectors are ``exact`` then.
     """
     n = len(vectors)
     if n < max(2, min_cluster_size):
         return np.full(n, -1)
-    x = np.ascontiguousarray(vectors, np.float64)
-    core = core_distances(x, neighbours(n, min_cluster_size, min_samples)) if core is None else core
-    merges = merge_tree(spanning_tree(x, core), n)
+    x = exact(vectors) if near is None else vectors
+    return tree_labels(merge_tree(spanning_tree(x, neighbours(n, min_cluster_size, min_samples), near), n), n, min_cluster_size)
+
+
+def tree_labels(merges: list[tuple[int, int, float, int]], n: int, min_cluster_size: int) -> np.ndarray:
+    """The labels of ``density_labels`` from the merges of ``n`` rows: numbered by their first rows, the same for any of the least spanning trees."""
 
     def points(node: int) -> list[int]:
         out, stack = [], [node]
@@ -112,6 +112,14 @@ def density_labels(vectors: np.ndarray, min_cluster_size: int, min_samples: int,
                 stack += merges[a - n][:2]
         return out
 
+    def parts(node: int) -> list[int]:
+        """What meets at the node's distance: merges at the same distance are one, whatever order they came in."""
+        distance, out, stack = merges[node - n][2], [], [node]
+        while stack:
+            for a in merges[stack.pop() - n][:2]:
+                (stack if a >= n and merges[a - n][2] == distance else out).append(a)
+        return out
+
     weight = lambda a: 1 if a < n else merges[a - n][3]
     parent, birth, stability, fallen = [-1], [0.0], [0.0], [[]]  # by cluster; fallen: points
     left_at = np.zeros(n)  # the distance at which a point falls out of its cluster
@@ -121,15 +129,16 @@ def density_labels(vectors: np.ndarray, min_cluster_size: int, min_samples: int,
         if node < n:
             fallen[cluster].append(node)
             continue
-        left, right, distance, _ = merges[node - n]
+        distance = merges[node - n][2]
         at = 1 / distance if distance > 0 else 1e12
-        big = [a for a in (left, right) if weight(a) >= min_cluster_size]
-        for a in (left, right):
-            if len(big) == 2:
+        sides = parts(node)
+        big = sum(weight(a) >= min_cluster_size for a in sides)
+        for a in sides:
+            if big > 1 and weight(a) >= min_cluster_size:
                 stability[cluster] += (at - birth[cluster]) * weight(a)
                 parent.append(cluster), birth.append(at), stability.append(0.0), fallen.append([])
                 stack.append((a, len(parent) - 1))
-            elif a in big:
+            elif weight(a) >= min_cluster_size:
                 stack.append((a, cluster))
             else:
                 gone = points(a)
@@ -157,4 +166,7 @@ def density_labels(vectors: np.ndarray, min_cluster_size: int, min_samples: int,
             labels[fallen[c]] = owner[c]
     if len(parent) == 1:
         labels[left_at > STRAY * np.median(left_at)] = -1
+    rows = np.flatnonzero(labels >= 0)
+    _, first, number_of = np.unique(labels[rows], return_index=True, return_inverse=True)
+    labels[rows] = np.argsort(np.argsort(first))[number_of]
     return labels

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftclust.functions.keys import cluster_id, draw_order
-from driftclust.operators.assign import assign
 from driftclust.operators.cells import CellIndex
-from driftclust.operators.density import core_distances, density_labels, neighbours, reduce
+from driftclust.operators.density import density_labels, neighbours, reduce
+from driftclust.operators.forest import exact, nearest
 from driftclust.operators.scoring import draw_exemplars, member_scores, symmetric_similarity, thresholds
 from driftclust.session import settled
 
-#: Points whose core distances one task makes: a multiple of the rows that meet all others at once.
+#: Points whose nearest others, and so core distances, one task finds: a multiple of the rows that meet all others at once.
 CORE_ROWS = 4096
 
 _PACKED = pa.schema([("stream_key", pa.string()), ("part", pa.int32()), ("n", pa.int64()), ("ids", pa.list_(pa.string())), ("x", pa.binary())])
@@ -29,12 +29,12 @@ def fit_sample(items: DataFrame, most: int, seed: int | None) -> DataFrame:
 
 def groups(items: DataFrame, min_cluster_size: int, min_samples: int, components: int) -> DataFrame:
     """(id, label) of items (id, seq, embedding); -1 is noise. The whole input, which ``fit_sample`` bounds, is fitted together; with a
-    ``stream_key`` column each stream is fitted by itself, in parallel. Core distances are made in tasks, CORE_ROWS points each, and only the tree in one."""
+    ``stream_key`` column each stream is fitted by itself, in parallel. Nearest points, and so core distances, are found in tasks, CORE_ROWS points each, and only the tree grows in one."""
     key = "stream_key" if "stream_key" in items.columns else None
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by("seq")
-        x = np.ascontiguousarray(reduce(np.stack(table.column("embedding").to_numpy()), components), np.float64)
+        x = exact(reduce(np.stack(table.column("embedding").to_numpy()), components))
         parts = range(-(-len(x) // CORE_ROWS))
         names = [table.column("id").to_pylist() if i == 0 else None for i in parts]
         return pa.table({"stream_key": [table.column("stream_key")[0].as_py()] * len(parts), "part": pa.array(parts, pa.int32()), "n": pa.array([len(x)] * len(parts), pa.int64()), "ids": pa.array(names, pa.list_(pa.string())), "x": pa.array([x.tobytes()] * len(parts), pa.binary())}, schema=_PACKED)
@@ -45,21 +45,21 @@ def groups(items: DataFrame, min_cluster_size: int, min_samples: int, components
                 row = batch.slice(i, 1)
                 part, n = row.column("part")[0].as_py(), row.column("n")[0].as_py()
                 x = np.frombuffer(row.column("x")[0].as_buffer(), np.float64).reshape(n, -1)
-                core = core_distances(x, neighbours(n, min_cluster_size, min_samples), first=part * CORE_ROWS, last=(part + 1) * CORE_ROWS)
+                near = nearest(x, neighbours(n, min_cluster_size, min_samples), part * CORE_ROWS, (part + 1) * CORE_ROWS)
                 kept = row.column("x") if part == 0 else pa.array([None], pa.binary())
-                yield pa.RecordBatch.from_arrays([*row.select(["stream_key", "part", "n", "ids"]).columns, kept, pa.array([core.tobytes()], pa.binary())], ["stream_key", "part", "n", "ids", "x", "core"])
+                yield pa.RecordBatch.from_arrays([*row.select(["stream_key", "part", "n", "ids"]).columns, kept, *(pa.array([a.tobytes()], pa.binary()) for a in near)], ["stream_key", "part", "n", "ids", "x", "d", "q"])
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by("part")
         n, ids = table.column("n")[0].as_py(), table.column("ids")[0].as_py()
         x = np.frombuffer(table.column("x")[0].as_buffer(), np.float64).reshape(n, -1)
-        core = np.concatenate([np.frombuffer(c.as_buffer(), np.float64) for c in table.column("core")])
-        labels = density_labels(x, min_cluster_size, min_samples, core)
+        near = tuple(np.concatenate([np.frombuffer(c.as_buffer(), kind) for c in table.column(name)]).reshape(n, -1) for name, kind in (("d", np.float64), ("q", np.int64)))
+        labels = density_labels(x, min_cluster_size, min_samples, near)
         return pa.table({"id": pa.array(ids, pa.string()), "label": pa.array(labels, pa.int64()), "stream_key": pa.array([table.column("stream_key")[0].as_py()] * n, pa.string())})
 
     keyed = items.select("id", "seq", "embedding", (F.col(key) if key else F.lit("")).cast("string").alias("stream_key"))
     packed = keyed.groupBy("stream_key").applyInArrow(pack, "stream_key string, part int, n long, ids array<string>, x binary").repartition(items.sparkSession.sparkContext.defaultParallelism)
-    found = packed.mapInArrow(cores, "stream_key string, part int, n long, ids array<string>, x binary, core binary")
+    found = packed.mapInArrow(cores, "stream_key string, part int, n long, ids array<string>, x binary, d binary, q binary")
     found = found.groupBy("stream_key").applyInArrow(fit, "id string, label long, stream_key string")
     return found if key else found.drop("stream_key")
 
@@ -76,20 +76,6 @@ def candidates(members: DataFrame, k: int, exemplars: int, percentile: float, bo
     return clusters, named, drawn
 
 
-def match_rest(items: DataFrame, labels: DataFrame, k: int, exemplars: int, percentile: float, bounds: tuple[float, float], seed: int | None) -> DataFrame:
-    """(id, label) of all items (id, seq, embedding), a row for each: the labels (id, label) of those that were fitted, and for the rest the group whose
-    exemplars they match at its threshold, or -1. ``labels`` is read several times."""
-    known = items.join(labels.groupBy("id").agg(F.min("label").alias("label")), "id", "left")
-    members = known.where("label >= 0").withColumn("ts", F.lit(None).cast("timestamp"))
-    clusters, _, drawn = candidates(members, k, exemplars, percentile, bounds, seed)
-    rest = known.where("label is null").select(F.col("id").alias("item_id"), "embedding")
-    decided = assign(rest, drawn, clusters.select("id", "threshold"), k)
-    named = clusters.select(F.col("id").alias("cluster_id"), "label")
-    found = decided.join(named, "cluster_id", "left").select("item_id", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
-    matched = rest.select("item_id").join(found, rest.item_id.eqNullSafe(found.item_id)).select(rest.item_id.alias("id"), "label")
-    return known.where("label is not null").select("id", "label").unionByName(matched)
-
-
 def linked(found: DataFrame, found_exemplars: DataFrame, live: DataFrame, live_exemplars: DataFrame, threshold: float) -> DataFrame:
     """(a, b): candidates and open clusters that may be as similar as ``threshold``. The similarity is a mean of cosines of exemplars, so a pair that
     reaches the threshold has two exemplars that do; a join by cells finds those."""

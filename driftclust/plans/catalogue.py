@@ -17,6 +17,7 @@ from driftclust.operators import assign as A
 from driftclust.operators import dedupe, lifecycle, sampling, scoring, timeline
 from driftclust.operators import discover as D
 from driftclust.operators.cells import CellIndex, similar_pairs
+from driftclust.operators.whole import whole_groups
 from driftclust.session import settled, shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,8 +27,6 @@ QUERIES: dict[str, Query] = {}
 K, EXEMPLARS, SEED, PERCENTILE, LOW, HIGH = 5, 8, 42, 5.0, 0.15, 0.90
 GAP, GRACE = timedelta(days=1), timedelta(days=2)
 NOW = datetime(2024, 1, 29)
-#: Vectors that a single fit of density groups takes.
-FIT = 50_000
 
 
 def query(f: Query) -> Query:
@@ -398,13 +397,9 @@ def q50_make_batches(spark, d):
 
 @query
 def q51_discover_groups(spark, d):
-    """Density groups of all vectors: sizes, noise included. A sample of FIT is fitted; the rest is matched to its groups."""
+    """Density groups of all vectors, fitted together whatever their number: sizes, noise included."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("seq"), "embedding")
-    labels = D.groups(D.fit_sample(rows, FIT, SEED), 5, 3, 5)
-    if rows.limit(FIT + 1).count() > FIT:
-        labels = settled(labels, "labels")  # fitted once
-        labels = D.match_rest(rows, labels, K, EXEMPLARS, PERCENTILE, (LOW, HIGH), SEED)
-    return labels.groupBy("label").agg(F.count("*").alias("n"))
+    return whole_groups(rows, 5, 3, 5).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query
